@@ -8,6 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(fn: Callable[..., Column], *values: Column) -> Column:
+    """``fn(values)`` with every value computed once per row.
+
+    Higher-order functions re-evaluate an expression wherever a lambda repeats
+    it; binding it as a lambda variable of a one-element array avoids that.
+    Values may refer to earlier ones only through nesting.
+    """
+    if not values:
+        return fn()
+    head, rest = values[0], values[1:]
+    return F.get(F.transform(F.array(head), lambda v: let(lambda *more: fn(v, *more), *rest)), F.lit(0))
+
+
 def sort_by(array: Column, *keys: Callable[[Column], Column]) -> Column:
     """Stable sort by the given key functions."""
     ranked = F.transform(array, lambda e, i: F.struct(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgrade.functions.arrays import let
+
 UNIT_KIND = ["book_id", "unit_number", "kind"]
 
 
@@ -29,24 +31,31 @@ def _walk(capacities: Column, sizes: Column) -> Column:
     running sums of the sizes, the blocks a page takes from the cursor on are
     those that start before the page is full and end within it.
     """
-    ends = F.aggregate(
+    running = F.aggregate(
         sizes, F.array(F.lit(0).cast("bigint")),
         lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s.cast("bigint"))))
-    blocks = F.sequence(F.lit(0), F.size(sizes) - 1)
-    blocks = F.when(F.size(sizes) > 0, blocks).otherwise(F.array().cast("array<int>"))
+    numbers = F.transform(sizes, lambda s, i: i)
+    return let(lambda ends, blocks, size_of, caps: _walk_pages(caps, size_of, ends, blocks), running, numbers, sizes, capacities)
+
 
+def _walk_pages(capacities: Column, sizes: Column, ends: Column, blocks: Column) -> Column:
     def page(acc: Column, capacity: Column) -> Column:
-        cursor = acc["cursor"]
-        base = F.get(ends, cursor)
-        taken = F.filter(blocks, lambda b: (b >= cursor) & (F.get(ends, b) - base < capacity)
-                         & (F.get(ends, b + 1) - base <= capacity))
-        after = cursor + F.size(taken)
-        used = F.get(ends, after) - base
-        skipped_empty = F.exists(taken, lambda b: F.get(sizes, b) == 0)
-        blocked = (after < F.size(sizes)) & (used < capacity)
-        row = F.struct(cursor.alias("first_block"), after.alias("next_block"), used.cast("bigint").alias("used"),
-                       (skipped_empty | blocked).alias("ambiguous_rest"))
-        return F.struct(after.alias("cursor"), F.concat(acc["pages"], F.array(row)).alias("pages"))
+        def fits(cursor: Column, base: Column) -> Column:
+            # the sums never fall, so the blocks that fit follow the cursor without a hole
+            return F.filter(blocks, lambda b: (b >= cursor) & (F.get(ends, b) - base < capacity)
+                            & (F.get(ends, b + 1) - base <= capacity))
+
+        def settle(cursor: Column, base: Column, taken: Column) -> Column:
+            after = cursor + F.size(taken)
+            used = F.get(ends, after) - base
+            skipped_empty = F.exists(taken, lambda b: F.get(sizes, b) == 0)
+            blocked = (after < F.size(sizes)) & (used < capacity)
+            row = F.struct(cursor.alias("first_block"), after.alias("next_block"), used.cast("bigint").alias("used"),
+                           (skipped_empty | blocked).alias("ambiguous_rest"))
+            return F.struct(after.alias("cursor"), F.concat(acc["pages"], F.array(row)).alias("pages"))
+
+        return let(lambda cursor, base: let(lambda taken: settle(cursor, base, taken), fits(cursor, base)),
+                   acc["cursor"], F.get(ends, acc["cursor"]))
 
     start = F.struct(
         F.lit(0).alias("cursor"),

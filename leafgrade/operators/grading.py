@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrade.functions import textops as X
+from leafgrade.functions.arrays import let
 
 
 def _result(verdict: Column, resolution: Column, correct: Column | None = None, total: Column | None = None) -> Column:
@@ -117,8 +118,10 @@ def compare_blank(learner: Column, has_entry: Column, expected: Column, alternat
 
 def option_lookup(label: Column, options: Column) -> Column:
     """Id of the only option whose label equals ``label`` (trimmed, any case), else null."""
-    same = F.filter(options, lambda o: F.lower(X.js_trim(o["label"])) == F.lower(X.js_trim(label)))
-    return F.when(F.size(same) == 1, F.get(same, F.lit(0))["id"])
+    def only(wanted: Column) -> Column:
+        return let(lambda same: F.when(F.size(same) == 1, F.get(same, F.lit(0))["id"]),
+                   F.filter(options, lambda o: F.lower(X.js_trim(o["label"])) == wanted))
+    return let(only, F.lower(X.js_trim(label)))
 
 
 def compare_choice(learner: Column, has_entry: Column, expected: Column, options: Column) -> Column:
@@ -138,25 +141,29 @@ def compare_grid(row_answers: Column, has_entry: Column, expected: Column, optio
 
     Answered rows without an expected label are not counted as correct.
     """
-    labels = F.filter(F.transform(F.split(expected, ","), X.js_trim), lambda s: s != "")
-    rows = F.transform(row_answers, lambda a, i: F.struct(
-        _truthy(a).alias("answered"), F.get(labels, i).alias("label"), a.alias("answer")))
-    judged = F.transform(rows, lambda r: F.struct(
-        r["answered"], r["answer"], (r["answered"] & r["label"].isNotNull()).alias("graded"),
-        option_lookup(r["label"], options).alias("wanted")))
-    answered = F.size(F.filter(rows, lambda r: r["answered"]))
-    unclear = F.exists(judged, lambda r: r["graded"] & ~_truthy(r["wanted"]))
-    correct = F.size(F.filter(judged, lambda r: F.coalesce(r["graded"] & (r["wanted"] == r["answer"]), F.lit(False))))
-    total = F.size(row_answers)
-    ok = _lit("RESOLVED")
-    return (
-        F.when(~has_entry, _result(_null(), _lit("UNMAPPED")))
-        .when(answered == 0, _result(_lit("UNANSWERED"), ok))
-        .when(unclear, _result(_null(), _lit("AMBIGUOUS")))
-        .when(correct == total, _result(_lit("CORRECT"), ok))
-        .when(correct > 0, _result(_lit("PARTIALLY_CORRECT"), ok, correct, total))
-        .otherwise(_result(_lit("INCORRECT"), ok))
-    )
+    def judged(labels: Column, opts: Column) -> Column:
+        def row(a: Column, i: Column) -> Column:
+            label = F.get(labels, i)
+            return F.struct(_truthy(a).alias("answered"), a.alias("answer"), (_truthy(a) & label.isNotNull()).alias("graded"),
+                            option_lookup(label, opts).alias("wanted"))
+        return F.transform(row_answers, row)
+
+    def verdict(rows: Column) -> Column:
+        answered = F.size(F.filter(rows, lambda r: r["answered"]))
+        unclear = F.exists(rows, lambda r: r["graded"] & ~_truthy(r["wanted"]))
+        hits = F.size(F.filter(rows, lambda r: F.coalesce(r["graded"] & (r["wanted"] == r["answer"]), F.lit(False))))
+        total = F.size(rows)
+        ok = _lit("RESOLVED")
+        return let(lambda correct: (
+            F.when(answered == 0, _result(_lit("UNANSWERED"), ok))
+            .when(unclear, _result(_null(), _lit("AMBIGUOUS")))
+            .when(correct == total, _result(_lit("CORRECT"), ok))
+            .when(correct > 0, _result(_lit("PARTIALLY_CORRECT"), ok, correct, total))
+            .otherwise(_result(_lit("INCORRECT"), ok))
+        ), hits)
+
+    wanted = F.filter(F.transform(F.split(expected, ","), X.js_trim), lambda s: s != "")
+    return F.when(~has_entry, _result(_null(), _lit("UNMAPPED"))).otherwise(let(verdict, let(judged, wanted, options)))
 
 
 def compare_ordering(learner: Column, has_entry: Column, expected: Column, item_count: Column) -> Column:
@@ -176,24 +183,29 @@ def compare_ordering(learner: Column, has_entry: Column, expected: Column, item_
     )
 
 
+def comparison_items(items: Column) -> Column:
+    """Items {id, label, text} with label and text in comparison form (C3), computed once per row."""
+    norm = lambda c: X.normalize_for_comparison(F.coalesce(c, F.lit("")), False, compose=False)
+    return F.transform(items, lambda i: F.struct(i["id"].alias("id"), norm(i["label"]).alias("label"), norm(i["text"]).alias("text")))
+
+
 def matching_item_lookup(value: Column, items: Column) -> Column:
-    """Item id by unique id, else by unique label or text in comparison form, else null.
+    """Item id by unique id, else by unique label or text, else null; items are in comparison form."""
+    def by_text(wanted: Column) -> Column:
+        return let(lambda same: F.when(F.size(same) == 1, F.get(same, F.lit(0))["id"]),
+                   F.filter(items, lambda i: (i["label"] == wanted) | (i["text"] == wanted)))
 
-    Item texts must be composed already (``compose_items``).
-    """
-    norm = lambda c: X.normalize_for_comparison(F.coalesce(c, F.lit("")), False, compose=False)
-    by_id = F.filter(items, lambda i: i["id"] == value)
-    same = F.filter(items, lambda i: (norm(i["label"]) == norm(value)) | (norm(i["text"]) == norm(value)))
-    return F.when(F.size(by_id) == 1, F.get(by_id, F.lit(0))["id"]).when(
-        F.size(same) == 1, F.get(same, F.lit(0))["id"])
+    return let(lambda by_id: F.when(F.size(by_id) == 1, F.get(by_id, F.lit(0))["id"]).otherwise(
+        let(by_text, X.normalize_for_comparison(F.coalesce(value, F.lit("")), False, compose=False))),
+        F.filter(items, lambda i: i["id"] == value))
 
 
 def compose_items(items: Column) -> Column:
     """Items {id, label, text} with composed label and text; ids are identities and stay as they are."""
     n = F.size(items)
     texts = X.nfc_each(F.concat(F.transform(items, lambda i: i["label"]), F.transform(items, lambda i: i["text"])))
-    return F.transform(items, lambda i, at: F.struct(
-        i["id"].alias("id"), F.get(texts, at).alias("label"), F.get(texts, at + n).alias("text")))
+    rows = F.arrays_zip(items.alias("i"), F.slice(texts, F.lit(1), n).alias("l"), F.slice(texts, n + 1, n).alias("t"))
+    return F.transform(rows, lambda z: F.struct(z["i"]["id"].alias("id"), z["l"].alias("label"), z["t"].alias("text")))
 
 
 def source_pairs(expected: Column, pairs: Column, payload_type: Column) -> Column:
@@ -206,27 +218,31 @@ def source_pairs(expected: Column, pairs: Column, payload_type: Column) -> Colum
 def compare_matching(learner: Column, has_entry: Column, wanted_source: Column, left_items: Column,
                      right_items: Column) -> Column:
     """Expected pairs must resolve completely and one-to-one, or the result is ambiguous."""
-    given = X.parse_matching_answer(learner)
-    resolved = F.transform(wanted_source, lambda p: F.struct(
-        matching_item_lookup(p["leftLabel"], left_items).alias("l"),
-        matching_item_lookup(p["rightLabel"], right_items).alias("r")))
-    total = F.size(wanted_source)
-    complete = (
-        F.forall(resolved, lambda p: _truthy(p["l"]) & _truthy(p["r"]))
-        & (F.size(F.array_distinct(F.transform(resolved, lambda p: p["l"]))) == total)
-        & (F.size(F.array_distinct(F.transform(resolved, lambda p: p["r"]))) == total)
-    )
-    hits = F.size(F.filter(resolved, lambda p: F.coalesce(F.try_element_at(given, p["l"]) == p["r"], F.lit(False))))
-    n = F.size(given)
-    ok = _lit("RESOLVED")
-    return (
-        F.when(~has_entry, _result(_null(), _lit("UNMAPPED")))
-        .when(n == 0, _result(_lit("UNANSWERED"), ok))
-        .when((total == 0) | ~complete, _result(_null(), _lit("AMBIGUOUS")))
-        .when((hits == total) & (n == total), _result(_lit("CORRECT"), ok))
-        .when(hits > 0, _result(_lit("PARTIALLY_CORRECT"), ok, hits, total))
-        .otherwise(_result(_lit("INCORRECT"), ok))
-    )
+    def judge(given: Column, resolved: Column) -> Column:
+        total = F.size(resolved)
+        complete = (
+            F.forall(resolved, lambda p: _truthy(p["l"]) & _truthy(p["r"]))
+            & (F.size(F.array_distinct(F.transform(resolved, lambda p: p["l"]))) == total)
+            & (F.size(F.array_distinct(F.transform(resolved, lambda p: p["r"]))) == total)
+        )
+        hits = F.size(F.filter(resolved, lambda p: F.coalesce(F.try_element_at(given, p["l"]) == p["r"], F.lit(False))))
+        n = F.size(given)
+        ok = _lit("RESOLVED")
+        return let(lambda h: (
+            F.when(n == 0, _result(_lit("UNANSWERED"), ok))
+            .when((total == 0) | ~complete, _result(_null(), _lit("AMBIGUOUS")))
+            .when((h == total) & (n == total), _result(_lit("CORRECT"), ok))
+            .when(h > 0, _result(_lit("PARTIALLY_CORRECT"), ok, h, total))
+            .otherwise(_result(_lit("INCORRECT"), ok))
+        ), hits)
+
+    def resolve(source: Column, lefts: Column, rights: Column) -> Column:
+        return F.transform(source, lambda p: F.struct(
+            matching_item_lookup(p["leftLabel"], lefts).alias("l"), matching_item_lookup(p["rightLabel"], rights).alias("r")))
+
+    pairs = let(resolve, wanted_source, comparison_items(left_items), comparison_items(right_items))
+    return F.when(~has_entry, _result(_null(), _lit("UNMAPPED"))).otherwise(
+        let(judge, X.parse_matching_answer(learner), pairs))
 
 
 def check_free_text(has_reference: Column) -> Column:
