@@ -366,7 +366,19 @@ def low_confidence_warning(spans: Column) -> Column:
 # ---- ids, hashes, requests -----------------------------------------------------
 
 def fixed4(v: Column) -> Column:
-    return F.format_string("%.4f", v)
+    """Four decimals, rounded half-up on the exact binary value (what browsers print).
+
+    The value is split into two short halves, so ten thousand times each half
+    is exact and the comparison with one half cannot be off.
+    """
+    a = F.abs(v.cast("double"))
+    scaled = a * 134217729.0
+    high = scaled - (scaled - a)
+    whole = F.floor(a * 10000.0)
+    up = ((high * 10000.0 - whole) - 0.5) + (a - high) * 10000.0 >= 0
+    n = whole + up.cast("long")
+    digits = F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
+    return F.when((v < 0) & (n > 0), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def fingerprint(schema_version: Column, method: Column, bbox: Column, *extra: Column, group: Column | None = None) -> Column:

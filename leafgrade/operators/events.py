@@ -79,38 +79,45 @@ def daily_usage(admitted: DataFrame) -> DataFrame:
 
 # ---- as-of flags ---------------------------------------------------------------
 
-def within_ttl(requests: DataFrame, marks: DataFrame, keys: Sequence[str], ttl_micros: int, out: str) -> DataFrame:
+def within_ttl(requests: DataFrame, marks: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: some mark at or before the request is younger than the TTL (strictly).
 
-    Both have ``ts`` in microseconds as ``_us``. In buckets of one TTL, a mark
-    counts when it is the earliest of the request's own bucket and not later
-    than the request, or the latest of the bucket before and still young. So
-    marks shrink to two numbers per (key, bucket) and the join is an equi join
-    that spreads a hot key over time.
+    Both sides have ``_us`` (microseconds) and ``_ttl``. In buckets of one TTL,
+    a mark counts when it is the earliest of the request's own bucket and not
+    later than the request, or the latest of the bucket before and still young.
+    So marks shrink to two numbers per (key, bucket) and the join is an equi
+    join that spreads a hot key over time.
     """
-    keys = list(keys)
-    bucket = F.floor(F.col("_us") / ttl_micros).cast("long")
+    keys = [*keys, "_ttl"]
+    bucket = F.floor(F.col("_us") / F.col("_ttl")).cast("long")
     stats = marks.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
     own = stats.select(*keys, "_b", F.col("_first"), F.lit(None).cast("long").alias("_last"))
     later = stats.select(*keys, (F.col("_b") + 1).alias("_b"), F.lit(None).cast("long").alias("_first"), "_last")
     both = own.unionByName(later).groupBy(*keys, "_b").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
     joined = requests.withColumn("_b", bucket).join(both, [*keys, "_b"], "left")
-    hit = (F.col("_first") <= F.col("_us")) | (F.col("_last") > F.col("_us") - ttl_micros)
-    return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_b", "_first", "_last")
+    hit = (F.col("_first") <= F.col("_us")) | (F.col("_last") > F.col("_us") - F.col("_ttl"))
+    return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_b", "_first", "_last", "_us", "_ttl")
+
+
+def timed(df: DataFrame, ttl: Column | int) -> DataFrame:
+    return df.withColumn("_us", micros("ts")).withColumn("_ttl", (ttl if isinstance(ttl, Column) else F.lit(ttl)).cast("long"))
+
+
+def cache_ttl(action: Column) -> Column:
+    """One hour for check and ask, seven days for everything else."""
+    return F.when(action.isin("check", "ask"), F.lit(HOUR)).otherwise(F.lit(7 * DAY))
 
 
 def session_verified(requests: DataFrame, verifications: DataFrame, minutes: int = 30) -> DataFrame:
     """Adds ``verified``: a verification of the session is younger than the limit (strict, not sliding)."""
-    r = requests.withColumn("_us", micros("ts"))
-    v = verifications.select("session_id", micros("ts").alias("_us"))
-    return within_ttl(r, v, ["session_id"], minutes * MINUTE, "verified").drop("_us")
+    marks = timed(verifications.select("session_id", "ts"), minutes * MINUTE)
+    return within_ttl(timed(requests, minutes * MINUTE), marks, ["session_id"], "verified")
 
 
-def cache_hits_from_writes(requests: DataFrame, writes: DataFrame, ttl_micros: int, key: str = "cache_key") -> DataFrame:
-    """E6 with a given write log: adds ``hit``: a write at or before the request is younger than the TTL."""
-    r = requests.withColumn("_us", micros("ts"))
-    w = writes.select(key, micros("ts").alias("_us"))
-    return within_ttl(r, w, [key], ttl_micros, "hit").drop("_us")
+def cache_hits_from_writes(requests: DataFrame, writes: DataFrame, key: str = "cache_key") -> DataFrame:
+    """E6 with the write log given (key, action, ts): adds ``hit``: an entry of the key is younger than its TTL."""
+    ttl = cache_ttl(F.col("action"))
+    return within_ttl(timed(requests, ttl), timed(writes.select(key, "action", "ts"), ttl).drop("action"), [key], "hit")
 
 
 # ---- cache replay --------------------------------------------------------------
@@ -172,8 +179,7 @@ def cache_replay(requests: DataFrame, key: str = "cache_key", ttl: Column | None
     end, and so on. Keys with more than ``hot_rows`` requests are chained by
     pointer doubling, all others by a fold over their write times.
     """
-    rule = ttl if ttl is not None else F.when(F.col("action").isin("check", "ask"), F.lit(HOUR)).otherwise(F.lit(7 * DAY))
-    r = requests.withColumn("_us", micros("ts")).withColumn("_ttl", rule.cast("long"))
+    r = timed(requests, cache_ttl(F.col("action")) if ttl is None else ttl)
     # one TTL per key: the action is part of the key
     ok = r.where(F.coalesce("provider_ok", F.lit(False))).select(key, "_ttl", "_us")
     counts = ok.groupBy(key).count()
@@ -234,45 +240,31 @@ def request_gate(enabled: bool = True) -> Column:
     )
 
 
-def request_outcome(requests: DataFrame, session_limit: int, global_limit: int, enabled: bool = True,
-                    verification: DataFrame | None = None, verify_minutes: int = 30, zone: str = "UTC",
-                    hot_rows: int = 20_000) -> DataFrame:
+def request_outcome(requests: DataFrame, writes: DataFrame, session_limit: int, global_limit: int, enabled: bool = True,
+                    verifications: DataFrame | None = None, verify_minutes: int = 30, zone: str = "UTC") -> DataFrame:
     """Status of every request: gate, verification, cache, quota, provider, in this order.
 
     ``requests``: the gate columns plus request_id, ts, session_id, cache_key,
-    provider_ok. ``verification`` (session_id, ts) turns the human check on.
-
-    A request refused by the quota never writes the cache and a cache hit never
-    uses quota, so the two counters feed each other. The quota is resolved on
-    the assumption of the cache and the cache on the calls the quota admits,
-    until nothing changes; each round settles every day before the first change.
+    provider_ok. ``writes`` is the cache's write log (cache_key, action, ts);
+    ``verifications`` (session_id, ts) turns the human check on. Each stage
+    adds one column; only requests that reach the quota are counted by it.
     """
-    gated = requests.withColumn("status", request_gate(enabled))
-    if verification is not None:
-        gated = session_verified(gated, verification, verify_minutes).withColumn(
+    df = requests.withColumn("status", request_gate(enabled))
+    if verifications is not None:
+        df = session_verified(df, verifications, verify_minutes).withColumn(
             "status", F.when(F.col("status").isNull() & ~F.col("verified"), "verification_required").otherwise(F.col("status")))
-    live = gated.where("status IS NULL").select("request_id", "ts", "session_id", "action", "cache_key", "provider_ok")
-    live = cut_lineage(live.withColumn("admitted", F.lit(True)))
-    while True:
-        able = live.withColumn("provider_ok", F.col("provider_ok") & F.col("admitted"))
-        hits = cache_replay(able, hot_rows=hot_rows).select("request_id", "hit")
-        seen = live.join(hits, "request_id")
-        quota = admit_quota(seen.where("NOT hit"), session_limit, global_limit, zone).select("request_id", "outcome")
-        done = seen.join(quota, "request_id", "left").withColumn("_now", F.coalesce(F.col("outcome") == "ALLOWED", F.lit(False)))
-        # a hit keeps its assumption; only requests that miss the cache are settled by the quota
-        done = cut_lineage(done.withColumn("_next", F.when(F.col("hit"), F.lit(True)).otherwise(F.col("_now"))))
-        if done.where(F.col("_next") != F.col("admitted")).isEmpty():
-            break
-        live = done.select("request_id", "ts", "session_id", "action", "cache_key", "provider_ok", F.col("_next").alias("admitted"))
+    df = cache_hits_from_writes(df, writes).withColumn("cached", F.col("status").isNull() & F.col("hit")).drop("hit")
+    waiting = df.where("status IS NULL AND NOT cached").select("request_id", "ts", "session_id")
+    quota = admit_quota(waiting, session_limit, global_limit, zone).select("request_id", "outcome")
+    done = df.join(quota, "request_id", "left")
     final = (
-        F.when(F.col("hit"), "success")
+        F.when(F.col("status").isNotNull(), F.col("status"))
+        .when(F.col("cached"), "success")
         .when(F.col("outcome") != "ALLOWED", "limit_reached")
         .when(F.coalesce("provider_ok", F.lit(False)), "success")
         .otherwise("unavailable")
     )
-    settled = done.select("request_id", final.alias("_final"), F.col("hit").alias("cached"), "outcome")
-    return gated.join(settled, "request_id", "left").withColumn("status", F.coalesce("status", "_final")).withColumn(
-        "cached", F.coalesce("cached", F.lit(False))).drop("_final")
+    return done.withColumn("status", final)
 
 
 def outcome_report(outcomes: DataFrame) -> DataFrame:
