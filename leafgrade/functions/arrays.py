@@ -33,13 +33,13 @@ def chain(array: Column, joins: Callable[[Column, Column], Column], element: str
 
     ``element`` is the element type in DDL form.
     """
-    def step(acc: Column, e: Column) -> Column:
-        run = F.try_element_at(acc, F.lit(-1))
+    def add(acc: Column, e: Column, run: Column) -> Column:
         ok = F.coalesce(joins(F.try_element_at(run, F.lit(-1)), e), F.lit(False)) & (F.size(acc) > 0)
         head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(ok, F.concat(head, F.array(F.concat(run, F.array(e))))).otherwise(
-            F.concat(acc, F.array(F.array(e))))
-    return F.aggregate(array, F.array().cast(f"array<array<{element}>>"), step)
+        return F.when(ok, F.concat(head, F.array(F.concat(run, F.array(e))))).otherwise(F.concat(acc, F.array(F.array(e))))
+
+    return F.aggregate(array, F.array().cast(f"array<array<{element}>>"),
+                       lambda acc, e: let(lambda run: add(acc, e, run), F.try_element_at(acc, F.lit(-1))))
 
 
 def first_match(array: Column, test: Callable[[Column], Column]) -> Column:
@@ -54,15 +54,16 @@ def last_match(array: Column, test: Callable[[Column], Column]) -> Column:
 
 def pick(array: Column, ids: Column) -> Column:
     """Elements by id in the order of ``ids`` (repeated and unknown ids dropped; the last of equal ids counts)."""
-    found = F.transform(F.array_distinct(F.filter(ids, lambda i: F.coalesce(i != "", F.lit(False)))),
-                        lambda i: last_match(array, lambda e: e["id"] == i))
-    return F.filter(found, lambda e: e.isNotNull())
+    def look_up(elements: Column) -> Column:
+        found = F.transform(F.array_distinct(F.filter(ids, lambda i: F.coalesce(i != "", F.lit(False)))),
+                            lambda i: last_match(elements, lambda e: e["id"] == i))
+        return F.filter(found, lambda e: e.isNotNull())
+    return let(look_up, array)
 
 
 def mean(array: Column) -> Column:
     """Average of a double array, null when empty."""
-    total = F.aggregate(array, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(array) > 0, total / F.size(array))
+    return let(lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a)), array)
 
 
 def no_strings() -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafgrade.functions.arrays import let
+
 
 def box(x, y, width, height) -> Column:
     return F.struct(
@@ -97,11 +99,11 @@ def bbox_union_agg(b: Column, empty_as_zero: bool = False) -> Column:
 
 def bbox_union_array(boxes: Column) -> Column:
     """X4 over an array of boxes (null when empty)."""
-    l = F.array_min(F.transform(boxes, left))
-    t = F.array_min(F.transform(boxes, top))
-    r = F.array_max(F.transform(boxes, right))
-    b = F.array_max(F.transform(boxes, bottom))
-    return F.when(F.size(boxes) > 0, box(l, t, r - l, b - t))
+    def around(bs: Column) -> Column:
+        edges = [F.array_min(F.transform(bs, left)), F.array_min(F.transform(bs, top)),
+                 F.array_max(F.transform(bs, right)), F.array_max(F.transform(bs, bottom))]
+        return let(lambda l, t, r, b: F.when(l.isNotNull(), box(l, t, r - l, b - t)), *edges)
+    return let(around, boxes)
 
 
 def normalize_rotation(angle: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafgrade.functions.arrays import let
+
 # Character classes of the three source runtimes.
 JAVA_TRIM = r"\x00-\x20"
 JAVA_SPACE = r" \t\n\x0B\f\r"
@@ -140,8 +142,7 @@ def tidy_span_text(joined: Column) -> Column:
     t = F.regexp_replace(t, f"[{JS_SPACE}]+([,;:!?])", "$1")
     t = F.regexp_replace(t, f"[{JS_SPACE}]+\\.(?!\\.)", ".")
     t = F.regexp_replace(t, f"([!?])(?:[{JS_SPACE}]*\\1)+", "$1")
-    t = js_trim(t)
-    return F.when(t != "", t)
+    return let(lambda v: F.when(v != "", v), js_trim(t))
 
 
 def span_text_array(spans: Column) -> Column:
@@ -156,18 +157,15 @@ def span_text_array(spans: Column) -> Column:
 
 def fill_prompt_label(prompt: Column) -> Column:
     """Leading item label such as ``a)`` or ``3.`` (null without one)."""
-    label = F.regexp_extract(js_trim(prompt), r"^((?:[A-Za-z]|\d+)[.)])", 1)
-    return F.when(label != "", label)
+    return let(lambda v: F.when(v != "", v), F.regexp_extract(js_trim(prompt), r"^((?:[A-Za-z]|\d+)[.)])", 1))
 
 
 def fill_prompt_text(prompt: Column) -> Column:
     """Prompt without its label and repeated copies of it."""
-    t = js_trim(prompt)
-    label = fill_prompt_label(prompt)
-    rest = F.regexp_replace(t, F.concat(F.lit(r"^(?:\Q"), label, F.lit(rf"\E[{JS_SPACE}]*)+")), F.lit(""))
-    return F.when(prompt.isNull() | (prompt == ""), None).when(label.isNull(), t).otherwise(
-        F.when(rest != "", rest)
-    )
+    def rest(t: Column, label: Column) -> Column:
+        cut = F.regexp_replace(t, F.concat(F.lit(r"^(?:\Q"), label, F.lit(rf"\E[{JS_SPACE}]*)+")), F.lit(""))
+        return F.when(label.isNull(), t).otherwise(let(lambda v: F.when(v != "", v), cut))
+    return let(lambda p: F.when(p.isNull() | (p == ""), None).otherwise(let(rest, js_trim(p), fill_prompt_label(p))), prompt)
 
 
 def context_variant(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
-from leafgrade.functions.arrays import chain, first_match, sort_by
+from leafgrade.functions.arrays import chain, first_match, let, sort_by
 
 TARGET = SC.CHOICE_TARGET.simpleString()
 
@@ -55,10 +55,8 @@ def _promote(exercise: Column, targets: Column, groups: Column) -> Column:
     """Grid for a choice-grid exercise whose targets (two or more) share one known group, else null."""
     mine = F.filter(F.transform(exercise["interactionIds"], lambda i: first_match(targets, lambda t: t["id"] == i)),
                     lambda t: t.isNotNull())
-    group_ids = F.array_distinct(F.transform(mine, lambda t: t["optionGroupId"]))
-    group = first_match(groups, lambda g: g["id"] == F.get(group_ids, F.lit(0)))
 
-    def row(t: Column) -> Column:
+    def row(t: Column, group: Column) -> Column:
         width = t["targetBbox"]["width"] / F.size(group["options"])
         cells = F.transform(group["options"], lambda o, i: F.struct(
             F.concat(t["id"], F.lit("-cell-"), o["id"]).alias("id"), o["id"].alias("optionId"),
@@ -69,16 +67,23 @@ def _promote(exercise: Column, targets: Column, groups: Column) -> Column:
             F.lit(None).cast(SC.BBOX).alias("promptBbox"), t["nearbyTextSpanIds"].alias("nearbyTextSpanIds"),
             cells.alias("cells"))
 
-    grid = F.struct(
-        F.concat(exercise["id"], F.lit("-grid")).alias("id"), F.lit("choice-grid").alias("kind"),
-        G.bbox_union_array(F.transform(mine, lambda t: t["interactionBbox"])).alias("gridBbox"),
-        group["id"].alias("optionGroupId"), F.lit("vision-structured-v1").alias("detectionMethod"),
-        F.array_min(F.transform(mine, lambda t: t["candidateScore"])).alias("candidateScore"),
-        F.transform(mine, row).alias("rows")).cast(SC.CHOICE_GRID)
-    ok = ((exercise["kind"] == "choice-grid") & (F.size(mine) >= 2) & (F.size(group_ids) == 1) & group.isNotNull())
-    return F.struct(
-        F.when(ok, grid).alias("grid"),
-        F.when(ok, F.transform(mine, lambda t: t["id"])).otherwise(F.array().cast("array<string>")).alias("used"))
+    def decide(found: Column, group_ids: Column, group: Column) -> Column:
+        grid = F.struct(
+            F.concat(exercise["id"], F.lit("-grid")).alias("id"), F.lit("choice-grid").alias("kind"),
+            G.bbox_union_array(F.transform(found, lambda t: t["interactionBbox"])).alias("gridBbox"),
+            group["id"].alias("optionGroupId"), F.lit("vision-structured-v1").alias("detectionMethod"),
+            F.array_min(F.transform(found, lambda t: t["candidateScore"])).alias("candidateScore"),
+            F.transform(found, lambda t: row(t, group)).alias("rows")).cast(SC.CHOICE_GRID)
+        ok = (exercise["kind"] == "choice-grid") & (F.size(found) >= 2) & (F.size(group_ids) == 1) & group.isNotNull()
+        return F.struct(
+            F.when(ok, grid).alias("grid"),
+            F.when(ok, F.transform(found, lambda t: t["id"])).otherwise(F.array().cast("array<string>")).alias("used"))
+
+    def with_group(found: Column) -> Column:
+        ids = F.array_distinct(F.transform(found, lambda t: t["optionGroupId"]))
+        return let(lambda g: let(lambda group: decide(found, g, group), first_match(groups, lambda x: x["id"] == F.get(g, F.lit(0)))), ids)
+
+    return let(with_group, mine)
 
 
 def normalize_choices(docs: DataFrame) -> DataFrame:
@@ -88,16 +93,19 @@ def normalize_choices(docs: DataFrame) -> DataFrame:
         t["id"].alias("old"), F.get(run, F.lit(0))["id"].alias("new")))))
     merged = sort_by(F.transform("_runs", merge_cluster), lambda t: t["interactionBbox"]["y"],
                      lambda t: t["interactionBbox"]["x"], lambda t: t["id"])
-    d = d.withColumn("_pairs", pairs).withColumn("_merged", merged)
-    remapped = F.transform("semanticExercises", lambda e: e.withField("interactionIds", F.array_distinct(F.transform(
-        e["interactionIds"], lambda i: F.coalesce(first_match(F.col("_pairs"), lambda p: p["old"] == i)["new"], i)))))
+    d = d.withColumn("_merged", merged)
+    # small lists that lambdas look into are bound once per row
+    remapped = let(lambda known: F.transform("semanticExercises", lambda e: e.withField("interactionIds", F.array_distinct(F.transform(
+        e["interactionIds"], lambda i: F.coalesce(first_match(known, lambda p: p["old"] == i)["new"], i))))), pairs)
     d = d.withColumn("semanticExercises", remapped)
-    d = d.withColumn("_promo", F.transform("semanticExercises", lambda e: _promote(e, F.col("_merged"), F.col("choiceGroups"))))
+    d = d.withColumn("_promo", let(lambda targets, groups: F.transform(
+        "semanticExercises", lambda e: _promote(e, targets, groups)), F.col("_merged"), F.col("choiceGroups")))
     exercises = F.zip_with("semanticExercises", "_promo", lambda e, p: F.when(
         p["grid"].isNotNull(), e.withField("interactionIds", F.array(p["grid"]["id"]))).otherwise(e))
-    d = d.withColumn("_used", F.flatten(F.transform("_promo", lambda p: p["used"]))).withColumn(
-        "_grids", F.filter(F.transform("_promo", lambda p: p["grid"]), lambda g: g.isNotNull()))
-    kept = F.filter("_merged", lambda t: ~F.array_contains(F.col("_used"), t["id"]))
+    d = d.withColumn("_grids", F.filter(F.transform("_promo", lambda p: p["grid"]), lambda g: g.isNotNull())).withColumn(
+        "_kept", let(lambda used: F.filter("_merged", lambda t: ~F.array_contains(used, t["id"])),
+                     F.flatten(F.transform("_promo", lambda p: p["used"]))))
+    kept = F.col("_kept")
     promoted = F.size("_grids")
     rows = F.aggregate("_grids", F.lit(0), lambda a, g: a + F.size(g["rows"]))
     grid_detection = F.struct(
@@ -110,4 +118,4 @@ def normalize_choices(docs: DataFrame) -> DataFrame:
             "acceptedCount", F.size(kept))),
         "choiceGrids": F.concat(F.coalesce("choiceGrids", F.array().cast(T.ArrayType(SC.CHOICE_GRID))), F.col("_grids")),
         "choiceGridDetection": F.when(promoted > 0, grid_detection).otherwise(F.col("choiceGridDetection")),
-    }).drop("_runs", "_pairs", "_merged", "_promo", "_used", "_grids")
+    }).drop("_runs", "_merged", "_promo", "_kept", "_grids")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import first_match, last_match, no_strings, sort_by
+from leafgrade.functions.arrays import first_match, last_match, let, no_strings, sort_by
 from leafgrade.operators.cluster import PAGE
 from leafgrade.operators.flatten import interaction_aliases, resolve_interaction_id
 from leafgrade.operators.grading import is_source_backed
@@ -110,25 +110,25 @@ def build_selection_context(requests: DataFrame, docs: DataFrame, books: DataFra
                      | G.bbox_contains_point(sel, G.center_x(b), G.center_y(b)))
     df = df.withColumn("_sel", F.filter("semanticExercises", lambda e: F.coalesce(hit(e["bbox"]), F.lit(False))))
     ids_of = lambda es: F.flatten(F.transform(es, lambda e: F.coalesce(e["contextSpanIds"], no_strings())))
-    df = df.withColumn("_owned", ids_of(F.col("semanticExercises"))).withColumn("_mine", ids_of(F.col("_sel")))
 
     def text_range(e: Column) -> Column:
         own = F.transform(F.filter("textSpans", lambda s: F.array_contains(e["contextSpanIds"], s["id"]) & s["bbox"].isNotNull()),
                           lambda s: s["bbox"])
-        return F.when(F.size(own) > 0, F.struct(
-            F.array_min(F.transform(own, G.top)).alias("top"), F.array_max(F.transform(own, G.bottom)).alias("bottom")))
-
-    df = df.withColumn("_ranges", F.filter(F.transform("_sel", text_range), lambda r: r.isNotNull()))
-    has_text = lambda s: ~X.is_blank(s["text"], X.JAVA_BLANK)
-
-    def admitted(s: Column) -> Column:
-        seen = F.coalesce(G.bbox_intersects(s["bbox"], sel, EDGE), F.lit(False))
-        free = ~F.array_contains(F.col("_owned"), s["id"]) & F.exists("_ranges", lambda r: G.center_y(s["bbox"]).between(
-            r["top"] - EDGE, r["bottom"] + EDGE))
-        return has_text(s) & (F.array_contains(F.col("_mine"), s["id"]) | (seen & ((F.size("_sel") == 0) | free)))
-
-    spans = sort_by(F.filter("textSpans", admitted), lambda s: F.coalesce(s["bbox"]["y"], F.lit(1.0)),
-                    lambda s: F.coalesce(s["bbox"]["x"], F.lit(1.0)))
+        return let(lambda b: F.when(F.size(b) > 0, F.struct(
+            F.array_min(F.transform(b, G.top)).alias("top"), F.array_max(F.transform(b, G.bottom)).alias("bottom"))), own)
+
+    def chosen(owned: Column, mine: Column, ranges: Column) -> Column:
+        def admitted(s: Column) -> Column:
+            seen = F.coalesce(G.bbox_intersects(s["bbox"], sel, EDGE), F.lit(False))
+            free = ~F.array_contains(owned, s["id"]) & F.exists(ranges, lambda r: G.center_y(s["bbox"]).between(
+                r["top"] - EDGE, r["bottom"] + EDGE))
+            has_text = ~X.is_blank(s["text"], X.JAVA_BLANK)
+            return has_text & (F.array_contains(mine, s["id"]) | (seen & ((F.size("_sel") == 0) | free)))
+        return F.filter("textSpans", admitted)
+
+    ranges = F.filter(F.transform("_sel", text_range), lambda r: r.isNotNull())
+    picked = let(chosen, ids_of(F.col("semanticExercises")), ids_of(F.col("_sel")), ranges)
+    spans = sort_by(picked, lambda s: F.coalesce(s["bbox"]["y"], F.lit(1.0)), lambda s: F.coalesce(s["bbox"]["x"], F.lit(1.0)))
     df = df.withColumn("_parts", F.transform(spans, lambda s: s["text"]))
     lines = F.flatten(F.transform("_sel", _interaction_lines))
     parts = F.aggregate(lines, F.col("_parts"), lambda acc, line: F.when(

@@ -74,9 +74,8 @@ def grade_fill_blank(learner: Column, expected: Column, alternatives: Column, ca
                      F.coalesce(alternatives, F.array().cast("array<string>")))
     composed = X.nfc_each(texts) if compose else texts
     norm = F.transform(composed, lambda t: X.normalize_answer(t, case_sensitive, punctuation_required, compose=False))
-    answer, wanted = F.get(norm, F.lit(0)), F.get(norm, F.lit(1))
-    others = F.slice(norm, 2, F.size(norm))
-    return F.when(wanted == "", "NOT_AUTO_GRADABLE").when(F.array_contains(others, answer), "CORRECT").otherwise("INCORRECT")
+    return let(lambda n: F.when(F.get(n, F.lit(1)) == "", "NOT_AUTO_GRADABLE").when(
+        F.array_contains(F.slice(n, 2, F.size(n)), F.get(n, F.lit(0))), "CORRECT").otherwise("INCORRECT"), norm)
 
 
 def grade_matching(learner: Column, pairs: Column, payload_type: Column) -> Column:
@@ -107,7 +106,7 @@ def compare_blank(learner: Column, has_entry: Column, expected: Column, alternat
                      F.coalesce(alternatives, F.array().cast("array<string>")))
     composed = X.nfc_each(texts) if compose else texts
     norm = F.transform(composed, lambda t: X.normalize_for_comparison(t, case_sensitive, compose=False))
-    equal = F.array_contains(F.slice(norm, 2, F.size(norm)), F.get(norm, F.lit(0)))
+    equal = let(lambda n: F.array_contains(F.slice(n, 2, F.size(n)), F.get(n, F.lit(0))), norm)
     return (
         F.when(~has_entry, _result(_null(), _lit("UNMAPPED")))
         .when(X.is_blank(learner), _result(_lit("UNANSWERED"), _lit("RESOLVED")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import chain, first_match, last_match, mean, no_strings, pick, sort_by
+from leafgrade.functions.arrays import chain, first_match, last_match, let, mean, no_strings, pick, sort_by
 from leafgrade.operators.cluster import PAGE
 
 INTERACTION_GAP = 0.055
@@ -49,62 +49,71 @@ def _readable(s: Column) -> Column:
     return _meaningful(s) | X.js_trim(s["text"]).rlike(r"^[,.;:!?]$")
 
 
+def _line_id(s: Column) -> Column:
+    return F.when(s["parentLineId"] != "", s["parentLineId"])
+
+
 def span_text_with_blank(spans: Column, blank: Column, all_spans: Column) -> Column:
     """The print row around a blank as ``left _____ right``; null when the row cannot be trusted."""
-    anchor = mean(F.transform(spans, lambda s: G.center_y(s["bbox"])))
-    row = F.filter(all_spans, lambda s: _readable(s) & (F.abs(G.center_y(s["bbox"]) - anchor) <= 0.012))
-    row = F.when(anchor.isNull(), F.array().cast(f"array<{SPAN}>")).otherwise(sort_by(row, lambda s: s["bbox"]["x"]))
-    source = F.when(F.size(row) > F.size(spans), row).otherwise(spans)
-    explicit = span_text(source)
-    over = F.exists(source, lambda s: (G.left(s["bbox"]) < G.right(blank)) & (G.right(s["bbox"]) > G.left(blank)))
-    in_line = F.exists(spans, lambda s: F.coalesce(s["parentLineId"] != "", F.lit(False)))
-    untrusted = F.when(~in_line, explicit)
-    lefts = F.filter(source, lambda s: G.right(s["bbox"]) <= G.left(blank) + 0.006)
-    rights = F.filter(source, lambda s: G.left(s["bbox"]) >= G.right(blank) - 0.006)
-    lt, rt = span_text(lefts), span_text(rights)
-    joined = X.js_trim(F.regexp_replace(F.concat(lt, F.lit(" _____ "), rt), f"[{X.JS_SPACE}]+([,.;:!?])", "$1"))
-    return (
-        F.when(explicit.isNull() | explicit.rlike("_{2,}"), explicit)
-        .when(over, untrusted)
-        .when((F.size(lefts) == 0) | (F.size(rights) == 0), untrusted)
-        .when(lt.isNull() | rt.isNull(), explicit)
-        .otherwise(joined)
-    )
+    no_spans = F.array().cast(f"array<{SPAN}>")
+
+    def source(cands: Column, anchor: Column) -> Column:
+        row = F.filter(all_spans, lambda s: _readable(s) & (F.abs(G.center_y(s["bbox"]) - anchor) <= 0.012))
+        return let(lambda r: F.when(F.size(r) > F.size(cands), r).otherwise(cands),
+                   F.when(anchor.isNull(), no_spans).otherwise(sort_by(row, lambda s: s["bbox"]["x"])))
+
+    def decide(cands: Column, src: Column, explicit: Column) -> Column:
+        over = F.exists(src, lambda s: (G.left(s["bbox"]) < G.right(blank)) & (G.right(s["bbox"]) > G.left(blank)))
+        untrusted = F.when(~F.exists(cands, lambda s: _line_id(s).isNotNull()), explicit)
+        lefts = F.filter(src, lambda s: G.right(s["bbox"]) <= G.left(blank) + 0.006)
+        rights = F.filter(src, lambda s: G.left(s["bbox"]) >= G.right(blank) - 0.006)
+
+        def around(ls: Column, rs: Column) -> Column:
+            glued = lambda l, r: F.when(l.isNull() | r.isNull(), explicit).otherwise(X.js_trim(F.regexp_replace(
+                F.concat(l, F.lit(" _____ "), r), f"[{X.JS_SPACE}]+([,.;:!?])", "$1")))
+            return F.when((F.size(ls) == 0) | (F.size(rs) == 0), untrusted).otherwise(let(glued, span_text(ls), span_text(rs)))
+
+        return F.when(explicit.isNull() | explicit.rlike("_{2,}"), explicit).when(over, untrusted).otherwise(let(around, lefts, rights))
+
+    def whole(cands: Column) -> Column:
+        anchor = mean(F.transform(cands, lambda s: G.center_y(s["bbox"])))
+        return let(lambda a: let(lambda src: let(lambda e: decide(cands, src, e), span_text(src)), source(cands, a)), anchor)
+
+    return let(whole, spans)
 
 
 def closest_span(spans: Column, bbox: Column) -> Column:
     """T4: smallest horizontal distance to the box centre, then vertical, then width."""
-    cx, cy = G.center_x(bbox), G.center_y(bbox)
-    gap = lambda b: F.when(cx < G.left(b), G.left(b) - cx).when(cx > G.right(b), cx - G.left(b) - b["width"]).otherwise(0.0)
-    ranked = sort_by(spans, lambda s: gap(s["bbox"]), lambda s: F.abs(G.center_y(s["bbox"]) - cy), lambda s: s["bbox"]["width"])
-    return F.get(ranked, F.lit(0))
+    def nearest(cx: Column, cy: Column) -> Column:
+        gap = lambda b: F.when(cx < G.left(b), G.left(b) - cx).when(cx > G.right(b), cx - G.left(b) - b["width"]).otherwise(0.0)
+        return F.get(sort_by(spans, lambda s: gap(s["bbox"]), lambda s: F.abs(G.center_y(s["bbox"]) - cy),
+                             lambda s: s["bbox"]["width"]), F.lit(0))
+    return let(nearest, G.center_x(bbox), G.center_y(bbox))
 
 
 def local_span_text(ids: Column, bbox: Column, all_spans: Column) -> Column:
     """Text near an interaction; short evidence is widened to its printed line, or cut to the closest span."""
-    cands = F.filter(pick(all_spans, ids), _meaningful)
-    explicit = span_text(cands)
-    has_line = F.exists(cands, lambda s: F.coalesce(s["parentLineId"] != "", F.lit(False)))
-    expand = has_line & (explicit.isNull() | (F.length(explicit) < 24) | (F.size(cands) == 1))
-    line = first_match(cands, lambda s: F.coalesce(s["parentLineId"] != "", F.lit(False)))["parentLineId"]
-    whole = span_text(sort_by(F.filter(all_spans, lambda s: _readable(s) & F.coalesce(s["parentLineId"] == line, F.lit(False))),
-                              lambda s: s["bbox"]["x"]))
-    top, bottom = bbox["y"] - 0.014, G.bottom(bbox) + 0.014
-    beside = F.filter(cands, lambda s: (G.bottom(s["bbox"]) >= top) & (s["bbox"]["y"] <= bottom))
-    nearest = F.get(sort_by(cands, lambda s: F.abs(G.center_y(s["bbox"]) - G.center_y(bbox))), F.lit(0))
-    only = F.when(F.size(beside) > 0, closest_span(beside, bbox)).otherwise(nearest)
-    return (
-        F.when(F.size(cands) == 0, F.lit(None).cast("string"))
-        .when(~expand, explicit)
-        .when(F.length(whole) > F.coalesce(F.length(explicit), F.lit(0)), whole)
-        .otherwise(span_text(F.array(only)))
-    )
+    def widen(cands: Column, explicit: Column) -> Column:
+        line = first_match(F.transform(cands, _line_id), lambda i: i.isNotNull())
+        mates = let(lambda own: F.filter(all_spans, lambda s: _readable(s) & F.coalesce(s["parentLineId"] == own, F.lit(False))), line)
+        beside = F.filter(cands, lambda s: (G.bottom(s["bbox"]) >= bbox["y"] - 0.014) & (s["bbox"]["y"] <= G.bottom(bbox) + 0.014))
+        nearest = F.get(sort_by(cands, lambda s: F.abs(G.center_y(s["bbox"]) - G.center_y(bbox))), F.lit(0))
+        only = let(lambda near: F.when(F.size(near) > 0, closest_span(near, bbox)).otherwise(nearest), beside)
+        return let(lambda w: F.when(F.length(w) > F.coalesce(F.length(explicit), F.lit(0)), w).otherwise(span_text(F.array(only))),
+                   span_text(mates))
+
+    def choose(cands: Column, explicit: Column) -> Column:
+        has_line = F.exists(cands, lambda s: _line_id(s).isNotNull())
+        expand = has_line & (explicit.isNull() | (F.length(explicit) < 24) | (F.size(cands) == 1))
+        return F.when(F.size(cands) == 0, F.lit(None).cast("string")).when(~expand, explicit).otherwise(widen(cands, explicit))
+
+    return let(lambda cands: let(lambda e: choose(cands, e), span_text(cands)), F.filter(pick(all_spans, ids), _meaningful))
 
 
 def common_prompt(prompts: Column) -> Column:
     """The only distinct prompt, else null."""
     known = F.array_distinct(F.filter(prompts, lambda p: F.coalesce(p != "", F.lit(False))))
-    return F.when(F.size(known) == 1, F.get(known, F.lit(0)))
+    return let(lambda k: F.when(F.size(k) == 1, F.get(k, F.lit(0))), known)
 
 
 def _distinct(a: Column) -> Column:
@@ -154,9 +163,11 @@ def _blank_blocks() -> Column:
         return F.coalesce(span_text_with_blank(cands, b["interactionBbox"], spans),
                           local_span_text(b["nearbyTextSpanIds"], b["interactionBbox"], spans))
 
-    def block(run: Column) -> Column:
-        raw = F.transform(run, lambda b: F.struct(b["id"].alias("id"), prompt(b).alias("raw")))
-        items = F.transform(raw, lambda r: _item(r["id"], X.fill_prompt_text(r["raw"]), X.fill_prompt_label(r["raw"])))
+    def items_of(run: Column) -> Column:
+        return F.transform(run, lambda b: let(lambda raw: _item(
+            b["id"], X.fill_prompt_text(raw), X.fill_prompt_label(raw)), prompt(b)))
+
+    def block(run: Column, items: Column) -> Column:
         ids = F.transform(run, lambda b: b["id"])
         return _block(
             id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-fill-"), F.get(ids, F.lit(0))),
@@ -165,7 +176,7 @@ def _blank_blocks() -> Column:
             interaction_count=F.size(run), correction_ids=ids, span_ids=_flat_ids(run), interaction_ids=ids,
             bboxes=F.transform(run, lambda b: b["interactionBbox"]), scores=F.transform(run, lambda b: b["candidateScore"]),
             methods=F.transform(run, lambda b: b["detectionMethod"]))
-    return F.transform(runs, block)
+    return F.transform(runs, lambda run: let(lambda items: block(run, items), items_of(run)))
 
 
 def _choice_blocks() -> Column:
@@ -173,10 +184,11 @@ def _choice_blocks() -> Column:
     key = lambda t: F.coalesce(t["optionGroupId"], F.concat(F.lit("unmapped:"), t["id"]))
     keys = F.array_distinct(F.transform(targets, key))
 
-    def block(k: Column) -> Column:
-        mine = F.filter(targets, lambda t: key(t) == k)
+    def items_of(mine: Column) -> Column:
+        return F.transform(mine, lambda t: _item(t["id"], local_span_text(t["nearbyTextSpanIds"], t["interactionBbox"], spans)))
+
+    def block(mine: Column, items: Column) -> Column:
         ids = F.transform(mine, lambda t: t["id"])
-        items = F.transform(mine, lambda t: _item(t["id"], local_span_text(t["nearbyTextSpanIds"], t["interactionBbox"], spans)))
         group = F.get(mine, F.lit(0))["optionGroupId"]
         known = last_match(F.col("choiceGroups"), lambda g: g["id"] == group)["id"]
         return _block(
@@ -186,15 +198,18 @@ def _choice_blocks() -> Column:
             interaction_count=F.size(mine), targets=mine, group_id=known, options=_options(group), correction_ids=ids,
             span_ids=_flat_ids(mine), interaction_ids=ids, bboxes=F.transform(mine, lambda t: t["interactionBbox"]),
             scores=F.transform(mine, lambda t: t["candidateScore"]), methods=F.transform(mine, lambda t: t["detectionMethod"]))
-    return F.transform(keys, block)
+    return F.transform(keys, lambda k: let(lambda mine: let(lambda items: block(mine, items), items_of(mine)),
+                                           F.filter(targets, lambda t: key(t) == k)))
 
 
 def _grid_blocks() -> Column:
     spans = F.col("textSpans")
 
-    def block(g: Column) -> Column:
+    def items_of(g: Column) -> Column:
+        return F.transform(g["rows"], lambda r: _item(r["id"], local_span_text(r["nearbyTextSpanIds"], r["rowBbox"], spans)))
+
+    def block(g: Column, items: Column) -> Column:
         rows = g["rows"]
-        items = F.transform(rows, lambda r: _item(r["id"], local_span_text(r["nearbyTextSpanIds"], r["rowBbox"], spans)))
         return _block(
             id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-grid-"), g["id"]), kind="choice-grid",
             source_y=g["gridBbox"]["y"], prompt=common_prompt(F.transform(items, lambda i: i["prompt"])), items=items,
@@ -204,14 +219,13 @@ def _grid_blocks() -> Column:
             interaction_ids=F.concat(F.array(g["id"]), F.transform(rows, lambda r: r["id"])),
             bboxes=F.concat(F.array(g["gridBbox"]), F.transform(rows, lambda r: r["rowBbox"])),
             scores=F.array(g["candidateScore"]), methods=F.array(g["detectionMethod"]))
-    return F.transform("choiceGrids", block)
+    return F.transform("choiceGrids", lambda g: let(lambda items: block(g, items), items_of(g)))
 
 
 def _ordering_blocks() -> Column:
     spans, all_orderings = F.col("textSpans"), F.col("sentenceOrderings")
 
-    def block(e: Column) -> Column:
-        mine = F.filter(all_orderings, lambda o: o["exerciseId"].eqNullSafe(e))
+    def block(e: Column, mine: Column) -> Column:
         ordered = sort_by(mine, lambda o: o["promptIndex"])
         ids = F.transform(mine, lambda o: o["id"])
         return _block(
@@ -222,7 +236,8 @@ def _ordering_blocks() -> Column:
             interaction_count=F.size(mine), exercise_id=e, correction_ids=F.transform(ordered, lambda o: o["id"]),
             span_ids=_flat_ids(mine), interaction_ids=ids, bboxes=F.transform(mine, lambda o: o["bbox"]),
             scores=F.transform(mine, lambda o: o["candidateScore"]), methods=F.transform(mine, lambda o: o["detectionMethod"]))
-    return F.transform(F.array_distinct(F.transform(all_orderings, lambda o: o["exerciseId"])), block)
+    return F.transform(F.array_distinct(F.transform(all_orderings, lambda o: o["exerciseId"])), lambda e: let(
+        lambda mine: block(e, mine), F.filter(all_orderings, lambda o: o["exerciseId"].eqNullSafe(e))))
 
 
 def _single_blocks(column: str, kind: str, tag: str) -> Column:
@@ -249,9 +264,10 @@ def _fold_case(c: Column) -> Column:
 def semantic_exercise(interaction_ids: Column, exercises: Column) -> Column:
     """The exercise that owns all matched interactions of a block (last owner wins), else null."""
     owners = F.transform(interaction_ids, lambda i: last_match(exercises, lambda e: F.array_contains(e["interactionIds"], i)))
-    known = F.filter(owners, lambda e: e.isNotNull())
-    first = F.get(known, F.lit(0))
-    return F.when((F.size(known) > 0) & F.forall(known, lambda e: e["id"] == first["id"]), first)
+
+    def single(known: Column) -> Column:
+        return let(lambda first: F.when(F.forall(known, lambda e: e["id"] == first["id"]), first), F.get(known, F.lit(0)))
+    return let(single, F.filter(owners, lambda e: e.isNotNull()))
 
 
 def assign_nearest_once(targets: Column, spans: Column) -> Column:
@@ -259,47 +275,72 @@ def assign_nearest_once(targets: Column, spans: Column) -> Column:
     start = F.struct(no_strings().alias("used"),
                      F.array().cast("array<struct<id:string,span_id:string,text:string>>").alias("out"))
 
+    def take(acc: Column, t: Column, best: Column) -> Column:
+        row = F.struct(t["id"].alias("id"), best["id"].alias("span_id"), X.js_trim(best["text"]).alias("text"))
+        return F.when(best.isNull(), acc).otherwise(F.struct(
+            F.concat(acc["used"], F.array(best["id"])).alias("used"), F.concat(acc["out"], F.array(row)).alias("out")))
+
     def step(acc: Column, t: Column) -> Column:
         free = F.filter(spans, lambda s: ~F.array_contains(acc["used"], s["id"]))
         cy = G.center_y(t["interactionBbox"])
         best = F.get(sort_by(free, lambda s: F.abs(G.center_y(s["bbox"]) - cy), lambda s: s["bbox"]["y"],
                              lambda s: s["bbox"]["x"]), F.lit(0))
-        row = F.struct(t["id"].alias("id"), best["id"].alias("span_id"), X.js_trim(best["text"]).alias("text"))
-        taken = best.isNotNull()
-        return F.struct(F.when(taken, F.concat(acc["used"], F.array(best["id"]))).otherwise(acc["used"]).alias("used"),
-                        F.when(taken, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+        return let(lambda b: take(acc, t, b), best)
     return F.aggregate(targets, start, step, lambda acc: acc["out"])
 
 
+_GIVEN = "array<struct<id:string,span_id:string,text:string>>"
+
+
 def _apply_semantics(b: Column) -> Column:
-    spans, exercises = F.col("textSpans"), F.col("semanticExercises")
-    e = semantic_exercise(b["interaction_ids"], exercises)
-    none = no_strings()
-    copies = F.transform(F.filter(F.array(
-        e["number"], e["title"], e["instruction"],
-        F.concat_ws(" ", F.coalesce(e["number"], F.lit("null")), F.coalesce(e["title"], F.lit("null")))),
-        lambda v: F.coalesce(v != "", F.lit(False))), _fold_case)
-    copies = F.concat(copies, F.transform(F.coalesce(F.when(b["kind"].isin("choice", "choice-grid"), b["options"]), none), _fold_case))
-    groups = F.transform(F.filter("choiceTargets", lambda t: F.array_contains(e["interactionIds"], t["id"])),
-                         lambda t: t["optionGroupId"])
-    labels = F.flatten(F.transform(groups, lambda g: F.coalesce(F.transform(
-        first_match(F.col("choiceGroups"), lambda c: c["id"] == g)["options"], lambda o: _fold_case(o["label"])), none)))
-    labels = F.filter(labels, lambda v: v != "")
-    context = F.filter(pick_all(spans, e["contextSpanIds"]), lambda s: (
-        _meaningful(s) & ~F.array_contains(b["span_ids"], s["id"]) & ~F.array_contains(copies, _fold_case(s["text"]))
-        & ~F.array_contains(labels, _fold_case(s["text"])) & ~X.js_trim(s["text"]).rlike(r"^\([^)]{1,30}\)$")))
-    context = sort_by(context, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
-    given = F.when(b["kind"] == "choice", assign_nearest_once(b["targets"], context)).otherwise(
-        F.array().cast("array<struct<id:string,span_id:string,text:string>>"))
-    items = F.transform(b["items"], lambda i: i.withField("prompt", F.coalesce(
-        first_match(given, lambda g: g["id"] == i["id"])["text"], i["prompt"])))
-    taken = F.transform(given, lambda g: g["span_id"])
-    paragraphs = F.transform(F.filter(context, lambda s: ~F.array_contains(taken, s["id"])), lambda s: F.struct(
-        F.concat(F.lit("paragraph-"), s["id"]).alias("id"), X.js_trim(s["text"]).alias("text")))
-    applied = b.withField("items", items).withField("paragraphs", paragraphs.cast(f"array<{_PARAGRAPH}>")).withField(
-        "exercise_id", e["id"]).withField("exercise_number", e["number"]).withField("exercise_title", e["title"]).withField(
-        "instruction", e["instruction"]).withField("source_order", e["sourceOrder"])
-    return F.when(e.isNull(), b).otherwise(applied).cast(BLOCK)
+    """The block's exercise: its copy, its context paragraphs, and prompts for choice targets."""
+    spans, none = F.col("textSpans"), no_strings()
+
+    def printed_copy(e: Column) -> Column:
+        texts = F.array(e["number"], e["title"], e["instruction"],
+                        F.concat_ws(" ", F.coalesce(e["number"], F.lit("null")), F.coalesce(e["title"], F.lit("null"))))
+        own = F.transform(F.filter(texts, lambda v: F.coalesce(v != "", F.lit(False))), _fold_case)
+        options = F.transform(F.coalesce(F.when(b["kind"].isin("choice", "choice-grid"), b["options"]), none), _fold_case)
+        groups = F.transform(F.filter("choiceTargets", lambda t: F.array_contains(e["interactionIds"], t["id"])),
+                             lambda t: t["optionGroupId"])
+        labels = F.flatten(F.transform(groups, lambda g: F.coalesce(F.transform(
+            first_match(F.col("choiceGroups"), lambda c: c["id"] == g)["options"], lambda o: _fold_case(o["label"])), none)))
+        return F.concat(own, options, F.filter(labels, lambda v: v != ""))
+
+    def context(e: Column, copies: Column) -> Column:
+        kept = F.filter(pick_all(spans, e["contextSpanIds"]), lambda s: (
+            _meaningful(s) & ~F.array_contains(b["span_ids"], s["id"]) & ~F.array_contains(copies, _fold_case(s["text"]))
+            & ~X.js_trim(s["text"]).rlike(r"^\([^)]{1,30}\)$")))
+        return sort_by(kept, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
+
+    def apply(e: Column, ctx: Column, given: Column) -> Column:
+        items = F.transform(b["items"], lambda i: i.withField("prompt", F.coalesce(
+            first_match(given, lambda g: g["id"] == i["id"])["text"], i["prompt"])))
+        rest = F.filter(ctx, lambda s: ~F.exists(given, lambda g: g["span_id"] == s["id"]))
+        paragraphs = F.transform(rest, lambda s: F.struct(
+            F.concat(F.lit("paragraph-"), s["id"]).alias("id"), X.js_trim(s["text"]).alias("text")))
+        fields = {"items": items, "paragraphs": paragraphs.cast(f"array<{_PARAGRAPH}>"), "exercise_id": e["id"],
+                  "exercise_number": e["number"], "exercise_title": e["title"], "instruction": e["instruction"],
+                  "source_order": e["sourceOrder"]}
+        return _with(b, fields)
+
+    def owned(e: Column) -> Column:
+        assigned = lambda ctx: F.when(b["kind"] == "choice", assign_nearest_once(b["targets"], ctx)).otherwise(F.array().cast(_GIVEN))
+        return let(lambda copies: let(lambda ctx: let(lambda given: apply(e, ctx, given), assigned(ctx)), context(e, copies)),
+                   printed_copy(e))
+
+    return let(lambda e: F.when(e.isNull(), b).otherwise(owned(e)), semantic_exercise(b["interaction_ids"], F.col("semanticExercises")))
+
+
+_FIELDS = [
+    "id", "kind", "source_y", "prompt", "items", "item_count", "interaction_count", "targets", "group_id", "options",
+    "correction_ids", "span_ids", "interaction_ids", "bboxes", "confidence", "methods", "exercise_id", "exercise_number",
+    "exercise_title", "instruction", "source_order", "variant", "paragraphs"]
+
+
+def _with(b: Column, fields: dict[str, Column]) -> Column:
+    """The block with some fields replaced, built as one struct."""
+    return F.struct(*[fields.get(n, b[n]).alias(n) for n in _FIELDS]).cast(BLOCK)
 
 
 def pick_all(array: Column, ids: Column) -> Column:
@@ -314,28 +355,34 @@ def _coalesce_choices(blocks: Column) -> Column:
     ids = F.array_distinct(F.transform(F.filter(blocks, semantic), lambda b: b["exercise_id"]))
     rest = F.filter(blocks, lambda b: ~semantic(b))
 
-    def merged(e: Column) -> Column:
-        mine = F.filter(blocks, lambda b: semantic(b) & (b["exercise_id"] == e))
-        first = F.get(mine, F.lit(0))
-        flat = lambda f: F.flatten(F.transform(mine, lambda b: b[f]))
+    no_paragraphs = F.array().cast(f"array<{_PARAGRAPH}>")
+
+    def paragraphs(mine: Column, items: Column) -> Column:
         options = F.flatten(F.transform(mine, lambda b: F.coalesce(b["options"], no_strings())))
-        gone = F.concat(F.transform(F.filter(flat("items"), lambda i: F.coalesce(i["prompt"] != "", F.lit(False))),
-                                    lambda i: _fold_case(i["prompt"])), F.transform(options, _fold_case))
-        paragraphs = F.filter(F.flatten(F.transform(mine, lambda b: F.coalesce(
-            b["paragraphs"], F.array().cast(f"array<{_PARAGRAPH}>")))), lambda p: ~F.array_contains(gone, _fold_case(p["text"])))
-        texts = F.array_distinct(F.transform(paragraphs, lambda p: p["text"]))
-        once = F.transform(texts, lambda t: first_match(paragraphs, lambda p: p["text"] == t))
+        known = F.filter(items, lambda i: F.coalesce(i["prompt"] != "", F.lit(False)))
+        gone = F.concat(F.transform(known, lambda i: _fold_case(i["prompt"])), F.transform(options, _fold_case))
+        listed = F.flatten(F.transform(mine, lambda b: F.coalesce(b["paragraphs"], no_paragraphs)))
+        left = let(lambda g: F.filter(listed, lambda p: ~F.array_contains(g, _fold_case(p["text"]))), gone)
+        # equal texts count once
+        return let(lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["text"])),
+                                          lambda t: first_match(ps, lambda p: p["text"] == t)), left)
+
+    def merge(e: Column, mine: Column, first: Column, items: Column) -> Column:
+        flat = lambda f: F.flatten(F.transform(mine, lambda b: b[f]))
         shared = F.forall(mine, lambda b: b["group_id"].eqNullSafe(first["group_id"]))
-        known = F.filter(F.transform(mine, lambda b: b["confidence"]), lambda c: c.isNotNull())
-        whole = first.withField("id", e).withField("source_y", F.array_min(F.transform(mine, lambda b: b["source_y"])))
-        for field in ("items", "targets", "correction_ids", "bboxes"):
-            whole = whole.withField(field, flat(field))
-        for field in ("span_ids", "interaction_ids", "methods"):
-            whole = whole.withField(field, F.array_distinct(flat(field)))
-        whole = whole.withField("item_count", F.size(flat("items"))).withField("interaction_count", F.size(flat("items")))
-        whole = whole.withField("group_id", F.when(shared, first["group_id"])).withField(
-            "options", F.when(shared, first["options"])).withField("paragraphs", once).withField("confidence", F.array_min(known))
-        return F.when(F.size(mine) == 1, first).otherwise(whole).cast(BLOCK)
+        fields = {"id": e, "source_y": F.array_min(F.transform(mine, lambda b: b["source_y"])), "items": items,
+                  "item_count": F.size(items), "interaction_count": F.size(items), "paragraphs": paragraphs(mine, items),
+                  "group_id": F.when(shared, first["group_id"]), "options": F.when(shared, first["options"]),
+                  "confidence": F.array_min(F.transform(mine, lambda b: b["confidence"]))}
+        fields.update({f: flat(f) for f in ("targets", "correction_ids", "bboxes")})
+        fields.update({f: F.array_distinct(flat(f)) for f in ("span_ids", "interaction_ids", "methods")})
+        return _with(first, fields)
+
+    def merged(e: Column) -> Column:
+        def one(mine: Column) -> Column:
+            return let(lambda first, items: F.when(F.size(mine) == 1, first).otherwise(merge(e, mine, first, items)),
+                       F.get(mine, F.lit(0)), F.flatten(F.transform(mine, lambda b: b["items"])))
+        return let(one, F.filter(blocks, lambda b: semantic(b) & (b["exercise_id"] == e)))
 
     return F.concat(rest, F.transform(ids, merged))
 
@@ -344,8 +391,8 @@ def _context_blocks(interactions: Column) -> Column:
     """J15 + W5: unused meaningful spans in capped gap clusters."""
     used = F.flatten(F.transform(interactions, lambda b: b["span_ids"]))
     boxes = F.flatten(F.transform(interactions, lambda b: b["bboxes"]))
-    free = F.filter("textSpans", lambda s: _meaningful(s) & ~F.array_contains(used, s["id"]) & ~F.exists(
-        boxes, lambda b: G.center_y(s["bbox"]).between(b["y"] - 0.012, G.bottom(b) + 0.012)))
+    free = let(lambda ids, bs: F.filter("textSpans", lambda s: _meaningful(s) & ~F.array_contains(ids, s["id"]) & ~F.exists(
+        bs, lambda b: G.center_y(s["bbox"]).between(b["y"] - 0.012, G.bottom(b) + 0.012))), used, boxes)
     ordered = sort_by(free, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
     runs = chain(ordered, lambda p, c: c["bbox"]["y"] - G.bottom(p["bbox"]) <= CONTEXT_GAP, SPAN)
     # a run is cut after every six spans
@@ -370,7 +417,7 @@ def standalone_context(contexts: Column) -> Column:
     texts = F.filter(F.flatten(F.transform(F.filter(contexts, lambda b: b["variant"].isin("theory", "example")),
                                            lambda b: F.transform(b["paragraphs"], lambda p: X.js_trim(p["text"])))),
                      lambda t: t != "")
-    return (F.size(texts) >= 2) & (F.length(F.array_join(texts, " ")) >= 120)
+    return let(lambda t: (F.size(t) >= 2) & (F.length(F.array_join(t, " ")) >= 120), texts)
 
 
 def lesson_title(spans: Column, page: Column, unit_title: Column | None = None) -> Column:
@@ -379,9 +426,9 @@ def lesson_title(spans: Column, page: Column, unit_title: Column | None = None)
         _meaningful(s) & (s["bbox"]["y"] < 0.2) & ~X.js_trim(s["text"]).rlike(r"(?iu)^(?:[ABC]\d|\d+|lektion\s+\d+)$")
         & ~X.js_trim(s["text"]).rlike(r"(?iu)deutsch\s+(?:entdecken|a1)") & (F.length(X.js_trim(s["text"])) >= 4)))
     best = F.get(sort_by(heads, lambda s: -s["bbox"]["height"], lambda s: -s["bbox"]["width"]), F.lit(0))
-    own = X.js_trim(best["text"])
+    own = let(lambda s: X.js_trim(s["text"]), best)
     unit = X.js_trim(unit_title) if unit_title is not None else F.lit(None).cast("string")
-    return F.coalesce(F.when(unit != "", unit), F.when(own != "", own), F.concat(F.lit("Page "), page.cast("string")))
+    return F.coalesce(F.when(unit != "", unit), own, F.concat(F.lit("Page "), page.cast("string")))
 
 
 def project_lesson(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -392,11 +439,12 @@ def project_lesson(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     ``unit_title`` are used when present.
     """
     unit_title = F.col("unit_title") if "unit_title" in pages.columns else None
-    raw = F.concat(_blank_blocks(), _choice_blocks(), _grid_blocks(), _ordering_blocks(),
-                   _single_blocks("matchingInteractions", "matching", "matching"),
-                   _single_blocks("freeTextInteractions", "free-text", "free"))
-    df = pages.withColumn("_raw", raw).withColumn("_applied", F.transform("_raw", _apply_semantics)).withColumn(
-        "_blocks", _coalesce_choices(F.col("_applied")))
+    families = [_blank_blocks(), _choice_blocks(), _grid_blocks(), _ordering_blocks(),
+                _single_blocks("matchingInteractions", "matching", "matching"), _single_blocks("freeTextInteractions", "free-text", "free")]
+    # one column per stage: a stage is computed once however often the next one refers to it
+    df = pages.withColumns({f"_f{n}": c for n, c in enumerate(families)})
+    df = df.withColumn("_applied", F.transform(F.concat(*[F.col(f"_f{n}") for n in range(len(families))]), _apply_semantics))
+    df = df.withColumn("_blocks", _coalesce_choices(F.col("_applied")))
     df = df.withColumn("_contexts", _context_blocks(F.col("_blocks")))
     chosen = F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(F.col("_contexts"))
     # Source order (missing last), position, id

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrade.functions import textops as X
+from leafgrade.functions.arrays import let
 from leafgrade.operators.cluster import PAGE
 
 
@@ -38,18 +39,19 @@ def integrity_report(docs: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         return F.transform(values, lambda v: F.struct(
             F.lit(rule).alias("rule"), e["id"].alias("exercise_id"), v.alias("value")).cast(struct))
 
-    def check(e: Column, i: Column) -> Column:
+    def check(e: Column, i: Column, known: Column, printed: Column) -> Column:
         before = F.slice(exercises, F.lit(1), i)
         seen = F.transform(before, lambda b: b["id"])
         used = F.flatten(F.transform(before, lambda b: b["interactionIds"]))
         repeated = F.filter(F.array(e["id"]), lambda v: F.array_contains(seen, v))
         return F.concat(
             issue("duplicate_exercise", e, repeated),
-            issue("unknown_interaction", e, F.array_except(e["interactionIds"], ids)),
+            issue("unknown_interaction", e, F.array_except(e["interactionIds"], known)),
             issue("shared_interaction", e, F.array_intersect(e["interactionIds"], used)),
-            issue("unknown_span", e, F.array_except(e["contextSpanIds"], spans)))
+            issue("unknown_span", e, F.array_except(e["contextSpanIds"], printed)))
 
-    return docs.select(*keys, F.explode(F.flatten(F.transform(exercises, check))).alias("v")).select(*keys, "v.*")
+    found = let(lambda known, printed: F.flatten(F.transform(exercises, lambda e, i: check(e, i, known, printed))), ids, spans)
+    return docs.select(*keys, F.explode(found).alias("v")).select(*keys, "v.*")
 
 
 def range_report(df: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> DataFrame:
