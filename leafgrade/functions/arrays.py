@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-row generator; no shuffle.
+
+    Filters are not pushed through it and columns are not inlined over it, so
+    an expensive in-row result is computed once, not once per later reference
+    or once per element of a lambda that looks into it.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def let(fn: Callable[..., Column], *values: Column) -> Column:
     """``fn(values)`` with every value computed once per row.
 

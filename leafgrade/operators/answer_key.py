@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
@@ -110,18 +111,13 @@ _ROLE = T.StructType([
 ])
 
 
-def _text(value):
-    return None if value is None or pd.isna(value) else value
-
-
-def _roles(lines: pd.DataFrame) -> list[tuple]:
+def _roles(lines: list[dict]) -> list[tuple]:
     """Role of each line of one page: (pos, entry, is_entry, unit, title, marker, ordinal, bare)."""
-    rows = lines.sort_values("pos").to_dict("records")
     out: list[tuple] = []
     inside, unit, title = False, None, None
     productive, pending, ordinal, entry, last_number = None, None, 0, -1, None
     skip = 0
-    for r in rows:
+    for r in sorted(lines, key=lambda x: x["pos"]):
         if skip:
             skip -= 1
             continue
@@ -130,9 +126,8 @@ def _roles(lines: pd.DataFrame) -> list[tuple]:
             continue
         opened = None
         for candidate, name, extra in ((r["unit_in_header"], r["header_title"], 0), (r["unit_with_next"], r["next_title"], 1)):
-            number = _text(candidate)
-            if opened is None and number is not None and r["on_page"] and (productive is None or number > productive):
-                opened = (int(number), name, extra)
+            if opened is None and candidate is not None and r["on_page"] and (productive is None or candidate > productive):
+                opened = (candidate, name, extra)
         if opened:
             unit, title, skip = opened
             ordinal = 0
@@ -142,33 +137,28 @@ def _roles(lines: pd.DataFrame) -> list[tuple]:
         if r["marks_next"]:
             pending = r["number_text"]
             continue
-        ahead = _text(r["marker_after"]) if pending is None else None
-        numbered_on = (r["numbered"] and last_number is not None and not pd.isna(r["line_number"])
-                       and int(r["line_number"]) == last_number + 1)
+        ahead = r["marker_after"] if pending is None else None
+        numbered_on = r["numbered"] and last_number is not None and r["line_number"] == last_number + 1
         if pending is None and ahead is None and numbered_on:
             out.append((r["pos"], entry, False, unit, title, None, ordinal, False))
-            last_number = _keep(r["last_number"], last_number)
+            last_number = last_number if r["last_number"] is None else r["last_number"]
             continue
         matched = bool((r["sub"] or r["tight"] or r["numbered"]) and r["on_page"])
         if matched or pending is not None or ahead is not None:
             ordinal += 1
             entry += 1
-            marker = pending or ahead or (_text(r["marker"]) if matched else None)
+            marker = pending or ahead or (r["marker"] if matched else None)
             out.append((r["pos"], entry, True, unit, title, marker, ordinal, not matched))
             pending, productive = None, unit
-            last_number = _keep(r["last_number"], None)
+            last_number = r["last_number"]
             skip = 1 if ahead is not None else 0
             continue
         if r["continues"] and entry >= 0:
             out.append((r["pos"], entry, False, unit, title, None, ordinal, False))
-            last_number = _keep(r["last_number"], last_number)
+            last_number = last_number if r["last_number"] is None else r["last_number"]
     return out
 
 
-def _keep(value, old):
-    return old if value is None or pd.isna(value) else int(value)
-
-
 def parse_solution_pages(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """K1: answer-key entries of every page; the reading state starts afresh on each page."""
     keys = list(keys)
@@ -177,11 +167,14 @@ def parse_solution_pages(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFr
     narrow = ["pos", "starts", "on_page", "unit_in_header", "header_title", "unit_with_next", "next_title", "marks_next",
               "number_text", "marker_after", "numbered", "line_number", "sub", "tight", "marker", "continues", "last_number"]
 
-    def fold(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key, *r) for r in _roles(page)]
-        return pd.DataFrame(rows, columns=schema.names)
+    arrow = to_arrow_schema(schema)
+
+    def fold(key: tuple, page: pa.Table) -> pa.Table:
+        ident = [k.as_py() for k in key]
+        rows = [dict(zip(arrow.names, (*ident, *r))) for r in _roles(page.to_pylist())]
+        return pa.Table.from_pylist(rows, schema=arrow)
 
-    roles = lines.select(*keys, *narrow).groupBy(*keys).applyInPandas(fold, schema)
+    roles = lines.select(*keys, *narrow).groupBy(*keys).applyInArrow(fold, schema)
     # the payload of a line never enters the fold; it is joined back by position
     full = roles.withColumnRenamed("marker", "entry_marker").join(
         lines.select(*keys, "pos", "text", "items_text", "confidence", "spans", "source_page"), [*keys, "pos"])

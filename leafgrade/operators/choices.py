@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
-from leafgrade.functions.arrays import chain, first_match, let, sort_by
+from leafgrade.functions.arrays import chain, first_match, let, settle, sort_by
 
 TARGET = SC.CHOICE_TARGET.simpleString()
 
@@ -111,11 +111,11 @@ def normalize_choices(docs: DataFrame) -> DataFrame:
     grid_detection = F.struct(
         F.lit("vision-structured-v1").alias("detectionMethod"), rows.alias("rawCandidateCount"),
         promoted.alias("acceptedCount"), promoted.alias("groupCount"), F.lit(0).alias("durationMs")).cast(SC.DETECTION)
-    return d.withColumns({
+    return settle(d.withColumns({
         "semanticExercises": exercises,
         "choiceTargets": kept,
         "choiceDetection": F.when(F.col("choiceDetection").isNotNull(), F.col("choiceDetection").withField(
             "acceptedCount", F.size(kept))),
         "choiceGrids": F.concat(F.coalesce("choiceGrids", F.array().cast(T.ArrayType(SC.CHOICE_GRID))), F.col("_grids")),
         "choiceGridDetection": F.when(promoted > 0, grid_detection).otherwise(F.col("choiceGridDetection")),
-    }).drop("_runs", "_merged", "_promo", "_kept", "_grids")
+    }).drop("_runs", "_merged", "_promo", "_kept", "_grids"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import chain, first_match, last_match, let, mean, no_strings, pick, sort_by
+from leafgrade.functions.arrays import chain, first_match, last_match, let, mean, no_strings, pick, settle, sort_by
 from leafgrade.operators.cluster import PAGE
 
 INTERACTION_GAP = 0.055
@@ -460,12 +460,12 @@ def project_lesson(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     ok = F.col("reason").isNull()
     count = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["interaction_count"])
     extra = [c for c in ("unit_number", "unit_title") if c in pages.columns]
-    return df.select(
+    return settle(df.select(
         *keys, *extra, F.when(ok, "AVAILABLE").otherwise("UNAVAILABLE").alias("status"), "reason",
         F.when(ok, F.concat_ws(":page:", *[F.col(k).cast("string") for k in keys])).alias("lesson_id"),
         F.when(ok, lesson_title(F.col("textSpans"), F.col("page_number"), unit_title)).alias("title"),
         F.when(ok, F.col("blocks")).alias("blocks"), F.when(ok, F.size("blocks")).alias("block_count"),
-        F.when(ok, count).alias("interaction_count"))
+        F.when(ok, count).alias("interaction_count")))
 
 
 def lesson_steps(lessons: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import first_match, sort_by
+from leafgrade.functions.arrays import first_match, let, settle, sort_by
 from leafgrade.operators.cluster import PAGE, dot_columns, row_split
 from leafgrade.operators.spatial import row_band_join, row_bands
 
@@ -23,11 +23,7 @@ def pair_rows(left: Column, right: Column, tolerance: float = PAIR_TOLERANCE) ->
     Left dots choose in y order; unpaired dots of both sides stay as rows of
     their own. The array holds {y, left_id, right_id} in y order.
     """
-    ls, rs = sort_by(left, lambda d: d["y"]), sort_by(right, lambda d: d["y"])
-
-    def step(acc: Column, d: Column) -> Column:
-        near = F.transform(rs, lambda r, i: F.struct(F.abs(d["y"] - r["y"]).alias("gap"), i.alias("i")))
-        best = F.array_min(F.filter(near, lambda n: (n["gap"] <= tolerance) & ~F.array_contains(acc["used"], n["i"])))
+    def settle_dot(acc: Column, d: Column, rs: Column, best: Column) -> Column:
         partner = F.get(rs, best["i"])
         row = F.struct(
             F.when(best.isNotNull(), (d["y"] + partner["y"]) / 2).otherwise(d["y"]).alias("y"), d["id"].alias("left_id"),
@@ -35,69 +31,78 @@ def pair_rows(left: Column, right: Column, tolerance: float = PAIR_TOLERANCE) ->
         used = F.when(best.isNotNull(), F.concat(acc["used"], F.array(best["i"]))).otherwise(acc["used"])
         return F.struct(used.alias("used"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{_ROW}>").alias("rows"))
+    def walk(ls: Column, rs: Column) -> Column:
+        def step(acc: Column, d: Column) -> Column:
+            near = F.transform(rs, lambda r, i: F.struct(F.abs(d["y"] - r["y"]).alias("gap"), i.alias("i")))
+            best = F.array_min(F.filter(near, lambda n: (n["gap"] <= tolerance) & ~F.array_contains(acc["used"], n["i"])))
+            return let(lambda b: settle_dot(acc, d, rs, b), best)
+
+        def finish(acc: Column) -> Column:
+            alone = F.filter(F.transform(rs, lambda r, i: F.struct(r["y"].alias("y"), r["id"].alias("id"), i.alias("i"))),
+                             lambda r: ~F.array_contains(acc["used"], r["i"]))
+            none = F.lit(None).cast("string")
+            return sort_by(F.concat(acc["rows"], F.transform(alone, lambda r: F.struct(
+                r["y"].alias("y"), none.alias("left_id"), r["id"].alias("right_id")).cast(_ROW))), lambda r: r["y"])
 
-    def finish(acc: Column) -> Column:
-        alone = F.filter(F.transform(rs, lambda r, i: F.struct(r["y"].alias("y"), r["id"].alias("id"), i.alias("i"))),
-                         lambda r: ~F.array_contains(acc["used"], r["i"]))
-        none = F.lit(None).cast("string")
-        return sort_by(F.concat(acc["rows"], F.transform(alone, lambda r: F.struct(
-            r["y"].alias("y"), none.alias("left_id"), r["id"].alias("right_id")).cast(_ROW))), lambda r: r["y"])
+        start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{_ROW}>").alias("rows"))
+        return F.aggregate(ls, start, step, finish)
 
-    return F.aggregate(ls, start, step, finish)
+    return let(walk, sort_by(left, lambda d: d["y"]), sort_by(right, lambda d: d["y"]))
 
 
 def left_label(spans: Column) -> Column:
     """{label, spans} of a left item: a lone number, else a leading, else a trailing number."""
     trimmed = lambda s: X.py_strip(s["text"])
-    lone = first_match(sort_by(spans, lambda s: s["idx"]), lambda s: trimmed(s).rlike(X.LEFT_STANDALONE))
-    ordered = sort_by(spans, lambda s: s["y"], lambda s: s["x"], lambda s: s["idx"])
-    n = F.size(ordered)
-    first, last = F.get(ordered, F.lit(0)), F.try_element_at(ordered, F.lit(-1))
-    lead = F.regexp_extract(trimmed(first), r"^(\d{1,2})\.?\s+", 1)
-    lead_rest = F.regexp_replace(trimmed(first), r"^\d{1,2}\.?\s+", "")
-    trail = F.regexp_extract(trimmed(last), r"\s+(\d{1,2})\.?$", 1)
-    trail_rest = F.regexp_replace(trimmed(last), r"\s+\d{1,2}\.?$", "")
-    head = F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    tail = F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0)))
     make = lambda label, rest: F.struct(label.alias("label"), rest.alias("spans"))
-    return (
-        F.when(lone.isNotNull(), make(F.regexp_replace(trimmed(lone), r"\.$", ""),
-                                      F.filter(spans, lambda s: s["idx"] != lone["idx"])))
-        .when(n == 0, make(F.lit(""), spans))
-        .when(lead != "", make(lead, F.when(lead_rest != "", F.concat(F.array(first.withField("text", lead_rest)), tail)).otherwise(tail)))
-        .when(trail != "", make(trail, F.when(trail_rest != "", F.concat(head, F.array(last.withField("text", trail_rest)))).otherwise(head)))
-        .otherwise(make(F.lit(""), spans))
-    )
+
+    def glued(ordered: Column, first: Column, last: Column, head_text: Column, tail_text: Column) -> Column:
+        n = F.size(ordered)
+        head = F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        tail = F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0)))
+        lead, lead_rest = F.regexp_extract(head_text, r"^(\d{1,2})\.?\s+", 1), F.regexp_replace(head_text, r"^\d{1,2}\.?\s+", "")
+        trail, trail_rest = F.regexp_extract(tail_text, r"\s+(\d{1,2})\.?$", 1), F.regexp_replace(tail_text, r"\s+\d{1,2}\.?$", "")
+        with_lead = F.when(lead_rest != "", F.concat(F.array(first.withField("text", lead_rest)), tail)).otherwise(tail)
+        with_trail = F.when(trail_rest != "", F.concat(head, F.array(last.withField("text", trail_rest)))).otherwise(head)
+        return (F.when(n == 0, make(F.lit(""), spans)).when(lead != "", make(lead, with_lead))
+                .when(trail != "", make(trail, with_trail)).otherwise(make(F.lit(""), spans)))
+
+    def choose(lone: Column) -> Column:
+        ordered = sort_by(spans, lambda s: s["y"], lambda s: s["x"], lambda s: s["idx"])
+        ends = lambda o: let(lambda f, t: glued(o, f, t, trimmed(f), trimmed(t)), F.get(o, F.lit(0)), F.try_element_at(o, F.lit(-1)))
+        return F.when(lone.isNotNull(), make(F.regexp_replace(trimmed(lone), r"\.$", ""), F.filter(
+            spans, lambda s: s["idx"] != lone["idx"]))).otherwise(let(ends, ordered))
+
+    return let(choose, first_match(sort_by(spans, lambda s: s["idx"]), lambda s: trimmed(s).rlike(X.LEFT_STANDALONE)))
 
 
 def right_label(spans: Column) -> Column:
     """{label, spans} of a right item: a lone capital, else a first capital before end, space or capital."""
     trimmed = lambda s: X.py_strip(s["text"])
-    lone = first_match(sort_by(spans, lambda s: s["idx"]), lambda s: trimmed(s).rlike(X.RIGHT_STANDALONE))
-    ordered = sort_by(spans, lambda s: s["y"], lambda s: s["x"], lambda s: s["idx"])
-    first = F.get(ordered, F.lit(0))
-    text = F.regexp_replace(first["text"], "^[^A-Za-z0-9ÄÖÜäöüß]+", "")
-    glued = text.rlike(r"^\p{Lu}(?:$|[ \p{Lu}])")
-    rest_text = X.py_strip(F.substring(text, F.lit(2), F.length(text)))
-    tail = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
     make = lambda label, rest: F.struct(label.alias("label"), rest.alias("spans"))
-    return (
-        F.when(lone.isNotNull(), make(trimmed(lone), F.filter(spans, lambda s: s["idx"] != lone["idx"])))
-        .when(F.coalesce(glued, F.lit(False)), make(F.substring(text, 1, 1), F.when(
-            rest_text != "", F.concat(F.array(first.withField("text", rest_text)), tail)).otherwise(tail)))
-        .otherwise(make(F.lit(""), spans))
-    )
+
+    def glued(ordered: Column, text: Column) -> Column:
+        tail = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+        rest = X.py_strip(F.substring(text, F.lit(2), F.length(text)))
+        cut = let(lambda r: F.when(r != "", F.concat(F.array(F.get(ordered, F.lit(0)).withField("text", r)), tail)).otherwise(tail), rest)
+        return F.when(F.coalesce(text.rlike(r"^\p{Lu}(?:$|[ \p{Lu}])"), F.lit(False)),
+                      make(F.substring(text, 1, 1), cut)).otherwise(make(F.lit(""), spans))
+
+    def choose(lone: Column) -> Column:
+        ordered = sort_by(spans, lambda s: s["y"], lambda s: s["x"], lambda s: s["idx"])
+        start = lambda o: let(lambda t: glued(o, t), F.regexp_replace(F.get(o, F.lit(0))["text"], "^[^A-Za-z0-9ÄÖÜäöüß]+", ""))
+        return F.when(lone.isNotNull(), make(trimmed(lone), F.filter(spans, lambda s: s["idx"] != lone["idx"]))).otherwise(let(start, ordered))
+
+    return let(choose, first_match(sort_by(spans, lambda s: s["idx"]), lambda s: trimmed(s).rlike(X.RIGHT_STANDALONE)))
 
 
 def item_text(spans: Column) -> Column:
     """Item {text, bbox, span_ids} from the spans of two or more characters, or null without any."""
     kept = F.filter(sort_by(spans, lambda s: s["y"], lambda s: s["x"], lambda s: s["idx"]),
                     lambda s: F.length(X.py_strip(s["text"])) >= 2)
-    return F.when(F.size(kept) > 0, F.struct(
-        F.array_join(F.transform(kept, lambda s: X.py_strip(s["text"])), " ").alias("text"),
-        G.bbox_union_array(F.transform(kept, lambda s: s["bbox"])).alias("bbox"),
-        F.transform(kept, lambda s: s["id"]).alias("span_ids")))
+    return let(lambda k: F.when(F.size(k) > 0, F.struct(
+        F.array_join(F.transform(k, lambda s: X.py_strip(s["text"])), " ").alias("text"),
+        G.bbox_union_array(F.transform(k, lambda s: s["bbox"])).alias("bbox"),
+        F.transform(k, lambda s: s["id"]).alias("span_ids"))), kept)
 
 
 def column_pairs(dots: DataFrame, keys: Sequence[str] = PAGE, min_gap: float = 0.02) -> DataFrame:
@@ -133,8 +138,8 @@ def matching_candidates(dots: DataFrame, spans: DataFrame, keys: Sequence[str] =
         F.collect_list(F.when(F.col("side") == "left", F.col("s"))).alias("ls"),
         F.collect_list(F.when(F.col("side") == "right", F.col("s"))).alias("rs"))
     sides = sides.withColumn("_l", left_label(F.col("ls"))).withColumn("_r", right_label(F.col("rs")))
-    items = sides.select(*group, "row", F.col("_l.label").alias("left_label"), item_text(F.col("_l.spans")).alias("left_item"),
-                         F.col("_r.label").alias("right_label"), item_text(F.col("_r.spans")).alias("right_item"))
+    items = settle(sides.select(*group, "row", F.col("_l.label").alias("left_label"), item_text(F.col("_l.spans")).alias("left_item"),
+                                F.col("_r.label").alias("right_label"), item_text(F.col("_r.spans")).alias("right_item")))
     sized = banded.withColumn("_group_rows", F.count("*").over(Window.partitionBy(*group)))
     valid = sized.join(items, [*group, "row"]).where("left_item IS NOT NULL AND right_item IS NOT NULL")
     row = F.struct("y", "row", "left_id", "right_id", "left_label", "left_item", "right_label", "right_item")

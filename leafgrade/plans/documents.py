@@ -11,6 +11,7 @@ from pyspark.sql import types as ST
 
 from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
+from leafgrade.functions.arrays import settle
 from leafgrade.operators import answer_key as AK
 from leafgrade.operators import choices as CH
 from leafgrade.operators import context as CX
@@ -117,7 +118,7 @@ def _build(spark, sf, interactions: bool = True):
 
 
 def documents(spark, sf, interactions: bool = True):
-    return T.settled(_build(spark, sf, interactions))
+    return settle(_build(spark, sf, interactions))
 
 
 COUNTS = ", ".join(f"count(*) FILTER (WHERE len % 11 = {r}) AS {k}" for r, k in enumerate(

@@ -31,15 +31,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows behind a one-row generator.
-
-    Keeps the optimizer from moving the derivation of a column into the lambda
-    of a later stage, where it would run once per array element. No shuffle.
-    """
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("d")).select("d.*")
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
