@@ -211,9 +211,6 @@ NUMBERED = r"(?<!\d)(\d{1,2})\.\s*"
 def split_numbered_items(text: Column) -> Column:
     """Numbered answer items, or null when the split is not certain."""
     mark = "\u0001"
-    parts = F.split(F.regexp_replace(text, NUMBERED, mark), mark)
-    fragments = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    unreadable = F.exists(fragments, lambda p: p.contains("\ufffd"))
 
     def clean(p: Column) -> Column:
         p = F.replace(p, F.lit("|"), F.lit(" "))
@@ -221,8 +218,12 @@ def split_numbered_items(text: Column) -> Column:
         p = F.replace(p, F.lit("?"), F.lit(""))
         return py_strip(F.regexp_replace(py_strip(p), r"^[ \t\u2013\u2014/\-=|·]+|[ \t\u2013\u2014/\-=|·]+$", ""))
 
-    items = F.transform(fragments, clean)
-    return F.when((F.size(parts) >= 3) & ~unreadable & ~F.exists(items, lambda p: p == ""), items)
+    def accept(parts: Column) -> Column:
+        fragments = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        readable = (F.size(parts) >= 3) & ~F.exists(fragments, lambda p: p.contains("\ufffd"))
+        return F.when(readable, let(lambda items: F.when(~F.exists(items, lambda p: p == ""), items), F.transform(fragments, clean)))
+
+    return let(accept, F.split(F.regexp_replace(text, NUMBERED, mark), mark))
 
 
 def last_numbered_item(text: Column) -> Column:
@@ -255,8 +256,7 @@ def parse_pairs(text: Column) -> Column:
 
 def extraction_pairs(text: Column) -> Column:
     """C11 on the extraction side: fewer than two pairs is no matching answer."""
-    pairs = parse_pairs(text)
-    return F.when(F.size(pairs) >= 2, pairs)
+    return let(lambda pairs: F.when(F.size(pairs) >= 2, pairs), parse_pairs(text))
 
 
 def expected_pairs(expected_value: Column) -> Column:
@@ -325,19 +325,19 @@ def comma_separated(text: Column) -> Column:
 
 def answer_alternatives(items: Column) -> Column:
     """{primary, alternatives} of an answer line; the first matching separator decides."""
-    dash = items.contains("\u2014") & ~complex_sentence(items)
-    slash = items.contains("/") & (F.length(items) < 200)
-    comma = items.contains(",") & comma_separated(items)
-    by_comma = F.filter(F.transform(F.split(items, ","), py_strip), lambda p: p != "")
-    parts = (
-        F.when(dash, F.split(items, "\\s*\u2014\\s*"))
-        .when(slash, F.split(items, "/"))
-        .when(comma, by_comma)
-        .otherwise(F.array(items))
-    )
-    parts = F.transform(parts, py_strip)
-    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.struct(F.get(parts, F.lit(0)).alias("primary"), F.filter(rest, lambda p: p != "").alias("alternatives"))
+    def split(t: Column) -> Column:
+        dash = t.contains("\u2014") & ~complex_sentence(t)
+        slash = t.contains("/") & (F.length(t) < 200)
+        comma = t.contains(",") & comma_separated(t)
+        by_comma = F.filter(F.transform(F.split(t, ","), py_strip), lambda p: p != "")
+        parts = (F.when(dash, F.split(t, "\\s*\u2014\\s*")).when(slash, F.split(t, "/")).when(comma, by_comma).otherwise(F.array(t)))
+        return F.transform(parts, py_strip)
+
+    def name(parts: Column) -> Column:
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.struct(F.get(parts, F.lit(0)).alias("primary"), F.filter(rest, lambda p: p != "").alias("alternatives"))
+
+    return let(lambda t: let(name, split(t)), items)
 
 
 # Short words that are never a sign of corruption.

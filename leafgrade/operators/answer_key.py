@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
+from leafgrade.functions.arrays import let
 from leafgrade.operators.cluster import PAGE, column_clusters, line_groups
 
 # Line patterns of the solution section.
@@ -216,7 +217,7 @@ def typed_payload(kind: Column, primary: Column, raw: Column) -> Column:
         F.lit(t).alias("type"), v.cast("string").alias("value"), a.cast("array<string>").alias("alternatives"),
         p.cast(T.ArrayType(SC.PAIR)).alias("pairs"), none.cast("string").alias("modelText"),
         none.cast("string").alias("sourceHint"))
-    return F.when((kind == "Matching") & pairs.isNotNull(), make("Matching", none, none, pairs)).when(
+    return F.when(kind == "Matching", let(lambda p: F.when(p.isNotNull(), make("Matching", none, none, p)), pairs)).when(
         kind == "FillBlank", make("Text", primary, F.array().cast("array<string>"), none))
 
 

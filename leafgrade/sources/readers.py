@@ -140,7 +140,11 @@ def register_manifest(files: DataFrame, digest: Column | None = None) -> DataFra
 
 
 def register_books(spark: SparkSession, path: str, mime: str = "application/pdf") -> DataFrame:
-    """Manifest of a folder of files. Files above the size limit are listed by size only, not read."""
+    """Manifest of a folder of files. Files above the size limit are listed by size only, not read.
+
+    The file listing skips empty files; a caller who must report them passes
+    its own list to ``register_manifest``.
+    """
     glob = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     files = glob.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(mime).alias("mime"),
                         F.col("length").alias("size"), "path", "modificationTime")

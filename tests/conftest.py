@@ -12,5 +12,8 @@ def spark():
 
     session = local_session("tests", "4", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # fixtures have a few rows: compiling the plans would take longer than running them
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
