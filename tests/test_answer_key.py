@@ -24,8 +24,8 @@ def test_headers_items_and_continuations(spark):
         ("9 Vorher", 0.1, 0.01), ("Lösungen", 0.1, 0.05), ("10 Relativsätze", 0.1, 0.10), ("1 1. rot – 2. blau", 0.1, 0.12),
         ("und grün", 0.1, 0.14, 0.8), ("2a 1C-2D-3B", 0.1, 0.16), ("12", 0.1, 0.20), ("Zuordnen", 0.2, 0.201), ("11C-2D-3B-4A", 0.1, 0.22),
         ("9 Zurück", 0.1, 0.24), ("13 Weiter", 0.1, 0.95), ("3. Heute — Morgen", 0.1, 0.30)])
-    # without a space the longest number that leaves a digit for the items is the marker
-    assert got[:2] == [(10, "1", "1. rot – 2. blau und grün"), (10, "2a", "1C-2D-3B")] and got[2][:2] == (12, "11")
+    # "11C-..." is marker 1 with the items "1C-...": the items must begin with a digit
+    assert got[:2] == [(10, "1", "1. rot – 2. blau und grün"), (10, "2a", "1C-2D-3B")] and got[2] == (12, "1", "1C-2D-3B-4A")
     assert rows[0]["items"] == ["rot", "blau   und grün"] and rows[0]["warnings"] == ["continuation_low_confidence"]
     assert rows[0]["raw_text"] == "1 1. rot – 2. blau | und grün"
     assert rows[2]["unit_number"] == 12 and rows[2]["key_kind"] == "Matching" and rows[2]["payload"]["type"] == "Matching"
