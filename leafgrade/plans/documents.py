@@ -411,7 +411,7 @@ def _(spark, sf):
 
 @query("ordering_prompts", "K8 K9 W11 C8 A10")
 def _(spark, sf):
-    """Lines become scrambled sentences (spaces as separators); checked against a plain replay in the tests."""
+    """Lines become scrambled sentences (spaces as separators); checked on a hand-made page in the tests."""
     s = T.spans(spark, sf).withColumn("text", F.regexp_replace(F.substring_index(F.col("text"), ".", 1), " ", " • "))
     spans = s.select(F.floor(F.col("doc_id") / 16).cast("string").alias("book_id"), (F.col("doc_id") % 16 + 1).cast("int").alias("page_number"),
                      F.lit(1024).alias("page_width"), F.lit(2048).alias("page_height"), "idx", "id", "text", "bbox")
