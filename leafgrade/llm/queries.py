@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from leafgrade.llm.common import table
 from leafgrade.llm.mixing import mix_sources
+from leafgrade.llm.pii import find_personal_data
+from leafgrade.llm.secret_scan import find_secrets
 from leafgrade.llm.topk import exact_top_k
 from leafgrade.llm.url_filter import judge_urls, rule_table
+from leafgrade.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,11 +31,32 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_find_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return find_personal_data(table(spark, sf, "documents"))
+
+
 @query()
 def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).drop("source")
 
 
+@query("""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(hex, CAST(5 * (c // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (c % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < head THEN head END AS refers_to FROM m""")
+def op5_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trip(table(spark, sf, "pages")).drop("intact")
+
+
+@query()
+def op7_find_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(table(spark, sf, "documents"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
