@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from leafgrade.llm.common import table
 from leafgrade.llm.mixing import mix_sources
+from leafgrade.llm.near_dup import near_duplicates
 from leafgrade.llm.pii import find_personal_data
 from leafgrade.llm.secret_scan import find_secrets
+from leafgrade.llm.substring_dedup import drop_repeated_passages
 from leafgrade.llm.topk import exact_top_k
 from leafgrade.llm.url_filter import judge_urls, rule_table
 from leafgrade.llm.warc import round_trip
@@ -41,6 +43,11 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).drop("source")
 
 
+@query()
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), shingle=4)
+
+
 @query("""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM h)
@@ -78,3 +85,17 @@ f AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f""")
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"), rule_table(spark, URL_RULES))
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+s AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+m AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, k, true AS hit FROM s JOIN m USING (win) WHERE doc_id > least),
+c AS (SELECT doc_id, k, word, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM t LEFT JOIN g USING (doc_id, k)),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)""")
+def op10_drop_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf, "documents"), with_text=False)
