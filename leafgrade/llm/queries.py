@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrade.llm.common import table
+from leafgrade.llm.decontamination import contaminated
 from leafgrade.llm.mixing import mix_sources
 from leafgrade.llm.near_dup import near_duplicates
 from leafgrade.llm.pii import find_personal_data
 from leafgrade.llm.secret_scan import find_secrets
 from leafgrade.llm.substring_dedup import drop_repeated_passages
 from leafgrade.llm.topk import exact_top_k
+from leafgrade.llm.toxicity import score_toxicity
 from leafgrade.llm.url_filter import judge_urls, rule_table
 from leafgrade.llm.warc import round_trip
 
@@ -43,6 +45,11 @@ def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents")).drop("source")
 
 
+@query()
+def op3_contaminated(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=4)
@@ -59,6 +66,11 @@ def op5_warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(table(spark, sf, "pages")).drop("intact")
 
 
+@query()
+def op6_score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op7_find_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return find_secrets(table(spark, sf, "documents"))
