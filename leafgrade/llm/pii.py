@@ -183,7 +183,7 @@ def fit_trees(spark: SparkSession, data: pd.DataFrame, precision: float, seed: i
 
     held = np.arange(len(data)) % 3 == 0
     x = data[list(FEATURES)].to_numpy()
-    frame = spark.createDataFrame(pd.DataFrame({"x": list(map(list, x[~held])), "label": data["label"].to_numpy()[~held]}), "x array<double>, label double")
+    frame = spark.createDataFrame(list(zip(x[~held].tolist(), data["label"].to_numpy()[~held].tolist())), "x array<double>, label double")
     frame = frame.coalesce(1).select(array_to_vector("x").alias("features"), "label").cache()
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=seed).fit(frame)
     frame.unpersist()
