@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafgrade.functions.arrays import let
+from leafgrade.functions.textops import round_exact
 
 
 def box(x, y, width, height) -> Column:
@@ -208,7 +209,7 @@ def candidate_score(kind: str, **measures: Column) -> Column:
         value = _d(measures[name])
         ratio = value if (kind, name) in UNCAPPED else F.least(value / target, F.lit(1.0))
         total = ratio * weight if total is None else total + ratio * weight
-    return F.bround(total, 4)
+    return round_exact(total)
 
 
 def line_interaction_bbox(

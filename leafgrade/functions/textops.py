@@ -357,33 +357,51 @@ def looks_corrupted(text: Column) -> Column:
 def low_confidence_warning(spans: Column) -> Column:
     """C20: ``low_ocr_confidence`` note over {text, confidence} spans below 0.90, or null."""
     low = F.filter(spans, lambda s: s["confidence"] < 0.90)
-    notes = F.transform(low, lambda s: F.concat(s["text"], F.lit("="), F.format_string("%.2f", s["confidence"])))
+    notes = F.transform(low, lambda s: F.concat(s["text"], F.lit("="), fixed(s["confidence"], 2, True)))
     return F.when(F.size(low) > 0, F.concat(F.lit("low_ocr_confidence: "), F.array_join(notes, ",")))
 
 
 # ---- ids, hashes, requests -----------------------------------------------------
 
-def fixed4(v: Column) -> Column:
-    """Four decimals, rounded half-up on the exact binary value (what browsers print).
+def scaled_whole(v: Column, digits: int, half_even: bool) -> Column:
+    """|v| times 10**digits as a whole number, rounded on the exact binary value.
 
-    The value is split into two short halves, so ten thousand times each half
-    is exact and the comparison with one half cannot be off.
+    The value is split into two short halves, so the power of ten times each
+    half is exact and the comparison with one half cannot be off.
     """
+    scale = float(10**digits)
     a = F.abs(v.cast("double"))
-    scaled = a * 134217729.0
-    high = scaled - (scaled - a)
-    whole = F.floor(a * 10000.0)
-    up = ((high * 10000.0 - whole) - 0.5) + (a - high) * 10000.0 >= 0
-    n = whole + up.cast("long")
-    digits = F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
-    return F.when((v < 0) & (n > 0), F.concat(F.lit("-"), digits)).otherwise(digits)
+    wide = a * 134217729.0
+    high = wide - (wide - a)
+    whole = F.floor(a * scale)
+    over = ((high * scale - whole) - 0.5) + (a - high) * scale
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1)) if half_even else over >= 0
+    return whole + up.cast("long")
+
+
+def round_exact(v: Column, digits: int = 4) -> Column:
+    """Rounds a double half-even on its binary value (what Python's ``round`` gives)."""
+    n = scaled_whole(v, digits, True) / F.lit(float(10**digits))
+    return F.when(v < 0, -n).otherwise(n)
+
+
+def fixed(v: Column, digits: int, half_even: bool = False) -> Column:
+    """Text with that many decimals, rounded on the binary value, half-up or half-even."""
+    n = scaled_whole(v, digits, half_even)
+    text = F.concat(F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+    return F.when((v < 0) & (n > 0), F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def fixed4(v: Column) -> Column:
+    """Four decimals, rounded half-up on the exact binary value (what browsers print)."""
+    return fixed(v, 4)
 
 
 def fingerprint(schema_version: Column, method: Column, bbox: Column, *extra: Column, group: Column | None = None) -> Column:
     """Identity of a printed interaction: schema|method|[group|]x|y|w|h[|extra...]."""
-    parts = [schema_version, method]
+    parts = [schema_version, F.coalesce(method, F.lit(""))]
     if group is not None:
-        parts.append(group)
+        parts.append(F.coalesce(group, F.lit("")))
     parts += [fixed4(bbox["x"]), fixed4(bbox["y"]), fixed4(bbox["width"]), fixed4(bbox["height"])]
     parts += [F.coalesce(e.cast("string"), F.lit("")) for e in extra]
     return F.concat_ws("|", *parts)

@@ -204,7 +204,7 @@ def _assemble(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("e.unit_number").alias("unit_number"), F.col("e.marker").alias("marker"),
         X.split_numbered_items(raw).alias("items"), "key_kind", F.col("e.ordinal").alias("ordinal"),
         expected.alias("expected_value"), F.col("_alt.alternatives").alias("alternatives"), raw.alias("raw_text"),
-        F.bround(F.col("e.confidence"), 4).alias("confidence"), notes.alias("warnings"),
+        X.round_exact(F.col("e.confidence")).alias("confidence"), notes.alias("warnings"),
         typed_payload(F.col("key_kind"), F.col("_alt.primary"), F.col("e.text")).alias("payload"),
         F.col("entry").alias("entry_index"))
 

@@ -54,14 +54,18 @@ def _options(kind: Column, ident: Column) -> Column:
 
 def build_context(requests: DataFrame, docs: DataFrame, books: DataFrame, slots: DataFrame,
                   keys: Sequence[str] = PAGE, max_chars: int = MAX_CONTEXT) -> DataFrame:
-    """K6: requests (request_id, keys, exercise_id, ...) with their context; unknown identities are dropped.
+    """K6: every request (request_id, keys, exercise_id, ...) with ``context_ok`` and its context.
 
     Adds title, instruction, source, kind, options, source_language and
-    source_backed. ``books``: book_id, title, source_language. ``slots``:
-    keys, kind, ordinal, resolution.
+    source_backed; they are null where the identity, the page or the book is
+    unknown. Each (keys, exercise_id) asked for is put together once, however
+    many requests ask for it, so documents meet pages and not requests.
+    ``books``: book_id, title, source_language. ``slots``: keys, kind, ordinal,
+    resolution.
     """
     keys = list(keys)
-    known = resolve_interaction_id(requests, interaction_aliases(docs, keys), keys).where("id IS NOT NULL")
+    asked = requests.select(*keys, "exercise_id").where("exercise_id IS NOT NULL").distinct()
+    known = resolve_interaction_id(asked, interaction_aliases(docs, keys), keys).where("id IS NOT NULL")
     needed = docs.select(*keys, "textSpans", "semanticExercises", "choiceGroups", "choiceTargets", "choiceGrids",
                          "sentenceOrderings", "matchingInteractions")
     df = known.join(needed, keys).join(books.select("book_id", F.col("title").alias("_book"), "source_language"), "book_id")
@@ -73,12 +77,15 @@ def build_context(requests: DataFrame, docs: DataFrame, books: DataFrame, slots:
     texts = F.filter(F.transform(F.coalesce(listed, no_strings()), lambda i: last_match(
         F.col("textSpans"), lambda s: s["id"] == i)["text"]), lambda t: t.isNotNull())
     named = ~X.is_blank(F.col("_e.title"), X.JAVA_BLANK)
-    return df.select(
-        *[c for c in requests.columns], "id", "kind", "ordinal",
+    found = df.select(
+        *keys, "exercise_id", "id", "kind", "ordinal",
         F.when(named, F.concat("_book", F.lit(" — "), "_e.title")).otherwise(F.col("_book")).alias("title"),
         _or_empty(F.col("_e.instruction")).alias("instruction"), X.truncate(_joined(texts), max_chars).alias("source"),
         _options(F.col("kind"), F.col("id")).alias("options"), _or_empty(F.col("source_language")).alias("source_language"),
         is_source_backed(F.col("kind"), F.col("resolution")).alias("source_backed"))
+    joined = requests.join(found, [*keys, "exercise_id"], "left")
+    return joined.select(*requests.columns, F.col("id").isNotNull().alias("context_ok"),
+                         *[c for c in found.columns if c not in (*keys, "exercise_id")])
 
 
 def _interaction_lines(exercise: Column) -> Column:
@@ -98,13 +105,14 @@ def build_selection_context(requests: DataFrame, docs: DataFrame, books: DataFra
 
     Exercises are selected when one box holds the centre of the other. Their
     own spans always belong; other spans must touch the selection and, when an
-    exercise is selected, be unowned and lie in its text range. Requests with
-    an invalid selection or no text are dropped.
+    exercise is selected, be unowned and lie in its text range. Every request
+    is returned; ``context_ok`` is false, and the context null, for an unknown
+    page or book, an invalid selection or one without text.
     """
     keys = list(keys)
     needed = docs.select(*keys, "textSpans", "semanticExercises", "sentenceOrderings", "matchingInteractions")
-    df = requests.where(G.valid_selection(F.col("selection"))).join(needed, keys).join(
-        books.select("book_id", F.col("title").alias("_book"), "source_language"), "book_id")
+    df = requests.join(needed, keys, "left").join(
+        books.select("book_id", F.col("title").alias("_book"), "source_language"), "book_id", "left")
     sel = F.col("selection")
     hit = lambda b: (G.bbox_contains_point(b, G.center_x(sel), G.center_y(sel))
                      | G.bbox_contains_point(sel, G.center_x(b), G.center_y(b)))
@@ -148,6 +156,10 @@ def build_selection_context(requests: DataFrame, docs: DataFrame, books: DataFra
         .otherwise(region)
     )
     kind = F.when((n == 1) & ~blank(one["kind"]), one["kind"]).otherwise("selection")
-    return df.where(~blank(F.col("source"))).select(
-        *requests.columns, title.alias("title"), F.when(n == 1, _or_empty(one["instruction"])).otherwise("").alias("instruction"),
-        "source", kind.alias("kind"), _or_empty(F.col("source_language")).alias("source_language"), n.alias("exercises"))
+    ok = F.coalesce(G.valid_selection(sel) & F.col("_book").isNotNull() & ~blank(F.col("source")), F.lit(False))
+    df = df.withColumn("context_ok", ok)
+    if_ok = lambda c, name: F.when(F.col("context_ok"), c).alias(name)
+    return df.select(
+        *requests.columns, "context_ok", if_ok(title, "title"),
+        if_ok(F.when(n == 1, _or_empty(one["instruction"])).otherwise(""), "instruction"), if_ok(F.col("source"), "source"),
+        if_ok(kind, "kind"), if_ok(_or_empty(F.col("source_language")), "source_language"), if_ok(n, "exercises"))

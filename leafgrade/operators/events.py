@@ -8,16 +8,16 @@ scans, and latest-wins is an aggregate.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
 from leafgrade.operators.scans import first_k, last_known, neighbour
-from leafgrade.session import cut_lineage
 
 DAY, HOUR, MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
 
@@ -36,7 +36,9 @@ def admit_quota(requests: DataFrame, session_limit: int, global_limit: int, zone
     day pass its own counter; of these, the first of the day pass the global
     one (a globally refused call has still used the session's count). Only the
     two cut-off positions are needed, so each counter is a salted top-k and the
-    log itself is joined once per counter with a small cut-off table.
+    log itself is joined once per counter with a small cut-off table. A session
+    limit below one admits nobody, also not the first call of a new day, which
+    an update of stored counters would let through.
     """
     order = list(order)
     df = requests.withColumn("usage_date", X.usage_date(F.col("ts"), zone)).withColumn("_at", F.struct(*order))
@@ -122,73 +124,47 @@ def cache_hits_from_writes(requests: DataFrame, writes: DataFrame, key: str = "c
 
 # ---- cache replay --------------------------------------------------------------
 
-def _fold_anchors(nodes: DataFrame, key: str) -> DataFrame:
-    """Anchors of ordinary keys: a fold over the key's sorted write times."""
-    grouped = nodes.groupBy(key).agg(F.array_sort(F.collect_set("_us")).alias("t"), F.first("_ttl").alias("_ttl"))
-    start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<bigint>").alias("anchors"))
+def _anchors(nodes: DataFrame, key: str) -> DataFrame:
+    """Write times of a key that start an entry: the first, then the first at or after each entry's end.
 
-    def step(acc: Column, t: Column) -> Column:
-        new = acc["until"].isNull() | (t >= acc["until"])
-        return F.struct(F.when(new, t + F.col("_ttl")).otherwise(acc["until"]).alias("until"),
-                        F.when(new, F.concat(acc["anchors"], F.array(t))).otherwise(acc["anchors"]).alias("anchors"))
-
-    return grouped.select(key, "_ttl", F.explode(F.aggregate("t", start, step, lambda a: a["anchors"])).alias("_us"))
-
-
-def _pointer_anchors(nodes: DataFrame, key: str, slices: int = 256) -> DataFrame:
-    """Anchors of hot keys without holding a key in one task.
-
-    Every write time points to the first write at least one TTL later (found
-    within time slices, then in the next non-empty slice). The anchors are what
-    the first write reaches; the reached set doubles per round, so the rounds
-    are the logarithm of the longest chain.
+    Times are dealt by key, sorted, and read as a stream that carries only the
+    present key and the end of its entry; inside a batch the walk jumps from
+    entry to entry by binary search.
     """
-    d = nodes.select(key, "_ttl", "_us").distinct()
-    grain = F.greatest(F.floor(F.col("_ttl") / slices), F.lit(1)).cast("long")
-    want = d.select(key, "_ttl", "_us", (F.col("_us") + F.col("_ttl")).alias("_at"), F.lit(None).cast("long").alias("_node"))
-    have = d.select(key, "_ttl", F.lit(None).cast("long").alias("_us"), F.col("_us").alias("_at"), F.col("_us").alias("_node"))
-    both = want.unionByName(have).withColumn("_slice", F.floor(F.col("_at") / grain).cast("long"))
-    # walking a slice backwards, the last node seen is the first one not before the wanted time
-    back = Window.partitionBy(key, "_slice").orderBy(F.desc("_at"), F.col("_node").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("_next", F.last("_node", ignorenulls=True).over(back)).where("_us IS NOT NULL")
-    firsts = have.withColumn("_slice", F.floor(F.col("_at") / grain).cast("long")).groupBy(key, "_slice").agg(F.min("_node").alias("_f"))
-    wanted_slices = both.select(key, "_slice").distinct().join(firsts, [key, "_slice"], "left")
-    after = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    later = wanted_slices.withColumn("_later", F.last("_f", ignorenulls=True).over(after)).select(key, "_slice", "_later")
-    jump = inside.join(later, [key, "_slice"], "left").select(
-        key, "_us", F.coalesce("_next", "_later").alias("_to")).where("_to IS NOT NULL")
-    jump = cut_lineage(jump)
-    span = d.groupBy(key).agg(((F.max("_us") - F.min("_us")) / F.first("_ttl")).alias("n")).agg(F.max("n")).first()[0] or 0
-    reached = cut_lineage(d.groupBy(key).agg(F.min("_us").alias("_us")))
-    rounds = max(1, math.ceil(math.log2(span + 2)))
-    for r in range(rounds):
-        reached = cut_lineage(reached.union(reached.join(jump, [key, "_us"]).select(key, F.col("_to").alias("_us"))).distinct())
-        if r + 1 < rounds:
-            two = jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._to") == F.col("b._us")))
-            jump = cut_lineage(two.select(F.col(f"a.{key}").alias(key), F.col("a._us").alias("_us"), F.col("b._to").alias("_to")))
-    return reached.join(d, [key, "_us"]).select(key, "_ttl", "_us")
-
-
-def cache_replay(requests: DataFrame, key: str = "cache_key", ttl: Column | None = None, hot_rows: int = 20_000) -> DataFrame:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, until = None, None
+        for pdf in batches:
+            keys, times, ttls = pdf[key].to_numpy(), pdf["_us"].to_numpy(), pdf["_ttl"].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
+            found: list[int] = []
+            for start, end in zip(edges, edges[1:]):
+                if until is None or keys[start] != now:
+                    now, until = keys[start], times[start]
+                at = start + int(np.searchsorted(times[start:end], until))
+                while at < end:
+                    found.append(at)
+                    until = times[at] + ttls[at]
+                    at += int(np.searchsorted(times[at:end], until))
+            yield pdf.iloc[found]
+
+    slim = nodes.select(key, "_ttl", "_us").distinct()
+    return slim.repartition(key).sortWithinPartitions(key, "_us").mapInPandas(walk, slim.schema)
+
+
+def cache_replay(requests: DataFrame, key: str = "cache_key", ttl: Column | None = None) -> DataFrame:
     """Replay of the response cache: adds ``hit``.
 
     ``requests``: request_id, ts, action, ``key``, provider_ok. An entry serves
     strictly less than its TTL (7 days, 1 hour for check and ask); hits do not
     refresh it; only a successful miss writes. So writes of a key are at least
     one TTL apart: the first success, then the first success at or after its
-    end, and so on. Keys with more than ``hot_rows`` requests are chained by
-    pointer doubling, all others by a fold over their write times.
+    end, and so on. A key's distinct success times stream through one task in
+    constant memory; the log itself is joined by key and TTL-sized bucket.
     """
     r = timed(requests, cache_ttl(F.col("action")) if ttl is None else ttl)
     # one TTL per key: the action is part of the key
     ok = r.where(F.coalesce("provider_ok", F.lit(False))).select(key, "_ttl", "_us")
-    counts = ok.groupBy(key).count()
-    hot = cut_lineage(counts.where(F.col("count") > hot_rows).select(key))
-    if hot.isEmpty():
-        anchors = _fold_anchors(ok, key)
-    else:
-        anchors = _fold_anchors(ok.join(hot, key, "left_anti"), key).unionByName(
-            _pointer_anchors(ok.join(hot, key, "left_semi"), key))
+    anchors = _anchors(ok, key)
     # the anchor request itself is a miss: the first success at that instant
     writers = r.where(F.coalesce("provider_ok", F.lit(False))).join(anchors.select(key, "_us"), [key, "_us"]).groupBy(
         key, "_us").agg(F.min("request_id").alias("_writer"), F.first("_ttl").alias("_ttl"))

@@ -214,6 +214,16 @@ def source_pairs(expected: Column, pairs: Column, payload_type: Column) -> Colum
         X.expected_pairs(F.coalesce(expected, F.lit(""))))
 
 
+def with_source_pairs(rows: DataFrame, out: str, expected: Column, pairs: Column, payload_type: Column) -> DataFrame:
+    """Adds the source pairs with composed labels (C12): labels meet items whatever form either was written in."""
+    labels = X.nfc_each(F.concat(F.transform(pairs, lambda p: p["leftLabel"]), F.transform(pairs, lambda p: p["rightLabel"])))
+    rows = rows.withColumns({"_pairs": pairs, "_labels": labels, "_text": X.nfc(F.coalesce(expected, F.lit("")))})
+    n = F.size("_pairs")
+    named = F.when(F.col("_pairs").isNotNull(), F.zip_with(
+        F.slice("_labels", F.lit(1), n), F.slice("_labels", n + 1, n), lambda a, b: F.struct(a.alias("leftLabel"), b.alias("rightLabel"))))
+    return rows.withColumn(out, source_pairs(F.col("_text"), named, payload_type)).drop("_pairs", "_labels", "_text")
+
+
 def compare_matching(learner: Column, has_entry: Column, wanted_source: Column, left_items: Column,
                      right_items: Column) -> Column:
     """Expected pairs must resolve completely and one-to-one, or the result is ambiguous."""
@@ -258,9 +268,9 @@ def grade_all(rows: DataFrame, out: str = "result") -> DataFrame:
     The text of a row is composed once for all kinds.
     """
     has_entry = F.col("expected").isNotNull()
-    pairs = source_pairs(F.col("expected"), F.col("pairs"), F.col("payload_type"))
     prepared = rows.withColumn("_li", compose_items(F.col("left_items"))).withColumn(
         "_ri", compose_items(F.col("right_items")))
+    prepared = with_source_pairs(prepared, "_source", F.col("expected"), F.col("pairs"), F.col("payload_type"))
     by_kind = (
         F.when(F.col("kind") == "fill-in-line", compare_blank(
             F.col("learner"), has_entry, F.col("expected"), F.col("alternatives"), F.col("case_sensitive")))
@@ -270,12 +280,12 @@ def grade_all(rows: DataFrame, out: str = "result") -> DataFrame:
         .when(F.col("kind") == "sentence-ordering", compare_ordering(
             F.col("learner"), has_entry, F.col("expected"), F.col("item_count")))
         .when(F.col("kind") == "matching", compare_matching(
-            F.col("learner"), has_entry, pairs, F.col("_li"), F.col("_ri")))
+            F.col("learner"), has_entry, F.col("_source"), F.col("_li"), F.col("_ri")))
         .when(F.col("kind") == "free-text", check_free_text(F.coalesce(F.col("payload_type") == "Reference", F.lit(False))))
     )
     graded = F.when(F.coalesce(F.col("resolution"), F.lit("RESOLVED")) != "RESOLVED",
                     _result(_null(), F.col("resolution"))).otherwise(by_kind)
-    return prepared.withColumn(out, graded).drop("_li", "_ri")
+    return prepared.withColumn(out, graded).drop("_li", "_ri", "_source")
 
 
 def is_source_backed(kind: Column, resolution: Column) -> Column:

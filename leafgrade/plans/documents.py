@@ -31,7 +31,7 @@ PAGE_SQL = "CAST(doc_id // 16 AS VARCHAR) AS book_id, CAST(doc_id % 16 + 1 AS IN
 
 def _build(spark, sf, interactions: bool = True):
     d = T.table(spark, sf, "documents").select("doc_id", "text").withColumn("lines", F.split("text", "\n"))
-    d = T.spread(d).withColumn("lines", F.transform("lines", lambda t, i: F.struct(
+    d = d.withColumn("lines", F.transform("lines", lambda t, i: F.struct(
         t.alias("t"), i.alias("i"), F.length(t).alias("n"), ((i * 4 + F.length(t) % 4) / 512.0).alias("y"))))
     page = (F.col("doc_id") % 16 + 1).cast("int")
     num = lambda i: i.cast("string")
@@ -272,61 +272,65 @@ def _books(spark, sf):
         "book_id", F.concat(F.lit("Buch "), F.col("book_id")).alias("title"), F.lit("de").alias("source_language"))
 
 
-@query("request_contexts", "K6 P4 G11 T5", f"""{WITH_LINES}, q AS (SELECT event_id, CAST(event_id % (SELECT max(doc_id) + 1 FROM documents) AS BIGINT) AS doc_id, CAST(event_id % 24 AS INT) AS i FROM events),
+@query("request_contexts", "K6 P4 G11 T5", f"""{WITH_LINES}, n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY 1),
+q AS (SELECT event_id, n.doc_id, CAST(event_id * 7919 % n.n AS INT) AS i FROM events JOIN n ON n.doc_id = event_id % (SELECT max(doc_id) + 1 FROM documents)),
 b AS (SELECT q.event_id, q.doc_id, q.i, l.len FROM q JOIN ln l ON l.doc_id = q.doc_id AND l.i = q.i AND l.len % 11 = 5),
 e AS (SELECT doc_id, i FROM ln WHERE len % 11 < 6 AND i % 16 = 1),
 o AS (SELECT b.*, (SELECT min(e.i) FROM e WHERE e.doc_id = b.doc_id AND (e.i = b.i OR e.i + 8 = b.i)) AS lead FROM b),
-s AS (SELECT o.*, unnest(CASE WHEN lead IS NULL THEN [i, i + 1] ELSE [lead + 2, lead + 3] END) AS si FROM o)
-SELECT s.event_id, 'Buch ' || (s.doc_id // 16) || CASE WHEN lead IS NULL THEN '' ELSE ' — Titel' END AS title,
- md5(left(coalesce(string_agg(l.line, ' ' ORDER BY s.si), ''), 8000)) AS digest FROM s LEFT JOIN ln l ON l.doc_id = s.doc_id AND l.i = s.si AND l.line <> '' GROUP BY 1, 2""")
+s AS (SELECT o.*, unnest(CASE WHEN lead IS NULL THEN [i, i + 1] ELSE [lead + 2, lead + 3] END) AS si FROM o),
+c AS (SELECT s.event_id, 'Buch ' || (s.doc_id // 16) || CASE WHEN lead IS NULL THEN '' ELSE ' — Titel' END AS title,
+ md5(left(coalesce(string_agg(l.line, ' ' ORDER BY s.si), ''), 8000)) AS digest FROM s LEFT JOIN ln l ON l.doc_id = s.doc_id AND l.i = s.si AND l.line <> '' GROUP BY 1, 2)
+SELECT q.event_id, c.event_id IS NOT NULL AS context_ok, c.title, c.digest FROM q LEFT JOIN c USING (event_id)""")
 def _(spark, sf):
-    """Requests for free-text interactions of all pages; the asked line exists on some of them."""
+    """Requests for a free-text interaction at some line of a page; it exists at some of them."""
     docs = documents(spark, sf)
-    n = T.table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n"))
-    ev = T.events(spark, sf).select("event_id", F.lit(1).alias("_one")).join(n.withColumn("_one", F.lit(1)), "_one")
-    doc = F.col("event_id") % F.col("n")
-    requests = ev.select("event_id", F.floor(doc / 16).cast("string").alias("book_id"), (doc % 16 + 1).cast("int").alias("page_number"),
-                         F.concat(F.lit("free-"), (F.col("event_id") % 24).cast("string")).alias("exercise_id"))
+    d = T.table(spark, sf, "documents")
+    per_page = d.select(F.col("doc_id").alias("doc"), F.size(F.split("text", "\n")).alias("n"))
+    ev = T.events(spark, sf).select("event_id", (F.col("event_id") % d.agg(F.max("doc_id") + 1).scalar()).alias("doc")).join(per_page, "doc")
+    requests = ev.select("event_id", F.floor(F.col("doc") / 16).cast("string").alias("book_id"), (F.col("doc") % 16 + 1).cast("int").alias("page_number"),
+                         F.concat(F.lit("free-"), (F.col("event_id") * 7919 % F.col("n")).cast("string")).alias("exercise_id"))
     slots = P.explode_interactions(docs).select("book_id", "page_number", "kind", "ordinal", F.lit("UNMAPPED").alias("resolution"))
     out = CX.build_context(requests, docs, _books(spark, sf), slots)
-    return out.select("event_id", "title", F.md5("source").alias("digest"))
+    return out.select("event_id", "context_ok", "title", F.md5("source").alias("digest"))
 
 
 @query("selection_contexts", "K7 F5 J13 J14 X7 X8")
 def _(spark, sf):
     """One selection per event on its page; checked by fixtures in the tests."""
     docs = documents(spark, sf)
-    n = T.table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n"))
-    ev = T.events(spark, sf).select("event_id", "k", F.lit(1).alias("_one")).join(n.withColumn("_one", F.lit(1)), "_one")
-    doc = F.col("event_id") % F.col("n")
-    requests = ev.select("event_id", F.floor(doc / 16).cast("string").alias("book_id"), (doc % 16 + 1).cast("int").alias("page_number"),
+    d = T.table(spark, sf, "documents")
+    ev = T.events(spark, sf).select("event_id", "k", (F.col("event_id") % d.agg(F.max("doc_id") + 1).scalar()).alias("doc"))
+    requests = ev.select("event_id", F.floor(F.col("doc") / 16).cast("string").alias("book_id"), (F.col("doc") % 16 + 1).cast("int").alias("page_number"),
                          G.box(F.col("k") / 256.0, F.col("k") / 1024.0, 0.25, 0.0625).alias("selection"))
-    return CX.build_selection_context(requests, docs, _books(spark, sf)).select("event_id", "title", "kind", "exercises", F.md5("source").alias("digest"))
+    out = CX.build_selection_context(requests, docs, _books(spark, sf))
+    return out.select("event_id", "context_ok", "title", "kind", "exercises", F.md5("source").alias("digest"))
 
 
 # ---- answer keys ---------------------------------------------------------------
 
 def _key_spans(spark, sf):
-    """Solution pages: a heading, then per six lines one section header, four numbered blocks and one wrapped line."""
-    d = T.table(spark, sf, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """A book of solution pages per text, 96 lines each: a heading, then per six lines one section header, four numbered blocks and one wrapped line."""
+    d = T.table(spark, sf, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    d = d.withColumns({"i": F.col("at") % 96, "page": F.floor(F.col("at") / 96).cast("int") + 1})
     i, unit = F.col("i"), (F.floor(F.col("i") / 6) + 1).cast("string")
     kind = F.when(F.floor(i / 6) % 2 == 0, "Thema").otherwise("Zuordnen")
     text = (F.when(i == 0, "Lösungen").when(i % 6 == 1, F.concat(unit, F.lit(" "), kind, F.lit(" "), F.col("lang")))
             .when(i % 6 == 0, F.concat(F.lit("weiter "), F.col("lang")))
             .otherwise(F.concat((i % 6).cast("string"), F.lit(" 1. "), F.col("lang"), F.lit(" 2. 1A-2B "), F.col("source"))))
-    return d.select(F.floor(F.col("doc_id") / 16).cast("string").alias("book_id"), (F.col("doc_id") % 16 + 1).cast("int").alias("page_number"),
-                    i.alias("idx"), F.concat(F.lit("span-"), (F.col("doc_id") % 16 + 1).cast("string"), F.lit("-"), i.cast("string")).alias("id"),
+    return d.select(F.col("doc_id").cast("string").alias("book_id"), F.col("page").alias("page_number"),
+                    i.alias("idx"), F.concat(F.lit("span-"), F.col("page").cast("string"), F.lit("-"), i.cast("string")).alias("id"),
                     text.alias("text"), F.when(i % 9 == 4, 0.75).otherwise(1.0).alias("confidence"), F.lit(None).cast("string").alias("parent_line_id"),
                     G.box(0.125, i / 128.0, 0.25, 1 / 256).alias("bbox"))
 
 
-@query("key_entries", "K1 D1 W6 W7 A2 C9 C10 C11 C19 C20 F7", f"""{WITH_LINES}, e AS (SELECT l.doc_id, l.i, d.lang, d.source, max(l.i) OVER (PARTITION BY l.doc_id) AS last FROM ln l JOIN documents d USING (doc_id))
-SELECT {PAGE_SQL}, CAST(doc_id % 16 + 1 AS INT) AS source_page, CAST(i // 6 + 1 AS INT) AS unit_number, CAST(i % 6 AS VARCHAR) AS marker, CAST(i % 6 - 1 AS INT) AS ordinal,
+@query("key_entries", "K1 D1 W6 W7 A2 C9 C10 C11 C19 C20 F7", f"""{WITH_LINES}, e AS (SELECT l.doc_id, l.i // 96 AS p, l.i % 96 AS i, d.lang, d.source, max(l.i % 96) OVER (PARTITION BY l.doc_id, l.i // 96) AS last
+ FROM ln l JOIN documents d USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS book_id, CAST(p + 1 AS INT) AS page_number, CAST(p + 1 AS INT) AS source_page, CAST(i // 6 + 1 AS INT) AS unit_number, CAST(i % 6 AS VARCHAR) AS marker, CAST(i % 6 - 1 AS INT) AS ordinal,
  CASE WHEN i // 6 % 2 = 0 THEN 'FillBlank' ELSE 'Matching' END AS key_kind,
  '1. ' || lang || ' 2. 1A-2B ' || source || CASE WHEN i % 6 = 5 AND i < last THEN ' weiter ' || lang ELSE '' END AS expected_value,
  lang || '|1A-2B ' || source || CASE WHEN i % 6 = 5 AND i < last THEN '   weiter ' || lang ELSE '' END AS items,
  CASE WHEN i // 6 % 2 = 1 THEN '1A2B' END AS pairs, CASE WHEN i % 9 = 4 THEN 1 ELSE 0 END + CASE WHEN i % 6 = 5 AND i < last AND (i + 1) % 9 = 4 THEN 1 ELSE 0 END AS warnings
-FROM e WHERE i % 6 >= 2 AND i <= 115""")
+FROM e WHERE i % 6 >= 2""")
 def _(spark, sf):
     e = AK.extract_answer_key(_key_spans(spark, sf), "cornelsen")
     pairs = F.array_join(F.transform("payload.pairs", lambda p: F.concat(p["leftLabel"], p["rightLabel"])), "")
@@ -334,7 +338,7 @@ def _(spark, sf):
                     F.array_join("items", "|").alias("items"), pairs.alias("pairs"), F.size("warnings").alias("warnings"))
 
 
-@query("source_page_ranges", "A9", f"""{WITH_LINES}, e AS (SELECT doc_id FROM ln WHERE i % 6 >= 2 AND i <= 115), r AS (SELECT doc_id // 16 AS b, min(doc_id % 16 + 1) AS lo, max(doc_id % 16 + 1) AS hi FROM e GROUP BY 1)
+@query("source_page_ranges", "A9", f"""{WITH_LINES}, r AS (SELECT doc_id AS b, min(i // 96 + 1) AS lo, max(i // 96 + 1) AS hi FROM ln WHERE i % 96 % 6 >= 2 GROUP BY 1)
 SELECT CAST(b AS VARCHAR) AS book_id, CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END AS source_page_range FROM r""")
 def _(spark, sf):
     return AK.source_page_range(AK.extract_answer_key(_key_spans(spark, sf), "cornelsen"))
@@ -412,7 +416,7 @@ def _(spark, sf):
 @query("ordering_prompts", "K8 K9 W11 C8 A10")
 def _(spark, sf):
     """Lines become scrambled sentences (spaces as separators); checked on a hand-made page in the tests."""
-    s = T.spans(spark, sf).withColumn("text", F.regexp_replace(F.substring_index(F.col("text"), ".", 1), " ", " • "))
+    s = T.spans(spark, sf).withColumn("text", F.regexp_replace(F.translate("text", ".", ","), " ", " • "))
     spans = s.select(F.floor(F.col("doc_id") / 16).cast("string").alias("book_id"), (F.col("doc_id") % 16 + 1).cast("int").alias("page_number"),
                      F.lit(1024).alias("page_width"), F.lit(2048).alias("page_height"), "idx", "id", "text", "bbox")
     p = O.ordering_prompts(spans)

@@ -236,7 +236,7 @@ def _answers(spark, sf):
     f, s, n = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
     answer = (F.when(n % 5 == 0, "  ").when(n % 5 == 1, F.concat(F.lit(" "), F.upper(f), F.lit("  "), s))
               .when(n % 5 == 2, F.concat(f, F.lit(" x"))).when(n % 5 == 3, F.lower(s)).otherwise(F.concat(f, F.lit("–"), s)))
-    return T.spread(T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f, s, answer.alias("answer")))
+    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f, s, answer.alias("answer"))
 
 
 @query("verdict_blank", "G4 C3", f"""WITH a AS (SELECT *, {ANSWER} AS answer, l_partkey % 9 = 0 AS cs FROM lineitem),
@@ -289,7 +289,7 @@ def _(spark, sf):
     labels = F.array(*[F.lit(v) for v in OPTIONS])
     learner = F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.concat(F.lit("o"), (F.col("l_orderkey") % 3).cast("string")))
     r = G.compare_choice(learner, F.col("l_suppkey") % 7 != 0, F.get(labels, (F.col("l_partkey") % 4).cast("int")), _options())
-    rows = T.spread(T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    rows = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rows.withColumn("r", r).select("l_orderkey", "l_linenumber", "l_partkey", "r.verdict", "r.resolution")
 
 
@@ -307,7 +307,7 @@ def _(spark, sf):
     wanted = F.array(*[F.get(labels, ((k + i) % 5).cast("int")) for i in range(3)])
     expected = F.array_join(F.when(k % 3 == 0, F.slice(wanted, 1, 2)).otherwise(wanted), " ,")
     r = G.compare_grid(rows, F.lit(True), expected, _options())
-    return T.spread(T.table(spark, sf, "orders").select("o_orderkey")).withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
+    return T.table(spark, sf, "orders").select("o_orderkey").withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
 
 
 @query("verdict_ordering", "G7 C14", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS shift, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 3 ELSE 4 END AS n FROM orders),
@@ -323,7 +323,7 @@ def _(spark, sf):
     spot = lambda i: F.when(shift == 0, i).when((shift == 1) & (i < 2), 1 - i).otherwise((i + shift) % 4)
     got = F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), F.lit(1), n), lambda i: F.concat(F.lit("i"), spot(i).cast("string")))
     r = G.compare_ordering(F.array_join(got, ","), F.lit(True), F.lit("i0, i1,i2 ,i3"), 4 - (k % 2))
-    return T.spread(T.table(spark, sf, "orders").select("o_orderkey")).withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
+    return T.table(spark, sf, "orders").select("o_orderkey").withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
 
 
 @query("verdict_matching", "G8 J11 C12 C13", """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey % 3 AS b, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 5 = 1 THEN 3 ELSE 2 END AS n FROM orders),
@@ -339,9 +339,17 @@ def _(spark, sf):
     parts = F.array(F.concat(F.lit('"l0":"r'), a, F.lit('"')), F.concat(F.lit('"l1":"r'), (b.cast("int") + 1).cast("string"), F.lit('"')), F.lit('"l9":"r9"'))
     learner = F.concat(F.lit("{"), F.array_join(F.slice(parts, F.lit(1), n), ","), F.lit("}"))
     expected = F.when(k % 9 == 0, "1=A;2=Z").otherwise("1=A; 2->TEXT  R1")
-    pairs = G.source_pairs(expected, F.lit(None).cast("array<struct<leftLabel:string,rightLabel:string>>"), F.lit("Text"))
-    r = G.compare_matching(learner, F.lit(True), pairs, side("l", ["1", "2"]), side("r", ["A", "B", "C"]))
-    return T.spread(T.table(spark, sf, "orders").select("o_orderkey")).withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
+    # the same pairs as a payload whose first label is an umlaut: a letter and a mark in the key, one sign on the page or the other way
+    umlaut, split = "\u00e4", "a\u0308"
+    pair = lambda left, right: F.struct(left.alias("leftLabel"), right.alias("rightLabel"))
+    named = F.array(pair(F.lit("1"), F.when(k % 2 == 0, split).otherwise(umlaut)), pair(F.lit("2"), F.when(k % 9 == 0, "Z").otherwise("Text r1")))
+    first = F.when(k % 6 == 1, split).when(k % 3 == 1, umlaut).otherwise("A")
+    lefts = side("l", ["1", "2"])
+    rights = F.transform(side("r", ["A", "B", "C"]), lambda i: F.struct(i["id"].alias("id"), F.when(i["label"] == "A", first).otherwise(i["label"]).alias("label"), i["text"].alias("text")))
+    rows = T.table(spark, sf, "orders").select("o_orderkey").withColumns({"li": G.compose_items(lefts), "ri": G.compose_items(rights)})
+    rows = G.with_source_pairs(rows, "pairs", expected, F.when(k % 3 == 1, named), F.when(k % 3 == 1, "Matching").otherwise("Text"))
+    r = G.compare_matching(learner, F.lit(True), F.col("pairs"), F.col("li"), F.col("ri"))
+    return rows.withColumn("r", r).select(k.alias("k"), "r.verdict", "r.correct")
 
 
 @query("verdict_server_matching", "G3 C11", """WITH p AS (SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 2 AS b, p_partkey % 7 = 0 AS none FROM part)

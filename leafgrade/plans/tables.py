@@ -16,21 +16,11 @@ DOC = ["doc_id"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # the tables hold zone-less times; reading them as UTC instants keeps them as they are
+    # the tables hold zone-less times; reading them as UTC instants keeps them as they are, whatever zone the caller's session has
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has fewer splits than that.
-
-    For row-wise work on a few small files; a large table has splits enough
-    and is left alone, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))

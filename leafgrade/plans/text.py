@@ -25,7 +25,7 @@ def _(spark, sf):
     d = T.table(spark, sf, "documents")
     k = F.col("doc_id")
     t = X.normalize_answer(F.col("text"), k % 3 == 0, k % 2 == 0)
-    return T.spread(d.select("doc_id", "text")).withColumn("t", t).select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"))
+    return d.select("doc_id", "text").withColumn("t", t).select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"))
 
 
 @query("comparison_text", "C3", """WITH a AS (SELECT conv_id, turn, nfc_normalize(text) AS t FROM conversations),
@@ -45,7 +45,7 @@ def _(spark, sf):
     wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     plain = ~F.col("text").rlike(r"[^\u0000-ÿ]")
     broken = d.withColumn("text", F.when((F.col("doc_id") % 2 == 0) & plain, wrong).otherwise(F.col("text")))
-    return Q.mojibake_report(T.spread(broken), "text", ["lang"])
+    return Q.mojibake_report(broken, "text", ["lang"])
 
 
 @query("span_texts", "C4", f"""WITH {T.SPANS},
@@ -170,7 +170,7 @@ def _(spark, sf):
     right = (F.when(k % 3 == 0, F.array(span(0, 0.25, 0.0, F.lit("B")), span(1, 0.25, 0.5, name)))
              .when(k % 3 == 1, F.array(span(0, 0.25, 0.0, F.concat(F.lit("• ABei "), name))))
              .otherwise(F.array(span(0, 0.25, 0.0, F.concat(F.lit("Anna "), name)))))
-    rows = T.spread(T.table(spark, sf, "part")).withColumn("l", left_label(left)).withColumn("r", right_label(right))
+    rows = T.table(spark, sf, "part").withColumn("l", left_label(left)).withColumn("r", right_label(right))
     return rows.select("p_partkey", F.col("l.label").alias("left_label"), item_text(F.col("l.spans"))["text"].alias("left_text"),
                        F.col("r.label").alias("right_label"), item_text(F.col("r.spans"))["text"].alias("right_text"))
 
@@ -205,7 +205,7 @@ def _(spark, sf):
     raw = (F.when(m == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(m == 1, body).when(m == 2, F.concat(F.lit("Sure: "), body, F.lit(" ok")))
            .when(m == 3, F.concat(F.lit("no json: "), F.col("role"))).when(m == 4, "").otherwise(F.lit('{"content": 5, "verdict": "uncertain"}')))
     log = c.select(F.when(F.col("turn") % 2 == 0, "check").otherwise("hint").alias("action"), raw.alias("raw_text"))
-    return Q.model_output_audit(T.spread(log))
+    return Q.model_output_audit(log)
 
 
 @query("answer_alternatives", "C19", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_name || ' und ' || p_type || ' oder ' || p_brand || ' — x' END AS first,

@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from leafgrade.operators import events as E
@@ -41,8 +40,7 @@ def test_quota_equals_replay(spark):
     assert {r.outcome for r in E.admit_quota(df, 0, 5).select("outcome").distinct().collect()} == {"SESSION_LIMIT_REACHED"}
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 10])
-def test_cache_replay_equals_replay(spark, hot):
+def test_cache_replay_equals_replay(spark):
     rows, df = log(spark, random.Random(2), n=300, seconds=2_000_000)
     until, want = {}, {}
     for i, ts, _, k, action, ok in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -50,7 +48,7 @@ def test_cache_replay_equals_replay(spark, hot):
         want[i] = key in until and ts < until[key]
         if not want[i] and ok:
             until[key] = ts + (dt.timedelta(hours=1) if action == "check" else dt.timedelta(days=7))
-    got = {r.request_id: r.hit for r in E.cache_replay(df, hot_rows=hot).collect()}
+    got = {r.request_id: r.hit for r in E.cache_replay(df).collect()}
     assert got == want
 
 

@@ -109,7 +109,7 @@ def test_contexts(spark):
     req = spark.createDataFrame([(1, "b", 1, "c2"), (2, "b", 1, "b1"), (3, "b", 1, "zzz")], "request_id int, book_id string, page_number int, exercise_id string")
     slots = spark.createDataFrame([("b", 1, "choice", 1, "RESOLVED")], "book_id string, page_number int, kind string, ordinal int, resolution string")
     got = {r.request_id: r for r in context.build_context(req, docs, books(spark), slots).collect()}
-    assert set(got) == {1, 2} and got[1].title == "Buch — Titel" and got[1].options == ["nein"] and got[1].source_backed
+    assert {k: r.context_ok for k, r in got.items()} == {1: True, 2: True, 3: False} and got[3].title is None and got[1].title == "Buch — Titel" and got[1].options == ["nein"] and got[1].source_backed
     assert got[1].source == "Er kommt heute. Sie geht. ja (Tipp hier)" and got[2].source == "a) Ich gern Tee ." and not got[2].source_backed
 
 
@@ -120,7 +120,7 @@ def test_selection_contexts(spark):
     req = spark.createDataFrame([(i, "b", 1, x, y, w, h) for i, x, y, w, h in rows], "request_id int, book_id string, page_number int, x double, y double, w double, h double")
     req = req.withColumn("selection", G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).drop("x", "y", "w", "h")
     got = {r.request_id: r for r in context.build_selection_context(req, docs, books(spark)).collect()}
-    assert set(got) == {1, 2, 5}
+    assert {k for k, r in got.items() if r.context_ok} == {1, 2, 5} and len(got) == 5 and got[4].source is None
     assert got[1].title == "Buch — Exercise 1: Titel" and got[1].kind == "choice" and got[1].source == "Er kommt heute. ja"
     assert got[2].title == "Buch — selected page region" and got[2].source == "a) Ich gern Tee ."
     assert got[5].title == "Buch — selected exercises 1, 2" and got[5].source == "Er kommt heute. ja Sie geht."
