@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrade.functions.arrays import let
+from leafgrade.functions.arrays import let, no_strings
 
 UNIT_KIND = ["book_id", "unit_number", "kind"]
 
@@ -83,16 +83,6 @@ def page_allocation(capacities: DataFrame, blocks: DataFrame) -> DataFrame:
                        F.col("z.pages.capacity").alias("capacity"), "z.walk.*")
 
 
-def place_blocks(allocation: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks that found a page, with the ordinal of their first item on it."""
-    starts = allocation.where("next_block > first_block").select(
-        *UNIT_KIND, "page_number", F.explode(F.expr("sequence(first_block, next_block - 1)")).alias("block"))
-    placed = starts.join(blocks, [*UNIT_KIND, "block"])
-    w = Window.partitionBy(*UNIT_KIND, "page_number").orderBy("block")
-    before = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("first_ordinal", F.coalesce(before, F.lit(0)).cast("long"))
-
-
 def allocate_blocks(capacities: DataFrame, entries: DataFrame) -> DataFrame:
     """K2: one slot per interaction: kind, ordinal, resolution and, when resolved, the entry item.
 
@@ -104,16 +94,25 @@ def allocate_blocks(capacities: DataFrame, entries: DataFrame) -> DataFrame:
     leaves the rest ambiguous; an item with an unreadable character is
     ambiguous; interactions beyond all blocks are unmapped.
     """
-    sized = entries.withColumn("size", F.coalesce(F.size("items"), F.lit(0)))
-    allocation = page_allocation(capacities, sized.select(*UNIT_KIND, "block", "size"))
-    placed = place_blocks(allocation, sized.where("size > 0"))
-    items = placed.select(*UNIT_KIND, "page_number", "block", "first_ordinal",
-                          F.posexplode("items").alias("item_index", "item")).select(
-        *UNIT_KIND, "page_number", (F.col("first_ordinal") + F.col("item_index")).alias("ordinal"), "block",
-        "item_index", "item")
-    slots = allocation.select(*UNIT_KIND, "page_number", "used", "ambiguous_rest",
-                              F.explode(F.expr("sequence(0L, capacity - 1L)")).alias("ordinal"))
-    joined = slots.join(items, [*UNIT_KIND, "page_number", "ordinal"], "left")
+    pages = capacities.where("capacity > 0").groupBy(*UNIT_KIND).agg(
+        F.array_sort(F.collect_list(F.struct("page_number", "capacity"))).alias("pages"))
+    sized = entries.select(*UNIT_KIND, "block", F.coalesce(F.size("items"), F.lit(0)).alias("size"), "items")
+    keys = sized.groupBy(*UNIT_KIND).agg(F.array_sort(F.collect_list(F.struct("block", "size", "items")), lambda x, y: x["block"] - y["block"]).alias("blocks"))
+    # a page's items are gathered in the row of its unit, so pages and entries are each dealt once
+    items_of = lambda w: F.flatten(F.transform(
+        F.slice("blocks", w["first_block"] + 1, w["next_block"] - w["first_block"]), lambda b: F.transform(
+            F.when(b["size"] > 0, b["items"]).otherwise(no_strings()),
+            lambda item, i: F.struct(b["block"].alias("block"), i.alias("item_index"), item.alias("item")))))
+    both = pages.join(keys, UNIT_KIND, "left")
+    sizes = F.coalesce("blocks.size", F.array().cast("array<int>"))
+    walked = both.withColumn("walk", _walk(F.col("pages.capacity"), sizes))
+    settled = F.transform(F.arrays_zip("pages", "walk"), lambda z: F.struct(
+        z["pages"]["page_number"].alias("page_number"), z["pages"]["capacity"].alias("capacity"),
+        z["walk"]["ambiguous_rest"].alias("ambiguous_rest"), items_of(z["walk"]).alias("items")))
+    found = walked.select(*UNIT_KIND, F.explode(settled).alias("p")).select(*UNIT_KIND, "p.*")
+    slots = found.select(*UNIT_KIND, "page_number", "ambiguous_rest", "items", F.explode(F.expr("sequence(0L, capacity - 1L)")).alias("ordinal"))
+    joined = slots.withColumn("_i", F.get("items", F.col("ordinal").cast("int"))).select(
+        *UNIT_KIND, "page_number", "ordinal", "ambiguous_rest", "_i.*")
     unreadable = F.col("item").contains("�")
     resolution = (
         F.when(F.col("item").isNotNull() & ~unreadable, "RESOLVED")
