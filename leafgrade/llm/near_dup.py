@@ -48,6 +48,12 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def set_hash(shingles: np.ndarray, factors: np.ndarray) -> list[np.int64]:
+    """Two 64-bit hashes of a set."""
+    x = shingles ^ (shingles >> np.uint64(32))
+    return [((x * f) ^ (x * f >> np.uint64(29))).sum(dtype=np.uint64).view(np.int64) for f in factors]
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the set's hash (s1, s2), band hashes, and the minima at 16 bits each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +69,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     continue
                 m = minima(s, a, b)
                 band = ((m ^ (m >> np.uint64(29))).reshape(bands, rows) * row_factors).sum(axis=1, dtype=np.uint64)
-                x = s ^ (s >> np.uint64(32))
-                one, two = ((x * f ^ (x * f >> np.uint64(29))).sum(dtype=np.uint64) for f in set_factors)
-                out.append((len(s), one.view(np.int64), two.view(np.int64), band.view(np.int64), (m >> np.uint64(48)).astype(np.uint16).tobytes()))
+                out.append((len(s), *set_hash(s, set_factors), band.view(np.int64), (m >> np.uint64(48)).astype(np.uint16).tobytes()))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
@@ -74,6 +78,24 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids; few ids go to every task, more meet the documents in a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def lone_shingles(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """For the sets of documents ``ids``, how many shingles of each occur in none of the others: s1, alone (no row for 0)."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, set_factors = Shingler(shingle), odd("set", 2)
+        for batch in batches:
+            for t in batch.column(1):
+                s = shingler.of(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), set_hash(s, set_factors)[0])), pa.array(s.view(np.int64))], names=["s1", "s"])
+
+    held = only(docs, ids).mapInArrow(rows, "s1 long, s long").groupBy("s").agg(F.min("s1").alias("a"), F.max("s1").alias("b"))
+    return held.where("a = b").groupBy(F.col("a").alias("s1")).agg(F.count(F.lit(1)).alias("alone"))
+
+
 def alike(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int, margin: float) -> DataFrame:
     """Those of the pairs (u, v) whose full sets agree: first by signature, within ``margin`` of the limit, then exactly."""
     both = pairs.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su"), F.col("n_shingles").alias("nu")), "u").join(
@@ -89,7 +111,6 @@ def alike(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, perc
 
     close = shared_table(both.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long").distinct(), "near-close")
     ids = shared_table(close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -97,7 +118,7 @@ def alike(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, perc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
                                              names=["doc_id", "set"])
 
-    full = shared_table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "near-sets")
+    full = shared_table(only(docs, ids).mapInArrow(sets, "doc_id long, set binary"), "near-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +172,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     in ``HUB_ORDERS`` bands out of as many with other hubs; links are confirmed
     on signatures and then on full sets. A bucket whose members are still in
     different components then compares members across components, so no
-    member's partners are cut off. With 32 bands of 4 rows a pair at 0.8
-    meets nowhere once in 20 million, and the signature margin loses as few.
+    member's partners are cut off; there, shingles that no other such document
+    holds bound a pair's intersection, and pairs that cannot reach the limit
+    are not made (a copy's own edits rule out most of its group). With 32
+    bands of 4 rows a pair at 0.8 meets nowhere once in 20 million, and the
+    signature margin loses as few.
 
     component_id is the smallest doc_id reachable, kept says that it is the
     document's own. Documents without words have no shingles and are their
@@ -178,10 +202,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     here = met.where("n > 2").select("bucket", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("least", "doc_id").alias("part"))
     split = here.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
-    here = shared_table(here.join(split, "bucket").join(classes.select("doc_id", "n_shingles"), "doc_id"), "near-open")
+    here = shared_table(here.join(split, "bucket"), "near-split")
+    ids = shared_table(here.select("doc_id").distinct(), "near-ids")
+    lone = lone_shingles(texts, ids, shingle)
+    here = here.join(classes.select("doc_id", "s1", "n_shingles"), "doc_id").join(lone, "s1", "left").withColumn(
+        "common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    here = shared_table(here.select("bucket", "doc_id", "part", "n_shingles", "common"), "near-open")
     x, y = here.alias("x"), here.alias("y")
+    most = F.least("x.common", "y.common")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.doc_id") < F.col("y.doc_id"))
-                    & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")))
+                    & (100 * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)))
     across = across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     more = shared_table(alike(across, classes, texts, shingle, percent, margin), "near-links")
     if not more.isEmpty():
