@@ -147,8 +147,9 @@ def _drill(rng: random.Random) -> Iterator[tuple[str, str, int]]:
 def training_set(docs: DataFrame, sample_docs: int, seed: int, rounds: int = 60) -> pd.DataFrame:
     """Labelled candidates: examples made by rule and those of a bounded sample of documents.
 
-    In the sample, base spans are personal data and candidates without a base
-    reading are not. At most 40 candidates come from a document.
+    In the sample, base spans are personal data; cards that fail their check
+    digit, addresses with parts over 255 and other readings of a base span are
+    not; further candidates stay unlabelled. At most 40 come from a document.
     """
     rng = random.Random(seed)
     rows = []
@@ -162,7 +163,9 @@ def training_set(docs: DataFrame, sample_docs: int, seed: int, rounds: int = 60)
             out = []
             for text in batch.column(0).to_pylist():
                 base, more = scan(text or "")
-                out += [(*describe(text, s), label) for label, spans in ((1, base), (0, more)) for s in spans[:20]]
+                no = [s for s in more if any(s[1] < e and b < s[2] for _, b, e in base)
+                      or s[0] == "ip" or s[0] == "card" and not luhn("".join(DIGITS.findall(text[s[1]:s[2]])))]
+                out += [(*describe(text, s), label) for label, spans in ((1, base), (0, no)) for s in spans[:20]]
             yield pa.RecordBatch.from_pydict({"x": [list(map(float, r)) for r in out]}, schema=pa.schema([("x", pa.list_(pa.float64()))]))
 
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(of_sample, "x array<double>")

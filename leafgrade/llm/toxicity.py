@@ -71,17 +71,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(marked), "doc_id").select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, terms array<string>, votes array<int>")
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of label 1 per row, and each voter's accuracy, from votes of 1, 0 and -1 (none).
 
     A voter says each of the three with a probability given the label. EM
-    starts at the majority; after a first fit, the correlations that voters
+    starts from ``start``, a belief per row; after a first fit, the correlations that voters
     keep given the label discount each voter's evidence by one over one plus
     its positive correlations, and EM goes on with them.
     """
     said = np.stack([votes == v for v in (1, 0, -1)]).astype(float)
-    for_, against = said[0].sum(1), said[1].sum(1)
-    p = np.clip(np.where(for_ + against > 0, (for_ + prior) / (for_ + against + 1), prior), 0.02, 0.98)
+    p, prior = start, float(np.clip(start.mean(), 1e-3, 1 - 1e-3))
     share = np.ones(votes.shape[1])
     for fit in range(2):
         for _ in range(rounds):
@@ -131,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, vocabulary: int, voters:
     place = {r.term: i for i, r in enumerate(chosen)}
     lexicon = [i for i, r in enumerate(chosen) if r.z > 3 and r.pos >= 0.7 * r.n][:voters]
     known = F.array(*map(F.lit, place)) if place else F.array().cast("array<string>")
-    sample = rows.select(F.array_intersect("terms", known).alias("terms"), "votes").toPandas()
+    sample = rows.select(F.array_intersect("terms", known).alias("terms"), "votes", "toxic").toPandas()
     hits = [[place[t] for t in x] for x in sample["terms"]]
     votes = np.full((len(hits), len(lexicon) + 1), -1)
     column = {i: j for j, i in enumerate(lexicon)}
@@ -141,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, vocabulary: int, voters:
                 votes[r, column[i]] = 1
     votes[(votes[:, :-1] == 1).sum(1) == 0, -1] = 0
     votes = np.hstack([votes, np.array(sample["votes"].tolist(), int).reshape(len(hits), -1)])
-    p, right = label_model(votes, toxic / n)
+    p, right = label_model(votes, np.where(sample["toxic"].to_numpy() > 0, 0.9, 0.02))
     w, b = fit_linear(hits, p, len(place))
     names = [*(chosen[i].term for i in lexicon), "no lexicon term", "shouting", "many marks", "repeated marks", "calm"]
     return {t: float(w[i]) for t, i in place.items()}, float(b), dict(zip(names, right.tolist()))
