@@ -315,11 +315,11 @@ def matched_pairs(answers: DataFrame, items: DataFrame, keys: Sequence[str]) ->
     return pairs.join(one("left"), [*keys, "left_id"]).join(one("right"), [*keys, "right_id"])
 
 
-def verdict_totals(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A4: correct and gradable counts; checked = any defined verdict."""
+def verdict_totals(results: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """A4: correct and gradable counts; checked = any defined verdict. ``more`` aggregates share the pass."""
     v = F.col("verdict")
     return results.groupBy(*keys).agg(
         F.count_if(v == "CORRECT").alias("total_correct"),
         F.count_if(v.isNotNull() & (v != "NOT_AUTO_GRADABLE")).alias("total_gradable"),
-        F.bool_or(v.isNotNull()).alias("checked"),
+        F.bool_or(v.isNotNull()).alias("checked"), *more,
     )

@@ -69,7 +69,9 @@ def _build(spark, sf, interactions: bool = True):
         F.lit("g0").alias("optionGroupId"), F.lit("table-grid-v1").alias("detectionMethod"), score(r).alias("candidateScore"),
         F.array(*[F.struct(F.concat(F.lit("grid-"), num(r["i"]), F.lit(f"-r{k}")).alias("id"), wide(r).alias("rowBbox"),
                            F.lit(None).cast(SC.BBOX).alias("promptBbox"), near(r).alias("nearbyTextSpanIds"),
-                           F.lit(None).cast(ST.ArrayType(SC.GRID_CELL)).alias("cells")) for k in (0, 1)]).alias("rows")), SC.CHOICE_GRID)
+                           F.array(*[F.struct(F.concat(F.lit("cell-"), num(r["i"]), F.lit(f"-{k}{o}")).alias("id"), F.lit(f"g0-{o}").alias("optionId"),
+                                              wide(r, k / 8).alias("cellBbox"), wide(r, k / 8).alias("interactionBbox")) for o in "xy"]).alias("cells"))
+                  for k in (0, 1)]).alias("rows")), SC.CHOICE_GRID)
     orderings = family(3, lambda r: F.struct(
         F.concat(F.lit("ord-"), num(r["i"])).alias("id"), F.lit("sentence-ordering").alias("kind"), wide(r).alias("bbox"),
         F.concat(F.lit("oex-"), num(F.floor(r["i"] / 16))).alias("exerciseId"), (r["i"] + 1).alias("promptIndex"),
@@ -207,6 +209,19 @@ def _(spark, sf):
     return Q.document_range_report(documents(spark, sf))
 
 
+@query("stretched_ranges", "Q2", f"""{WITH_LINES} SELECT {PAGE_SQL}, 'span_range' AS rule FROM ln GROUP BY doc_id HAVING max(y) * 16 > 1""")
+def _(spark, sf):
+    """The same pages sixteen times as tall, so that texts of a few lines leave them."""
+    tall = F.transform("textSpans", lambda s: s.withField("bbox.y", s["bbox"]["y"] * 16))
+    return Q.document_range_report(documents(spark, sf).withColumn("textSpans", tall))
+
+
+@query("grid_cells", "P3", f"""{WITH_LINES} SELECT {PAGE_SQL}, 'grid-' || i AS grid_id, 'grid-' || i || r.r AS row_id, CAST(count(*) AS BIGINT) AS cells
+FROM ln, (SELECT unnest(['-r0', '-r1']) AS r) r, (SELECT unnest([0, 1]) AS c) c WHERE len % 11 = 2 GROUP BY doc_id, i, r.r""")
+def _(spark, sf):
+    return P.explode_grid_cells(documents(spark, sf)).groupBy("book_id", "page_number", "grid_id", "row_id").agg(F.count("*").alias("cells"))
+
+
 @query("normalized_choices", "K3 W13 A1", f"""{WITH_LINES}, t AS (SELECT doc_id, i, y, x, len, CASE WHEN len % 5 <> 0 THEN len % 2 END AS g FROM ln WHERE len % 11 = 1),
 c AS (SELECT *, CASE WHEN g IS NULL OR lag(y) OVER w IS NULL OR y - lag(y) OVER w > 4.5/512 THEN 1 ELSE 0 END AS f FROM t WINDOW w AS (PARTITION BY doc_id, g ORDER BY y, x, i)),
 r AS (SELECT doc_id, g, sum(f) OVER (PARTITION BY doc_id, g ORDER BY y, x, i) AS run, len FROM c)

@@ -380,11 +380,40 @@ def _(spark, sf):
         none.cast(item).alias("left_items"), none.cast(item).alias("right_items"), F.lit("A").alias("expected"),
         F.array().cast("array<string>").alias("alternatives"), F.lit(False).alias("case_sensitive"),
         none.cast("array<struct<leftLabel:string,rightLabel:string>>").alias("pairs"), F.lit("Text").alias("payload_type"))
-    graded = G.grade_all(rows).withColumn("verdict", F.col("result.verdict")).withColumn(
-        "backed", G.is_source_backed(F.col("kind"), F.col("resolution")))
-    totals = G.verdict_totals(graded, ["l_suppkey"])
-    backed = graded.groupBy("l_suppkey").agg(F.count_if("backed").alias("backed"))
-    return totals.join(backed, "l_suppkey")
+    graded = G.grade_all(rows).withColumn("verdict", F.col("result.verdict"))
+    return G.verdict_totals(graded, ["l_suppkey"], F.count_if(G.is_source_backed(F.col("kind"), F.col("resolution"))).alias("backed"))
+
+
+@query("verdict_kinds", "G10 G6 G7 G8 A4", """WITH l AS (SELECT l_suppkey, CASE l_linenumber % 3 WHEN 0 THEN 'choice-grid' WHEN 1 THEN 'sentence-ordering' ELSE 'matching' END AS kind, l_partkey % 4 AS a, l_orderkey % 3 AS b FROM lineitem),
+v AS (SELECT l_suppkey, kind, (CASE WHEN a = 0 THEN 1 ELSE 0 END) + (CASE WHEN b = 0 THEN 1 ELSE 0 END) AS hits FROM l)
+SELECT l_suppkey, kind, count(*) FILTER (WHERE hits = 2) AS total_correct, count(*) AS total_gradable, true AS checked, count(*) FILTER (WHERE hits = 1) AS partly FROM v GROUP BY 1, 2""")
+def _(spark, sf):
+    """Grids, orderings and matchings of two parts each through the one grader; a part is right by its key."""
+    n, none = F.col("l_linenumber") % 3, F.lit(None)
+    a, b = F.col("l_partkey") % 4, F.col("l_orderkey") % 3
+    kind = F.when(n == 0, "choice-grid").when(n == 1, "sentence-ordering").otherwise("matching")
+    side = lambda s, labels: F.array(*[F.struct(F.lit(f"{s}{i}").alias("id"), F.lit(v).alias("label"), F.lit(f"Text {s}{i}").alias("text"))
+                                       for i, v in enumerate(labels)])
+    first, second = F.when(a == 0, "r0").otherwise("r2"), F.when(b == 0, "r1").otherwise("r3")
+    rows = T.table(spark, sf, "lineitem").select(
+        "l_suppkey", kind.alias("kind"), F.lit("RESOLVED").alias("resolution"),
+        F.when(n == 1, F.concat_ws(",", first, second)).otherwise(F.concat(F.lit('{"l0":"'), first, F.lit('","l1":"'), second, F.lit('"}'))).alias("learner"),
+        F.array(first, second).alias("row_answers"), F.lit(2).alias("item_count"),
+        F.array(*[F.struct(F.lit(f"r{i}").alias("id"), F.lit(v).alias("label")) for i, v in enumerate("ABCD")]).alias("options"),
+        side("l", ["1", "2"]).alias("left_items"), side("r", ["A", "B", "C", "D"]).alias("right_items"),
+        F.when(n == 0, "a, b").when(n == 1, "r0,r1").otherwise("1=A;2=B").alias("expected"), F.array().cast("array<string>").alias("alternatives"),
+        F.lit(False).alias("case_sensitive"), none.cast("array<struct<leftLabel:string,rightLabel:string>>").alias("pairs"), F.lit("Text").alias("payload_type"))
+    graded = G.grade_all(rows).withColumn("verdict", F.col("result.verdict"))
+    return G.verdict_totals(graded, ["l_suppkey", "kind"], F.count_if(F.col("verdict") == "PARTIALLY_CORRECT").alias("partly"))
+
+
+@query("rounded_values", "X10 K1 C20", """WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 10 + 5 AS DOUBLE) / 100000 AS x, CAST(l_suppkey * 2 + 1 AS DOUBLE) / 8000 AS z,
+ CAST(l_partkey % 1000 * 10 + 5 AS DOUBLE) / 1000 AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(printf('%.4f', x) AS DOUBLE) AS score, CAST(printf('%.4f', z) AS DOUBLE) AS mean, printf('%.2f', y) AS shown FROM v""")
+def _(spark, sf):
+    """Values on and beside decimal ties, rounded half-even on their binary value."""
+    x, y, z = (F.col("l_partkey") * 10 + 5) / 100000.0, (F.col("l_partkey") % 1000 * 10 + 5) / 1000.0, (F.col("l_suppkey") * 2 + 1) / 8000.0
+    return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.round_exact(x).alias("score"), X.round_exact(z).alias("mean"), X.fixed(y, 2, True).alias("shown"))
 
 
 @query("can_check", "G11", """SELECT o_orderkey, (o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND NOT (o_orderkey % 4 <> 0 AND o_orderstatus = 'F')) AS can_check FROM orders""")

@@ -511,3 +511,23 @@ def _(spark, sf):
     return rows.select(
         "doc_id", F.size("l").cast("long").alias("lefts"), F.size(F.filter(lefts, lambda r: r["right_id"].isNotNull())).cast("long").alias("paired"),
         F.size(F.filter("rows", lambda r: r["left_id"].isNull())).cast("long").alias("right_only"), F.array_join(chosen, ",").alias("partners"))
+
+
+@query("writing_boxes", "X12", f"""WITH {T.LINES}, {T.boxes_sql()}, m AS (SELECT *, x * 1024 AS px, y * 2048 AS py, w * 1024 AS pw, h * 2048 AS ph, CASE WHEN len % 4 <> 0 THEN CAST(8 + len % 5 AS DOUBLE) END AS t FROM bx),
+e AS (SELECT *, 1.25::DOUBLE * coalesce(t, 8) AS lh, greatest(greatest(pw, ph), coalesce(t, greatest(pw, ph))) * 1.6::DOUBLE AS size FROM m),
+k AS (SELECT *, py + ph / 2 - lh * 0.82::DOUBLE AS lt, px + pw / 2 - size / 2 AS rl, py + ph / 2 - size / 2 AS rt, px + pw / 2 + size / 2 AS rr, py + ph / 2 + size / 2 AS rb FROM e),
+c AS (SELECT *, least(greatest(px, 0), 1024) AS l1, least(greatest(lt, 0), 2048) AS t1, least(greatest(rl, 0), 1024) AS l2, least(greatest(rt, 0), 2048) AS t2 FROM k)
+SELECT doc_id, id, round(l1 / 1024, 9) AS line_x, round(t1 / 2048, 9) AS line_y, round((greatest(l1, least(1024, px + pw)) - l1) / 1024, 9) AS line_w, round((greatest(t1, least(2048, lt + lh)) - t1) / 2048, 9) AS line_h,
+ round(l2 / 1024, 9) AS ring_x, round(t2 / 2048, 9) AS ring_y, round((greatest(l2, least(1024, rr)) - l2) / 1024, 9) AS ring_w, round((greatest(t2, least(2048, rb)) - t2) / 2048, 9) AS ring_h,
+ CASE WHEN t IS NULL THEN 0.0 ELSE round(greatest(pw, ph) / greatest(t, 1), 9) END AS relative FROM c""")
+def _(spark, sf):
+    """Boxes to write in over lines and around rings, from pixel boxes and the text height beside them."""
+    b, n = F.col("bbox"), F.col("len")
+    px = {"x": b["x"] * 1024, "y": b["y"] * 2048, "w": b["width"] * 1024, "h": b["height"] * 2048}
+    d = T.boxes(spark, sf).select("doc_id", "id", *[v.alias(k) for k, v in px.items()], F.when(n % 4 != 0, (8 + n % 5).cast("double")).alias("t"))
+    sides = [F.col(c) for c in "xywh"]
+    d = d.select("doc_id", "id", G.line_interaction_bbox(*sides, F.coalesce("t", F.lit(8.0)), F.lit(1024), F.lit(2048)).alias("line"),
+                 G.ring_interaction_bbox(*sides, F.col("t"), F.lit(1024), F.lit(2048)).alias("ring"),
+                 F.round(G.text_relative_diameter(F.col("w"), F.col("h"), F.col("t")), 9).alias("relative"))
+    part = {"x": "x", "y": "y", "w": "width", "h": "height"}
+    return d.select("doc_id", "id", *[F.round(F.col(f"{o}.{f}"), 9).alias(f"{o}_{k}") for o in ("line", "ring") for k, f in part.items()], "relative")

@@ -60,6 +60,16 @@ def _(spark, sf):
     return E.daily_usage(E.admit_quota(_requests(spark, sf), 3, 100))
 
 
+@query("quota_today", "A14", f"""{QUOTA}, u AS (SELECT user_id, count(*) FILTER (WHERE outcome <> 'SESSION_LIMIT_REACHED') AS used FROM q WHERE d = (SELECT max(d) FROM q) GROUP BY 1)
+SELECT s.user_id AS session_id, coalesce(u.used, 0) AS used, CAST(3 AS BIGINT) AS session_limit, greatest(0, 3 - coalesce(u.used, 0)) AS remaining
+FROM (SELECT DISTINCT user_id FROM events) s LEFT JOIN u USING (user_id)""")
+def _(spark, sf):
+    """What every session sees on the last day of the log."""
+    admitted = E.admit_quota(_requests(spark, sf), 3, 100)
+    sessions, today = admitted.select("session_id").distinct(), admitted.agg(F.max("usage_date")).scalar()
+    return E.quota_today(sessions, E.session_quota_snapshot(admitted, 3), today, 3).select("session_id", "used", "session_limit", "remaining")
+
+
 # ---- as-of lookups -------------------------------------------------------------
 
 @query("verified_requests", "E7", """SELECT e.event_id, EXISTS (SELECT 1 FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'signup' AND v.ts <= e.ts
@@ -207,6 +217,18 @@ def _(spark, sf):
     return E.latest_answers(_answer_log(spark, sf), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
+@query("current_answers", "E9 J19 U4", f"""{LATEST} SELECT user_id, event_type, value FROM l WHERE value <> '' AND user_id % 3 <> 0 AND (user_id % 5 = 0 OR user_id % 2 = 0)""")
+def _(spark, sf):
+    """From the log to valid answers in one call."""
+    u = F.col("user_id")
+    log = _answer_log(spark, sf).withColumns({"learner_id": u, "book_id": u, "page_number": F.lit(1), "interaction_id": F.col("event_type"),
+                                              "fingerprint": F.lit("f0"), "kind": F.when(u % 2 == 0, "matching").otherwise("choice")})
+    prints = T.events(spark, sf).select(u.alias("book_id"), F.lit(1).alias("page_number"), F.col("event_type").alias("id"),
+                                        F.when(u % 5 == 0, "fill-blank").otherwise("matching").alias("store_kind"),
+                                        F.concat(F.lit("f"), F.when(u % 3 == 0, "1").otherwise("0")).alias("fingerprint")).distinct()
+    return E.current_answers(log, prints, order=["ts", "event_id"]).select(F.col("learner_id").alias("user_id"), "event_type", "value")
+
+
 @query("valid_answers", "J19", f"""{LATEST} SELECT user_id, event_type, value FROM l WHERE value <> '' AND user_id % 3 <> 0 AND (user_id % 5 = 0 OR user_id % 2 = 0)""")
 def _(spark, sf):
     """Interactions exist for every (user, type); fingerprints differ for every third user and kinds for odd ones."""
