@@ -164,22 +164,24 @@ def parse_solution_pages(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFr
     """K1: answer-key entries of every page; the reading state starts afresh on each page."""
     keys = list(keys)
     lines = _facts(column_order(build_lines(spans, keys), keys), keys)
-    schema = T.StructType([*[lines.schema[k] for k in keys], *_ROLE.fields])
+    payload = ["text", "items_text", "confidence", "spans", "source_page"]
+    roles = [T.StructField("entry_marker", f.dataType) if f.name == "marker" else f for f in _ROLE.fields]
+    schema = T.StructType([*[lines.schema[k] for k in keys], *roles, *[lines.schema[c] for c in payload]])
     narrow = ["pos", "starts", "on_page", "unit_in_header", "header_title", "unit_with_next", "next_title", "marks_next",
               "number_text", "marker_after", "numbered", "line_number", "sub", "tight", "marker", "continues", "last_number"]
-
     arrow = to_arrow_schema(schema)
 
     def fold(key: tuple, page: pa.Table) -> pa.Table:
-        ident = [k.as_py() for k in key]
-        rows = [dict(zip(arrow.names, (*ident, *r))) for r in _roles(page.to_pylist())]
-        return pa.Table.from_pylist(rows, schema=arrow)
-
-    roles = lines.select(*keys, *narrow).groupBy(*keys).applyInArrow(fold, schema)
-    # the payload of a line never enters the fold; it is joined back by position
-    full = roles.withColumnRenamed("marker", "entry_marker").join(
-        lines.select(*keys, "pos", "text", "items_text", "confidence", "spans", "source_page"), [*keys, "pos"])
-    return _assemble(full, keys)
+        facts = page.select(narrow).to_pylist()
+        found = _roles(facts)
+        row_of = {r["pos"]: i for i, r in enumerate(facts)}
+        # the payload stays in Arrow: the rows that have a role are taken as they are
+        taken = page.select([*keys, *payload]).take(pa.array([row_of[r[0]] for r in found], pa.int64()))
+        columns = {f.name: pa.array([r[i] for r in found], arrow.field(f.name).type) for i, f in enumerate(roles)}
+        columns |= {c: taken.column(c) for c in taken.column_names}
+        return pa.table([columns[n] for n in arrow.names], names=arrow.names)
+
+    return _assemble(lines.select(*keys, *narrow, *payload).groupBy(*keys).applyInArrow(fold, schema), keys)
 
 
 def _assemble(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -96,10 +96,9 @@ def attach_profile(books: DataFrame, profiles: DataFrame, checksum: str, edition
     """
     if not checksum.strip() or not edition_key.strip():
         return books
-    edition = profiles.where(F.col("edition_key") == edition_key).agg(F.min("profile_id").alias("_profile")).withColumn(
-        "_checksum", F.lit(checksum.lower()))
-    return books.join(edition, F.lower("checksum") == F.col("_checksum"), "left").withColumn(
-        "profile_id", F.coalesce("profile_id", "_profile")).drop("_profile", "_checksum")
+    edition = profiles.where(F.col("edition_key") == edition_key).agg(F.min("profile_id")).scalar()
+    given = F.when(F.lower("checksum") == checksum.lower(), edition)
+    return books.withColumn("profile_id", F.coalesce("profile_id", given))
 
 
 def extraction_range(books: DataFrame, profiles: DataFrame, last_pages: int = 30) -> DataFrame:

@@ -264,14 +264,15 @@ SELECT user_id, CASE WHEN s IN ('step-5', 'step-6') THEN 'step-0' ELSE s END AS
  CASE s WHEN 'step-0' THEN 25.0 WHEN 'step-1' THEN 50.0 WHEN 'step-2' THEN 75.0 WHEN 'step-3' THEN 100.0 WHEN 'step-4' THEN 100.0 ELSE 25.0 END AS progress FROM l""")
 def _(spark, sf):
     ev = T.events(spark, sf)
-    page = {"book_id": F.lit("b"), "page_number": F.lit(1)}
+    page = {"book_id": F.lit("b"), "page_number": (F.col("user_id") % 97).cast("int") + 1}
     saved = ev.select(F.col("user_id").alias("learner_id"), F.concat(F.lit("step-"), (F.col("k") % 7).cast("string")).alias("step_id"), "ts",
-                      "event_id").withColumns(page)
-    # the step list comes from the regions: four activities and a completion
+                      "event_id", *[c.alias(n) for n, c in page.items()])
+    # the step list of each page comes from the regions: four activities and a completion
     r = T.table(spark, sf, "region")
     i = F.col("r_regionkey")
     steps = r.select(F.concat(F.lit("step-"), i.cast("string")).alias("id"), i.alias("step_index"), F.when(i < 4, "activity").otherwise("completion").alias("kind"),
-                     i.alias("activity_index"), F.lit(4).alias("activity_count")).withColumns(page)
+                     i.alias("activity_index"), F.lit(4).alias("activity_count"), F.lit("b").alias("book_id"),
+                     F.explode(F.sequence(F.lit(1), F.lit(97))).alias("page_number"))
     out = lesson_position(saved, steps, order=["ts", "event_id"])
     return out.select(F.col("learner_id").alias("user_id"), "step_id", "progress")
 
