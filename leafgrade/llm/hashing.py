@@ -7,10 +7,10 @@ import xxhash
 
 
 class WordHashes(dict):
-    """Remembers the hashes of the words of a task, anew after a million."""
+    """Remembers the hashes of the words of a task, anew after 2**18."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

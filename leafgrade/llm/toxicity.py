@@ -33,7 +33,7 @@ class Terms(dict):
         self.known = known
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         value = self[token] = tuple(t for t in terms_of(token) if self.known is None or t in self.known)
         return value
