@@ -83,17 +83,76 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def lone_shingles(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """For the sets of documents ``ids``, how many shingles of each occur in none of the others: s1, alone (no row for 0)."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, set_factors = Shingler(shingle), odd("set", 2)
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and the shingle hashes of the documents ``ids``, as bytes."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(shingle)
         for batch in batches:
-            for t in batch.column(1):
-                s = shingler.of(t.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), set_hash(s, set_factors)[0])), pa.array(s.view(np.int64))], names=["s1", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
+                                             names=["doc_id", "set"])
+
+    return shared_table(only(docs, ids).mapInArrow(sets, "doc_id long, set binary"), "near-sets")
+
+
+def linked_parts(parts: np.ndarray, sets: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
+    """Pairs of different parts that some two members link, from exact intersections of all members."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = count[column] > 1  # a shingle of one member meets none
+    number = np.cumsum(count > 1) - 1
+    owner, column = owner[held], number[column[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(number[-1]) + 1, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        member = np.zeros((len(sets), 4096), np.float32)
+        member[owner[lo:hi], column[lo:hi] - at] = 1
+        both += member @ member.T
+    ok = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (parts[:, None] < parts[None, :])
+    return {(int(parts[j]), int(parts[i])) for i, j in np.argwhere(ok)}
+
+
+def links_across(here: DataFrame, docs: DataFrame, shingle: int, percent: int, tile_shingles: int) -> DataFrame:
+    """Links (u, v) between parts whose members share a bucket (bucket, doc_id, part, n_shingles).
+
+    Buckets of the same members count once. A bucket is dealt to tiles of about
+    ``tile_shingles`` shingles; each two of its tiles meet in one task, which
+    compares their members as matrices and sends on only which parts are
+    linked, so no pair of documents becomes a row.
+    """
+    mark = lambda seed: F.xxhash64("doc_id", F.lit(seed))
+    alike = here.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark(1)).alias("x"), F.bit_xor(mark(2)).alias("y"),
+                                       F.sum("n_shingles").alias("total"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
+    once = alike.groupBy("n", "x", "y", "total").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("total") / tile_shingles).alias("k"))
+    dealt = here.join(once, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("k"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 OR other <> tile")
+    dealt = shared_table(dealt.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "doc_id", "part"), "near-tiles")
+    full = full_sets(docs, shared_table(dealt.select("doc_id").distinct(), "near-ids"), shingle)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, sets = None, [], []
+
+        def settle() -> pa.RecordBatch:
+            found = linked_parts(np.array(parts), sets, percent) if len(set(parts)) > 1 else set()
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    held = only(docs, ids).mapInArrow(rows, "s1 long, s long").groupBy("s").agg(F.min("s1").alias("a"), F.max("s1").alias("b"))
-    return held.where("a = b").groupBy(F.col("a").alias("s1")).agg(F.count(F.lit(1)).alias("alone"))
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (*now, part), data in zip(keys, batch.column(4)):
+                if now != key:
+                    if sets:
+                        yield settle()
+                    key, parts, sets = now, [], []
+                parts.append(part)
+                sets.append(np.frombuffer(data.as_py(), np.uint64))
+        if sets:
+            yield settle()
+
+    met = dealt.join(full, "doc_id").select("bucket", "a", "b", "part", "set")
+    return met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def alike(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int, margin: float) -> DataFrame:
@@ -110,15 +169,7 @@ def alike(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, perc
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["u", "v"])
 
     close = shared_table(both.select("u", "v", "su", "sv").mapInArrow(near, "u long, v long").distinct(), "near-close")
-    ids = shared_table(close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "near-ids")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.of(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())],
-                                             names=["doc_id", "set"])
-
-    full = shared_table(only(docs, ids).mapInArrow(sets, "doc_id long, set binary"), "near-sets")
+    full = full_sets(docs, shared_table(close.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "near-ids"), shingle)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, margin: float = 0.19) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, margin: float = 0.19,
+                    tile_shingles: int = 200_000) -> DataFrame:
     """The near-duplicate component of every document: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII blanks of the text with A-Z lowered; two
@@ -171,12 +223,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     that share a band meet in a bucket, where each is compared with a hub, and
     in ``HUB_ORDERS`` bands out of as many with other hubs; links are confirmed
     on signatures and then on full sets. A bucket whose members are still in
-    different components then compares members across components, so no
-    member's partners are cut off; there, shingles that no other such document
-    holds bound a pair's intersection, and pairs that cannot reach the limit
-    are not made (a copy's own edits rule out most of its group). With 32
-    bands of 4 rows a pair at 0.8 meets nowhere once in 20 million, and the
-    signature margin loses as few.
+    different components then compares all of them, tile by tile, on full
+    sets, so no member's partners are cut off. With 32 bands of 4 rows a pair
+    at 0.8 meets nowhere once in 20 million, and the signature margin loses as
+    few.
 
     component_id is the smallest doc_id reachable, kept says that it is the
     document's own. Documents without words have no shingles and are their
@@ -189,31 +239,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     named = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = shared_table(named.groupBy("s1", "s2").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "sig"), "doc_id").alias("c")).select(
         "s1", "s2", "c.*"), "near-classes")
-    placed = classes.select("doc_id", F.posexplode("bands").alias("band", "key")).select(
-        "doc_id", F.xxhash64("band", "key").alias("bucket"), F.xxhash64("doc_id", F.col("band") % HUB_ORDERS).alias("order"))
+    placed = classes.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key")).select(
+        "doc_id", "n_shingles", F.xxhash64("band", "key").alias("bucket"), F.xxhash64("doc_id", F.col("band") % HUB_ORDERS).alias("order"))
     full = placed.groupBy("bucket").agg(F.min_by("doc_id", "order").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = shared_table(placed.join(full, "bucket").select("bucket", "doc_id", "hub", "n"), "near-met")
+    met = shared_table(placed.join(full, "bucket").select("bucket", "doc_id", "n_shingles", "hub", "n"), "near-met")
     texts = own.where("doc_id IS NOT NULL")
     pairs = met.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("u"), F.greatest("doc_id", "hub").alias("v")).distinct()
     pairs = shared_table(pairs, "near-pairs")
     links = shared_table(alike(pairs, classes, texts, shingle, percent, margin), "near-links")
     label = components(links)
 
-    here = met.where("n > 2").select("bucket", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "bucket", "doc_id", F.coalesce("least", "doc_id").alias("part"))
-    split = here.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
-    here = shared_table(here.join(split, "bucket"), "near-split")
-    ids = shared_table(here.select("doc_id").distinct(), "near-ids")
-    lone = lone_shingles(texts, ids, shingle)
-    here = here.join(classes.select("doc_id", "s1", "n_shingles"), "doc_id").join(lone, "s1", "left").withColumn(
-        "common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    here = shared_table(here.select("bucket", "doc_id", "part", "n_shingles", "common"), "near-open")
-    x, y = here.alias("x"), here.alias("y")
-    most = F.least("x.common", "y.common")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.doc_id") < F.col("y.doc_id"))
-                    & (100 * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)))
-    across = across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = shared_table(alike(across, classes, texts, shingle, percent, margin), "near-links")
+    here = met.where("n > 2").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "bucket", "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("part"))
+    more = shared_table(links_across(here, texts, shingle, percent, tile_shingles), "near-links")
     if not more.isEmpty():
         label = components(links.union(more))
 
