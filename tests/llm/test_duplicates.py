@@ -44,8 +44,8 @@ def chain(n, step, rng):
             words[(i * step + j) % 60] = f"n{i}x{j}"
 
 
-@pytest.mark.parametrize("k,bands,rows", [(4, 32, 4), (5, 32, 4), (4, 40, 1)])
-def test_components_equal_brute_force(docs_frame, k, bands, rows):
+@pytest.mark.parametrize("k,bands,rows,tile", [(4, 32, 4, 200_000), (5, 32, 4, 200_000), (4, 40, 1, 300)])
+def test_components_equal_brute_force(docs_frame, k, bands, rows, tile):
     rng = random.Random(k * bands)
     texts = [" ".join(f"v{rng.randint(0, 400)}" for _ in range(rng.randint(1, 60))) for _ in range(30)]
     texts += [t.upper().replace("V", "v") for t in texts[:8]] + list(chain(14, 1, rng)) + [texts[9]] * 12 + ["a b", "A  b", "a b c", "x"] + ["", None]
@@ -53,7 +53,7 @@ def test_components_equal_brute_force(docs_frame, k, bands, rows):
     rng.shuffle(texts)
     docs = list(enumerate(texts))
     want = plain_components(docs, k)
-    got = {r.doc_id: r for r in near_dup.near_duplicates(docs_frame(docs), shingle=k, bands=bands, rows=rows).collect()}
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs_frame(docs), shingle=k, bands=bands, rows=rows, tile_shingles=tile).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
