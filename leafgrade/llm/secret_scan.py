@@ -23,8 +23,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that announce a credential beyond the base pattern.
 MORE_WORDS = ("pwd", "passphrase", "passcode", "credential", "private_key", "client_key", "auth_key", "bearer", "pass", "login", *ASSIGN_WORDS)
 MORE = re.compile(r"""(?<![A-Za-z])(?:pwd|passphrase|passcode|credentials?|(?:private|client|auth)_key|pass|login|password|passwd|secret|token|api_?key)["']?"""
-                  r"""\x20*(?:[:=]|\x20is\x20)\x20*(?:"([^"\s]{4,256})"|'([^'\s]{4,256})'|([^\s"',;]{4,256}))|(?<![A-Za-z])bearer\x20+([A-Za-z0-9+/_.=~-]{8,4096})""", re.I | re.A)
-IN_URL = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{4,256})@")
+                  r"""\x20*(?:[:=]|\x20is\x20)\x20*(?:"([^"\s]{4,}+)"|'([^'\s]{4,}+)'|([^\s"',;]{4,}+))|(?<![A-Za-z])bearer\x20+([A-Za-z0-9+/_.=~-]{8,}+)""", re.I | re.A)
+IN_URL = re.compile(r"://[^\s/:@]++:([^\s/@]{4,}+)@")
+#: The whole value at the value of a base pattern: to the closing quote, if that comes before a blank, or as without quotes.
+WHOLE = {'"': re.compile(r'[^"\s]++(?=")'), "'": re.compile(r"[^'\s]++(?=')"), "": re.compile(r"""[^\s"',;]++""")}
+RUN = re.compile(r"\S*+")
 
 #: Common parts of passwords, most common first.
 COMMON = (
@@ -82,21 +85,45 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def whole_values(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """The whole values at the rising ``starts``; a run that holds several starts is read once."""
+    out: list[tuple[int, int]] = []
+    ends: dict[str, tuple[int, bool]] = {}
+    for a in starts:
+        for quote in (text[a - 1], "") if text[a - 1] in "\"'" else ("",):
+            end, closed = ends.get(quote, (-1, False))
+            if end <= a:
+                m = WHOLE[quote].match(text, a)
+                end, closed = ends[quote] = (m.end(), True) if m else (RUN.match(text, a).end(), False)
+            if closed:
+                out.append((a, end))
+                break
+    return out
+
+
 def scan(text: str, least_cost: float) -> tuple[list[Span], list[Span]]:
     """Base spans and added ones of a text, both by start and kind."""
     base: list[Span] = []
+    values: list[tuple[int, int]] = []
     low = text.lower()
     if any(w in low for w in ASSIGN_WORDS):
-        base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        found = [m for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        base += [("assign", *m.span()) for m in found]
+        values += whole_values(text, [m.start(2) for m in found])
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
-    values = [m.span(m.lastindex) for m in MORE.finditer(text)] if any(w in low for w in MORE_WORDS) else []
+    values += [m.span(m.lastindex) for m in MORE.finditer(text)] if any(w in low for w in MORE_WORDS) else []
     values += [m.span(1) for m in IN_URL.finditer(text)] if "://" in text else []
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     added: list[Span] = []
-    for a, b in sorted(set(values)):
-        if all(b <= s or e <= a for _, s, e in base) and (not added or added[-1][2] <= a) and guess_cost(text[a:b]) >= least_cost:
+    near, covered = 0, 0  # covered: the furthest end of the spans, base or added, that start at or before a
+    for a, b in sorted(set(values), key=lambda v: (v[0], -v[1])):
+        while near < len(base) and base[near][1] <= a:
+            covered = max(covered, base[near][2])
+            near += 1
+        if b > covered and guess_cost(text[a:b]) >= least_cost:
             added.append(("password", a, b))
+            covered = b
     return base, added
 
 
@@ -110,8 +137,9 @@ def find_secrets(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
     Base spans match fixed patterns and stay. Values that follow a credential
     word, or stand as the password of a URL, are cut into words, dates,
     repeats, keyboard walks and brute-force spans at least cost; those of
-    10**``least_cost`` guesses or more that overlap no base span are added as
-    ``password``, so placeholders stay text. Counts and hash are of base spans;
+    10**``least_cost`` guesses or more are added as ``password`` unless another
+    span holds them whole, so placeholders stay text. A value is whole, of any
+    length, up to its closing quote or a blank. Counts and hash are of base spans;
     ``spans`` has all, by start and kind.
 
     Null text counts as empty: no spans. Documents with repeated or null doc_id

@@ -82,3 +82,14 @@ def test_secrets_query_and_redaction(spark, docs_frame, odd_docs):
     assert [r.spans for r in secret_scan.find_secrets(odd_docs).collect()] == [""] * 10
     assert secret_scan.redact_secrets(odd_docs).where("text IS NULL").count() == 2
     assert secret_scan.find_secrets(odd_docs.limit(0)).collect() == []
+
+
+def test_secrets_are_whole(spark, docs_frame):
+    long = "aB3$" * 150
+    texts = {30: 'password: "Summer2024!xQ&7" x', 31: "userPassword=Summer2024!xQ&7 x", 32: f"pwd: {long} end", 33: f"see https://me:{long}@host/x", 34: f"Bearer {'aB3z' * 1500} end",
+             35: "token=ftp://me:Zq8,rT5!@host end", 36: "token: 'abcdef0!Kq9&vT' end", 37: "pwd: zz0123456789abcdef0123456789abcdefQ! end"}
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs_frame(list(texts.items()))).collect()}
+    assert clean[30] == '[secret]" x' and clean[31] == "user[secret] x" and clean[32] == "pwd: [secret] end" and clean[33] == "see https://me:[secret]@host/x"
+    assert clean[34] == "Bearer [secret] end" and clean[35] == "token=[secret]@host end" and clean[36] == "[secret]' end" and clean[37] == "pwd: [secret] end"
+    base, added = secret_scan.scan(texts[30], 8)
+    assert base == plain_secrets(texts[30]) and added == [("password", 11, 26)]
