@@ -93,3 +93,14 @@ def test_secrets_are_whole(spark, docs_frame):
     assert clean[34] == "Bearer [secret] end" and clean[35] == "token=[secret]@host end" and clean[36] == "[secret]' end" and clean[37] == "pwd: [secret] end"
     base, added = secret_scan.scan(texts[30], 8)
     assert base == plain_secrets(texts[30]) and added == [("password", 11, 26)]
+
+
+def test_words_of_the_documents_are_no_secrets(spark, docs_frame):
+    plain = "the login is available, a token is generated, pass: through gates, secret is discovered, token: wiederherstellung"
+    prose = "through available gates a generated thing was discovered and wiederherstellung kam"
+    rows = [(40, plain), (41, "pwd: hgwqzkfjtr and pwd: through"), (42, prose), (None, plain), (43, "password: discovered-hgwqzkfjtr!")]
+    got = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs_frame(rows)).collect()}
+    assert got[40] == got[None] == plain.replace("token: wiederherstellung", "[secret]") and got[42] == prose  # the base pattern stays
+    assert got[41] == "pwd: [secret] and pwd: through" and got[43] == "[secret]"
+    spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs_frame(rows)).collect()}
+    assert spans[40] == spans[None] and "password" not in spans[40] and spans[41] == "password:5:15"
