@@ -14,7 +14,7 @@ from leafgrade.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. Rows of a null doc_id go together."""
+    """Documents predicted toxic go, row by row."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go. Rows of a null doc_id go together."""
+    """Documents that hold a benchmark passage go, each for its own text."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

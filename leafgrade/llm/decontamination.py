@@ -74,6 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.7
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark text, with all their columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that hold no benchmark text, with all their columns: by doc_id and text, so a row goes for its own text only."""
+    text_hash = F.xxhash64(docs["text"])
+    bad = contaminated(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text"), benchmark).select(
+        F.col("doc_id.doc_id").alias("_bad"), F.col("doc_id.h").alias("_bad_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (text_hash == bad["_bad_text"]), "left_anti")

@@ -146,6 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, vocabulary: int, voters:
     return {t: float(w[i]) for t, i in place.items()}, float(b), dict(zip(names, right.tolist()))
 
 
+def scores(texts: pa.Array, terms: Terms, weights: dict[str, float], bias: float) -> np.ndarray:
+    out = [bias + sum(weights[t] for t in sorted(terms.of(text.as_py()))) for text in texts]
+    return 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocabulary: int = 4000, voters: int = 96) -> DataFrame:
     """Toxicity of every text: doc_id, held_out, score, predicted.
 
@@ -170,8 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(weights)
         for batch in batches:
-            out = [bias + sum(weights[t] for t in sorted(terms.of(text.as_py()))) for text in batch.column(1)]
-            score = 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
+            score = scores(batch.column(1), terms, weights, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
@@ -180,7 +184,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocab
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    bad = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocabulary: int = 4000, voters: int = 96) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns: row by row, whatever their doc_id."""
+    weights, bias, _ = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), most, vocabulary, voters)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(weights)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(place), terms, weights, bias) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

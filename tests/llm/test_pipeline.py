@@ -1,7 +1,7 @@
 """The pipeline against its stages done plainly, on the smallest tables."""
 
 import corpus_pipeline
-from leafgrade.llm import secret_scan
+from leafgrade.llm import decontamination, secret_scan, toxicity
 from leafgrade.llm.common import table
 from leafgrade.llm.decontamination import contaminated
 from leafgrade.llm.toxicity import score_toxicity
@@ -39,3 +39,15 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_of_one_id_go_for_their_own_text(spark, docs_frame):
+    item = " ".join(f"leak{i}" for i in range(40))
+    docs = docs_frame([(i, None if i == 3 else f"nice {'filth' if i % 2 else 'calm'} {i}") for i in range(60)] + [(None, "calm a"), (None, "filth"), (70, "calm b"), (70, "filth"), (None, item), (70, item)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    clean = toxicity.drop_toxic(docs, labels)
+    assert sorted(r.text for r in clean.where("doc_id IS NULL OR doc_id = 70").collect()) == ["calm a", "calm b", item, item]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.drop_contaminated(docs, benchmark)
+    assert sorted(r.text for r in left.where("doc_id IS NULL OR doc_id = 70").collect()) == ["calm a", "calm b", "filth", "filth"]
+    assert left.where("text IS NULL").count() == 1 and clean.columns == left.columns == docs.columns
