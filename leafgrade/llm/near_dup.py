@@ -17,6 +17,8 @@ from leafgrade.llm.hashing import WordHashes, odd, rolling
 MOST_BROADCAST_IDS = 2_000_000
 #: Orders by which buckets choose the member that the others are compared with.
 HUB_ORDERS = 4
+#: Members of a tile: two tiles make matrices of some 2,000 times 2,000.
+TILE_MEMBERS = 1000
 
 
 class Shingler:
@@ -114,21 +116,29 @@ def linked_parts(parts: np.ndarray, sets: list[np.ndarray], percent: int) -> set
     return {(int(parts[j]), int(parts[i])) for i, j in np.argwhere(ok)}
 
 
-def links_across(here: DataFrame, docs: DataFrame, shingle: int, percent: int, tile_shingles: int) -> DataFrame:
-    """Links (u, v) between parts whose members share a bucket (bucket, doc_id, part, n_shingles).
+def dealt_tiles(here: DataFrame, tile_shingles: int) -> DataFrame:
+    """Members (bucket, a, b, doc_id, part) of each two tiles a and b of a bucket; buckets of the same members count once.
 
-    Buckets of the same members count once. A bucket is dealt to tiles of about
-    ``tile_shingles`` shingles; each two of its tiles meet in one task, which
-    compares their members as matrices and sends on only which parts are
-    linked, so no pair of documents becomes a row.
+    A tile has about ``tile_shingles`` shingles and ``TILE_MEMBERS`` members at most.
     """
     mark = lambda seed: F.xxhash64("doc_id", F.lit(seed))
     alike = here.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark(1)).alias("x"), F.bit_xor(mark(2)).alias("y"),
                                        F.sum("n_shingles").alias("total"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
-    once = alike.groupBy("n", "x", "y", "total").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("total") / tile_shingles).alias("k"))
+    once = alike.groupBy("n", "x", "y", "total").agg(F.min("bucket").alias("bucket")).select("bucket", F.greatest(
+        F.ceil(F.col("total") / tile_shingles), F.ceil(F.col("n") / TILE_MEMBERS)).alias("k"))
     dealt = here.join(once, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("k"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("k = 1 OR other <> tile")
-    dealt = shared_table(dealt.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "doc_id", "part"), "near-tiles")
+    return dealt.select("bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "doc_id", "part")
+
+
+def links_across(here: DataFrame, docs: DataFrame, shingle: int, percent: int, tile_shingles: int) -> DataFrame:
+    """Links (u, v) between parts whose members share a bucket (bucket, doc_id, part, n_shingles).
+
+    Each two tiles of a bucket meet in one task, which compares their members
+    as matrices and sends on only which parts are linked, so no pair of
+    documents becomes a row.
+    """
+    dealt = shared_table(dealt_tiles(here, tile_shingles), "near-tiles")
     full = full_sets(docs, shared_table(dealt.select("doc_id").distinct(), "near-ids"), shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,3 +119,11 @@ def test_removal_of_odd_rows(odd_docs):
     assert len(rows) == 10 and sum(r.n_removed for r in rows) == 0
     assert {r.n_words for r in rows if r.doc_id == 7} == {1}
     assert drop_repeated_passages(odd_docs.limit(0)).collect() == []
+
+
+def test_tiles_of_short_texts_are_bounded(spark):
+    here = spark.range(3500).selectExpr("7L AS bucket", "id AS doc_id", "10L AS n_shingles", "id AS part")
+    tiles = near_dup.dealt_tiles(here, 200_000)
+    sizes = [r["count"] for r in tiles.groupBy("bucket", "a", "b").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2200
+    assert tiles.groupBy("doc_id").count().where("count <> 3").isEmpty() and tiles.select("doc_id").distinct().count() == 3500
