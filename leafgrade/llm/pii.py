@@ -30,7 +30,8 @@ LABEL = re.compile(r"[A-Za-z0-9-]+")
 LOOSE_CARD = re.compile(r"[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])")
 AT_SIGN = r"\x20?[\[({<]\x20?(?:at|AT)\x20?[\])}>]\x20?"
 DOT_SIGN = r"\x20?[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]\x20?"
-MASKED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT_SIGN}[A-Za-z0-9-]{{1,63}}(?:(?:\.|{DOT_SIGN})[A-Za-z0-9-]{{1,63}})+")
+MASKED_AT = re.compile(AT_SIGN.removeprefix(r"\x20?"))
+MASKED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT_SIGN}[A-Za-z0-9-]++(?:(?:\.|{DOT_SIGN})[A-Za-z0-9-]++)+")
 DIGITS = re.compile(r"[0-9]+")
 
 #: Context words before a candidate, by what they speak for; the last group speaks against.
@@ -69,7 +70,7 @@ def scan(text: str, loose: bool = True) -> tuple[list[Span], list[Span]]:
         elif start < at and loose and (m := LABEL.match(text, at + 1)):
             more.append(("email", start, m.end()))
         at = text.find("@", floor)
-    if loose and ("at)" in text or "at]" in text or "at}" in text or "AT)" in text or "AT]" in text or "at )" in text or "at ]" in text):
+    if loose and MASKED_AT.search(text):
         more += [("email", *m.span()) for m in MASKED.finditer(text)]
     for r in REGION.finditer(text):
         start, end = r.span()

@@ -104,3 +104,13 @@ def test_words_of_the_documents_are_no_secrets(spark, docs_frame):
     assert got[41] == "pwd: [secret] and pwd: through" and got[43] == "[secret]"
     spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs_frame(rows)).collect()}
     assert spans[40] == spans[None] and "password" not in spans[40] and spans[41] == "password:5:15"
+
+
+def test_every_masked_address_is_proposed():
+    for a in ("at", "AT", " at ", " AT "):
+        for left, right in ("()", "[]", "{}", "<>"):
+            for t in (f"jane {left}{a}{right} site.org", f"jane{left}{a}{right}site {left}dot{right} org"):
+                assert pii.scan(t)[1] == [("email", 0, len(t))], t
+    for t in (f"{'j' * 100} (at) site.org", f"jane (at) {'s' * 100}.{'o' * 70}"):
+        assert pii.scan(t)[1] == [("email", 0, len(t))], t
+    assert pii.scan("(at)" * 50_000 + "a" * 200_000 + " (at) " + "a" * 200_000) == ([], [])
