@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -52,11 +52,16 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return src.select("src", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
+def shard_of(seed: int) -> Column:
+    """The shard of a row, by doc_id and the hash of its text, so that texts of one doc_id spread."""
+    return F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.col("n_shards"))
+
+
 def mix_sources(docs: DataFrame, block_words: int = 32, shard_words: int = 1 << 20, most: int = 3, seed: int = 11) -> DataFrame:
     """How many words of each document a mix takes: doc_id, source, size, source_size, target, taken, quota.
 
     Every source's documents are dealt to shards of about ``shard_words`` words
-    by a seeded hash and laid end to end in seeded order; a block is
+    by a seeded hash of doc_id and text and laid end to end in seeded order; a block is
     ``block_words`` words of that tape. Blocks go to sources by Sainte-Laguë
     over their targets, then to each source's shards by Sainte-Laguë over shard
     sizes. A shard with quota q of b blocks takes every block q // b times and
@@ -72,20 +77,19 @@ def mix_sources(docs: DataFrame, block_words: int = 32, shard_words: int = 1 <<
     source are read.
     """
     sizes = shared_table(docs.select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("src"),
+        "doc_id", "source", F.xxhash64("text").alias("mark"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     targets = source_targets(sizes, most).withColumns({
         "seats": F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words), "blocks": most * F.ceil(F.col("source_size") / block_words)})
     sources = shared_table(apportion(targets, [], "src", "target", "seats", "blocks").select(
         "src", "source_size", "target", F.col("quota").alias("source_quota"),
         F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).alias("n_shards")), "mix-sources")
-    dealt = sizes.join(sources, "src").withColumn(
-        "shard", F.when(F.col("size") > 0, F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards"))))
+    dealt = sizes.join(sources, "src").withColumn("shard", F.when(F.col("size") > 0, shard_of(seed)))
     shards = dealt.where("size > 0").groupBy("src", "shard", "source_quota").agg(F.sum("size").alias("shard_size")).withColumn(
         "b", F.ceil(F.col("shard_size") / block_words)).withColumn("cap", most * F.col("b"))
     shards = apportion(shards, ["src"], "shard", "shard_size", "source_quota", "cap").select(
         "src", "shard", "b", "quota", F.pmod(F.xxhash64("src", "shard", F.lit(seed + 1)), F.col("b")).alias("off"))
-    tape = W.partitionBy("src", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size")
+    tape = W.partitionBy("src", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed + 2)), "doc_id", "size", "mark")
     placed = dealt.where("size > 0").withColumn("end", F.sum("size").over(tape.rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(shards, ["src", "shard"])
     b, off, extra = F.col("b"), F.col("off"), F.col("quota") % F.col("b")

@@ -56,7 +56,7 @@ def patterns(text: str | None) -> list[int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Terms, pattern votes and label of at most ``most`` labelled documents outside the held-out fold."""
+    """Terms, pattern votes and label of at most ``most`` labelled documents outside the held-out fold, one text of each."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -68,7 +68,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(terms.of(t)) for t in texts], pa.list_(pa.string())),
                                               pa.array([patterns(t) for t in texts], pa.list_(pa.int32()))], names=["toxic", "terms", "votes"])
 
-    return docs.join(F.broadcast(marked), "doc_id").select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, terms array<string>, votes array<int>")
+    once = docs.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    return once.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, terms array<string>, votes array<int>")
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from leafgrade.llm.mixing import apportion, mix_sources
+from leafgrade.llm.mixing import apportion, mix_sources, shard_of
 
 
 def targets(sizes):
@@ -66,3 +66,9 @@ def test_apportion_equals_highest_quotients(spark):
         rows = spark.createDataFrame([(f"p{i}", w, float(seats), 1000) for i, w in enumerate(weights)], "p string, w double, seats double, cap long")
         got = {r.p: r.quota for r in apportion(rows, [], "p", "w", "seats", "cap").collect()}
         assert [got[f"p{i}"] for i in range(len(weights))] == [sum(-j == i for _, j in best) for i in range(len(weights))], seats
+
+
+def test_texts_of_one_id_spread_over_shards(spark):
+    rows = spark.range(800).selectExpr("CAST(NULL AS LONG) AS doc_id", "xxhash64(id) AS mark", "8L AS n_shards")
+    sizes = [r["count"] for r in rows.groupBy(shard_of(11)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 160

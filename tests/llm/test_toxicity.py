@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from leafgrade.llm.toxicity import label_model, score_toxicity
+from leafgrade.llm.toxicity import label_model, score_toxicity, training_rows
 
 BAD = ["moron", "trash", "scum", "clown"]
 
@@ -49,3 +49,10 @@ def test_label_model_weighs_voters():
     hint = np.where(np.arange(3000) % 10 == 0, np.where(y, 0.9, 0.1), 0.3)
     p, right = label_model(np.hstack([good, coin, coin, coin]), hint)
     assert np.mean((p > 0.5) == y) > 0.95 and right[:3].min() > 0.85 and right[3:].max() < 0.6
+
+
+def test_a_repeated_id_trains_once(spark, docs_frame):
+    docs = docs_frame([(1, f"text number {i}") for i in range(200)] + [(i, "other") for i in range(2, 40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    trained = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert 1 in trained and training_rows(docs, labels, 1000).count() == len(trained)
