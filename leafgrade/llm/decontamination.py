@@ -1,4 +1,4 @@
-"""Benchmark decontamination with spaced seeds, in DataFrame operations only."""
+"""Benchmark decontamination with spaced seeds and runs, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 #: Fixed masks of 12 tokens: a seed hashes the tokens under 1 and ignores those under 0.
 MASKS = ("110100110101", "101110010011", "111001001011")
 SPAN = len(MASKS[0])
+#: Items of fewer tokens than LONG are seeded by runs of three tokens.
+LONG, RUN = 40, "111"
+#: All masks; a seed's key holds its mask's number.
+EVERY = (*MASKS, RUN)
 #: Seeds that go to every task at once, at about 24 bytes each.
 MOST_BROADCAST_SEEDS = 1_000_000
 
@@ -19,11 +23,20 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, keep: list[str], tokens: str, at: str) -> DataFrame:
-    """One row per place and mask: ``keep``, the place ``at`` and the seed's ``key``."""
-    placed = df.where(F.size(tokens) >= SPAN).select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - SPAN)).alias(at))
-    keys = [F.xxhash64(F.lit(m), *(F.col(tokens)[F.col(at) + o] for o, bit in enumerate(mask) if bit == "1")) for m, mask in enumerate(MASKS)]
-    return placed.select(*keep, tokens, at, F.explode(F.array(*keys)).alias("key"))
+def seeds(df: DataFrame, keep: list[str], tokens: str, at: str, masks: list[int], fits=None) -> DataFrame:
+    """One row per place and mask number: ``keep``, the place ``at`` and the seed's ``key``; ``fits(mask)`` says where a mask counts."""
+    placed = df.where(F.size(tokens) > 0).select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias(at))
+
+    def key(m: int) -> Column:
+        here = F.col(at) + len(EVERY[m]) <= F.size(tokens)
+        return F.when(here & fits(m) if fits else here, F.xxhash64(F.lit(m), *(F.get(tokens, F.col(at) + o) for o, bit in enumerate(EVERY[m]) if bit == "1")))
+
+    return placed.select(*keep, tokens, at, F.explode(F.array(*map(key, masks))).alias("key")).where("key IS NOT NULL")
+
+
+def item_fits(m: int) -> Column:
+    """Which items mask ``m`` seeds: gapped masks long ones, runs short ones."""
+    return F.size("item") >= LONG if m < len(MASKS) else F.size("item") < LONG
 
 
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -42,9 +55,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.7
                  seeds_at_once: int = MOST_BROADCAST_SEEDS) -> DataFrame:
     """Documents that hold benchmark text: doc_id, item_id, n_tokens, matched, score.
 
-    Tokens are lower-cased runs of letters and digits. Seeds under three fixed
-    masks of 12 tokens, 7 of which count, meet in an equi join; at a hit the
-    item is laid over the document without gaps. A pair is returned when at
+    Tokens are lower-cased runs of letters and digits. Seeds meet in an equi
+    join; at a hit the item is laid over the document without gaps. Items of 40
+    tokens and more are seeded under three fixed masks of 12 tokens, 7 of which
+    count. Items of 12 to 39 tokens are seeded by every run of 3 tokens: with a
+    quarter of the tokens replaced, or in a stretch of score 13, some 3 in a row
+    agree, so no pair is lost at the default limits. A pair is returned when at
     least ``least_share`` of the item's tokens agree, or when a stretch
     reaches ``least_score`` at +1 for agreement and -2 for substitution (13
     words in a row, or more with some replaced). ``matched`` and ``score`` are
@@ -58,15 +74,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.7
     Only doc_id, text, item_id are read.
     """
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("item")).where(F.size("item") >= SPAN).distinct()
-    n = items.agg(F.sum(F.size("item") - (SPAN - 1))).first()[0] or 0
-    passes = max(1, -(-n * len(MASKS) // seeds_at_once))
+    n = F.size("item")
+    own_seeds = F.when(n >= LONG, (n - (SPAN - 1)) * len(MASKS)).otherwise(n - (len(RUN) - 1))
+    total, longest, shortest = items.agg(F.sum(own_seeds), F.max(n), F.min(n)).first()
+    passes = max(1, -(-(total or 0) // seeds_at_once))
+    masks = [m for m in range(len(EVERY)) if (m < len(MASKS) and (longest or 0) >= LONG) or (m == len(MASKS) and (shortest or 0) < LONG)]
     tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
     found = []
     for p in range(passes):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p)
-        known = seeds(own.select("item_id", "item", F.xxhash64("item_id", "item").alias("ref")), ["ref"], "item", "j").select("ref", "j", "key").distinct()
+        known = seeds(own.select("item_id", "item", F.xxhash64("item_id", "item").alias("ref")), ["ref"], "item", "j", masks, item_fits).select("ref", "j", "key").distinct()
         whole = own.select(F.xxhash64("item_id", "item").alias("ref"), "item_id", "item")
-        hits = seeds(tokens, ["doc_id"], "tokens", "i").join(F.broadcast(known), "key").join(F.broadcast(whole), "ref")
+        hits = seeds(tokens, ["doc_id"], "tokens", "i", masks).join(F.broadcast(known), "key").join(F.broadcast(whole), "ref")
         found.append(hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), overlap(F.col("tokens"), F.col("item"), F.col("i") - F.col("j")).alias("o")))
     held = (F.col("o.matched") >= least_share * F.col("n_tokens")) | (F.col("o.best") >= least_score)
     return reduce(DataFrame.union, found).where(held).groupBy("doc_id", "item_id").agg(

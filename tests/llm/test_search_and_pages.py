@@ -101,3 +101,17 @@ def test_leaks_with_substitutions(spark, docs_frame, odd_docs):
     assert {r.doc_id for r in drop_contaminated(frame, bench).collect()} == {104, 105, 106, 107}
     assert contaminated(odd_docs, bench).collect() == [] and contaminated(frame, bench.limit(0)).collect() == [] and contaminated(frame.limit(0), bench).collect() == []
     assert drop_contaminated(odd_docs, bench).count() == 10
+
+
+def test_short_items_are_found_with_a_quarter_replaced(spark, docs_frame):
+    rng = random.Random(12)
+    items, docs = [], []
+    for n in range(12, 40):
+        words = [f"t{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for k in range(4):
+            at = [0, n - 1, *rng.sample(range(1, n - 1), n // 4)][: n // 4] if k < 2 else range(3, n, 4) if k == 2 else range(n // 4)
+            docs.append((n * 10 + k, " ".join(["pre", *(f"other{i}" if i in list(at)[: n // 4] else w for i, w in enumerate(words)), "post"])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_frame(docs), bench).collect()}
+    assert got == {(i, i // 10) for i, _ in docs}
