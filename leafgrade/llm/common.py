@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,14 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     h = F.xxhash64(F.col(key))
     cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     return df.where(h <= F.lit(cut)).limit(rows) if cut is not None else df.limit(0)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``size`` bytes of the text ``column``; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from leafgrade.llm.common import table
 from leafgrade.llm.decontamination import contaminated
+from leafgrade.llm.language_id import identify_language
 from leafgrade.llm.mixing import mix_sources
 from leafgrade.llm.near_dup import near_duplicates
+from leafgrade.llm.periodic_runs import periodic_runs
 from leafgrade.llm.pii import find_personal_data
 from leafgrade.llm.secret_scan import find_secrets
 from leafgrade.llm.substring_dedup import drop_repeated_passages
@@ -18,6 +20,7 @@ from leafgrade.llm.topk import exact_top_k
 from leafgrade.llm.toxicity import score_toxicity
 from leafgrade.llm.url_filter import judge_urls, rule_table
 from leafgrade.llm.warc import round_trip
+from leafgrade.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +114,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN r USING (doc_id)""")
 def op10_drop_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf, "documents"), with_text=False)
+
+
+@query()
+def op11_whiten_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whiten(table(spark, sf, "embeddings"))
+    return rows.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "place").alias("explained"), "identity_error")
+
+
+@query()
+def op12_identify_language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_language(table(spark, sf, "documents"))
+
+
+def bent(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by hash of its id, continues with a period from some word on; null ids and texts stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.expr("nullif(size(w), 0)"))
+    own = own.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1).cast("long")),
+                        lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return own.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS bent, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS c FROM d),
+t AS (SELECT doc_id, unnest(range(n)) AS i, unnest(CASE WHEN bent THEN list_transform(range(n),
+    lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // c) END]) ELSE w END) AS word FROM e),
+m AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i > y.i),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM m),
+s AS (SELECT doc_id, q, min(i) - q AS s, count(*) + q AS n FROM g GROUP BY doc_id, q, isle HAVING count(*) >= greatest(q, 12 - q)),
+r AS (SELECT doc_id, s, n, min(q) AS q FROM s GROUP BY doc_id, s, n),
+f AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+  arg_max({'s': s, 'n': n, 'q': q}, [n, -s, -q]) AS top FROM r GROUP BY doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN o USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.n AS length, top.q AS period, 1000 * top.n // top.q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = periodic_runs(bent(table(spark, sf, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("at"), (-r["period"]).alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.at")).alias("start"), "top.length", (-F.col("top.q")).alias("period"),
+        F.expr("1000 * top.length div -top.q").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
