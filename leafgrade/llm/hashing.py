@@ -7,11 +7,15 @@ import xxhash
 
 
 class WordHashes(dict):
-    """Remembers the hashes of the words of a task, anew after 2**18."""
+    """Remembers the hashes of the words of a task, up to some 40 MB of them, then anew."""
+
+    bytes = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        self.bytes += 160 + len(word)
+        if self.bytes > 40 << 20:
             self.clear()
+            self.bytes = 0
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgrade.llm.common import shared_table
+from leafgrade.llm.common import shared_table, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 PREFIXES = (4, 5)
+#: Bytes of remembered terms in a task, and of text that it turns into rows at once.
+CACHE, TOGETHER = 48 << 20, 1 << 20
 
 
 def terms_of(token: str) -> tuple[str, ...]:
@@ -27,19 +29,30 @@ def terms_of(token: str) -> tuple[str, ...]:
 
 
 class Terms(dict):
-    """Terms of tokens, those in ``known`` if given, remembered."""
+    """Terms of tokens, remembered; with ``places``, the places of those that it knows.
 
-    def __init__(self, known: dict | None = None):
-        self.known = known
+    What is remembered is bounded by its bytes, ``CACHE`` of them; then it starts anew.
+    """
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= 1 << 18:
+    def __init__(self, places: dict[str, int] | None = None):
+        self.places, self.bytes = places, 0
+
+    def __missing__(self, token: str) -> tuple:
+        if self.places is None:
+            value: tuple = terms_of(token)
+            size = 250 + 2 * len(token) + sum(80 + 2 * len(t) for t in value)
+        else:
+            value = tuple(self.places[t] for t in terms_of(token) if t in self.places)
+            size = 200 + 2 * len(token) + 8 * len(value)
+        self.bytes += size
+        if self.bytes > CACHE:
             self.clear()
-        value = self[token] = tuple(t for t in terms_of(token) if self.known is None or t in self.known)
+            self.bytes = size
+        self[token] = value
         return value
 
-    def of(self, text: str | None) -> set[str]:
-        found: set[str] = set()
+    def of(self, text: str | None) -> set:
+        found: set = set()
         for token in set((text or "").split()):
             if terms := self[token]:
                 found.update(terms)
@@ -64,9 +77,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(terms.of(t)) for t in texts], pa.list_(pa.string())),
-                                              pa.array([patterns(t) for t in texts], pa.list_(pa.int32()))], names=["toxic", "terms", "votes"])
+            for part in slices(batch, 0, TOGETHER):
+                texts = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([sorted(terms.of(t)) for t in texts], pa.list_(pa.string())),
+                                                  pa.array([patterns(t) for t in texts], pa.list_(pa.int32()))], names=["toxic", "terms", "votes"])
 
     once = docs.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     return once.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, terms array<string>, votes array<int>")
@@ -147,9 +161,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, vocabulary: int, voters:
     return {t: float(w[i]) for t, i in place.items()}, float(b), dict(zip(names, right.tolist()))
 
 
-def scores(texts: pa.Array, terms: Terms, weights: dict[str, float], bias: float) -> np.ndarray:
-    out = [bias + sum(weights[t] for t in sorted(terms.of(text.as_py()))) for text in texts]
-    return 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
+class Scorer:
+    """Scores of texts by a linear classifier over terms."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        names = sorted(weights)
+        self.terms, self.weights, self.bias = Terms({t: i for i, t in enumerate(names)}), np.array([weights[t] for t in names], float), bias
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        z = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            found = self.terms.of(text.as_py())
+            z[i] = self.bias + sum(self.weights[sorted(found)].tolist()) if found else self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocabulary: int = 4000, voters: int = 96) -> DataFrame:
@@ -174,9 +198,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocab
     weights, bias, _ = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), most, vocabulary, voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(weights)
+        scorer = Scorer(weights, bias)
         for batch in batches:
-            score = scores(batch.column(1), terms, weights, bias)
+            score = scorer.of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
@@ -191,8 +215,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocabular
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(weights)
+        scorer = Scorer(weights, bias)
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(place), terms, weights, bias) < 0.5))
+            for part in slices(batch, place, 4 * TOGETHER):
+                yield part.filter(pa.array(scorer.of(part.column(place)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
