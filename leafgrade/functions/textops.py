@@ -168,14 +168,15 @@ def fill_prompt_text(prompt: Column) -> Column:
     return let(lambda p: F.when(p.isNull() | (p == ""), None).otherwise(let(rest, js_trim(p), fill_prompt_label(p))), prompt)
 
 
+# Words of an example, then words of an instruction.
+VARIANT_WORDS = ("beispiel|example|zum beispiel", "schreiben|ergänzen|ordnen|verbinden|wählen|markieren|lesen|bilden")
+
+
 def context_variant(text: Column) -> Column:
     """Example, instruction or theory, by German keywords with ASCII word borders."""
     word = r"(?iu)(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
-    return (
-        F.when(text.rlike(word % "beispiel|example|zum beispiel"), "example")
-        .when(text.rlike(word % "schreiben|ergänzen|ordnen|verbinden|wählen|markieren|lesen|bilden"), "instruction")
-        .otherwise("theory")
-    )
+    example, instruction = VARIANT_WORDS
+    return F.when(text.rlike(word % example), "example").when(text.rlike(word % instruction), "instruction").otherwise("theory")
 
 
 # ---- fragments, items and alternatives -----------------------------------------

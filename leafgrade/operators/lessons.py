@@ -2,7 +2,10 @@
 
 A lesson is a function of one page document, so the whole projection runs
 inside the row: no join, no shuffle, and a corpus is projected in one narrow
-pass. Blocks of all kinds share one struct.
+pass. It is written as SQL text in stages, one column each: spans are read once
+into structs with their trimmed text, flags and place in reading order, a map
+leads from a span id to its struct, and interactions look their spans up there.
+Blocks of all kinds share one struct.
 """
 
 from __future__ import annotations
@@ -13,417 +16,331 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
-from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import chain, first_match, last_match, let, mean, no_strings, pick, settle, sort_by
+from leafgrade.functions.arrays import let, settle, sort_by
 from leafgrade.operators.cluster import PAGE
 
 INTERACTION_GAP = 0.055
 CONTEXT_GAP = 0.036
-SPAN = SC.TEXT_SPAN.simpleString()
-BOX = SC.BBOX.simpleString()
-_ITEM = "struct<id:string,prompt:string,label:string>"
+_STRINGS = "CAST(array() AS array<string>)"
+_ITEM = "struct<id:string,prompt:string,label:string,size:int>"
 _PARAGRAPH = "struct<id:string,text:string>"
-BLOCK = (
-    "struct<id:string,kind:string,source_y:double,prompt:string,"
-    f"items:array<{_ITEM}>,item_count:int,interaction_count:int,targets:array<{SC.CHOICE_TARGET.simpleString()}>,"
-    "group_id:string,options:array<string>,correction_ids:array<string>,"
-    f"span_ids:array<string>,interaction_ids:array<string>,bboxes:array<{BOX}>,confidence:double,methods:array<string>,"
-    "exercise_id:string,exercise_number:string,exercise_title:string,instruction:string,source_order:int,"
-    f"variant:string,paragraphs:array<{_PARAGRAPH}>>"
-)
+#: Fields of a block and their types; a kind leaves out what it has not.
+FIELDS = {
+    "id": "string", "kind": "string", "source_y": "double", "prompt": "string", "items": f"array<{_ITEM}>", "item_count": "int",
+    "interaction_count": "int", "targets": f"array<{SC.CHOICE_TARGET.simpleString()}>", "group_id": "string", "options": "array<string>",
+    "correction_ids": "array<string>", "span_ids": "array<string>", "interaction_ids": "array<string>",
+    "bboxes": f"array<{SC.BBOX.simpleString()}>", "confidence": "double", "methods": "array<string>", "exercise_id": "string",
+    "exercise_number": "string", "exercise_title": "string", "instruction": "string", "source_order": "int", "variant": "string",
+    "paragraphs": f"array<{_PARAGRAPH}>",
+}
+_EMPTY = ("items", "correction_ids", "span_ids", "interaction_ids")
 
 
-def _meaningful(s: Column) -> Column:
-    return X.meaningful_span(s["text"], s["confidence"])
+# ---- SQL text ------------------------------------------------------------------
 
+def _bind(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def span_text(spans: Column) -> Column:
-    """C4 over span structs, in (y, x) order."""
-    ordered = sort_by(spans, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
-    pieces = F.filter(F.transform(ordered, lambda s: X.js_trim(s["text"])), lambda t: t != "")
-    return X.tidy_span_text(F.array_join(pieces, " "))
 
+def _trim(text: str) -> str:
+    return f"regexp_replace({text}, r'^[{X.JS_SPACE}]+|[{X.JS_SPACE}]+$', '')"
 
-def _readable(s: Column) -> Column:
-    return _meaningful(s) | X.js_trim(s["text"]).rlike(r"^[,.;:!?]$")
 
+def _fold(text: str) -> str:
+    return f"lower({_trim(text)})"
 
-def _line_id(s: Column) -> Column:
-    return F.when(s["parentLineId"] != "", s["parentLineId"])
 
+def _ids(ids: str) -> str:
+    """Distinct non-empty ids."""
+    return f"array_distinct(filter({ids}, i_ -> i_ <> ''))"
 
-def span_text_with_blank(spans: Column, blank: Column, all_spans: Column) -> Column:
-    """The print row around a blank as ``left _____ right``; null when the row cannot be trusted."""
-    no_spans = F.array().cast(f"array<{SPAN}>")
 
-    def source(cands: Column, anchor: Column) -> Column:
-        row = F.filter(all_spans, lambda s: _readable(s) & (F.abs(G.center_y(s["bbox"]) - anchor) <= 0.012))
-        return let(lambda r: F.when(F.size(r) > F.size(cands), r).otherwise(cands),
-                   F.when(anchor.isNull(), no_spans).otherwise(sort_by(row, lambda s: s["bbox"]["x"])))
+def _mean(values: str) -> str:
+    return _bind("m_", values, "CASE WHEN size(m_) > 0 THEN aggregate(m_, 0D, (a_, v_) -> a_ + v_) / size(m_) END")
 
-    def decide(cands: Column, src: Column, explicit: Column) -> Column:
-        over = F.exists(src, lambda s: (G.left(s["bbox"]) < G.right(blank)) & (G.right(s["bbox"]) > G.left(blank)))
-        untrusted = F.when(~F.exists(cands, lambda s: _line_id(s).isNotNull()), explicit)
-        lefts = F.filter(src, lambda s: G.right(s["bbox"]) <= G.left(blank) + 0.006)
-        rights = F.filter(src, lambda s: G.left(s["bbox"]) >= G.right(blank) - 0.006)
 
-        def around(ls: Column, rs: Column) -> Column:
-            glued = lambda l, r: F.when(l.isNull() | r.isNull(), explicit).otherwise(X.js_trim(F.regexp_replace(
-                F.concat(l, F.lit(" _____ "), r), f"[{X.JS_SPACE}]+([,.;:!?])", "$1")))
-            return F.when((F.size(ls) == 0) | (F.size(rs) == 0), untrusted).otherwise(let(glued, span_text(ls), span_text(rs)))
+def _tidy(text: str) -> str:
+    """C4 (text part): collapse spaces, drop spaces before punctuation, squeeze repeated ! and ?; null if nothing is left."""
+    space = f"[{X.JS_SPACE}]"
+    for pattern, to in ((f"{space}+", " "), (f"{space}+([,;:!?])", "$1"), (rf"{space}+\.(?!\.)", "."), (rf"([!?])(?:{space}*\1)+", "$1")):
+        text = f"regexp_replace({text}, r'{pattern}', '{to}')"
+    return f"nullif({_trim(text)}, '')"
 
-        return F.when(explicit.isNull() | explicit.rlike("_{2,}"), explicit).when(over, untrusted).otherwise(let(around, lefts, rights))
 
-    def whole(cands: Column) -> Column:
-        anchor = mean(F.transform(cands, lambda s: G.center_y(s["bbox"])))
-        return let(lambda a: let(lambda src: let(lambda e: decide(cands, src, e), span_text(src)), source(cands, a)), anchor)
+def _span_text(spans: str) -> str:
+    """C4 over span structs, in reading order."""
+    ordered = f"array_sort(transform({spans}, s_ -> struct(s_.k AS k, s_.t AS t)))"
+    return _tidy(f"array_join(filter(transform({ordered}, e_ -> e_.t), t_ -> t_ <> ''), ' ')")
 
-    return let(whole, spans)
 
+def _near(ids: str, by: str = "_by") -> str:
+    """Structs by distinct id, unknown ids left out."""
+    return f"filter(transform({_ids(f'coalesce({ids}, {_STRINGS})')}, n_ -> {by}[n_]), n_ -> n_ IS NOT NULL)"
 
-def closest_span(spans: Column, bbox: Column) -> Column:
-    """T4: smallest horizontal distance to the box centre, then vertical, then width."""
-    def nearest(cx: Column, cy: Column) -> Column:
-        gap = lambda b: F.when(cx < G.left(b), G.left(b) - cx).when(cx > G.right(b), cx - G.left(b) - b["width"]).otherwise(0.0)
-        return F.get(sort_by(spans, lambda s: gap(s["bbox"]), lambda s: F.abs(G.center_y(s["bbox"]) - cy),
-                             lambda s: s["bbox"]["width"]), F.lit(0))
-    return let(nearest, G.center_x(bbox), G.center_y(bbox))
 
+def _last_by_id(pairs: str) -> str:
+    """A map of structs (id, n, v) from id to v; of equal ids the largest n counts."""
+    kept = _bind("p_", f"array_sort(filter({pairs}, e_ -> e_.id IS NOT NULL))", "filter(p_, (e_, j_) -> coalesce(get(p_, j_ + 1).id <> e_.id, true))")
+    return f"map_from_entries(transform({kept}, e_ -> struct(e_.id, e_.v)))"
 
-def local_span_text(ids: Column, bbox: Column, all_spans: Column) -> Column:
-    """Text near an interaction; short evidence is widened to its printed line, or cut to the closest span."""
-    def widen(cands: Column, explicit: Column) -> Column:
-        line = first_match(F.transform(cands, _line_id), lambda i: i.isNotNull())
-        mates = let(lambda own: F.filter(all_spans, lambda s: _readable(s) & F.coalesce(s["parentLineId"] == own, F.lit(False))), line)
-        beside = F.filter(cands, lambda s: (G.bottom(s["bbox"]) >= bbox["y"] - 0.014) & (s["bbox"]["y"] <= G.bottom(bbox) + 0.014))
-        nearest = F.get(sort_by(cands, lambda s: F.abs(G.center_y(s["bbox"]) - G.center_y(bbox))), F.lit(0))
-        only = let(lambda near: F.when(F.size(near) > 0, closest_span(near, bbox)).otherwise(nearest), beside)
-        return let(lambda w: F.when(F.length(w) > F.coalesce(F.length(explicit), F.lit(0)), w).otherwise(span_text(F.array(only))),
-                   span_text(mates))
 
-    def choose(cands: Column, explicit: Column) -> Column:
-        has_line = F.exists(cands, lambda s: _line_id(s).isNotNull())
-        expand = has_line & (explicit.isNull() | (F.length(explicit) < 24) | (F.size(cands) == 1))
-        return F.when(F.size(cands) == 0, F.lit(None).cast("string")).when(~expand, explicit).otherwise(widen(cands, explicit))
+def _spans() -> str:
+    """The spans in reading order: k (place), id, t (trimmed), ok (meaningful), row (meaningful or a mark), line, edges, centre."""
+    ordered = "array_sort(transform(textSpans, (s, i) -> struct(s.bbox.y AS y, s.bbox.x AS x, i AS i, s AS s)))"
+    ok = "coalesce(e.s.confidence >= 0.55D AND length(t) > 1 AND t RLIKE '[A-Za-z]', false)"
+    fields = (f"struct(k AS k, e.s.id AS id, t AS t, {ok} AS ok, {ok} OR coalesce(t RLIKE r'^[,.;:!?]$', false) AS row, nullif(e.s.parentLineId, '') AS line, "
+              "e.x AS x, e.y AS y, e.x + e.s.bbox.width AS r, e.y + e.s.bbox.height AS b, e.y + e.s.bbox.height / 2 AS cy, e.s.bbox.width AS w, "
+              "e.i AS i, e.s.confidence AS conf, e.s.bbox AS bbox)")
+    return f"transform({ordered}, (e, k) -> {_bind('t', _trim('e.s.text'), fields)})"
 
-    return let(lambda cands: let(lambda e: choose(cands, e), span_text(cands)), F.filter(pick(all_spans, ids), _meaningful))
 
+def _lines() -> str:
+    """The readable text of every printed line, by line id."""
+    row = "filter(_s, s -> s.row AND s.line IS NOT NULL)"
+    return _bind("r", row, f"map_from_entries(transform(array_distinct(transform(r, s -> s.line)), l -> struct(l, {_span_text('filter(r, s -> s.line = l)')})))")
 
-def common_prompt(prompts: Column) -> Column:
+
+def _text_with_blank(near: str, box: str) -> str:
+    """The print row around a blank as ``left _____ right``; null when the row cannot be trusted."""
+    anchor = _mean(f"transform({near}, s -> s.cy)")
+    row = "filter(_s, s -> s.row AND abs(s.cy - anchor) <= 0.012D)"
+    source = _bind("row", row, f"CASE WHEN size(row) > size({near}) THEN row ELSE {near} END")
+    untrusted = f"CASE WHEN NOT exists({near}, s -> s.line IS NOT NULL) THEN whole END"
+    glued = (f"CASE WHEN lt IS NULL OR rt IS NULL THEN whole ELSE "
+             f"{_trim(f'''regexp_replace(concat(lt, ' _____ ', rt), r'[{X.JS_SPACE}]+([,.;:!?])', '$1')''')} END")
+    sides = _bind("lefts", f"filter(src, s -> s.r <= {box}.x + 0.006D)", _bind(
+        "rights", f"filter(src, s -> s.x >= {box}.x + {box}.width - 0.006D)",
+        f"CASE WHEN size(lefts) = 0 OR size(rights) = 0 THEN {untrusted} ELSE "
+        f"{_bind('lt', _span_text('lefts'), _bind('rt', _span_text('rights'), glued))} END"))
+    whole = (f"CASE WHEN whole IS NULL OR whole RLIKE '_{{2,}}' THEN whole "
+             f"WHEN exists(src, s -> s.x < {box}.x + {box}.width AND s.r > {box}.x) THEN {untrusted} ELSE {sides} END")
+    return _bind("anchor", anchor, _bind("src", source, _bind("whole", _span_text("src"), whole)))
+
+
+def _closest(spans: str, box: str) -> str:
+    """T4: the span of smallest horizontal distance to the box centre, then vertical distance, then width."""
+    cx = f"({box}.x + {box}.width / 2)"
+    gap = f"CASE WHEN {cx} < s.x THEN s.x - {cx} WHEN {cx} > s.r THEN {cx} - s.x - s.w ELSE 0D END"
+    return f"array_min(transform({spans}, (s, j) -> struct({gap} AS d, abs(s.cy - ({box}.y + {box}.height / 2)) AS v, s.w AS w, j AS j, s AS s))).s"
+
+
+def _local_text(ids: str, box: str) -> str:
+    """Text near an interaction; short evidence is widened to its printed line, or cut to the closest span."""
+    beside = f"filter(near, s -> s.b >= {box}.y - 0.014D AND s.y <= {box}.y + {box}.height + 0.014D)"
+    nearest = f"array_min(transform(near, (s, j) -> struct(abs(s.cy - ({box}.y + {box}.height / 2)) AS d, j AS j, s AS s))).s"
+    only = _bind("beside", beside, f"CASE WHEN size(beside) > 0 THEN {_closest('beside', box)} ELSE {nearest} END")
+    line = "filter(near, s -> s.line IS NOT NULL)[0].line"
+    wide = _bind("wide", f"_lines[{line}]", f"CASE WHEN length(wide) > coalesce(length(own), 0) THEN wide ELSE {_bind('one', only, _span_text('array(one)'))} END")
+    expand = "exists(near, s -> s.line IS NOT NULL) AND (own IS NULL OR length(own) < 24 OR size(near) = 1)"
+    return _bind("near", f"filter({_near(ids)}, s -> s.ok)", _bind(
+        "own", _span_text("near"), f"CASE WHEN size(near) = 0 THEN CAST(NULL AS string) WHEN {expand} THEN {wide} ELSE own END"))
+
+
+def _common(items: str) -> str:
     """The only distinct prompt, else null."""
-    known = F.array_distinct(F.filter(prompts, lambda p: F.coalesce(p != "", F.lit(False))))
-    return let(lambda k: F.when(F.size(k) == 1, F.get(k, F.lit(0))), known)
+    return _bind("c_", _ids(f"transform({items}, x_ -> x_.prompt)"), "CASE WHEN size(c_) = 1 THEN c_[0] END")
+
+
+def _item(id_: str, prompt: str, label: str = "CAST(NULL AS string)", size: str = "1") -> str:
+    return f"named_struct('id', {id_}, 'prompt', {prompt}, 'label', {label}, 'size', {size})"
+
+
+def _label(prompt: str) -> str:
+    """Leading item label such as ``a)`` or ``3.`` (null without one)."""
+    return rf"nullif(regexp_extract({_trim(prompt)}, r'^((?:[A-Za-z]|\d+)[.)])', 1), '')"
+
+
+def _unlabelled(prompt: str, label: str) -> str:
+    """A prompt without its label and repeated copies of it."""
+    cut = rf"nullif(regexp_replace({_trim(prompt)}, concat(r'^(?:\Q', {label}, r'\E[{X.JS_SPACE}]*)+'), ''), '')"
+    return f"CASE WHEN {prompt} <> '' THEN CASE WHEN {label} IS NULL THEN {_trim(prompt)} ELSE {cut} END END"
+
+
+def _block(kind: str, **parts: str) -> str:
+    """A block as text; A6: span, interaction and method lists are distinct."""
+    parts["kind"] = f"'{kind}'"
+    for name in ("span_ids", "interaction_ids", "methods"):
+        parts[name] = _ids(parts[name])
+    none = {n: f"CAST(array() AS {t})" if n in _EMPTY else f"CAST(NULL AS {t})" for n, t in FIELDS.items()}
+    return f"named_struct({', '.join(f'{n!r}, {parts.get(n, none[n])}' for n in FIELDS)})"
+
+
+def _with(block: str, **parts: str) -> str:
+    """The block with some fields replaced."""
+    return f"named_struct({', '.join(f'{n!r}, ' + parts.get(n, f'{block}.{n}') for n in FIELDS)})"
+
+
+def _flat_ids(rows: str) -> str:
+    return f"flatten(transform({rows}, x_ -> coalesce(x_.nearbyTextSpanIds, {_STRINGS})))"
+
+
+def _evidence(rows: str, box: str) -> dict[str, str]:
+    """Ids, spans, boxes, confidence and methods of a list of interactions."""
+    each = lambda field: f"transform({rows}, x_ -> x_.{field})"
+    return {"correction_ids": each("id"), "span_ids": _flat_ids(rows), "interaction_ids": each("id"), "bboxes": each(box),
+            "source_y": f"array_min(transform({rows}, x_ -> x_.{box}.y))", "confidence": _mean(each("candidateScore")), "methods": each("detectionMethod"),
+            "interaction_count": f"size({rows})", "item_count": f"size({rows})"}
+
+
+def _page_id(tag: str, id_: str) -> str:
+    return f"concat('page-', CAST(pageNumber AS string), '-{tag}-', {id_})"
 
 
-def _distinct(a: Column) -> Column:
-    return F.array_distinct(F.filter(a, lambda v: F.coalesce(v != "", F.lit(False))))
-
-
-def _flat_ids(a: Column, field: str = "nearbyTextSpanIds") -> Column:
-    return F.flatten(F.transform(a, lambda x: F.coalesce(x[field], no_strings())))
-
-
-def _block(**v) -> Column:
-    """A block struct; missing fields are null or empty. A6: span, interaction and method lists are distinct."""
-    none = F.lit(None)
-    scores = v.get("scores")
-    parts = {
-        "id": v["id"], "kind": F.lit(v["kind"]), "source_y": v["source_y"], "prompt": v.get("prompt", none),
-        "items": v.get("items", F.array().cast(f"array<{_ITEM}>")), "item_count": v.get("item_count", F.lit(0)),
-        "interaction_count": v.get("interaction_count", F.lit(0)),
-        "targets": v.get("targets", none), "group_id": v.get("group_id", none), "options": v.get("options", none),
-        "correction_ids": v.get("correction_ids", no_strings()),
-        "span_ids": _distinct(v["span_ids"]), "interaction_ids": _distinct(v["interaction_ids"]), "bboxes": v["bboxes"],
-        "confidence": mean(scores), "methods": _distinct(v["methods"]), "exercise_id": v.get("exercise_id", none),
-        "exercise_number": none, "exercise_title": none, "instruction": none, "source_order": none,
-        "variant": v.get("variant", none), "paragraphs": v.get("paragraphs", none),
-    }
-    return F.struct(*[c.alias(n) for n, c in parts.items()]).cast(BLOCK)
-
-
-def _item(id_: Column, prompt: Column, label: Column | None = None) -> Column:
-    return F.struct(id_.alias("id"), prompt.cast("string").alias("prompt"),
-                    (label if label is not None else F.lit(None)).cast("string").alias("label")).cast(_ITEM)
-
-
-def _options(group_id: Column) -> Column:
-    group = last_match(F.col("choiceGroups"), lambda g: g["id"] == group_id)
-    return F.transform(group["options"], lambda o: o["label"])
-
-
-def _blank_blocks() -> Column:
-    spans = F.col("textSpans")
-    runs = chain(sort_by(F.col("exerciseBlanks"), lambda b: b["interactionBbox"]["y"]),
-                 lambda p, c: c["interactionBbox"]["y"] - G.bottom(p["interactionBbox"]) <= INTERACTION_GAP,
-                 SC.BLANK.simpleString())
-
-    def prompt(b: Column) -> Column:
-        cands = F.filter(pick(spans, b["nearbyTextSpanIds"]), _meaningful)
-        return F.coalesce(span_text_with_blank(cands, b["interactionBbox"], spans),
-                          local_span_text(b["nearbyTextSpanIds"], b["interactionBbox"], spans))
-
-    def items_of(run: Column) -> Column:
-        return F.transform(run, lambda b: let(lambda raw: _item(
-            b["id"], X.fill_prompt_text(raw), X.fill_prompt_label(raw)), prompt(b)))
-
-    def block(run: Column, items: Column) -> Column:
-        ids = F.transform(run, lambda b: b["id"])
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-fill-"), F.get(ids, F.lit(0))),
-            kind="fill-blank", source_y=F.array_min(F.transform(run, lambda b: b["interactionBbox"]["y"])),
-            prompt=common_prompt(F.transform(items, lambda i: i["prompt"])), items=items, item_count=F.size(run),
-            interaction_count=F.size(run), correction_ids=ids, span_ids=_flat_ids(run), interaction_ids=ids,
-            bboxes=F.transform(run, lambda b: b["interactionBbox"]), scores=F.transform(run, lambda b: b["candidateScore"]),
-            methods=F.transform(run, lambda b: b["detectionMethod"]))
-    return F.transform(runs, lambda run: let(lambda items: block(run, items), items_of(run)))
-
-
-def _choice_blocks() -> Column:
-    spans, targets = F.col("textSpans"), F.col("choiceTargets")
-    key = lambda t: F.coalesce(t["optionGroupId"], F.concat(F.lit("unmapped:"), t["id"]))
-    keys = F.array_distinct(F.transform(targets, key))
-
-    def items_of(mine: Column) -> Column:
-        return F.transform(mine, lambda t: _item(t["id"], local_span_text(t["nearbyTextSpanIds"], t["interactionBbox"], spans)))
-
-    def block(mine: Column, items: Column) -> Column:
-        ids = F.transform(mine, lambda t: t["id"])
-        group = F.get(mine, F.lit(0))["optionGroupId"]
-        known = last_match(F.col("choiceGroups"), lambda g: g["id"] == group)["id"]
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-choice-"), F.get(ids, F.lit(0))),
-            kind="choice", source_y=F.array_min(F.transform(mine, lambda t: t["interactionBbox"]["y"])),
-            prompt=common_prompt(F.transform(items, lambda i: i["prompt"])), items=items, item_count=F.size(mine),
-            interaction_count=F.size(mine), targets=mine, group_id=known, options=_options(group), correction_ids=ids,
-            span_ids=_flat_ids(mine), interaction_ids=ids, bboxes=F.transform(mine, lambda t: t["interactionBbox"]),
-            scores=F.transform(mine, lambda t: t["candidateScore"]), methods=F.transform(mine, lambda t: t["detectionMethod"]))
-    return F.transform(keys, lambda k: let(lambda mine: let(lambda items: block(mine, items), items_of(mine)),
-                                           F.filter(targets, lambda t: key(t) == k)))
-
-
-def _grid_blocks() -> Column:
-    spans = F.col("textSpans")
-
-    def items_of(g: Column) -> Column:
-        return F.transform(g["rows"], lambda r: _item(r["id"], local_span_text(r["nearbyTextSpanIds"], r["rowBbox"], spans)))
-
-    def block(g: Column, items: Column) -> Column:
-        rows = g["rows"]
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-grid-"), g["id"]), kind="choice-grid",
-            source_y=g["gridBbox"]["y"], prompt=common_prompt(F.transform(items, lambda i: i["prompt"])), items=items,
-            item_count=F.size(rows), interaction_count=F.size(rows),
-            group_id=last_match(F.col("choiceGroups"), lambda o: o["id"] == g["optionGroupId"])["id"],
-            options=_options(g["optionGroupId"]), correction_ids=F.array(g["id"]), span_ids=_flat_ids(rows),
-            interaction_ids=F.concat(F.array(g["id"]), F.transform(rows, lambda r: r["id"])),
-            bboxes=F.concat(F.array(g["gridBbox"]), F.transform(rows, lambda r: r["rowBbox"])),
-            scores=F.array(g["candidateScore"]), methods=F.array(g["detectionMethod"]))
-    return F.transform("choiceGrids", lambda g: let(lambda items: block(g, items), items_of(g)))
-
-
-def _ordering_blocks() -> Column:
-    spans, all_orderings = F.col("textSpans"), F.col("sentenceOrderings")
-
-    def block(e: Column, mine: Column) -> Column:
-        ordered = sort_by(mine, lambda o: o["promptIndex"])
-        ids = F.transform(mine, lambda o: o["id"])
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-ordering-"), F.coalesce(e, F.lit("null"))),
-            kind="sentence-ordering", source_y=F.array_min(F.transform(mine, lambda o: o["bbox"]["y"])),
-            prompt=F.when(F.size(mine) == 1, span_text(pick(spans, _flat_ids(mine)))),
-            items=F.transform(ordered, lambda o: _item(o["id"], F.lit(None))), item_count=F.size(mine),
-            interaction_count=F.size(mine), exercise_id=e, correction_ids=F.transform(ordered, lambda o: o["id"]),
-            span_ids=_flat_ids(mine), interaction_ids=ids, bboxes=F.transform(mine, lambda o: o["bbox"]),
-            scores=F.transform(mine, lambda o: o["candidateScore"]), methods=F.transform(mine, lambda o: o["detectionMethod"]))
-    return F.transform(F.array_distinct(F.transform(all_orderings, lambda o: o["exerciseId"])), lambda e: let(
-        lambda mine: block(e, mine), F.filter(all_orderings, lambda o: o["exerciseId"].eqNullSafe(e))))
-
-
-def _single_blocks(column: str, kind: str, tag: str) -> Column:
-    spans = F.col("textSpans")
-
-    def block(x: Column) -> Column:
-        ids = F.coalesce(x["nearbyTextSpanIds"], no_strings())
-        matching = kind == "matching"
-        if matching:
-            ids = F.concat(ids, _flat_ids(x["leftItems"]), _flat_ids(x["rightItems"]))
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit(f"-{tag}-"), x["id"]), kind=kind,
-            source_y=x["bbox"]["y"], prompt=F.lit(None) if matching else span_text(pick(spans, ids)),
-            items=F.array(_item(x["id"], F.lit(None))), item_count=F.size(x["leftItems"]) if matching else F.lit(1),
-            interaction_count=F.lit(1), correction_ids=F.array(x["id"]), span_ids=ids, interaction_ids=F.array(x["id"]),
-            bboxes=F.array(x["bbox"]), scores=F.array(x["candidateScore"]), methods=F.array(x["detectionMethod"]))
-    return F.transform(column, block)
-
-
-def _fold_case(c: Column) -> Column:
-    return F.lower(X.js_trim(c))
-
-
-def semantic_exercise(interaction_ids: Column, exercises: Column) -> Column:
-    """The exercise that owns all matched interactions of a block (last owner wins), else null."""
-    owners = F.transform(interaction_ids, lambda i: last_match(exercises, lambda e: F.array_contains(e["interactionIds"], i)))
-
-    def single(known: Column) -> Column:
-        return let(lambda first: F.when(F.forall(known, lambda e: e["id"] == first["id"]), first), F.get(known, F.lit(0)))
-    return let(single, F.filter(owners, lambda e: e.isNotNull()))
-
-
-def assign_nearest_once(targets: Column, spans: Column) -> Column:
-    """{id, span} per target: the nearest context span by centre height that no earlier target took."""
-    start = F.struct(no_strings().alias("used"),
-                     F.array().cast("array<struct<id:string,span_id:string,text:string>>").alias("out"))
-
-    def take(acc: Column, t: Column, best: Column) -> Column:
-        row = F.struct(t["id"].alias("id"), best["id"].alias("span_id"), X.js_trim(best["text"]).alias("text"))
-        return F.when(best.isNull(), acc).otherwise(F.struct(
-            F.concat(acc["used"], F.array(best["id"])).alias("used"), F.concat(acc["out"], F.array(row)).alias("out")))
-
-    def step(acc: Column, t: Column) -> Column:
-        free = F.filter(spans, lambda s: ~F.array_contains(acc["used"], s["id"]))
-        cy = G.center_y(t["interactionBbox"])
-        best = F.get(sort_by(free, lambda s: F.abs(G.center_y(s["bbox"]) - cy), lambda s: s["bbox"]["y"],
-                             lambda s: s["bbox"]["x"]), F.lit(0))
-        return let(lambda b: take(acc, t, b), best)
-    return F.aggregate(targets, start, step, lambda acc: acc["out"])
-
-
-_GIVEN = "array<struct<id:string,span_id:string,text:string>>"
-
-
-def _apply_semantics(b: Column) -> Column:
-    """The block's exercise: its copy, its context paragraphs, and prompts for choice targets."""
-    spans, none = F.col("textSpans"), no_strings()
-
-    def printed_copy(e: Column) -> Column:
-        texts = F.array(e["number"], e["title"], e["instruction"],
-                        F.concat_ws(" ", F.coalesce(e["number"], F.lit("null")), F.coalesce(e["title"], F.lit("null"))))
-        own = F.transform(F.filter(texts, lambda v: F.coalesce(v != "", F.lit(False))), _fold_case)
-        options = F.transform(F.coalesce(F.when(b["kind"].isin("choice", "choice-grid"), b["options"]), none), _fold_case)
-        groups = F.transform(F.filter("choiceTargets", lambda t: F.array_contains(e["interactionIds"], t["id"])),
-                             lambda t: t["optionGroupId"])
-        labels = F.flatten(F.transform(groups, lambda g: F.coalesce(F.transform(
-            first_match(F.col("choiceGroups"), lambda c: c["id"] == g)["options"], lambda o: _fold_case(o["label"])), none)))
-        return F.concat(own, options, F.filter(labels, lambda v: v != ""))
-
-    def context(e: Column, copies: Column) -> Column:
-        kept = F.filter(pick_all(spans, e["contextSpanIds"]), lambda s: (
-            _meaningful(s) & ~F.array_contains(b["span_ids"], s["id"]) & ~F.array_contains(copies, _fold_case(s["text"]))
-            & ~X.js_trim(s["text"]).rlike(r"^\([^)]{1,30}\)$")))
-        return sort_by(kept, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
-
-    def apply(e: Column, ctx: Column, given: Column) -> Column:
-        items = F.transform(b["items"], lambda i: i.withField("prompt", F.coalesce(
-            first_match(given, lambda g: g["id"] == i["id"])["text"], i["prompt"])))
-        rest = F.filter(ctx, lambda s: ~F.exists(given, lambda g: g["span_id"] == s["id"]))
-        paragraphs = F.transform(rest, lambda s: F.struct(
-            F.concat(F.lit("paragraph-"), s["id"]).alias("id"), X.js_trim(s["text"]).alias("text")))
-        fields = {"items": items, "paragraphs": paragraphs.cast(f"array<{_PARAGRAPH}>"), "exercise_id": e["id"],
-                  "exercise_number": e["number"], "exercise_title": e["title"], "instruction": e["instruction"],
-                  "source_order": e["sourceOrder"]}
-        return _with(b, fields)
-
-    def owned(e: Column) -> Column:
-        assigned = lambda ctx: F.when(b["kind"] == "choice", assign_nearest_once(b["targets"], ctx)).otherwise(F.array().cast(_GIVEN))
-        return let(lambda copies: let(lambda ctx: let(lambda given: apply(e, ctx, given), assigned(ctx)), context(e, copies)),
-                   printed_copy(e))
-
-    return let(lambda e: F.when(e.isNull(), b).otherwise(owned(e)), semantic_exercise(b["interaction_ids"], F.col("semanticExercises")))
-
+def _runs(array: str, top: str, bottom: str, gap: float) -> str:
+    """A sorted array cut where an element starts more than ``gap`` under the end of the one before."""
+    starts = f"filter(sequence(0, size(a_) - 1), j_ -> j_ = 0 OR a_[j_].{top} - ({bottom.format('a_[j_ - 1]')}) > {gap}D)"
+    runs = _bind("c_", starts, "transform(c_, (f_, j_) -> slice(a_, f_ + 1, coalesce(get(c_, j_ + 1), size(a_)) - f_))")
+    return _bind("a_", array, f"CASE WHEN size(a_) = 0 THEN array() ELSE {runs} END")
 
-_FIELDS = [
-    "id", "kind", "source_y", "prompt", "items", "item_count", "interaction_count", "targets", "group_id", "options",
-    "correction_ids", "span_ids", "interaction_ids", "bboxes", "confidence", "methods", "exercise_id", "exercise_number",
-    "exercise_title", "instruction", "source_order", "variant", "paragraphs"]
 
+def _blank_blocks() -> str:
+    """Gap runs of blanks, every blank with its prompt."""
+    prompt = _bind("near", f"filter({_near('b.nearbyTextSpanIds')}, s -> s.ok)",
+                   f"coalesce({_text_with_blank('near', 'b.interactionBbox')}, {_local_text('b.nearbyTextSpanIds', 'b.interactionBbox')})")
+    item = _bind("raw", prompt, _bind("label", _label("raw"), _item("b.id", _unlabelled("raw", "label"), "label")))
+    ordered = "transform(array_sort(transform(exerciseBlanks, (b, i) -> struct(b.interactionBbox.y AS y, i AS i, b AS b))), e -> e.b)"
+    parts = _evidence("run", "interactionBbox")
+    block = _bind("items", f"transform(run, b -> {item})", _block(
+        "fill-blank", id=_page_id("fill", "run[0].id"), prompt=_common("items"), items="items", **parts))
+    runs = _runs(ordered, "interactionBbox.y", "{0}.interactionBbox.y + {0}.interactionBbox.height", INTERACTION_GAP)
+    return f"transform({runs}, run -> {block})"
 
-def _with(b: Column, fields: dict[str, Column]) -> Column:
-    """The block with some fields replaced, built as one struct."""
-    return F.struct(*[fields.get(n, b[n]).alias(n) for n in _FIELDS]).cast(BLOCK)
 
+def _choice_blocks() -> str:
+    key = "coalesce({0}.optionGroupId, concat('unmapped:', {0}.id))".format
+    item = _item("t.id", _local_text("t.nearbyTextSpanIds", "t.interactionBbox"))
+    group = "_groups[mine[0].optionGroupId]"
+    block = _bind("items", f"transform(mine, t -> {item})", _bind("g", group, _block(
+        "choice", id=_page_id("choice", "mine[0].id"), prompt=_common("items"), items="items", targets="mine", group_id="g.id", options="g.options",
+        **_evidence("mine", "interactionBbox"))))
+    return (f"transform(array_distinct(transform(choiceTargets, t -> {key('t')})), key -> "
+            f"{_bind('mine', f'filter(choiceTargets, t -> {key(chr(116))} = key)', block)})")
 
-def pick_all(array: Column, ids: Column) -> Column:
-    """Elements by id, once per listed id (no distinct)."""
-    found = F.transform(F.coalesce(ids, no_strings()), lambda i: last_match(array, lambda e: e["id"] == i))
-    return F.filter(found, lambda e: e.isNotNull())
 
+def _grid_blocks() -> str:
+    item = _item("r.id", _local_text("r.nearbyTextSpanIds", "r.rowBbox"))
+    block = _bind("items", f"transform(c.rows, r -> {item})", _bind("g", "_groups[c.optionGroupId]", _block(
+        "choice-grid", id=_page_id("grid", "c.id"), prompt=_common("items"), items="items", group_id="g.id", options="g.options",
+        source_y="c.gridBbox.y", item_count="size(c.rows)", interaction_count="size(c.rows)", correction_ids="array(c.id)", span_ids=_flat_ids("c.rows"),
+        interaction_ids="concat(array(c.id), transform(c.rows, r -> r.id))", bboxes="concat(array(c.gridBbox), transform(c.rows, r -> r.rowBbox))",
+        confidence="c.candidateScore", methods="array(c.detectionMethod)")))
+    return f"transform(choiceGrids, c -> {block})"
 
-def _coalesce_choices(blocks: Column) -> Column:
+
+def _ordering_blocks() -> str:
+    parts = _evidence("mine", "bbox")
+    ordered = "transform(array_sort(transform(mine, (o, i) -> struct(o.promptIndex AS p, i AS i, o.id AS id, size(o.items) AS n))), e -> {0})".format
+    parts["correction_ids"] = ordered("e.id")
+    block = _block("sentence-ordering", id=_page_id("ordering", "coalesce(key, 'null')"), prompt=f"CASE WHEN size(mine) = 1 THEN {_span_text(_near(_flat_ids('mine')))} END",
+                   items=ordered(_item("e.id", "CAST(NULL AS string)", size="e.n")), exercise_id="key", **parts)
+    return (f"transform(array_distinct(transform(sentenceOrderings, o -> o.exerciseId)), key -> "
+            f"{_bind('mine', 'filter(sentenceOrderings, o -> o.exerciseId <=> key)', block)})")
+
+
+def _single(column: str, kind: str, tag: str, ids: str, prompt: str, count: str) -> str:
+    block = _block(kind, id=_page_id(tag, "x.id"), prompt=prompt, items=f"array({_item('x.id', 'CAST(NULL AS string)', size=count)})", source_y="x.bbox.y",
+                   item_count=count, interaction_count="1", correction_ids="array(x.id)", span_ids=ids, interaction_ids="array(x.id)",
+                   bboxes="array(x.bbox)", confidence="x.candidateScore", methods="array(x.detectionMethod)")
+    return f"transform({column}, x -> {block})"
+
+
+def _matching_blocks() -> str:
+    ids = f"concat(coalesce(x.nearbyTextSpanIds, {_STRINGS}), {_flat_ids('x.leftItems')}, {_flat_ids('x.rightItems')})"
+    return _single("matchingInteractions", "matching", "matching", ids, "CAST(NULL AS string)", "size(x.leftItems)")
+
+
+def _free_blocks() -> str:
+    ids = f"coalesce(x.nearbyTextSpanIds, {_STRINGS})"
+    return _single("freeTextInteractions", "free-text", "free", ids, _span_text(_near(ids)), "1")
+
+
+def _assigned() -> str:
+    """{id, span_id, text} per target: the nearest context span by centre height that no earlier target took."""
+    cy = "(t.interactionBbox.y + t.interactionBbox.height / 2)"
+    best = f"array_min(transform(filter(ctx, s -> NOT array_contains(a.used, s.id)), s -> struct(abs(s.cy - {cy}) AS d, s.k AS k, s.id AS id, s.t AS t)))"
+    taken = "named_struct('used', array_append(a.used, best.id), 'out', array_append(a.out, named_struct('id', t.id, 'span_id', best.id, 'text', best.t)))"
+    start = f"named_struct('used', {_STRINGS}, 'out', CAST(array() AS array<struct<id:string,span_id:string,text:string>>))"
+    return f"aggregate(b.targets, {start}, (a, t) -> {_bind('best', best, f'CASE WHEN best IS NULL THEN a ELSE {taken} END')}, a -> a.out)"
+
+
+def _applied() -> str:
+    """The block's exercise (J12): its copy, its context paragraphs, and prompts for choice targets.
+
+    A block belongs to an exercise that owns all of its owned interactions
+    (the last owner of an interaction counts).
+    """
+    owners = "filter(transform(b.interaction_ids, i -> _owner[i]), e -> e IS NOT NULL)"
+    exercise = _bind("o", owners, "CASE WHEN forall(o, e -> e.id = o[0].id) THEN get(o, 0) END")
+    texts = "array(ex.number, ex.title, ex.instruction, concat_ws(' ', coalesce(ex.number, 'null'), coalesce(ex.title, 'null')))"
+    options = f"CASE WHEN b.kind IN ('choice', 'choice-grid') THEN coalesce(b.options, {_STRINGS}) ELSE {_STRINGS} END"
+    labels = (f"flatten(transform(filter(choiceTargets, t -> array_contains(ex.interactionIds, t.id)), t -> "
+              f"coalesce(transform(get(filter(choiceGroups, g -> g.id = t.optionGroupId), 0).options, o -> o.label), {_STRINGS})))")
+    # empty labels fold to '' and no kept span has an empty text
+    copies = f"transform(concat(filter({texts}, v -> v <> ''), {options}, {labels}), v -> {_fold('v')})"
+    context = (f"array_sort(filter(transform(coalesce(ex.contextSpanIds, {_STRINGS}), i -> _by[i]), s -> s.ok AND NOT array_contains(b.span_ids, s.id) "
+               r"AND NOT array_contains(copies, lower(s.t)) AND NOT s.t RLIKE r'^\([^)]{1,30}\)$'))")
+    given = f"CASE WHEN b.kind = 'choice' THEN {_assigned()} ELSE CAST(array() AS array<struct<id:string,span_id:string,text:string>>) END"
+    items = f"transform(b.items, x -> {_item('x.id', 'coalesce(get(filter(given, g -> g.id = x.id), 0).text, x.prompt)', 'x.label', 'x.size')})"
+    paragraphs = ("transform(filter(ctx, s -> NOT exists(given, g -> g.span_id = s.id)), s -> named_struct('id', concat('paragraph-', s.id), 'text', s.t))")
+    owned = _with("b", items=items, paragraphs=paragraphs, exercise_id="ex.id", exercise_number="ex.number", exercise_title="ex.title",
+                  instruction="ex.instruction", source_order="ex.sourceOrder")
+    whole = _bind("copies", copies, _bind("ctx", context, _bind("given", given, owned)))
+    return f"transform(_raw, b -> {_bind('ex', exercise, f'CASE WHEN ex IS NULL THEN b ELSE {whole} END')})"
+
+
+def _coalesced() -> str:
     """Choice blocks of one exercise become one block; everything else passes through."""
-    semantic = lambda b: (b["kind"] == "choice") & F.coalesce(b["exercise_id"] != "", F.lit(False))
-    ids = F.array_distinct(F.transform(F.filter(blocks, semantic), lambda b: b["exercise_id"]))
-    rest = F.filter(blocks, lambda b: ~semantic(b))
-
-    no_paragraphs = F.array().cast(f"array<{_PARAGRAPH}>")
-
-    def paragraphs(mine: Column, items: Column) -> Column:
-        options = F.flatten(F.transform(mine, lambda b: F.coalesce(b["options"], no_strings())))
-        known = F.filter(items, lambda i: F.coalesce(i["prompt"] != "", F.lit(False)))
-        gone = F.concat(F.transform(known, lambda i: _fold_case(i["prompt"])), F.transform(options, _fold_case))
-        listed = F.flatten(F.transform(mine, lambda b: F.coalesce(b["paragraphs"], no_paragraphs)))
-        left = let(lambda g: F.filter(listed, lambda p: ~F.array_contains(g, _fold_case(p["text"]))), gone)
-        # equal texts count once
-        return let(lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["text"])),
-                                          lambda t: first_match(ps, lambda p: p["text"] == t)), left)
-
-    def merge(e: Column, mine: Column, first: Column, items: Column) -> Column:
-        flat = lambda f: F.flatten(F.transform(mine, lambda b: b[f]))
-        shared = F.forall(mine, lambda b: b["group_id"].eqNullSafe(first["group_id"]))
-        fields = {"id": e, "source_y": F.array_min(F.transform(mine, lambda b: b["source_y"])), "items": items,
-                  "item_count": F.size(items), "interaction_count": F.size(items), "paragraphs": paragraphs(mine, items),
-                  "group_id": F.when(shared, first["group_id"]), "options": F.when(shared, first["options"]),
-                  "confidence": F.array_min(F.transform(mine, lambda b: b["confidence"]))}
-        fields.update({f: flat(f) for f in ("targets", "correction_ids", "bboxes")})
-        fields.update({f: F.array_distinct(flat(f)) for f in ("span_ids", "interaction_ids", "methods")})
-        return _with(first, fields)
-
-    def merged(e: Column) -> Column:
-        def one(mine: Column) -> Column:
-            return let(lambda first, items: F.when(F.size(mine) == 1, first).otherwise(merge(e, mine, first, items)),
-                       F.get(mine, F.lit(0)), F.flatten(F.transform(mine, lambda b: b["items"])))
-        return let(one, F.filter(blocks, lambda b: semantic(b) & (b["exercise_id"] == e)))
-
-    return F.concat(rest, F.transform(ids, merged))
-
-
-def _context_blocks(interactions: Column) -> Column:
-    """J15 + W5: unused meaningful spans in capped gap clusters."""
-    used = F.flatten(F.transform(interactions, lambda b: b["span_ids"]))
-    boxes = F.flatten(F.transform(interactions, lambda b: b["bboxes"]))
-    free = let(lambda ids, bs: F.filter("textSpans", lambda s: _meaningful(s) & ~F.array_contains(ids, s["id"]) & ~F.exists(
-        bs, lambda b: G.center_y(s["bbox"]).between(b["y"] - 0.012, G.bottom(b) + 0.012))), used, boxes)
-    ordered = sort_by(free, lambda s: s["bbox"]["y"], lambda s: s["bbox"]["x"])
-    runs = chain(ordered, lambda p, c: c["bbox"]["y"] - G.bottom(p["bbox"]) <= CONTEXT_GAP, SPAN)
-    # a run is cut after every six spans
-    parts = F.flatten(F.transform(runs, lambda r: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(r) - 1) / 6).cast("int")), lambda n: F.slice(r, n * 6 + 1, F.lit(6)))))
-
-    def block(run: Column) -> Column:
-        first = F.get(run, F.lit(0))
-        text = F.array_join(F.transform(run, lambda s: X.js_trim(s["text"])), " ")
-        return _block(
-            id=F.concat(F.lit("page-"), F.col("pageNumber").cast("string"), F.lit("-context-"), first["id"]), kind="context",
-            source_y=first["bbox"]["y"], span_ids=F.transform(run, lambda s: s["id"]), interaction_ids=no_strings(),
-            bboxes=F.transform(run, lambda s: s["bbox"]), scores=F.transform(run, lambda s: s["confidence"]),
-            methods=F.array(F.lit("ocr")), variant=X.context_variant(text),
-            paragraphs=F.transform(run, lambda s: F.struct(
-                F.concat(F.lit("paragraph-"), s["id"]).alias("id"), X.js_trim(s["text"]).alias("text"))).cast(f"array<{_PARAGRAPH}>"))
-    return F.transform(parts, block)
-
-
-def standalone_context(contexts: Column) -> Column:
-    """At least two theory or example paragraphs with 120 characters in total."""
-    texts = F.filter(F.flatten(F.transform(F.filter(contexts, lambda b: b["variant"].isin("theory", "example")),
-                                           lambda b: F.transform(b["paragraphs"], lambda p: X.js_trim(p["text"])))),
-                     lambda t: t != "")
-    return let(lambda t: (F.size(t) >= 2) & (F.length(F.array_join(t, " ")) >= 120), texts)
+    semantic = "({0}.kind = 'choice' AND coalesce({0}.exercise_id <> '', false))".format
+    flat = lambda f: f"flatten(transform(mine, b -> b.{f}))"
+    prompts = f"transform(filter(items, x -> x.prompt <> ''), x -> {_fold('x.prompt')})"
+    labels = f"transform(flatten(transform(mine, b -> coalesce(b.options, {_STRINGS}))), o -> {_fold('o')})"
+    listed = f"flatten(transform(mine, b -> coalesce(b.paragraphs, CAST(array() AS array<{_PARAGRAPH}>))))"
+    left = _bind("gone", f"concat({prompts}, {labels})", f"filter({listed}, p -> NOT array_contains(gone, {_fold('p.text')}))")
+    # equal texts count once, where they stand first
+    paragraphs = _bind("ps", left, "transform(array_distinct(transform(ps, p -> p.text)), t -> filter(ps, p -> p.text = t)[0])")
+    shared = "forall(mine, b -> b.group_id <=> first.group_id)"
+    merged = _with("first", id="key", source_y="array_min(transform(mine, b -> b.source_y))", items="items", item_count="size(items)",
+                   interaction_count="size(items)", paragraphs=paragraphs, group_id=f"CASE WHEN {shared} THEN first.group_id END",
+                   options=f"CASE WHEN {shared} THEN first.options END", confidence="array_min(transform(mine, b -> b.confidence))",
+                   **{f: flat(f) for f in ("targets", "correction_ids", "bboxes")},
+                   **{f: f"array_distinct({flat(f)})" for f in ("span_ids", "interaction_ids", "methods")})
+    one = _bind("first", "mine[0]", _bind("items", flat("items"), f"CASE WHEN size(mine) = 1 THEN first ELSE {merged} END"))
+    groups = f"transform(array_distinct(transform(filter(_applied, b -> {semantic('b')}), b -> b.exercise_id)), key -> " + _bind(
+        "mine", f"filter(_applied, b -> {semantic('b')} AND b.exercise_id = key)", one) + ")"
+    return f"concat(filter(_applied, b -> NOT {semantic('b')}), {groups})"
+
+
+def _context_blocks() -> str:
+    """J15 + W5: unused meaningful spans in gap runs of at most six."""
+    free = _bind("used", "flatten(transform(_blocks, b -> b.span_ids))", _bind(
+        "boxes", "flatten(transform(_blocks, b -> b.bboxes))",
+        "filter(_s, s -> s.ok AND NOT array_contains(used, s.id) AND NOT exists(boxes, x -> s.cy BETWEEN x.y - 0.012D AND x.y + x.height + 0.012D))"))
+    runs = _runs(free, "y", "{0}.b", CONTEXT_GAP)
+    parts = f"flatten(transform({runs}, r -> transform(sequence(0, (size(r) - 1) div 6), n -> slice(r, CAST(n AS int) * 6 + 1, 6))))"
+    word = "(?iu)(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
+    example, instruction = (word % w for w in X.VARIANT_WORDS)
+    variant = f"CASE WHEN text RLIKE r'{example}' THEN 'example' WHEN text RLIKE r'{instruction}' THEN 'instruction' ELSE 'theory' END"
+    block = _bind("text", "array_join(transform(run, s -> s.t), ' ')", _block(
+        "context", id=_page_id("context", "run[0].id"), source_y="run[0].y", span_ids="transform(run, s -> s.id)", interaction_ids=_STRINGS,
+        bboxes="transform(run, s -> s.bbox)", confidence=_mean("transform(run, s -> s.conf)"), methods="array('ocr')", variant=variant,
+        paragraphs="transform(run, s -> named_struct('id', concat('paragraph-', s.id), 'text', s.t))"))
+    return f"transform({parts}, run -> {block})"
+
+
+# ---- the operators -------------------------------------------------------------
+
+def common_prompt(prompts: Column) -> Column:
+    """The only distinct prompt, else null."""
+    known = F.array_distinct(F.filter(prompts, lambda p: F.coalesce(p != "", F.lit(False))))
+    return let(lambda k: F.when(F.size(k) == 1, F.get(k, F.lit(0))), known)
 
 
 def lesson_title(spans: Column, page: Column, unit_title: Column | None = None) -> Column:
     """Unit title, else the tallest (then widest) page header of four characters or more, else ``Page n``."""
     heads = F.filter(spans, lambda s: (
-        _meaningful(s) & (s["bbox"]["y"] < 0.2) & ~X.js_trim(s["text"]).rlike(r"(?iu)^(?:[ABC]\d|\d+|lektion\s+\d+)$")
+        X.meaningful_span(s["text"], s["confidence"]) & (s["bbox"]["y"] < 0.2) & ~X.js_trim(s["text"]).rlike(r"(?iu)^(?:[ABC]\d|\d+|lektion\s+\d+)$")
         & ~X.js_trim(s["text"]).rlike(r"(?iu)deutsch\s+(?:entdecken|a1)") & (F.length(X.js_trim(s["text"])) >= 4)))
     best = F.get(sort_by(heads, lambda s: -s["bbox"]["height"], lambda s: -s["bbox"]["width"]), F.lit(0))
     own = let(lambda s: X.js_trim(s["text"]), best)
@@ -438,77 +355,81 @@ def project_lesson(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     without a document has null ``pageNumber``. ``unit_number`` and
     ``unit_title`` are used when present.
     """
-    unit_title = F.col("unit_title") if "unit_title" in pages.columns else None
-    families = [_blank_blocks(), _choice_blocks(), _grid_blocks(), _ordering_blocks(),
-                _single_blocks("matchingInteractions", "matching", "matching"), _single_blocks("freeTextInteractions", "free-text", "free")]
+    extra = [c for c in ("unit_number", "unit_title") if c in pages.columns]
+    entries = "transform({0}, (e, i) -> named_struct('id', {1}, 'n', i, 'v', {2}))".format
+    owned = entries("flatten(transform(semanticExercises, x -> transform(x.interactionIds, i -> struct(i AS id, x AS x))))", "e.id", "e.x")
     # one column per stage: a stage is computed once however often the next one refers to it
-    df = pages.withColumns({f"_f{n}": c for n, c in enumerate(families)})
-    df = df.withColumn("_applied", F.transform(F.concat(*[F.col(f"_f{n}") for n in range(len(families))]), _apply_semantics))
-    df = df.withColumn("_blocks", _coalesce_choices(F.col("_applied")))
-    df = df.withColumn("_contexts", _context_blocks(F.col("_blocks")))
-    chosen = F.when(F.size("_blocks") > 0, F.col("_blocks")).otherwise(F.col("_contexts"))
+    df = pages.selectExpr("*", f"{_spans()} AS _s", f"{_last_by_id(entries('choiceGroups', 'e.id', 'struct(e.id AS id, transform(e.options, o -> o.label) AS options)'))} AS _groups",
+                          f"{_last_by_id(owned)} AS _owner")
+    df = df.selectExpr("*", f"{_last_by_id('transform(_s, s -> struct(s.id AS id, s.i AS n, s AS v))')} AS _by", f"{_lines()} AS _lines")
+    families = [_blank_blocks(), _choice_blocks(), _grid_blocks(), _ordering_blocks(), _matching_blocks(), _free_blocks()]
+    df = df.selectExpr("*", f"concat({', '.join(families)}) AS _raw")
+    df = df.selectExpr("*", f"{_applied()} AS _applied")
+    df = df.selectExpr("*", f"{_coalesced()} AS _blocks")
+    df = df.selectExpr("*", f"{_context_blocks()} AS _contexts")
+    # Without interactions, two theory or example paragraphs with 120 characters in total
+    paragraphs = ("filter(flatten(transform(filter(_contexts, b -> b.variant IN ('theory', 'example')), b -> transform(b.paragraphs, p -> p.text))), t -> t <> '')")
     # Source order (missing last), position, id
-    df = df.withColumn("blocks", sort_by(chosen, lambda b: F.coalesce(b["source_order"], F.lit(2147483647)),
-                                         lambda b: b["source_y"], lambda b: b["id"]))
-    reason = (
-        F.when(F.col("pageNumber").isNull(), "ANALYSIS_UNAVAILABLE")
-        .when(F.col("pageNumber") != F.col("page_number"), "SOURCE_MISMATCH")
-        .when((F.size("_blocks") == 0) & ~standalone_context(F.col("_contexts")), "NO_MEANINGFUL_CONTENT")
-        .when(F.size("blocks") == 0, "NO_MEANINGFUL_CONTENT")
-    )
-    df = df.withColumn("reason", reason)
+    ordered = ("transform(array_sort(transform(CASE WHEN size(_blocks) > 0 THEN _blocks ELSE _contexts END, (b, i) -> "
+               "struct(coalesce(b.source_order, 2147483647) AS o, b.source_y AS y, b.id AS id, i AS i, b AS b))), e -> e.b)")
+    df = df.selectExpr("*", f"{ordered} AS _ordered", f"{_bind('t', paragraphs, 'size(t) >= 2 AND length(array_join(t, chr(32))) >= 120')} AS _alone")
+    df = df.selectExpr("*", """CASE WHEN pageNumber IS NULL THEN 'ANALYSIS_UNAVAILABLE' WHEN pageNumber <> page_number THEN 'SOURCE_MISMATCH'
+        WHEN size(_ordered) = 0 OR (size(_blocks) = 0 AND NOT _alone) THEN 'NO_MEANINGFUL_CONTENT' END AS reason""")
     ok = F.col("reason").isNull()
-    count = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["interaction_count"])
-    extra = [c for c in ("unit_number", "unit_title") if c in pages.columns]
+    unit_title = F.col("unit_title") if "unit_title" in pages.columns else None
     return settle(df.select(
         *keys, *extra, F.when(ok, "AVAILABLE").otherwise("UNAVAILABLE").alias("status"), "reason",
         F.when(ok, F.concat_ws(":page:", *[F.col(k).cast("string") for k in keys])).alias("lesson_id"),
         F.when(ok, lesson_title(F.col("textSpans"), F.col("page_number"), unit_title)).alias("title"),
-        F.when(ok, F.col("blocks")).alias("blocks"), F.when(ok, F.size("blocks")).alias("block_count"),
-        F.when(ok, count).alias("interaction_count")))
+        F.when(ok, F.col("_ordered")).alias("blocks"), F.when(ok, F.size("_ordered")).alias("block_count"),
+        F.when(ok, F.expr("aggregate(_ordered, 0, (a, b) -> a + b.interaction_count)")).alias("interaction_count")))
 
 
 def lesson_steps(lessons: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """K5: ordered steps: contexts only without activities, one activity per block, one completion."""
-    blocks = F.col("blocks")
-    activities = F.filter(blocks, lambda b: b["kind"] != "context")
-    step = "struct<id:string,kind:string,block_kind:string,activity_index:int,activity_count:int,item_count:int,answer_ids:array<string>,correction_ids:array<string>>"
-    n = F.size(activities)
-    none = F.lit(None)
-
-    def make(id_, kind, block_kind=none, index=none, items=none, ids=none, corrections=none) -> Column:
-        return F.struct(id_.alias("id"), F.lit(kind).alias("kind"), block_kind.alias("block_kind"), index.alias("activity_index"),
-                        n.alias("activity_count"), items.alias("item_count"), ids.alias("answer_ids"),
-                        corrections.alias("correction_ids")).cast(step)
-
-    contexts = F.transform(F.when(n == 0, blocks).otherwise(F.array().cast(f"array<{BLOCK}>")), lambda b: make(b["id"], "context", b["kind"]))
-    acts = F.transform(activities, lambda b, i: make(
-        F.coalesce(F.when(b["exercise_id"] != "", b["exercise_id"]), b["id"]), "activity", b["kind"], i, b["item_count"],
-        F.transform(b["items"], lambda x: x["id"]), b["correction_ids"]))
-    done = F.array(make(F.concat(F.col("lesson_id"), F.lit(":completion")), "completion"))
-    rows = lessons.where("status = 'AVAILABLE'").select(*keys, "lesson_id", F.posexplode(F.concat(contexts, acts, done)).alias("step_index", "s"))
+    """K5: ordered steps: contexts only without activities, one activity per block, one completion.
+
+    ``sizes`` tells of every answer how many items it has to place.
+    """
+    step = "named_struct('id', {0}, 'kind', {1}, 'block_kind', {2}, 'activity_index', {3}, 'activity_count', size(acts), 'item_count', {4}, 'answer_ids', {5}, 'sizes', {6}, 'correction_ids', {7})".format
+    no = lambda t: f"CAST(NULL AS {t})"
+    rest = (no("array<string>"), no("array<int>"), no("array<string>"))
+    contexts = f"transform(CASE WHEN size(acts) = 0 THEN blocks ELSE slice(blocks, 1, 0) END, b -> {step('b.id', chr(39) + 'context' + chr(39), 'b.kind', no('int'), no('int'), *rest)})"
+    activities = "transform(acts, (b, i) -> " + step(
+        "coalesce(nullif(b.exercise_id, ''), b.id)", "'activity'", "b.kind", "i", "b.item_count", "transform(b.items, x -> x.id)",
+        "transform(b.items, x -> x.size)", "b.correction_ids") + ")"
+    done = f"array({step('concat(lesson_id, ' + chr(39) + ':completion' + chr(39) + ')', chr(39) + 'completion' + chr(39), no('string'), no('int'), no('int'), *rest)})"
+    steps = _bind("acts", "filter(blocks, b -> b.kind <> 'context')", f"concat({contexts}, {activities}, {done})")
+    rows = lessons.where("status = 'AVAILABLE'").select(*keys, "lesson_id", F.posexplode(F.expr(steps)).alias("step_index", "s"))
     return rows.select(*keys, "lesson_id", "step_index", "s.*")
 
 
-def step_completion(steps: DataFrame, answers: DataFrame, interactions: DataFrame, keys: Sequence[str] = PAGE,
-                    learner: str = "learner_id") -> DataFrame:
-    """Per learner and activity step: every required answer is complete.
+def step_completion(lessons: DataFrame, answers: DataFrame, keys: Sequence[str] = PAGE, learner: str = "learner_id",
+                    order: Sequence[str] = ("updated_at",)) -> DataFrame:
+    """Per learner and activity step: whether every required answer is complete.
+
+    ``answers``: learner, keys, interaction_id, value and order columns (a log;
+    the last value counts). A learner of a page is who answered anything there;
+    such a learner gets a row for every activity of the page, also for those
+    without any answer. Sentence orderings and matchings are complete when all
+    of their items are placed, all else when it is not blank.
 
-    ``answers``: learner, keys, interaction_id, value; ``interactions`` gives n_items.
+    Answers become one row per learner and page, lessons are one row per page:
+    the two meet in one join on the page, and the rest is work inside the row.
     """
     keys = list(keys)
-    required = steps.where("kind = 'activity'").select(
-        *keys, "step_index", "block_kind", F.size("answer_ids").alias("required"), F.explode("answer_ids").alias("interaction_id"))
-    sizes = interactions.select(*keys, F.col("id").alias("interaction_id"), "n_items")
-    joined = required.join(answers, [*keys, "interaction_id"]).join(sizes, [*keys, "interaction_id"], "left")
-    v = F.col("value")
-    complete = (
-        F.when(F.col("block_kind") == "sentence-ordering", F.size(X.parse_ordered_answer(v)) == F.col("n_items"))
-        .when(F.col("block_kind") == "matching", F.size(X.parse_matching_answer(v)) == F.col("n_items"))
-        .otherwise(~X.is_blank(v))
-    )
-    return joined.groupBy(learner, *keys, "step_index").agg(
-        (F.count_if(complete) == F.max("required")).alias("complete"))
+    last = answers.groupBy(learner, *keys, "interaction_id").agg(F.max_by("value", F.struct(*order)).alias("value"))
+    placed = last.select(learner, *keys, F.struct(
+        F.col("interaction_id").alias("id"), (~X.is_blank(F.col("value"))).alias("some"), F.size(X.parse_ordered_answer(F.col("value"))).alias("ordered"),
+        F.size(X.parse_matching_answer(F.col("value"))).alias("pairs")).alias("a")).groupBy(learner, *keys).agg(F.collect_list("a").alias("_given"))
+    steps = lesson_steps(lessons, keys).where("kind = 'activity'").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("step_index", "id", "block_kind", "answer_ids", "sizes"))).alias("_steps"))
+    full = ("CASE s.block_kind WHEN 'sentence-ordering' THEN coalesce(g.ordered, 0) = coalesce(s.sizes[j], 0) "
+            "WHEN 'matching' THEN coalesce(g.pairs, 0) = coalesce(s.sizes[j], 0) ELSE coalesce(g.some, false) END")
+    done = f"forall(sequence(0, size(s.answer_ids)), j -> j = size(s.answer_ids) OR {_bind('g', '_a[s.answer_ids[j]]', full)})"
+    rows = placed.join(steps, keys).selectExpr(
+        learner, *keys, "explode(" + _bind("_a", "map_from_entries(transform(filter(_given, a -> a.id IS NOT NULL), a -> struct(a.id, a)))",
+                                           f"transform(_steps, s -> struct(s.step_index AS step_index, s.id AS step_id, {done} AS complete))") + ") AS s")
+    return rows.select(learner, *keys, "s.*")
 
 
 def lesson_position(saved: DataFrame, steps: DataFrame, keys: Sequence[str] = PAGE, learner: str = "learner_id",

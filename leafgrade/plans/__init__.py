@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["layout", "grading", "text", "logs", "documents"]
+MODULES = ["layout", "grading", "text", "logs", "documents", "lessons"]
 
 
 def load() -> None:

@@ -255,7 +255,7 @@ def _(spark, sf):
     return L.project_lesson(documents(spark, sf, interactions=False)).select("book_id", "page_number", "status", "block_count")
 
 
-@query("lesson_interactions", "K4 A6 A8 J12 J18 T2 T3 C4 C5 C6 C7", f"""{WITH_LINES} SELECT {PAGE_SQL}, CAST(sum(CASE WHEN len % 11 = 2 THEN 2 ELSE 1 END) AS INT) AS interaction_count
+@query("lesson_interactions", "K4 A8", f"""{WITH_LINES} SELECT {PAGE_SQL}, CAST(sum(CASE WHEN len % 11 = 2 THEN 2 ELSE 1 END) AS INT) AS interaction_count
  FROM ln WHERE len % 11 < 6 GROUP BY doc_id""")
 def _(spark, sf):
     lessons = L.project_lesson(documents(spark, sf))
@@ -263,13 +263,6 @@ def _(spark, sf):
     return lessons.where(busy).select("book_id", "page_number", "interaction_count")
 
 
-@query("lesson_steps", "K5 C23")
-def _(spark, sf):
-    """Steps per page and kind; the projection behind them is checked by fixtures."""
-    steps = L.lesson_steps(L.project_lesson(documents(spark, sf)))
-    return steps.groupBy("book_id", "page_number", "kind").agg(F.count("*").alias("steps"), F.sum("item_count").alias("items"))
-
-
 @query("lesson_titles", "T3", f"""{WITH_LINES}, m AS (SELECT doc_id, i, regexp_replace(line, '^[ \\t\\r\\x{{00A0}}]+|[ \\t\\r\\x{{00A0}}]+$', '', 'g') AS t, w, h FROM ln
  WHERE 50 + len % 50 >= 55 AND regexp_matches(line, '[A-Za-z]') AND y < 0.2),
 r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, w DESC, i) AS rn FROM m WHERE length(t) >= 4

@@ -88,6 +88,24 @@ def test_lesson_blocks_and_steps(spark):
         ("activity", 2, "e1"), ("activity", 2, "page-1-fill-b1"), ("activity", 1, "page-1-fill-b3"), ("completion", None, "b:page:1:completion")]
 
 
+def test_step_completion_counts_missing_answers(spark):
+    doc = {**LESSON, "matchingInteractions": [{"id": "m", "kind": "matching", "bbox": bb(0.1, 0.9), "detectionMethod": "d", "candidateScore": 0.5, "cardinality": "one-to-one",
+                                               "nearbyTextSpanIds": [], "leftItems": [{"id": "l1", "nearbyTextSpanIds": []}, {"id": "l2", "nearbyTextSpanIds": []}], "rightItems": []}]}
+    log = [("u", "c1", "ja", 1), ("u", "c2", "nein", 1), ("u", "b1", "trinke", 1), ("u", "b2", "x", 1), ("u", "b2", " ", 2), ("u", "m", '{"l1":"A","l2":"B"}', 1), ("v", "m", '{"l1":"A"}', 1)]
+    answers = spark.createDataFrame([(u, "b", 1, i, v, t) for u, i, v, t in log], "learner_id string, book_id string, page_number int, interaction_id string, value string, updated_at int")
+    got = {(r.learner_id, r.step_id): r.complete for r in lessons.step_completion(lessons.project_lesson(page(spark, doc)), answers).collect()}
+    steps = ("e1", "page-1-fill-b1", "page-1-fill-b3", "page-1-matching-m")
+    assert got == {**dict(zip([("u", s) for s in steps], [True, False, False, True])), **{("v", s): False for s in steps}}
+
+
+def test_spans_of_equal_id_and_unknown_ids(spark):
+    doc = {**LESSON, "textSpans": [*LESSON["textSpans"], span("q2", "Wir gehen.", 0.1, 0.70)], "exerciseBlanks": [blank("b1", 0.25, 0.30, ["zzz", "a", None, "a"])]}
+    blocks = {b.id: b for b in lessons.project_lesson(page(spark, doc)).collect()[0].blocks}
+    # the last span of an id counts; unknown ids stay in the evidence without text
+    assert [i.prompt for i in blocks["e1"]["items"]] == ["Er kommt heute.", "Wir gehen."]
+    assert blocks["page-1-fill-b1"].span_ids == ["zzz", "a"] and blocks["page-1-fill-b1"]["items"][0].label == "a)"
+
+
 def test_lesson_reasons_and_contexts(spark):
     long_text = "Das ist ein langer Satz über den Alltag in der Stadt und auf dem Land."
     doc = {"textSpans": [span("s1", long_text, 0.1, 0.3), span("s2", long_text, 0.1, 0.33), span("s3", "Bitte lesen", 0.1, 0.6)]}
