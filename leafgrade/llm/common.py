@@ -64,3 +64,11 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

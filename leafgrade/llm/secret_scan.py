@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgrade.llm.common import shared_table
+from leafgrade.llm.common import shared_table, unused
 
 KINDS = ("assign", "access", "hex", "password")
 Span = tuple[str, int, int]
@@ -249,11 +249,15 @@ def dear_values(docs: DataFrame, least_cost: float) -> DataFrame:
     return shared_table(held.join(dear, "value").groupBy(F.col("h").alias("_h")).agg(F.collect_set("value").alias("_dear")), "secret-dear")
 
 
-def with_dear(docs: DataFrame, least_cost: float) -> DataFrame:
-    """The documents with the column _dear; few rows of it go to every task, more meet the documents in a shuffle."""
-    dear = dear_values(docs, least_cost)
+def with_dear(docs: DataFrame, least_cost: float) -> tuple[DataFrame, str]:
+    """The documents with their dear values, and the name of that column, which the documents have not.
+
+    Few rows of values go to every task, more meet the documents in a shuffle.
+    """
+    h, name = unused(docs, "_h"), unused(docs, "_dear")
+    dear = dear_values(docs, least_cost).toDF(h, name)
     dear = F.broadcast(dear) if dear.count() <= MOST_BROADCAST_ROWS else dear
-    return docs.join(dear, F.xxhash64(docs["text"].cast("string")) == dear["_h"], "left").drop("_h")
+    return docs.join(dear, F.xxhash64(docs["text"].cast("string")) == dear[h], "left").drop(h), name
 
 
 def written(spans: list[Span]) -> str:
@@ -288,8 +292,8 @@ def find_secrets(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    own = with_dear(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), least_cost)
-    return own.select("doc_id", "text", "_dear").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    own, dear = with_dear(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), least_cost)
+    return own.select("doc_id", "text", dear).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", least_cost: float = 8.0) -> DataFrame:
@@ -311,5 +315,6 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", least_cost: float =
             return "".join([*out, text[at:]]) if out else text
         return pd.Series([one(t, d) for t, d in zip(texts, dears)], dtype=object)
 
-    out = with_dear(docs, least_cost).withColumn("text", clean("text", "_dear")).select(*docs.columns)
+    own, dear = with_dear(docs, least_cost)
+    out = own.withColumn("text", clean("text", F.col(dear))).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

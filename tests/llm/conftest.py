@@ -1,6 +1,6 @@
 import pytest
 
-CLASH = ["d", "h", "n", "src", "size", "shard", "least", "tokens", "item", "key", "sig", "u", "v", "g", "rule", "verdict", "file", "_bad", "held_out", "score"]
+CLASH = ["d", "h", "n", "src", "size", "shard", "least", "tokens", "item", "key", "sig", "u", "v", "g", "rule", "verdict", "file", "_bad", "held_out", "score", "_h", "_dear"]
 
 
 @pytest.fixture(scope="session")
