@@ -2,22 +2,23 @@
 
 The reference mutates counters and status rows; here the log stays and the
 state is computed. Hot sessions, keys and pages are expected: counters use
-salted top-k cuts, as-of lookups use time buckets, neighbours use chunked
+top-k cuts, as-of lookups use time buckets, neighbours use chunked
 scans, and latest-wins is an aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
 from leafgrade.operators.scans import first_k, last_known, neighbour
+from leafgrade.session import cut_lineage
 
 DAY, HOUR, MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
 
@@ -28,50 +29,57 @@ def micros(ts: str | Column) -> Column:
 
 # ---- quota ---------------------------------------------------------------------
 
-def admit_quota(requests: DataFrame, session_limit: int, global_limit: int, zone: str = "UTC", salts: int = 32,
-                order: Sequence[str] = ("ts", "request_id")) -> DataFrame:
+def admit_quota(requests: DataFrame, session_limit: int, global_limit: int, zone: str = "UTC",
+                order: Sequence[str] = ("ts", "request_id"), asks: Column | None = None) -> DataFrame:
     """E5: adds usage_date and outcome: ALLOWED, SESSION_LIMIT_REACHED or GLOBAL_LIMIT_REACHED.
 
     ``requests``: request_id, ts, session_id. A session's first requests of a
     day pass its own counter; of these, the first of the day pass the global
-    one (a globally refused call has still used the session's count). Only the
-    two cut-off positions are needed, so each counter is a salted top-k and the
-    log itself is joined once per counter with a small cut-off table. A session
-    limit below one admits nobody, also not the first call of a new day, which
-    an update of stored counters would let through.
+    one (a globally refused call has still used the session's count). With
+    ``asks``, only rows where it holds are counted; the others get no outcome.
+    Only the two cut-off positions are needed: a top-k per session and day, of
+    which a top-k per day, each cut before it is shuffled. The log is joined
+    once with the sessions' cut-offs; the days' cut-offs, one row per day of
+    the log, go to every task. A session limit below one admits nobody, also
+    not the first call of a new day, which an update of stored counters would
+    let through.
     """
     order = list(order)
     df = requests.withColumn("usage_date", X.usage_date(F.col("ts"), zone)).withColumn("_at", F.struct(*order))
+    asks = F.lit(True) if asks is None else asks
     if global_limit < 1:
-        return df.withColumn("outcome", F.lit("GLOBAL_LIMIT_REACHED")).drop("_at")
-    slim = df.select("usage_date", "session_id", *order)
-    passed = first_k(slim, ["session_id", "usage_date"], order, session_limit, salts)
+        return df.withColumn("outcome", F.when(asks, "GLOBAL_LIMIT_REACHED")).drop("_at")
+    slim = df.where(asks).select("usage_date", "session_id", *order)
+    passed = first_k(slim, ["session_id", "usage_date"], order, session_limit)
     session_cut = passed.groupBy("session_id", "usage_date").agg(F.max(F.struct(*order)).alias("_scut"))
-    global_cut = first_k(passed, ["usage_date"], order, global_limit, salts).groupBy("usage_date").agg(
-        F.max(F.struct(*order)).alias("_gcut"))
-    joined = df.join(session_cut, ["session_id", "usage_date"], "left").join(global_cut, "usage_date", "left")
+    global_cut = first_k(passed, ["usage_date"], order, global_limit).groupBy("usage_date").agg(F.max(F.struct(*order)).alias("_gcut"))
+    joined = df.join(session_cut, ["session_id", "usage_date"], "left").join(F.broadcast(global_cut), "usage_date", "left")
     outcome = (
         F.when(F.col("_scut").isNull() | (F.col("_at") > F.col("_scut")), "SESSION_LIMIT_REACHED")
         .when(F.col("_at") > F.col("_gcut"), "GLOBAL_LIMIT_REACHED")
         .otherwise("ALLOWED")
     )
-    return joined.withColumn("outcome", outcome).drop("_at", "_scut", "_gcut")
+    return joined.withColumn("outcome", F.when(asks, outcome)).drop("_at", "_scut", "_gcut")
 
 
-def session_quota_snapshot(admitted: DataFrame, session_limit: int) -> DataFrame:
-    """Used, limit and remaining per session and day."""
+def session_quota_snapshot(requests: DataFrame, session_limit: int, zone: str = "UTC") -> DataFrame:
+    """Used, limit and remaining per session and day.
+
+    A session's requests use its count until the limit, whether the global
+    limit admits them or not, so the count of requests tells.
+    """
     limit = max(0, session_limit)
-    used = F.count_if(F.col("outcome") != "SESSION_LIMIT_REACHED")
-    return admitted.groupBy("session_id", "usage_date").agg(used.alias("used")).withColumn(
-        "session_limit", F.lit(limit).cast("long")).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+    used = F.least(F.count(F.lit(1)), F.lit(limit).cast("long"))
+    return requests.groupBy("session_id", X.usage_date(F.col("ts"), zone).alias("usage_date")).agg(used.alias("used")).withColumns(
+        {"session_limit": F.lit(limit).cast("long"), "remaining": F.lit(limit).cast("long") - F.col("used")})
 
 
-def quota_today(sessions: DataFrame, snapshots: DataFrame, today: Column, session_limit: int) -> DataFrame:
-    """What a session sees today: a counter of another day counts as unused."""
-    now = snapshots.where(F.col("usage_date") == today).select("session_id", "used")
-    limit = max(0, session_limit)
-    return sessions.join(now, "session_id", "left").withColumn("used", F.coalesce("used", F.lit(0))).withColumn(
-        "session_limit", F.lit(limit).cast("long")).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
+def quota_today(requests: DataFrame, today: Column, session_limit: int, zone: str = "UTC") -> DataFrame:
+    """What every session of the log sees today: requests of another day count as unused."""
+    limit = F.lit(max(0, session_limit)).cast("long")
+    now = F.count_if(X.usage_date(F.col("ts"), zone) == today)
+    return requests.groupBy("session_id").agg(F.least(now, limit).alias("used")).withColumns(
+        {"session_limit": limit, "remaining": limit - F.col("used")})
 
 
 def daily_usage(admitted: DataFrame) -> DataFrame:
@@ -87,18 +95,21 @@ def within_ttl(requests: DataFrame, marks: DataFrame, keys: Sequence[str], out:
     Both sides have ``_us`` (microseconds) and ``_ttl``. In buckets of one TTL,
     a mark counts when it is the earliest of the request's own bucket and not
     later than the request, or the latest of the bucket before and still young.
-    So marks shrink to two numbers per (key, bucket) and the join is an equi
-    join that spreads a hot key over time.
+    So marks join the requests' rows, once in their bucket and once in the next,
+    and two numbers per (key, bucket) settle all of its requests: one shuffle,
+    in which a hot key spreads over time.
     """
     keys = [*keys, "_ttl"]
-    bucket = F.floor(F.col("_us") / F.col("_ttl")).cast("long")
-    stats = marks.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
-    own = stats.select(*keys, "_b", F.col("_first"), F.lit(None).cast("long").alias("_last"))
-    later = stats.select(*keys, (F.col("_b") + 1).alias("_b"), F.lit(None).cast("long").alias("_first"), "_last")
-    both = own.unionByName(later).groupBy(*keys, "_b").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
-    joined = requests.withColumn("_b", bucket).join(both, [*keys, "_b"], "left")
-    hit = (F.col("_first") <= F.col("_us")) | (F.col("_last") > F.col("_us") - F.col("_ttl"))
-    return joined.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_b", "_first", "_last", "_us", "_ttl")
+    bucket, us = F.floor(F.col("_us") / F.col("_ttl")).cast("long"), F.col("_us")
+    none = F.lit(None).cast("long")
+    place = lambda b, first, last: F.struct(b.alias("_b"), first.alias("_first"), last.alias("_last"))
+    known = [F.col(k).isNotNull() for k in keys]
+    both = marks.where(reduce(and_, known)).select(*keys, F.explode(F.array(place(bucket, us, none), place(bucket + 1, none, us))).alias("_m"))
+    rows = requests.withColumns({"_b": bucket, "_first": none, "_last": none, "_asks": F.lit(True)}).unionByName(
+        both.select(*keys, "_m.*"), allowMissingColumns=True)
+    group = Window.partitionBy(*keys, "_b")
+    young = (F.min("_first").over(group) <= us) | (F.max("_last").over(group) > us - F.col("_ttl"))
+    return rows.withColumn(out, F.coalesce(young, F.lit(False))).where("_asks").drop("_b", "_first", "_last", "_asks", "_us", "_ttl")
 
 
 def timed(df: DataFrame, ttl: Column | int) -> DataFrame:
@@ -124,31 +135,72 @@ def cache_hits_from_writes(requests: DataFrame, writes: DataFrame, key: str = "c
 
 # ---- cache replay --------------------------------------------------------------
 
-def _anchors(nodes: DataFrame, key: str) -> DataFrame:
-    """Write times of a key that start an entry: the first, then the first at or after each entry's end.
+#: Parts of a TTL in which successes are searched apart.
+PARTS = 256
 
-    Times are dealt by key, sorted, and read as a stream that carries only the
-    present key and the end of its entry; inside a batch the walk jumps from
-    entry to entry by binary search.
+
+def _chunk_maps(ok: DataFrame, key: str) -> DataFrame:
+    """Each TTL-long chunk of a key's time as a map from the end of the entry that reaches into it to the end of the next one.
+
+    Rows (key, run, q, x, y, _ttl): in chunk q of a run of chunks with successes, an
+    entry that ends at offset x (-1: none reaches in) is followed by one that
+    starts at the first success from there on, and so ends at the same offset y
+    of chunk q + 1 (-1: no success is left). Entries start nowhere else, so x
+    is an offset of a success in the chunk before. Successes are searched in
+    parts of a chunk, with one row per part carrying the next success over.
     """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, until = None, None
-        for pdf in batches:
-            keys, times, ttls = pdf[key].to_numpy(), pdf["_us"].to_numpy(), pdf["_ttl"].to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else []
-            found: list[int] = []
-            for start, end in zip(edges, edges[1:]):
-                if until is None or keys[start] != now:
-                    now, until = keys[start], times[start]
-                at = start + int(np.searchsorted(times[start:end], until))
-                while at < end:
-                    found.append(at)
-                    until = times[at] + ttls[at]
-                    at += int(np.searchsorted(times[at:end], until))
-            yield pdf.iloc[found]
-
-    slim = nodes.select(key, "_ttl", "_us").distinct()
-    return slim.repartition(key).sortWithinPartitions(key, "_us").mapInPandas(walk, slim.schema)
+    times = ok.select(key, "_ttl", F.floor(F.col("_us") / F.col("_ttl")).cast("long").alias("_c"), F.pmod("_us", "_ttl").alias("_x")).distinct()
+    # a success is a target in its chunk and an end in the next; every chunk can be entered without an entry
+    roles = F.array(F.struct(F.lit(0).alias("d"), F.col("_x").alias("x"), F.col("_x").alias("_y")),
+                    F.struct(F.lit(1).alias("d"), F.col("_x").alias("x"), F.lit(None).cast("long").alias("_y")))
+    rows = times.select(key, "_ttl", "_c", F.explode(roles).alias("_r")).select(
+        key, "_ttl", (F.col("_c") + F.col("_r.d")).alias("_c"), F.col("_r.x").alias("x"), "_r._y").withColumn(
+        "_part", F.floor(F.col("x") * PARTS / F.col("_ttl")).cast("int"))
+    within = Window.partitionBy(key, "_c", "_part").orderBy(F.col("x").desc(), F.col("_y").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.min("_y").over(within))
+    # one row per part: its first success, the next parts' first, and whether the chunks before and this one have any
+    parts = rows.groupBy(key, "_ttl", "_c", "_part").agg(F.min("_y").alias("_first"))
+    chunk = Window.partitionBy(key, "_c")
+    later = chunk.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(key, "_ttl", "_c", "_part", F.min("_first").over(later).alias("_far"), F.min("_first").over(chunk).alias("_least"))
+    parts = parts.where("_least IS NOT NULL")
+    # the chunks of a key: a run starts where the chunk before has no success
+    line = Window.partitionBy(key).orderBy("_c")
+    chunks = parts.groupBy(key, "_ttl", "_c").agg(F.min("_least").alias("_least"))
+    chunks = chunks.withColumn("_new", F.coalesce(F.lag("_c").over(line) != F.col("_c") - 1, F.lit(True)))
+    chunks = chunks.withColumn("run", F.max(F.when(F.col("_new"), F.col("_c"))).over(line))
+    known = near.where("_y IS NULL").join(parts.drop("_ttl", "_least"), [key, "_c", "_part"]).select(
+        key, "_c", "x", F.least("_near", "_far").alias("y")).join(chunks.select(key, "_c", "run", "_ttl"), [key, "_c"])
+    free = chunks.select(key, "_c", F.lit(-1).cast("long").alias("x"), F.col("_least").alias("y"), "run", "_ttl")
+    return known.select(free.columns).unionByName(free).select(
+        key, "run", (F.col("_c") - F.col("run")).alias("q"), "x", F.coalesce("y", F.lit(-1)).alias("y"), "_ttl")
+
+
+def _anchors(ok: DataFrame, key: str) -> DataFrame:
+    """Write times of a key that start an entry: the first success, then the first at or after each entry's end.
+
+    The maps of neighbouring chunks are composed pairwise, then those of pairs,
+    and so on: level k maps the state before 2^k chunks to the state after
+    them, and halves the rows. From the free state before the first chunk of a
+    run, the levels give, from the highest down, the state before every chunk;
+    the chunk's own map then tells where its entry starts. Rows are dealt by
+    (key, run, chunk, state), so no task holds a key.
+    """
+    at = [key, "run", "q", "x"]
+    levels = [cut_lineage(_chunk_maps(ok, key))]
+    last = levels[0].agg(F.max("q")).first()[0] or 0
+    while 1 << len(levels) <= last:
+        step = 1 << (len(levels) - 1)
+        maps = levels[-1].select(*at, "y")
+        odd = maps.where(F.col("q") % (2 * step) == step).select(key, "run", (F.col("q") - step).alias("q"), F.col("x").alias("y"), F.col("y").alias("_z"))
+        levels.append(cut_lineage(maps.where(F.col("q") % (2 * step) == 0).join(odd, [key, "run", "q", "y"]).select(*at, F.col("_z").alias("y"))))
+    states = levels[0].where("q = 0 AND x = -1").select(*at)
+    for k in reversed(range(len(levels))):
+        step = 1 << k
+        states = states.unionByName(states.join(levels[k].select(*at, "y"), at).where(F.col("q") + step <= last).select(
+            key, "run", (F.col("q") + step).alias("q"), F.col("y").alias("x")))
+    own = levels[0].join(states, at).where("y >= 0")
+    return own.select(key, "_ttl", ((F.col("run") + F.col("q")) * F.col("_ttl") + F.col("y")).alias("_us"))
 
 
 def cache_replay(requests: DataFrame, key: str = "cache_key", ttl: Column | None = None) -> DataFrame:
@@ -158,26 +210,27 @@ def cache_replay(requests: DataFrame, key: str = "cache_key", ttl: Column | None
     strictly less than its TTL (7 days, 1 hour for check and ask); hits do not
     refresh it; only a successful miss writes. So writes of a key are at least
     one TTL apart: the first success, then the first success at or after its
-    end, and so on. A key's distinct success times stream through one task in
-    constant memory; the log itself is joined by key and TTL-sized bucket.
+    end, and so on. A key's time is cut into TTL-long chunks, in which at most
+    one entry starts; chunks become maps that are composed (see ``_anchors``),
+    and the log is joined by key and chunk. Rows without key never hit.
     """
     r = timed(requests, cache_ttl(F.col("action")) if ttl is None else ttl)
     # one TTL per key: the action is part of the key
-    ok = r.where(F.coalesce("provider_ok", F.lit(False))).select(key, "_ttl", "_us")
-    anchors = _anchors(ok, key)
+    ok = r.where(F.coalesce("provider_ok", F.lit(False)) & F.col(key).isNotNull())
+    bucket = F.floor(F.col("_us") / F.col("_ttl")).cast("long")
+    anchors = _anchors(ok.select(key, "_ttl", "_us"), key)
     # the anchor request itself is a miss: the first success at that instant
-    writers = r.where(F.coalesce("provider_ok", F.lit(False))).join(anchors.select(key, "_us"), [key, "_us"]).groupBy(
-        key, "_us").agg(F.min("request_id").alias("_writer"), F.first("_ttl").alias("_ttl"))
-    bucket = lambda c: F.floor(c / F.col("_ttl")).cast("long")
-    served = writers.select(key, F.col("_us").alias("_from"), "_writer", F.explode(
-        F.array(bucket(F.col("_us")), bucket(F.col("_us")) + 1)).alias("_b"))
-    # at most two entries meet a (key, bucket): collected, they need no row fan-out
-    served = served.groupBy(key, "_b").agg(F.collect_list(F.struct("_from", "_writer")).alias("_entries"))
-    joined = r.withColumn("_b", bucket(F.col("_us"))).join(served, [key, "_b"], "left")
-    hit = F.exists("_entries", lambda e: (F.struct(e["_from"].alias("a"), e["_writer"].alias("b"))
-                                          < F.struct(F.col("_us").alias("a"), F.col("request_id").alias("b")))
-                   & (F.col("_us") < e["_from"] + F.col("_ttl")))
-    return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_b", "_entries", "_us", "_ttl")
+    served = anchors.select(key, F.col("_us").alias("_from"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    # at most two entries meet a (key, chunk): collected, they need no row fan-out
+    served = served.groupBy(key, "_b").agg(F.collect_list("_from").alias("_entries"))
+    joined = r.withColumn("_b", bucket).join(served, [key, "_b"], "left")
+    # requests of an entry's instant: the first success by id writes, those after it hit
+    instant = Window.partitionBy(key, "_b", "_us")
+    writer = F.min(F.when(F.coalesce("provider_ok", F.lit(False)), F.col("request_id"))).over(instant)
+    joined = joined.withColumn("_writer", writer)
+    hit = F.exists("_entries", lambda e: ((e < F.col("_us")) | ((e == F.col("_us")) & (F.col("_writer") < F.col("request_id"))))
+                   & (F.col("_us") < e + F.col("_ttl")))
+    return joined.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_b", "_entries", "_writer", "_us", "_ttl")
 
 
 # ---- request outcome -----------------------------------------------------------
@@ -230,9 +283,8 @@ def request_outcome(requests: DataFrame, writes: DataFrame, session_limit: int,
         df = session_verified(df, verifications, verify_minutes).withColumn(
             "status", F.when(F.col("status").isNull() & ~F.col("verified"), "verification_required").otherwise(F.col("status")))
     df = cache_hits_from_writes(df, writes).withColumn("cached", F.col("status").isNull() & F.col("hit")).drop("hit")
-    waiting = df.where("status IS NULL AND NOT cached").select("request_id", "ts", "session_id")
-    quota = admit_quota(waiting, session_limit, global_limit, zone).select("request_id", "outcome")
-    done = df.join(quota, "request_id", "left")
+    # the flags are written once: the quota reads them for its cut-offs and for the log itself
+    done = admit_quota(cut_lineage(df), session_limit, global_limit, zone, asks=F.col("status").isNull() & ~F.col("cached"))
     final = (
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.col("cached"), "success")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+#: Below this rank the optimizer cuts ranked rows before it shuffles them (its own default).
+RANKED = 999
 
 
 def with_chunk(df: DataFrame, chunk: Column) -> DataFrame:
@@ -69,16 +71,18 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
 def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, salts: int = 32) -> DataFrame:
     """The first ``k`` rows per key, exactly; ties must be broken by ``order``.
 
-    Rows are first cut to ``k`` per (key, salt), so a hot key is spread over
-    ``salts`` tasks before its few survivors meet.
+    A rank filter of up to ``RANKED`` rows is also applied by the optimizer in
+    every task before the shuffle, so a hot key sends k rows a task. For larger
+    k, rows are first cut to ``k`` per (key, salt), which spreads a hot key over
+    ``salts`` tasks before its survivors meet.
     """
     if k < 1:
         return df.limit(0)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    part = salted.withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= k)
-    return part.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_salt", "_rn")
+    last = Window.partitionBy(*keys).orderBy(*order)
+    if k > RANKED:
+        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= k).drop("_salt")
+    return df.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= k).drop("_rn")
 
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

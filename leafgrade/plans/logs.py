@@ -52,7 +52,7 @@ def _(spark, sf):
 @query("quota_snapshot", "A14", f"""{QUOTA} SELECT user_id AS session_id, d AS usage_date, count(*) FILTER (WHERE outcome <> 'SESSION_LIMIT_REACHED') AS used,
  CAST(3 AS BIGINT) AS session_limit, greatest(0, 3 - count(*) FILTER (WHERE outcome <> 'SESSION_LIMIT_REACHED')) AS remaining FROM q GROUP BY 1, 2""")
 def _(spark, sf):
-    return E.session_quota_snapshot(E.admit_quota(_requests(spark, sf), 3, 100), 3)
+    return E.session_quota_snapshot(_requests(spark, sf), 3)
 
 
 @query("daily_usage", "A15", f"{QUOTA} SELECT d AS usage_date, count(*) AS provider_calls FROM q WHERE outcome = 'ALLOWED' GROUP BY 1")
@@ -65,9 +65,8 @@ SELECT s.user_id AS session_id, coalesce(u.used, 0) AS used, CAST(3 AS BIGINT) A
 FROM (SELECT DISTINCT user_id FROM events) s LEFT JOIN u USING (user_id)""")
 def _(spark, sf):
     """What every session sees on the last day of the log."""
-    admitted = E.admit_quota(_requests(spark, sf), 3, 100)
-    sessions, today = admitted.select("session_id").distinct(), admitted.agg(F.max("usage_date")).scalar()
-    return E.quota_today(sessions, E.session_quota_snapshot(admitted, 3), today, 3).select("session_id", "used", "session_limit", "remaining")
+    today = T.events(spark, sf).agg(F.to_date(F.max("ts"))).scalar()
+    return E.quota_today(_requests(spark, sf), today, 3)
 
 
 # ---- as-of lookups -------------------------------------------------------------

@@ -52,6 +52,30 @@ def test_cache_replay_equals_replay(spark):
     assert got == want
 
 
+def test_cache_replay_of_a_hot_key_over_many_chunks(spark):
+    rng = random.Random(7)
+    times = sorted(rng.randint(0, 400) * 1000 + rng.choice([0, 0, 250, 999]) for _ in range(500))
+    rows = [(i, T0 + dt.timedelta(milliseconds=t), "hot" if i % 9 else None, "ask", rng.random() < 0.7) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, cache_key string, action string, provider_ok boolean")
+    for ttl in (1, 3, 20, 1000):
+        until, want = None, {}
+        for i, ts, k, _, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+            want[i] = k is not None and until is not None and ts < until
+            if k is not None and not want[i] and ok:
+                until = ts + dt.timedelta(seconds=ttl)
+        assert {r.request_id: r.hit for r in E.cache_replay(df, ttl=F.lit(ttl * 1_000_000)).collect()} == want
+
+
+def test_flags_without_keys_and_only_some_asking(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    req = spark.createDataFrame([(1, at(10), "a"), (2, at(10), None), (3, at(2000), "a"), (4, at(5), "a")], "request_id long, ts timestamp, session_id string")
+    marks = spark.createDataFrame([("a", at(6)), (None, at(6))], "session_id string, ts timestamp")
+    got = {r.request_id: r.verified for r in E.session_verified(req, marks).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+    some = E.admit_quota(req.fillna("b", ["session_id"]), 1, 1, asks=F.col("request_id") != 4).collect()
+    assert {r.request_id: r.outcome for r in some} == {1: "ALLOWED", 2: "GLOBAL_LIMIT_REACHED", 3: "SESSION_LIMIT_REACHED", 4: None}
+
+
 def test_chunked_scans_equal_plain_windows(spark):
     rng = random.Random(3)
     rows = [(k, i, rng.randint(0, 9)) for k in "ab" for i in range(100)]
