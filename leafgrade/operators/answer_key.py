@@ -1,25 +1,23 @@
 """Answer-key extraction.
 
-Lines, columns, patterns, alternatives, warnings and payloads are columns.
-Only the reading state (current section, pending marker, last productive unit)
-crosses lines; a short fold per page decides the role of each line, and the
-entries are assembled by a grouped aggregation afterwards.
+Spans are grouped by page once. Lines, columns and patterns are array
+expressions of the page's row; only the reading state (current section, pending
+marker, last productive unit) crosses lines, as a fold over the row's lines that
+decides the role of each. Entries leave the row complete.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import let
-from leafgrade.operators.cluster import PAGE, column_clusters, line_groups
+from leafgrade.functions.arrays import let, settle
+from leafgrade.operators.cluster import PAGE
 
 # Line patterns of the solution section.
 HEADER = r"^(\d{1,3})\s+(?!\d)(.+)$"
@@ -31,184 +29,152 @@ FOOTER_Y = 0.9
 SAME_ROW_Y = 0.006
 
 
+def _bind(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def build_lines(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """W6 + A2: text lines of each page: line, text (by x), y, x, confidence, spans, source_page."""
-    keys = list(keys)
-    clean = spans.withColumn("text", X.py_strip(F.coalesce("text", F.lit("")))).where("text <> ''").select(
-        *keys, "idx", "id", "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("bbox.x", F.lit(0.0)).alias("x"), F.coalesce("bbox.y", F.lit(0.0)).alias("y"),
-        F.coalesce(F.when(F.col("parent_line_id") != "", F.col("parent_line_id")), F.col("id")).alias("line_id"))
-    grouped = line_groups(clean, keys, ["y", "x", "idx"], F.col("line_id"), "line")
-    first_id = F.min(F.when(F.col("id").startswith("span-"), F.struct("idx", "id"))).over(Window.partitionBy(*keys))
-    lines = grouped.withColumn("_first", first_id["id"]).groupBy(*keys, "line").agg(
-        F.min("y").alias("y"), F.min("x").alias("x"),
-        F.array_sort(F.collect_list(F.struct("x", "y", "idx", "text"))).alias("_by_x"),
-        F.array_sort(F.collect_list(F.struct("y", "x", "idx", "text", "confidence"))).alias("spans"),
-        F.first("_first").alias("_first"))
-    total = F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["confidence"])
-    return lines.select(
-        *keys, "line", "y", "x", F.array_join("_by_x.text", " ").alias("text"),
-        (total / F.size("spans")).alias("confidence"), "spans",
-        F.coalesce(X.page_from_span_id(F.col("_first")), F.lit(1)).alias("source_page"))
-
-
-def column_order(lines: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """Reading position of lines; with two or more columns of three lines, smaller columns are dropped."""
+    """W6 + A2: one row per page with its text lines: y, x, text (by x), confidence, spans; and its source_page.
+
+    Spans in (y, x) order form a line as long as their line id stays the same.
+    """
     keys = list(keys)
-    cols = column_clusters(lines, keys, [F.col("line")], F.col("x"), 0.15, "column")
-    page, column = Window.partitionBy(*keys), Window.partitionBy(*keys, "column")
-    sized = cols.withColumn("_n", F.count("*").over(column)).withColumn("_cx", F.min("x").over(column))
-    big = F.size(F.collect_set(F.when(F.col("_n") >= 3, F.col("column"))).over(page))
-    sized = sized.withColumn("_split", big >= 2).where(~F.col("_split") | (F.col("_n") >= 3))
-    order = [F.when(F.col("_split"), F.col("_cx")), F.when(F.col("_split"), F.col("column")),
-             F.when(F.col("_split"), F.col("y")), F.col("line")]
-    return sized.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop("_n", "_cx", "_split")
+    clean = spans.withColumn("text", X.py_strip(F.coalesce("text", F.lit("")))).where("text <> ''").select(*keys, F.struct(
+        F.coalesce("bbox.y", F.lit(0.0)).alias("y"), F.coalesce("bbox.x", F.lit(0.0)).alias("x"), "idx", "text",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.when(F.col("parent_line_id") != "", F.col("parent_line_id")), F.col("id")).alias("line_id"),
+        "id").alias("s"))
+    first_id = F.min(F.when(F.col("s.id").startswith("span-"), F.struct("s.idx", "s.id")))
+    pages = clean.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("_s"), first_id.alias("_first"))
+    starts = "filter(sequence(0, size(_s) - 1), i -> i = 0 OR _s[i].line_id <> _s[i - 1].line_id)"
+    parts = _bind("c", starts, "transform(c, (f, i) -> slice(_s, f + 1, coalesce(get(c, i + 1), size(_s)) - f))")
+    by_x = "array_sort(transform(g, s -> struct(s.x AS x, s.y AS y, s.idx AS idx, s.text AS text)))"
+    line = (f"struct(i AS line, array_min(transform(g, s -> s.y)) AS y, array_min(transform(g, s -> s.x)) AS x, array_join(transform({by_x}, s -> s.text), ' ') AS text, "
+            "aggregate(g, 0D, (a, s) -> a + s.confidence) / size(g) AS confidence, "
+            "transform(g, s -> struct(s.y AS y, s.x AS x, s.idx AS idx, s.text AS text, s.confidence AS confidence)) AS spans)")
+    return pages.select(*keys, F.expr(f"transform({parts}, (g, i) -> {line})").alias("lines"),
+                        F.coalesce(X.page_from_span_id(F.col("_first.id")), F.lit(1)).alias("source_page"))
+
+
+def column_order(pages: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """The lines of each page in reading order; with two or more columns of three lines, smaller columns are dropped.
+
+    A line joins the first column whose seed is closer than ``tolerance``, else it seeds a column.
+    """
+    seeds = f"aggregate(lines, CAST(array() AS array<double>), (a, l) -> CASE WHEN exists(a, s -> abs(s - l.x) < {tolerance}D) THEN a ELSE array_append(a, l.x) END)"
+    df = pages.selectExpr("*", f"{seeds} AS _seeds")
+    df = df.selectExpr("*", f"transform(lines, l -> array_position(transform(_seeds, s -> abs(s - l.x) < {tolerance}D), true)) AS _of")
+    df = df.selectExpr("*", "transform(sequence(1, greatest(size(_seeds), 1)), c -> filter(lines, (l, i) -> _of[i] = c)) AS _columns")
+    df = df.selectExpr("*", "size(filter(_columns, c -> size(c) >= 3)) >= 2 AS _split")
+    split = ("flatten(transform(array_sort(transform(filter(_columns, c -> size(c) >= 3), (c, i) -> struct(array_min(transform(c, l -> l.x)) AS x, i AS i, "
+             "array_sort(transform(c, l -> struct(l.y AS y, l.line AS line, l AS l))) AS c))), e -> transform(e.c, l -> l.l)))")
+    return df.withColumn("lines", F.expr(f"CASE WHEN _split THEN {split} ELSE lines END")).drop("_seeds", "_of", "_columns", "_split")
 
 
-def _facts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _facts(pages: DataFrame) -> DataFrame:
     """Everything the reading state asks about a line and its follower."""
-    t = F.col("text")
-    header_num, header_title = F.regexp_extract(t, HEADER, 1), F.regexp_extract(t, HEADER, 2)
-    sub, tight, numbered = t.rlike(SUB_SPACED), t.rlike(SUB_TIGHT), t.rlike(NUMBERED_LINE)
-    first_word = F.get(F.split(t, r"\s+"), F.lit(0))
-    df = lines.withColumns({
-        "starts": t.rlike("(?iu)^Lösungen$"),
-        "on_page": F.col("y") <= FOOTER_Y,
-        "unit_in_header": F.when(X.valid_header_title(header_title), X.unit_candidate(header_num)),
-        "header_title": header_title,
-        "header_shape": t.rlike(HEADER),
-        "standalone": t.rlike(STANDALONE),
-        "unit_alone": X.unit_candidate(t),
-        "title_ok": X.valid_header_title(t),
-        "sub": sub, "tight": tight, "numbered": numbered,
-        "marker": F.when(sub, F.regexp_extract(t, SUB_SPACED, 1)).when(tight, F.regexp_extract(t, SUB_TIGHT, 1)).when(
-            numbered, F.regexp_extract(t, NUMBERED_LINE, 1)),
-        "items_text": F.when(sub, F.regexp_extract(t, SUB_SPACED, 2)).when(tight, F.regexp_extract(t, SUB_TIGHT, 2)).when(
-            numbered, F.regexp_extract(t, NUMBERED_LINE, 2)),
-        "line_number": F.when(numbered, F.regexp_extract(t, NUMBERED_LINE, 1)).try_cast("int"),
-        "last_number": X.last_numbered_item(t),
-        "continues": ~sub & ~t.rlike(HEADER) & ~t.rlike(r"^\d{1,4}$")
-        & ~F.regexp_replace(first_word, r"\.+$", "").rlike(r"^\d+$"),
-        "number_text": F.regexp_replace(X.py_strip(t), r"\.+$", ""),
-    })
-    w = Window.partitionBy(*keys).orderBy("pos")
-    nxt = F.lead(F.struct("y", "text", "header_shape", "sub", "tight", "title_ok", "standalone", "number_text")).over(w)
-    df = df.withColumn("_n", nxt)
-    near = F.abs(F.col("y") - F.col("_n.y")) <= SAME_ROW_Y
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return df.withColumns({
-        "unit_with_next": F.when(yes(F.col("standalone") & near & F.col("_n.title_ok") & ~F.col("_n.sub")), F.col("unit_alone")),
-        "next_title": F.col("_n.text"),
-        "marks_next": yes(F.col("standalone") & near & F.col("on_page") & ~F.col("_n.header_shape") & ~F.col("_n.sub")
-                          & ~F.col("_n.tight") & ~F.col("_n.title_ok")),
-        "marker_after": F.when(yes(F.col("_n.standalone") & near), F.col("_n.number_text")),
-    }).drop("_n")
-
-
-_ROLE = T.StructType([
-    T.StructField("pos", T.LongType()), T.StructField("entry", T.LongType()), T.StructField("is_entry", T.BooleanType()),
-    T.StructField("unit_number", T.IntegerType()), T.StructField("title", T.StringType()),
-    T.StructField("marker", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("bare", T.BooleanType()),
-])
-
-
-def _roles(lines: list[dict]) -> list[tuple]:
-    """Role of each line of one page: (pos, entry, is_entry, unit, title, marker, ordinal, bare)."""
-    out: list[tuple] = []
-    inside, unit, title = False, None, None
-    productive, pending, ordinal, entry, last_number = None, None, 0, -1, None
-    skip = 0
-    for r in sorted(lines, key=lambda x: x["pos"]):
-        if skip:
-            skip -= 1
-            continue
-        if not inside:
-            inside = bool(r["starts"])
-            continue
-        opened = None
-        for candidate, name, extra in ((r["unit_in_header"], r["header_title"], 0), (r["unit_with_next"], r["next_title"], 1)):
-            if opened is None and candidate is not None and r["on_page"] and (productive is None or candidate > productive):
-                opened = (candidate, name, extra)
-        if opened:
-            unit, title, skip = opened
-            ordinal = 0
-            continue
-        if unit is None:
-            continue
-        if r["marks_next"]:
-            pending = r["number_text"]
-            continue
-        ahead = r["marker_after"] if pending is None else None
-        numbered_on = r["numbered"] and last_number is not None and r["line_number"] == last_number + 1
-        if pending is None and ahead is None and numbered_on:
-            out.append((r["pos"], entry, False, unit, title, None, ordinal, False))
-            last_number = last_number if r["last_number"] is None else r["last_number"]
-            continue
-        matched = bool((r["sub"] or r["tight"] or r["numbered"]) and r["on_page"])
-        if matched or pending is not None or ahead is not None:
-            ordinal += 1
-            entry += 1
-            marker = pending or ahead or (r["marker"] if matched else None)
-            out.append((r["pos"], entry, True, unit, title, marker, ordinal, not matched))
-            pending, productive = None, unit
-            last_number = r["last_number"]
-            skip = 1 if ahead is not None else 0
-            continue
-        if r["continues"] and entry >= 0:
-            out.append((r["pos"], entry, False, unit, title, None, ordinal, False))
-            last_number = last_number if r["last_number"] is None else r["last_number"]
-    return out
+    def own(line: Column) -> Column:
+        t = line["text"]
+        number, title = F.regexp_extract(t, HEADER, 1), F.regexp_extract(t, HEADER, 2)
+        sub, tight, numbered, header = t.rlike(SUB_SPACED), t.rlike(SUB_TIGHT), t.rlike(NUMBERED_LINE), t.rlike(HEADER)
+        part = lambda n: F.when(sub, F.regexp_extract(t, SUB_SPACED, n)).when(tight, F.regexp_extract(t, SUB_TIGHT, n)).when(
+            numbered, F.regexp_extract(t, NUMBERED_LINE, n))
+        first_word = F.get(F.split(t, r"\s+"), F.lit(0))
+        fields = {
+            "starts": t.rlike("(?iu)^Lösungen$"), "on_page": line["y"] <= FOOTER_Y,
+            "unit_in_header": F.when(X.valid_header_title(title), X.unit_candidate(number)), "header_title": title, "header_shape": header,
+            "standalone": t.rlike(STANDALONE), "unit_alone": X.unit_candidate(t), "title_ok": X.valid_header_title(t),
+            "sub": sub, "tight": tight, "numbered": numbered, "marker": part(1), "items_text": part(2),
+            "line_number": F.when(numbered, F.regexp_extract(t, NUMBERED_LINE, 1)).try_cast("int"), "last_number": X.last_numbered_item(t).cast("int"),
+            "continues": ~sub & ~header & ~t.rlike(r"^\d{1,4}$") & ~F.regexp_replace(first_word, r"\.+$", "").rlike(r"^\d+$"),
+            "number_text": F.regexp_replace(X.py_strip(t), r"\.+$", "")}
+        return F.struct(line["y"].alias("y"), t.alias("text"), *[c.alias(n) for n, c in fields.items()])
+
+    df = pages.withColumn("_own", F.transform("lines", own))
+    near = "coalesce(r.standalone AND abs(r.y - n.y) <= %sD, false)" % SAME_ROW_Y
+    followed = f"""struct(
+        CASE WHEN near AND n.title_ok AND NOT n.sub THEN r.unit_alone END AS unit_with_next, n.text AS next_title,
+        near AND r.on_page AND NOT n.header_shape AND NOT n.sub AND NOT n.tight AND NOT n.title_ok AS marks_next,
+        CASE WHEN n.standalone AND abs(r.y - n.y) <= {SAME_ROW_Y}D THEN n.number_text END AS marker_after, r AS r)"""
+    return df.selectExpr("*", f"transform(_own, (r, i) -> {_bind('n', 'get(_own, i + 1)', _bind('near', near, followed))}) AS _facts")
+
+
+#: What the reading state carries from line to line, and the role that it gives to lines.
+_ROLE = "struct<pos:int,entry:int,is_entry:boolean,unit_number:int,title:string,marker:string,ordinal:int,bare:boolean>"
+_STATE = {"inside": "boolean", "unit": "int", "title": "string", "productive": "int", "pending": "string", "ordinal": "int", "entry": "int",
+          "last_number": "int", "skip": "int", "pos": "int", "roles": f"array<{_ROLE}>"}
+
+
+def _roles() -> str:
+    """The role of every line that has one, as a fold over the facts of a page.
+
+    A section opens with a number above the last productive unit; a lone number
+    marks the next line, or the line before it; a line that continues the
+    numbering, or that begins like none of these, goes to the entry before it.
+    """
+    start = {"inside": "false", "ordinal": "0", "entry": "-1", "skip": "0", "pos": "0", "roles": "array()"}
+    opens = "{0} IS NOT NULL AND f.r.on_page AND (a.productive IS NULL OR {0} > a.productive)".format
+    matched = "((f.r.sub OR f.r.tight OR f.r.numbered) AND f.r.on_page)"
+    ahead = "(CASE WHEN a.pending IS NULL THEN f.marker_after END)"
+    act = f"""CASE WHEN a.skip > 0 THEN 'skip' WHEN NOT a.inside THEN 'outside' WHEN {opens('f.r.unit_in_header')} THEN 'header' WHEN {opens('f.unit_with_next')} THEN 'titled'
+        WHEN a.unit IS NULL THEN 'none' WHEN f.marks_next THEN 'mark'
+        WHEN a.pending IS NULL AND f.marker_after IS NULL AND f.r.numbered AND coalesce(f.r.line_number = a.last_number + 1, false) THEN 'more'
+        WHEN {matched} OR a.pending IS NOT NULL OR f.marker_after IS NOT NULL THEN 'entry' WHEN f.r.continues AND a.entry >= 0 THEN 'more' ELSE 'none' END"""
+    role = f"""named_struct('pos', a.pos, 'entry', CASE act WHEN 'entry' THEN a.entry + 1 ELSE a.entry END, 'is_entry', act = 'entry', 'unit_number', a.unit, 'title', a.title,
+        'marker', CASE act WHEN 'entry' THEN coalesce(a.pending, {ahead}, CASE WHEN {matched} THEN f.r.marker END) END,
+        'ordinal', CASE act WHEN 'entry' THEN a.ordinal + 1 ELSE a.ordinal END, 'bare', act = 'entry' AND NOT {matched})"""
+    step = {
+        "inside": "a.inside OR coalesce(act = 'outside' AND f.r.starts, false)",
+        "unit": "CASE act WHEN 'header' THEN f.r.unit_in_header WHEN 'titled' THEN f.unit_with_next ELSE a.unit END",
+        "title": "CASE act WHEN 'header' THEN f.r.header_title WHEN 'titled' THEN f.next_title ELSE a.title END",
+        "productive": "CASE act WHEN 'entry' THEN a.unit ELSE a.productive END",
+        "pending": "CASE act WHEN 'mark' THEN f.r.number_text WHEN 'entry' THEN NULL ELSE a.pending END",
+        "ordinal": "CASE WHEN act IN ('header', 'titled') THEN 0 WHEN act = 'entry' THEN a.ordinal + 1 ELSE a.ordinal END",
+        "entry": "CASE act WHEN 'entry' THEN a.entry + 1 ELSE a.entry END",
+        "last_number": "CASE act WHEN 'entry' THEN f.r.last_number WHEN 'more' THEN coalesce(f.r.last_number, a.last_number) ELSE a.last_number END",
+        "skip": f"CASE act WHEN 'skip' THEN a.skip - 1 WHEN 'titled' THEN 1 WHEN 'entry' THEN CASE WHEN {ahead} IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END",
+        "pos": "a.pos + 1",
+        "roles": f"CASE WHEN act IN ('entry', 'more') THEN array_append(a.roles, {role}) ELSE a.roles END",
+    }
+    zero = ", ".join(f"'{n}', CAST({start.get(n, 'NULL')} AS {t})" for n, t in _STATE.items())
+    body = "named_struct(" + ", ".join(f"'{n}', CAST({step[n]} AS {t})" for n, t in _STATE.items()) + ")"
+    return f"aggregate(_facts, named_struct({zero}), (a, f) -> {_bind('act', act, body)}, a -> a.roles)"
 
 
 def parse_solution_pages(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
-    """K1: answer-key entries of every page; the reading state starts afresh on each page."""
+    """K1: answer-key entries of every page; the reading state starts afresh on each page.
+
+    The spans are grouped by page once; lines, columns, facts, the fold and the
+    assembly of entries are work inside the page's row.
+    """
     keys = list(keys)
-    lines = _facts(column_order(build_lines(spans, keys), keys), keys)
-    payload = ["text", "items_text", "confidence", "spans", "source_page"]
-    roles = [T.StructField("entry_marker", f.dataType) if f.name == "marker" else f for f in _ROLE.fields]
-    schema = T.StructType([*[lines.schema[k] for k in keys], *roles, *[lines.schema[c] for c in payload]])
-    narrow = ["pos", "starts", "on_page", "unit_in_header", "header_title", "unit_with_next", "next_title", "marks_next",
-              "number_text", "marker_after", "numbered", "line_number", "sub", "tight", "marker", "continues", "last_number"]
-    arrow = to_arrow_schema(schema)
-
-    def fold(key: tuple, page: pa.Table) -> pa.Table:
-        facts = page.select(narrow).to_pylist()
-        found = _roles(facts)
-        row_of = {r["pos"]: i for i, r in enumerate(facts)}
-        # the payload stays in Arrow: the rows that have a role are taken as they are
-        taken = page.select([*keys, *payload]).take(pa.array([row_of[r[0]] for r in found], pa.int64()))
-        columns = {f.name: pa.array([r[i] for r in found], arrow.field(f.name).type) for i, f in enumerate(roles)}
-        columns |= {c: taken.column(c) for c in taken.column_names}
-        return pa.table([columns[n] for n in arrow.names], names=arrow.names)
-
-    return _assemble(lines.select(*keys, *narrow, *payload).groupBy(*keys).applyInArrow(fold, schema), keys)
+    df = settle(_facts(column_order(build_lines(spans, keys))).selectExpr(*keys, "source_page", "lines", "_facts", f"{_roles()} AS _roles"))
+    more = ("transform(filter(_roles, c -> c.entry = e.entry AND NOT c.is_entry), c -> "
+            "struct(lines[c.pos].text AS text, exists(lines[c.pos].spans, s -> s.confidence < 0.90D) AS low))")
+    entry = ("struct(e.unit_number AS unit_number, e.title AS title, e.marker AS marker, e.ordinal AS ordinal, e.bare AS bare, CAST(e.entry AS bigint) AS entry, "
+             f"lines[e.pos].text AS text, _facts[e.pos].r.items_text AS items_text, lines[e.pos].confidence AS confidence, lines[e.pos].spans AS spans, {more} AS more)")
+    rows = df.select(*keys, "source_page", F.explode(F.expr(f"transform(filter(_roles, e -> e.is_entry), e -> {entry})")).alias("e"))
+    return _assemble(rows, keys)
 
 
 def _assemble(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    low = F.exists("spans", lambda s: s["confidence"] < 0.90)
-    parts = rows.withColumn("_low", low)
-    first = F.max(F.when(F.col("is_entry"), F.struct(
-        "unit_number", "title", F.col("entry_marker").alias("marker"), "ordinal", "text", "items_text", "bare", "confidence",
-        "spans", "source_page"))).alias("e")
-    rest = F.array_sort(F.collect_list(F.when(~F.col("is_entry"), F.struct("pos", "text", "_low")))).alias("c")
-    g = parts.groupBy(*keys, "entry").agg(first, rest)
-    items_text = F.when(F.col("e.bare"), F.col("e.text")).otherwise(F.col("e.items_text"))
-    g = g.withColumn("_items", items_text).withColumn("_alt", X.answer_alternatives(F.col("_items"))).withColumn(
-        "key_kind", X.infer_kind(F.col("e.title")))
-    more = F.col("c.text")
+    """Entries with their texts, alternatives, warnings and payloads; ``e.more`` are the lines that continue one."""
+    g = rows.withColumn("_items", F.when(F.col("e.bare"), F.col("e.text")).otherwise(F.col("e.items_text")))
+    g = g.withColumn("_alt", X.answer_alternatives(F.col("_items"))).withColumn("key_kind", X.infer_kind(F.col("e.title")))
+    more = F.col("e.more.text")
     raw = F.array_join(F.concat(F.array("e.text"), more), " | ")
     expected = F.array_join(F.concat(F.array("_alt.primary"), more), " ")
     notes = F.array_compact(F.concat(
         F.array(X.low_confidence_warning(F.col("e.spans")), F.when(X.looks_corrupted(F.col("_items")), "possible_ocr_corruption")),
-        F.transform("c", lambda c: F.when(c["_low"], "continuation_low_confidence"))))
+        F.transform("e.more", lambda c: F.when(c["low"], "continuation_low_confidence"))))
     return g.select(
-        *keys, F.col("e.source_page").alias("source_page"), F.col("e.unit_number").cast("string").alias("exercise_number"),
+        *keys, "source_page", F.col("e.unit_number").cast("string").alias("exercise_number"),
         F.col("e.unit_number").alias("unit_number"), F.col("e.marker").alias("marker"),
         X.split_numbered_items(raw).alias("items"), "key_kind", F.col("e.ordinal").alias("ordinal"),
         expected.alias("expected_value"), F.col("_alt.alternatives").alias("alternatives"), raw.alias("raw_text"),
         X.round_exact(F.col("e.confidence")).alias("confidence"), notes.alias("warnings"),
         typed_payload(F.col("key_kind"), F.col("_alt.primary"), F.col("e.text")).alias("payload"),
-        F.col("entry").alias("entry_index"))
+        F.col("e.entry").alias("entry_index"))
 
 
 def typed_payload(kind: Column, primary: Column, raw: Column) -> Column:
