@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,18 +95,18 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     keep given the label discount each voter's evidence by one over one plus
     its positive correlations, and EM goes on with them.
     """
-    said = np.stack([votes == v for v in (1, 0, -1)]).astype(float)
+    said = [(votes == v).astype(np.float32) for v in (1, 0, -1)]
     p, prior = start, float(np.clip(start.mean(), 1e-3, 1 - 1e-3))
     share = np.ones(votes.shape[1])
     for fit in range(2):
         for _ in range(rounds):
-            given = [((said * q[None, :, None]).sum(1) + 0.5) / (q.sum() + 1.5) for q in (p, 1 - p)]
-            evidence = np.einsum("vrj,vj,j->r", said, np.log(given[0]) - np.log(given[1]), share)
+            given = [[(q @ x + 0.5) / (q.sum() + 1.5) for x in said] for q in (p, 1 - p)]
+            evidence = sum(x @ ((np.log(a) - np.log(b)) * share) for x, a, b in zip(said, *given))
             p = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -30, 30)))
         if fit == 0:
-            both = np.zeros((votes.shape[1], votes.shape[1]))
+            both, sign = np.zeros((votes.shape[1], votes.shape[1])), said[0] - said[1]
             for q in (p, 1 - p):
-                x = (said[0] - said[1]) - ((said[0] - said[1]) * q[:, None]).sum(0) / max(q.sum(), 1e-9)
+                x = sign - (q @ sign) / max(q.sum(), 1e-9)
                 both += (x * q[:, None]).T @ x
             spread = np.sqrt(np.maximum(np.diag(both), 1e-9))
             rho = both / spread[:, None] / spread[None, :]
@@ -115,17 +116,18 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     return p, right
 
 
-def fit_linear(rows: list[list[int]], p: np.ndarray, n: int, steps: int = 1500, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic weights of ``n`` term indicators and the bias, by accelerated gradient steps on soft labels of equal class weight."""
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = np.array([i for x in rows for i in x], int)
+def fit_linear(r: np.ndarray, c: np.ndarray, p: np.ndarray, n: int, steps: int = 1500, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic weights of ``n`` term indicators and the bias, by accelerated gradient steps on soft labels of equal class weight.
+
+    ``r`` and ``c`` name the row and the term of every term found.
+    """
     weight = p / max(p.sum(), 1e-9) + (1 - p) / max((1 - p).sum(), 1e-9)
     weight = weight / weight.mean()
     w, b, vw, vb = np.zeros(n), 0.0, np.zeros(n), 0.0
-    scale = np.sqrt(np.bincount(c, weight[r], minlength=n) / len(rows) + 1e-4)
+    scale = np.sqrt(np.bincount(c, weight[r], minlength=n) / len(p) + 1e-4)
     for _ in range(steps):
-        z = b + np.bincount(r, w[c], minlength=len(rows))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / len(rows)
+        z = b + np.bincount(r, w[c], minlength=len(p))
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / len(p)
         vw = 0.9 * vw - (np.bincount(c, g[r], minlength=n) + penalty * w) / scale
         vb = 0.9 * vb - g.sum()
         w, b = w + 0.5 * vw, b + 0.5 * vb
@@ -144,21 +146,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: int, vocabulary: int, voters:
     chosen = seen.withColumn("z", (F.col("pos") - rate) / F.sqrt(rate + 1)).where(F.abs("z") > 3).orderBy(F.abs("z").desc(), "term").limit(vocabulary).collect()
     place = {r.term: i for i, r in enumerate(chosen)}
     lexicon = [i for i, r in enumerate(chosen) if r.z > 3 and r.pos >= 0.7 * r.n][:voters]
-    known = F.array(*map(F.lit, place)) if place else F.array().cast("array<string>")
-    sample = rows.select(F.array_intersect("terms", known).alias("terms"), "votes", "toxic").toPandas()
-    hits = [[place[t] for t in x] for x in sample["terms"]]
-    votes = np.full((len(hits), len(lexicon) + 1), -1)
-    column = {i: j for j, i in enumerate(lexicon)}
-    for r, x in enumerate(hits):
-        for i in x:
-            if i in column:
-                votes[r, column[i]] = 1
+    names = pa.array([r.term for r in chosen], pa.string())
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # terms become places in the vocabulary: numbers, not texts, reach the driver
+            terms = batch.column(1)
+            found = pc.index_in(terms.flatten(), value_set=names)
+            kept = pc.is_valid(found).to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(kept))[terms.offsets.to_numpy() - terms.offsets[0].as_py()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), found.drop_null()), batch.column(2)], names=["toxic", "places", "votes"])
+
+    sample = rows.select("toxic", "terms", "votes").mapInArrow(coded, "toxic int, places array<int>, votes array<int>").toArrow().combine_chunks()
+    places, pattern = sample.column("places").combine_chunks(), sample.column("votes").combine_chunks()
+    r, c = np.repeat(np.arange(len(sample)), places.value_lengths().to_numpy()), places.flatten().to_numpy().astype(np.int64)
+    votes = np.full((len(sample), len(lexicon) + 1), -1, np.int8)
+    column = np.full(len(chosen) + 1, -1)
+    column[lexicon] = np.arange(len(lexicon))
+    hit = column[c] >= 0
+    votes[r[hit], column[c[hit]]] = 1
     votes[(votes[:, :-1] == 1).sum(1) == 0, -1] = 0
-    votes = np.hstack([votes, np.array(sample["votes"].tolist(), int).reshape(len(hits), -1)])
-    p, right = label_model(votes, np.where(sample["toxic"].to_numpy() > 0, 0.9, 0.02))
-    w, b = fit_linear(hits, p, len(place))
-    names = [*(chosen[i].term for i in lexicon), "no lexicon term", "shouting", "many marks", "repeated marks", "calm"]
-    return {t: float(w[i]) for t, i in place.items()}, float(b), dict(zip(names, right.tolist()))
+    votes = np.hstack([votes, pattern.flatten().to_numpy().reshape(len(sample), -1).astype(np.int8)])
+    p, right = label_model(votes, np.where(sample.column("toxic").to_numpy() > 0, 0.9, 0.02))
+    w, b = fit_linear(r, c, p, len(place))
+    voters_named = [*(chosen[i].term for i in lexicon), "no lexicon term", "shouting", "many marks", "repeated marks", "calm"]
+    return {t: float(w[i]) for t, i in place.items()}, float(b), dict(zip(voters_named, right.tolist()))
 
 
 class Scorer:
