@@ -31,6 +31,11 @@ def let(fn: Callable[..., Column], *values: Column) -> Column:
     return F.get(F.transform(F.array(head), lambda v: let(lambda *more: fn(v, *more), *rest)), F.lit(0))
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, computed once: ``let`` for expressions written as text."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sort_by(array: Column, *keys: Callable[[Column], Column]) -> Column:
     """Stable sort by the given key functions."""
     ranked = F.transform(array, lambda e, i: F.struct(

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import let, settle
+from leafgrade.functions.arrays import bind, let, settle
 from leafgrade.operators.cluster import PAGE
 
 # Line patterns of the solution section.
@@ -29,11 +29,6 @@ FOOTER_Y = 0.9
 SAME_ROW_Y = 0.006
 
 
-def _bind(name: str, value: str, body: str) -> str:
-    """SQL text of ``body`` with ``name`` standing for ``value``, computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def build_lines(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """W6 + A2: one row per page with its text lines: y, x, text (by x), confidence, spans; and its source_page.
 
@@ -47,7 +42,7 @@ def build_lines(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     first_id = F.min(F.when(F.col("s.id").startswith("span-"), F.struct("s.idx", "s.id")))
     pages = clean.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("_s"), first_id.alias("_first"))
     starts = "filter(sequence(0, size(_s) - 1), i -> i = 0 OR _s[i].line_id <> _s[i - 1].line_id)"
-    parts = _bind("c", starts, "transform(c, (f, i) -> slice(_s, f + 1, coalesce(get(c, i + 1), size(_s)) - f))")
+    parts = bind("c", starts, "transform(c, (f, i) -> slice(_s, f + 1, coalesce(get(c, i + 1), size(_s)) - f))")
     by_x = "array_sort(transform(g, s -> struct(s.x AS x, s.y AS y, s.idx AS idx, s.text AS text)))"
     line = (f"struct(i AS line, array_min(transform(g, s -> s.y)) AS y, array_min(transform(g, s -> s.x)) AS x, array_join(transform({by_x}, s -> s.text), ' ') AS text, "
             "aggregate(g, 0D, (a, s) -> a + s.confidence) / size(g) AS confidence, "
@@ -62,13 +57,13 @@ def column_order(pages: DataFrame, tolerance: float = 0.15) -> DataFrame:
     A line joins the first column whose seed is closer than ``tolerance``, else it seeds a column.
     """
     seeds = f"aggregate(lines, CAST(array() AS array<double>), (a, l) -> CASE WHEN exists(a, s -> abs(s - l.x) < {tolerance}D) THEN a ELSE array_append(a, l.x) END)"
-    df = pages.selectExpr("*", f"{seeds} AS _seeds")
-    df = df.selectExpr("*", f"transform(lines, l -> array_position(transform(_seeds, s -> abs(s - l.x) < {tolerance}D), true)) AS _of")
-    df = df.selectExpr("*", "transform(sequence(1, greatest(size(_seeds), 1)), c -> filter(lines, (l, i) -> _of[i] = c)) AS _columns")
+    of = f"transform(lines, l -> array_position(transform(seeds, s -> abs(s - l.x) < {tolerance}D), true))"
+    columns = "transform(sequence(1, greatest(size(seeds), 1)), c -> filter(lines, (l, i) -> of[i] = c))"
+    df = pages.withColumn("_columns", F.expr(bind("seeds", seeds, bind("of", of, columns))))
     df = df.selectExpr("*", "size(filter(_columns, c -> size(c) >= 3)) >= 2 AS _split")
     split = ("flatten(transform(array_sort(transform(filter(_columns, c -> size(c) >= 3), (c, i) -> struct(array_min(transform(c, l -> l.x)) AS x, i AS i, "
              "array_sort(transform(c, l -> struct(l.y AS y, l.line AS line, l AS l))) AS c))), e -> transform(e.c, l -> l.l)))")
-    return df.withColumn("lines", F.expr(f"CASE WHEN _split THEN {split} ELSE lines END")).drop("_seeds", "_of", "_columns", "_split")
+    return df.withColumn("lines", F.expr(f"CASE WHEN _split THEN {split} ELSE lines END")).drop("_columns", "_split")
 
 
 def _facts(pages: DataFrame) -> DataFrame:
@@ -96,7 +91,7 @@ def _facts(pages: DataFrame) -> DataFrame:
         CASE WHEN near AND n.title_ok AND NOT n.sub THEN r.unit_alone END AS unit_with_next, n.text AS next_title,
         near AND r.on_page AND NOT n.header_shape AND NOT n.sub AND NOT n.tight AND NOT n.title_ok AS marks_next,
         CASE WHEN n.standalone AND abs(r.y - n.y) <= {SAME_ROW_Y}D THEN n.number_text END AS marker_after, r AS r)"""
-    return df.selectExpr("*", f"transform(_own, (r, i) -> {_bind('n', 'get(_own, i + 1)', _bind('near', near, followed))}) AS _facts")
+    return df.selectExpr("*", f"transform(_own, (r, i) -> {bind('n', 'get(_own, i + 1)', bind('near', near, followed))}) AS _facts")
 
 
 #: What the reading state carries from line to line, and the role that it gives to lines.
@@ -138,7 +133,7 @@ def _roles() -> str:
     }
     zero = ", ".join(f"'{n}', CAST({start.get(n, 'NULL')} AS {t})" for n, t in _STATE.items())
     body = "named_struct(" + ", ".join(f"'{n}', CAST({step[n]} AS {t})" for n, t in _STATE.items()) + ")"
-    return f"aggregate(_facts, named_struct({zero}), (a, f) -> {_bind('act', act, body)}, a -> a.roles)"
+    return f"aggregate(_facts, named_struct({zero}), (a, f) -> {bind('act', act, body)}, a -> a.roles)"
 
 
 def parse_solution_pages(spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import let, settle, sort_by
+from leafgrade.functions.arrays import bind, let, settle, sort_by
 from leafgrade.operators.cluster import PAGE
 
 INTERACTION_GAP = 0.055
@@ -39,11 +39,6 @@ _EMPTY = ("items", "correction_ids", "span_ids", "interaction_ids")
 
 # ---- SQL text ------------------------------------------------------------------
 
-def _bind(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` standing for ``value``, computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _trim(text: str) -> str:
     return f"regexp_replace({text}, r'^[{X.JS_SPACE}]+|[{X.JS_SPACE}]+$', '')"
 
@@ -58,7 +53,7 @@ def _ids(ids: str) -> str:
 
 
 def _mean(values: str) -> str:
-    return _bind("m_", values, "CASE WHEN size(m_) > 0 THEN aggregate(m_, 0D, (a_, v_) -> a_ + v_) / size(m_) END")
+    return bind("m_", values, "CASE WHEN size(m_) > 0 THEN aggregate(m_, 0D, (a_, v_) -> a_ + v_) / size(m_) END")
 
 
 def _tidy(text: str) -> str:
@@ -82,7 +77,7 @@ def _near(ids: str, by: str = "_by") -> str:
 
 def _last_by_id(pairs: str) -> str:
     """A map of structs (id, n, v) from id to v; of equal ids the largest n counts."""
-    kept = _bind("p_", f"array_sort(filter({pairs}, e_ -> e_.id IS NOT NULL))", "filter(p_, (e_, j_) -> coalesce(get(p_, j_ + 1).id <> e_.id, true))")
+    kept = bind("p_", f"array_sort(filter({pairs}, e_ -> e_.id IS NOT NULL))", "filter(p_, (e_, j_) -> coalesce(get(p_, j_ + 1).id <> e_.id, true))")
     return f"map_from_entries(transform({kept}, e_ -> struct(e_.id, e_.v)))"
 
 
@@ -93,30 +88,30 @@ def _spans() -> str:
     fields = (f"struct(k AS k, e.s.id AS id, t AS t, {ok} AS ok, {ok} OR coalesce(t RLIKE r'^[,.;:!?]$', false) AS row, nullif(e.s.parentLineId, '') AS line, "
               "e.x AS x, e.y AS y, e.x + e.s.bbox.width AS r, e.y + e.s.bbox.height AS b, e.y + e.s.bbox.height / 2 AS cy, e.s.bbox.width AS w, "
               "e.i AS i, e.s.confidence AS conf, e.s.bbox AS bbox)")
-    return f"transform({ordered}, (e, k) -> {_bind('t', _trim('e.s.text'), fields)})"
+    return f"transform({ordered}, (e, k) -> {bind('t', _trim('e.s.text'), fields)})"
 
 
 def _lines() -> str:
     """The readable text of every printed line, by line id."""
     row = "filter(_s, s -> s.row AND s.line IS NOT NULL)"
-    return _bind("r", row, f"map_from_entries(transform(array_distinct(transform(r, s -> s.line)), l -> struct(l, {_span_text('filter(r, s -> s.line = l)')})))")
+    return bind("r", row, f"map_from_entries(transform(array_distinct(transform(r, s -> s.line)), l -> struct(l, {_span_text('filter(r, s -> s.line = l)')})))")
 
 
 def _text_with_blank(near: str, box: str) -> str:
     """The print row around a blank as ``left _____ right``; null when the row cannot be trusted."""
     anchor = _mean(f"transform({near}, s -> s.cy)")
     row = "filter(_s, s -> s.row AND abs(s.cy - anchor) <= 0.012D)"
-    source = _bind("row", row, f"CASE WHEN size(row) > size({near}) THEN row ELSE {near} END")
+    source = bind("row", row, f"CASE WHEN size(row) > size({near}) THEN row ELSE {near} END")
     untrusted = f"CASE WHEN NOT exists({near}, s -> s.line IS NOT NULL) THEN whole END"
     glued = (f"CASE WHEN lt IS NULL OR rt IS NULL THEN whole ELSE "
              f"{_trim(f'''regexp_replace(concat(lt, ' _____ ', rt), r'[{X.JS_SPACE}]+([,.;:!?])', '$1')''')} END")
-    sides = _bind("lefts", f"filter(src, s -> s.r <= {box}.x + 0.006D)", _bind(
+    sides = bind("lefts", f"filter(src, s -> s.r <= {box}.x + 0.006D)", bind(
         "rights", f"filter(src, s -> s.x >= {box}.x + {box}.width - 0.006D)",
         f"CASE WHEN size(lefts) = 0 OR size(rights) = 0 THEN {untrusted} ELSE "
-        f"{_bind('lt', _span_text('lefts'), _bind('rt', _span_text('rights'), glued))} END"))
+        f"{bind('lt', _span_text('lefts'), bind('rt', _span_text('rights'), glued))} END"))
     whole = (f"CASE WHEN whole IS NULL OR whole RLIKE '_{{2,}}' THEN whole "
              f"WHEN exists(src, s -> s.x < {box}.x + {box}.width AND s.r > {box}.x) THEN {untrusted} ELSE {sides} END")
-    return _bind("anchor", anchor, _bind("src", source, _bind("whole", _span_text("src"), whole)))
+    return bind("anchor", anchor, bind("src", source, bind("whole", _span_text("src"), whole)))
 
 
 def _closest(spans: str, box: str) -> str:
@@ -130,17 +125,17 @@ def _local_text(ids: str, box: str) -> str:
     """Text near an interaction; short evidence is widened to its printed line, or cut to the closest span."""
     beside = f"filter(near, s -> s.b >= {box}.y - 0.014D AND s.y <= {box}.y + {box}.height + 0.014D)"
     nearest = f"array_min(transform(near, (s, j) -> struct(abs(s.cy - ({box}.y + {box}.height / 2)) AS d, j AS j, s AS s))).s"
-    only = _bind("beside", beside, f"CASE WHEN size(beside) > 0 THEN {_closest('beside', box)} ELSE {nearest} END")
+    only = bind("beside", beside, f"CASE WHEN size(beside) > 0 THEN {_closest('beside', box)} ELSE {nearest} END")
     line = "filter(near, s -> s.line IS NOT NULL)[0].line"
-    wide = _bind("wide", f"_lines[{line}]", f"CASE WHEN length(wide) > coalesce(length(own), 0) THEN wide ELSE {_bind('one', only, _span_text('array(one)'))} END")
+    wide = bind("wide", f"_lines[{line}]", f"CASE WHEN length(wide) > coalesce(length(own), 0) THEN wide ELSE {bind('one', only, _span_text('array(one)'))} END")
     expand = "exists(near, s -> s.line IS NOT NULL) AND (own IS NULL OR length(own) < 24 OR size(near) = 1)"
-    return _bind("near", f"filter({_near(ids)}, s -> s.ok)", _bind(
+    return bind("near", f"filter({_near(ids)}, s -> s.ok)", bind(
         "own", _span_text("near"), f"CASE WHEN size(near) = 0 THEN CAST(NULL AS string) WHEN {expand} THEN {wide} ELSE own END"))
 
 
 def _common(items: str) -> str:
     """The only distinct prompt, else null."""
-    return _bind("c_", _ids(f"transform({items}, x_ -> x_.prompt)"), "CASE WHEN size(c_) = 1 THEN c_[0] END")
+    return bind("c_", _ids(f"transform({items}, x_ -> x_.prompt)"), "CASE WHEN size(c_) = 1 THEN c_[0] END")
 
 
 def _item(id_: str, prompt: str, label: str = "CAST(NULL AS string)", size: str = "1") -> str:
@@ -191,18 +186,18 @@ def _page_id(tag: str, id_: str) -> str:
 def _runs(array: str, top: str, bottom: str, gap: float) -> str:
     """A sorted array cut where an element starts more than ``gap`` under the end of the one before."""
     starts = f"filter(sequence(0, size(a_) - 1), j_ -> j_ = 0 OR a_[j_].{top} - ({bottom.format('a_[j_ - 1]')}) > {gap}D)"
-    runs = _bind("c_", starts, "transform(c_, (f_, j_) -> slice(a_, f_ + 1, coalesce(get(c_, j_ + 1), size(a_)) - f_))")
-    return _bind("a_", array, f"CASE WHEN size(a_) = 0 THEN array() ELSE {runs} END")
+    runs = bind("c_", starts, "transform(c_, (f_, j_) -> slice(a_, f_ + 1, coalesce(get(c_, j_ + 1), size(a_)) - f_))")
+    return bind("a_", array, f"CASE WHEN size(a_) = 0 THEN array() ELSE {runs} END")
 
 
 def _blank_blocks() -> str:
     """Gap runs of blanks, every blank with its prompt."""
-    prompt = _bind("near", f"filter({_near('b.nearbyTextSpanIds')}, s -> s.ok)",
+    prompt = bind("near", f"filter({_near('b.nearbyTextSpanIds')}, s -> s.ok)",
                    f"coalesce({_text_with_blank('near', 'b.interactionBbox')}, {_local_text('b.nearbyTextSpanIds', 'b.interactionBbox')})")
-    item = _bind("raw", prompt, _bind("label", _label("raw"), _item("b.id", _unlabelled("raw", "label"), "label")))
+    item = bind("raw", prompt, bind("label", _label("raw"), _item("b.id", _unlabelled("raw", "label"), "label")))
     ordered = "transform(array_sort(transform(exerciseBlanks, (b, i) -> struct(b.interactionBbox.y AS y, i AS i, b AS b))), e -> e.b)"
     parts = _evidence("run", "interactionBbox")
-    block = _bind("items", f"transform(run, b -> {item})", _block(
+    block = bind("items", f"transform(run, b -> {item})", _block(
         "fill-blank", id=_page_id("fill", "run[0].id"), prompt=_common("items"), items="items", **parts))
     runs = _runs(ordered, "interactionBbox.y", "{0}.interactionBbox.y + {0}.interactionBbox.height", INTERACTION_GAP)
     return f"transform({runs}, run -> {block})"
@@ -212,16 +207,16 @@ def _choice_blocks() -> str:
     key = "coalesce({0}.optionGroupId, concat('unmapped:', {0}.id))".format
     item = _item("t.id", _local_text("t.nearbyTextSpanIds", "t.interactionBbox"))
     group = "_groups[mine[0].optionGroupId]"
-    block = _bind("items", f"transform(mine, t -> {item})", _bind("g", group, _block(
+    block = bind("items", f"transform(mine, t -> {item})", bind("g", group, _block(
         "choice", id=_page_id("choice", "mine[0].id"), prompt=_common("items"), items="items", targets="mine", group_id="g.id", options="g.options",
         **_evidence("mine", "interactionBbox"))))
     return (f"transform(array_distinct(transform(choiceTargets, t -> {key('t')})), key -> "
-            f"{_bind('mine', f'filter(choiceTargets, t -> {key(chr(116))} = key)', block)})")
+            f"{bind('mine', f'filter(choiceTargets, t -> {key(chr(116))} = key)', block)})")
 
 
 def _grid_blocks() -> str:
     item = _item("r.id", _local_text("r.nearbyTextSpanIds", "r.rowBbox"))
-    block = _bind("items", f"transform(c.rows, r -> {item})", _bind("g", "_groups[c.optionGroupId]", _block(
+    block = bind("items", f"transform(c.rows, r -> {item})", bind("g", "_groups[c.optionGroupId]", _block(
         "choice-grid", id=_page_id("grid", "c.id"), prompt=_common("items"), items="items", group_id="g.id", options="g.options",
         source_y="c.gridBbox.y", item_count="size(c.rows)", interaction_count="size(c.rows)", correction_ids="array(c.id)", span_ids=_flat_ids("c.rows"),
         interaction_ids="concat(array(c.id), transform(c.rows, r -> r.id))", bboxes="concat(array(c.gridBbox), transform(c.rows, r -> r.rowBbox))",
@@ -236,7 +231,7 @@ def _ordering_blocks() -> str:
     block = _block("sentence-ordering", id=_page_id("ordering", "coalesce(key, 'null')"), prompt=f"CASE WHEN size(mine) = 1 THEN {_span_text(_near(_flat_ids('mine')))} END",
                    items=ordered(_item("e.id", "CAST(NULL AS string)", size="e.n")), exercise_id="key", **parts)
     return (f"transform(array_distinct(transform(sentenceOrderings, o -> o.exerciseId)), key -> "
-            f"{_bind('mine', 'filter(sentenceOrderings, o -> o.exerciseId <=> key)', block)})")
+            f"{bind('mine', 'filter(sentenceOrderings, o -> o.exerciseId <=> key)', block)})")
 
 
 def _single(column: str, kind: str, tag: str, ids: str, prompt: str, count: str) -> str:
@@ -262,7 +257,7 @@ def _assigned() -> str:
     best = f"array_min(transform(filter(ctx, s -> NOT array_contains(a.used, s.id)), s -> struct(abs(s.cy - {cy}) AS d, s.k AS k, s.id AS id, s.t AS t)))"
     taken = "named_struct('used', array_append(a.used, best.id), 'out', array_append(a.out, named_struct('id', t.id, 'span_id', best.id, 'text', best.t)))"
     start = f"named_struct('used', {_STRINGS}, 'out', CAST(array() AS array<struct<id:string,span_id:string,text:string>>))"
-    return f"aggregate(b.targets, {start}, (a, t) -> {_bind('best', best, f'CASE WHEN best IS NULL THEN a ELSE {taken} END')}, a -> a.out)"
+    return f"aggregate(b.targets, {start}, (a, t) -> {bind('best', best, f'CASE WHEN best IS NULL THEN a ELSE {taken} END')}, a -> a.out)"
 
 
 def _applied() -> str:
@@ -272,7 +267,7 @@ def _applied() -> str:
     (the last owner of an interaction counts).
     """
     owners = "filter(transform(b.interaction_ids, i -> _owner[i]), e -> e IS NOT NULL)"
-    exercise = _bind("o", owners, "CASE WHEN forall(o, e -> e.id = o[0].id) THEN get(o, 0) END")
+    exercise = bind("o", owners, "CASE WHEN forall(o, e -> e.id = o[0].id) THEN get(o, 0) END")
     texts = "array(ex.number, ex.title, ex.instruction, concat_ws(' ', coalesce(ex.number, 'null'), coalesce(ex.title, 'null')))"
     options = f"CASE WHEN b.kind IN ('choice', 'choice-grid') THEN coalesce(b.options, {_STRINGS}) ELSE {_STRINGS} END"
     labels = (f"flatten(transform(filter(choiceTargets, t -> array_contains(ex.interactionIds, t.id)), t -> "
@@ -286,8 +281,8 @@ def _applied() -> str:
     paragraphs = ("transform(filter(ctx, s -> NOT exists(given, g -> g.span_id = s.id)), s -> named_struct('id', concat('paragraph-', s.id), 'text', s.t))")
     owned = _with("b", items=items, paragraphs=paragraphs, exercise_id="ex.id", exercise_number="ex.number", exercise_title="ex.title",
                   instruction="ex.instruction", source_order="ex.sourceOrder")
-    whole = _bind("copies", copies, _bind("ctx", context, _bind("given", given, owned)))
-    return f"transform(_raw, b -> {_bind('ex', exercise, f'CASE WHEN ex IS NULL THEN b ELSE {whole} END')})"
+    whole = bind("copies", copies, bind("ctx", context, bind("given", given, owned)))
+    return f"transform(_raw, b -> {bind('ex', exercise, f'CASE WHEN ex IS NULL THEN b ELSE {whole} END')})"
 
 
 def _coalesced() -> str:
@@ -297,24 +292,24 @@ def _coalesced() -> str:
     prompts = f"transform(filter(items, x -> x.prompt <> ''), x -> {_fold('x.prompt')})"
     labels = f"transform(flatten(transform(mine, b -> coalesce(b.options, {_STRINGS}))), o -> {_fold('o')})"
     listed = f"flatten(transform(mine, b -> coalesce(b.paragraphs, CAST(array() AS array<{_PARAGRAPH}>))))"
-    left = _bind("gone", f"concat({prompts}, {labels})", f"filter({listed}, p -> NOT array_contains(gone, {_fold('p.text')}))")
+    left = bind("gone", f"concat({prompts}, {labels})", f"filter({listed}, p -> NOT array_contains(gone, {_fold('p.text')}))")
     # equal texts count once, where they stand first
-    paragraphs = _bind("ps", left, "transform(array_distinct(transform(ps, p -> p.text)), t -> filter(ps, p -> p.text = t)[0])")
+    paragraphs = bind("ps", left, "transform(array_distinct(transform(ps, p -> p.text)), t -> filter(ps, p -> p.text = t)[0])")
     shared = "forall(mine, b -> b.group_id <=> first.group_id)"
     merged = _with("first", id="key", source_y="array_min(transform(mine, b -> b.source_y))", items="items", item_count="size(items)",
                    interaction_count="size(items)", paragraphs=paragraphs, group_id=f"CASE WHEN {shared} THEN first.group_id END",
                    options=f"CASE WHEN {shared} THEN first.options END", confidence="array_min(transform(mine, b -> b.confidence))",
                    **{f: flat(f) for f in ("targets", "correction_ids", "bboxes")},
                    **{f: f"array_distinct({flat(f)})" for f in ("span_ids", "interaction_ids", "methods")})
-    one = _bind("first", "mine[0]", _bind("items", flat("items"), f"CASE WHEN size(mine) = 1 THEN first ELSE {merged} END"))
-    groups = f"transform(array_distinct(transform(filter(_applied, b -> {semantic('b')}), b -> b.exercise_id)), key -> " + _bind(
+    one = bind("first", "mine[0]", bind("items", flat("items"), f"CASE WHEN size(mine) = 1 THEN first ELSE {merged} END"))
+    groups = f"transform(array_distinct(transform(filter(_applied, b -> {semantic('b')}), b -> b.exercise_id)), key -> " + bind(
         "mine", f"filter(_applied, b -> {semantic('b')} AND b.exercise_id = key)", one) + ")"
     return f"concat(filter(_applied, b -> NOT {semantic('b')}), {groups})"
 
 
 def _context_blocks() -> str:
     """J15 + W5: unused meaningful spans in gap runs of at most six."""
-    free = _bind("used", "flatten(transform(_blocks, b -> b.span_ids))", _bind(
+    free = bind("used", "flatten(transform(_blocks, b -> b.span_ids))", bind(
         "boxes", "flatten(transform(_blocks, b -> b.bboxes))",
         "filter(_s, s -> s.ok AND NOT array_contains(used, s.id) AND NOT exists(boxes, x -> s.cy BETWEEN x.y - 0.012D AND x.y + x.height + 0.012D))"))
     runs = _runs(free, "y", "{0}.b", CONTEXT_GAP)
@@ -322,7 +317,7 @@ def _context_blocks() -> str:
     word = "(?iu)(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
     example, instruction = (word % w for w in X.VARIANT_WORDS)
     variant = f"CASE WHEN text RLIKE r'{example}' THEN 'example' WHEN text RLIKE r'{instruction}' THEN 'instruction' ELSE 'theory' END"
-    block = _bind("text", "array_join(transform(run, s -> s.t), ' ')", _block(
+    block = bind("text", "array_join(transform(run, s -> s.t), ' ')", _block(
         "context", id=_page_id("context", "run[0].id"), source_y="run[0].y", span_ids="transform(run, s -> s.id)", interaction_ids=_STRINGS,
         bboxes="transform(run, s -> s.bbox)", confidence=_mean("transform(run, s -> s.conf)"), methods="array('ocr')", variant=variant,
         paragraphs="transform(run, s -> named_struct('id', concat('paragraph-', s.id), 'text', s.t))"))
@@ -372,7 +367,7 @@ def project_lesson(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     # Source order (missing last), position, id
     ordered = ("transform(array_sort(transform(CASE WHEN size(_blocks) > 0 THEN _blocks ELSE _contexts END, (b, i) -> "
                "struct(coalesce(b.source_order, 2147483647) AS o, b.source_y AS y, b.id AS id, i AS i, b AS b))), e -> e.b)")
-    df = df.selectExpr("*", f"{ordered} AS _ordered", f"{_bind('t', paragraphs, 'size(t) >= 2 AND length(array_join(t, chr(32))) >= 120')} AS _alone")
+    df = df.selectExpr("*", f"{ordered} AS _ordered", f"{bind('t', paragraphs, 'size(t) >= 2 AND length(array_join(t, chr(32))) >= 120')} AS _alone")
     df = df.selectExpr("*", """CASE WHEN pageNumber IS NULL THEN 'ANALYSIS_UNAVAILABLE' WHEN pageNumber <> page_number THEN 'SOURCE_MISMATCH'
         WHEN size(_ordered) = 0 OR (size(_blocks) = 0 AND NOT _alone) THEN 'NO_MEANINGFUL_CONTENT' END AS reason""")
     ok = F.col("reason").isNull()
@@ -398,7 +393,7 @@ def lesson_steps(lessons: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
         "coalesce(nullif(b.exercise_id, ''), b.id)", "'activity'", "b.kind", "i", "b.item_count", "transform(b.items, x -> x.id)",
         "transform(b.items, x -> x.size)", "b.correction_ids") + ")"
     done = f"array({step('concat(lesson_id, ' + chr(39) + ':completion' + chr(39) + ')', chr(39) + 'completion' + chr(39), no('string'), no('int'), no('int'), *rest)})"
-    steps = _bind("acts", "filter(blocks, b -> b.kind <> 'context')", f"concat({contexts}, {activities}, {done})")
+    steps = bind("acts", "filter(blocks, b -> b.kind <> 'context')", f"concat({contexts}, {activities}, {done})")
     rows = lessons.where("status = 'AVAILABLE'").select(*keys, "lesson_id", F.posexplode(F.expr(steps)).alias("step_index", "s"))
     return rows.select(*keys, "lesson_id", "step_index", "s.*")
 
@@ -425,9 +420,9 @@ def step_completion(lessons: DataFrame, answers: DataFrame, keys: Sequence[str]
         F.sort_array(F.collect_list(F.struct("step_index", "id", "block_kind", "answer_ids", "sizes"))).alias("_steps"))
     full = ("CASE s.block_kind WHEN 'sentence-ordering' THEN coalesce(g.ordered, 0) = coalesce(s.sizes[j], 0) "
             "WHEN 'matching' THEN coalesce(g.pairs, 0) = coalesce(s.sizes[j], 0) ELSE coalesce(g.some, false) END")
-    done = f"forall(sequence(0, size(s.answer_ids)), j -> j = size(s.answer_ids) OR {_bind('g', '_a[s.answer_ids[j]]', full)})"
+    done = f"forall(sequence(0, size(s.answer_ids)), j -> j = size(s.answer_ids) OR {bind('g', '_a[s.answer_ids[j]]', full)})"
     rows = placed.join(steps, keys).selectExpr(
-        learner, *keys, "explode(" + _bind("_a", "map_from_entries(transform(filter(_given, a -> a.id IS NOT NULL), a -> struct(a.id, a)))",
+        learner, *keys, "explode(" + bind("_a", "map_from_entries(transform(filter(_given, a -> a.id IS NOT NULL), a -> struct(a.id, a)))",
                                            f"transform(_steps, s -> struct(s.step_index AS step_index, s.id AS step_id, {done} AS complete))") + ") AS s")
     return rows.select(learner, *keys, "s.*")
 
