@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["layout", "grading", "text", "logs", "documents", "lessons"]
+MODULES = ["layout", "grading", "text", "logs", "documents", "lessons", "exercises"]
 
 
 def load() -> None:
