@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The same rows behind a one-row generator; no shuffle.
 
     Filters are not pushed through it and columns are not inlined over it, so
     an expensive in-row result is computed once, not once per later reference
-    or once per element of a lambda that looks into it.
+    or once per element of a lambda that looks into it. Columns to ``keep`` stay
+    outside, so rows dealt by them need not be dealt again.
     """
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+    rest = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.explode(F.array(F.struct(*rest))).alias("_row")).select(*keep, "_row.*").select(*df.columns)
 
 
 def let(fn: Callable[..., Column], *values: Column) -> Column:

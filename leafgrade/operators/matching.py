@@ -1,17 +1,20 @@
-"""Matching exercises from anchor dots and text spans."""
+"""Matching exercises from anchor dots and text spans.
+
+Dots and spans meet in the page's row; column pairs and row groups are then rows
+of their own, each with what it needs, so no join follows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrade.functions import geometry as G
 from leafgrade.functions import textops as X
-from leafgrade.functions.arrays import first_match, let, settle, sort_by
-from leafgrade.operators.cluster import PAGE, dot_columns, row_split
-from leafgrade.operators.spatial import row_band_join, row_bands
+from leafgrade.functions.arrays import bind, first_match, let, settle, sort_by
+from leafgrade.operators.cluster import PAGE
 
 PAIR_TOLERANCE = 0.0015
 _ROW = "struct<y:double,left_id:string,right_id:string>"
@@ -105,16 +108,33 @@ def item_text(spans: Column) -> Column:
         F.transform(k, lambda s: s["id"]).alias("span_ids"))), kept)
 
 
-def column_pairs(dots: DataFrame, keys: Sequence[str] = PAGE, min_gap: float = 0.02) -> DataFrame:
-    """Pairs of dot columns of a page at least ``min_gap`` apart, with their dots as arrays.
+def _median_gap(rows: str) -> str:
+    """SQL text: the median of the positive gaps of ``rows`` in y order, null without any."""
+    gaps = f"array_sort(filter(transform(sequence(0, size({rows}) - 1), i -> CASE WHEN i > 0 THEN {rows}[i].y - {rows}[i - 1].y END), g -> g > 0))"
+    return bind("g", gaps, "CASE WHEN size(g) > 0 THEN (g[CAST(size(g) div 2 AS int)] + g[CAST((size(g) - 1) div 2 AS int)]) / 2 END")
+
 
-    A page holds few columns: each needs its own 0.003-wide strip of the page.
+def column_pairs(dots: DataFrame, spans: DataFrame, keys: Sequence[str] = PAGE, min_gap: float = 0.02, tolerance: float = 0.003,
+                 spread: float = 0.003, low: float = 0.08, high: float = 0.92) -> DataFrame:
+    """Pairs of dot columns of a page at least ``min_gap`` apart, with their dots and the page's confident spans.
+
+    Dots and spans are grouped by page here, the only shuffle. W8: x-sorted
+    chains of at least two dots with a tight spread are columns, so a page holds few.
     """
-    cols = dot_columns(dots, keys).groupBy(*keys, "column", "column_x").agg(
-        F.collect_list(F.struct("y", "id")).alias("dots"))
-    named = lambda p: cols.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("column", "column_x", "dots")])
-    pairs = named("l").join(named("r"), list(keys))
-    return pairs.where((F.col("l_column") < F.col("r_column")) & (F.col("r_column_x") - F.col("l_column_x") >= min_gap))
+    keys = list(keys)
+    dot, span = F.struct("x", "y", "id", "bbox"), F.struct(
+        F.col("bbox.y").alias("y"), F.col("bbox.x").alias("x"), "idx", "id", "text", "bbox", G.center_x(F.col("bbox")).alias("cx"), G.center_y(F.col("bbox")).alias("cy"))
+    facts = dots.select(*keys, dot.alias("d")).unionByName(spans.where("confidence >= 0.5").select(*keys, span.alias("s")), allowMissingColumns=True)
+    pages = facts.groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("_dots"), F.sort_array(F.collect_list("s")).alias("spans")).where("size(_dots) > 1")
+    starts = f"filter(sequence(0, size(_dots) - 1), i -> i = 0 OR _dots[i].x - _dots[i - 1].x > {tolerance}D)"
+    chains = bind("c", starts, "transform(c, (f, i) -> slice(_dots, f + 1, coalesce(get(c, i + 1), size(_dots)) - f))")
+    column = bind("lo", "c[0].x", bind("hi", "element_at(c, -1).x", "struct(i AS column, lo + (hi - lo) / 2 AS x, hi - lo AS wide, "
+                                       "array_sort(transform(c, d -> struct(d.y AS y, d.id AS id, d.bbox AS bbox))) AS dots)"))
+    kept = f"filter(transform({chains}, (c, i) -> {column}), c -> size(c.dots) >= 2 AND c.wide <= {spread}D AND c.x BETWEEN {low}D AND {high}D)"
+    pairs = f"flatten(transform(c, l -> transform(filter(c, r -> l.column < r.column AND r.x - l.x >= {min_gap}D), r -> struct(l AS l, r AS r))))"
+    rows = pages.select(*keys, "spans", F.explode(F.expr(bind("c", kept, pairs))).alias("p"))
+    return rows.select(*keys, "spans", F.col("p.l.column").alias("l_column"), F.col("p.r.column").alias("r_column"), F.col("p.l.x").alias("x_left"),
+                       F.col("p.r.x").alias("x_right"), F.col("p.l.dots").alias("l_dots"), F.col("p.r.dots").alias("r_dots"))
 
 
 def matching_candidates(dots: DataFrame, spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -123,82 +143,73 @@ def matching_candidates(dots: DataFrame, spans: DataFrame, keys: Sequence[str] =
     ``dots``: keys, id, x, y, bbox. ``spans``: keys, idx, id, text, confidence, bbox.
     """
     keys = list(keys)
-    pair = [*keys, "l_column", "r_column"]
-    rows = column_pairs(dots, keys).withColumn("rows", pair_rows(F.col("l_dots"), F.col("r_dots"))).select(
-        *pair, F.col("l_column_x").alias("x_left"), F.col("r_column_x").alias("x_right"),
-        F.posexplode("rows").alias("row", "r")).select(*pair, "x_left", "x_right", "row", "r.*")
-    rows = row_split(rows, pair, "y", ["row"])
-    group = [*pair, "row_group"]
-    banded = row_bands(rows, group, "y", ["y", "row"])
-    found = row_band_join(banded, spans, keys).select(
-        *[F.col("l")[c].alias(c) for c in [*group, "row"]], "side",
-        F.struct(F.col("r.bbox.y").alias("y"), F.col("r.bbox.x").alias("x"), F.col("r.idx").alias("idx"),
-                 F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.col("r.bbox").alias("bbox")).alias("s"))
-    sides = found.groupBy(*group, "row").agg(
-        F.collect_list(F.when(F.col("side") == "left", F.col("s"))).alias("ls"),
-        F.collect_list(F.when(F.col("side") == "right", F.col("s"))).alias("rs"))
-    sides = sides.withColumn("_l", left_label(F.col("ls"))).withColumn("_r", right_label(F.col("rs")))
-    items = settle(sides.select(*group, "row", F.col("_l.label").alias("left_label"), item_text(F.col("_l.spans")).alias("left_item"),
-                                F.col("_r.label").alias("right_label"), item_text(F.col("_r.spans")).alias("right_item")))
-    sized = banded.withColumn("_group_rows", F.count("*").over(Window.partitionBy(*group)))
-    valid = sized.join(items, [*group, "row"]).where("left_item IS NOT NULL AND right_item IS NOT NULL")
-    row = F.struct("y", "row", "left_id", "right_id", "left_label", "left_item", "right_label", "right_item")
-    paired = F.count_if(F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
-    labels = F.count_if(F.col("left_label") != "") + F.count_if(F.col("right_label") != "")
-    cands = valid.groupBy(*group).agg(
-        F.first("x_left").alias("x_left"), F.first("x_right").alias("x_right"), F.count("*").alias("n"),
-        F.first("_group_rows").alias("all_rows"), paired.alias("paired"), labels.alias("labels"),
-        F.array_sort(F.collect_list(row)).alias("rows"))
-    text_ratio = F.col("n") / F.col("all_rows")
-    score = G.candidate_score("matching", paired=F.col("paired") / F.col("n"), text=text_ratio, symmetry=F.lit(1.0),
-                              labels=F.col("labels") / (F.col("n") * 2))
-    ok = (F.col("n") >= 3) & (text_ratio >= 0.75) & (F.col("paired") / F.col("n") >= 0.50)
-    return cands.where(ok).withColumn("score", score).where("score >= 0.62")
+    pairs = column_pairs(dots, spans, keys).withColumn("rows", pair_rows(F.col("l_dots"), F.col("r_dots")))
+    # Rows split at gaps of at least max(1.8 x median gap, 0.025); fewer than three rows stay whole
+    starts = "filter(sequence(0, size(rows) - 1), i -> i = 0 OR (size(rows) >= 3 AND coalesce(rows[i].y - rows[i - 1].y >= greatest(m * 1.8D, 0.025D), false)))"
+    groups = bind("m", _median_gap("rows"), bind("c", starts, "transform(c, (f, i) -> slice(rows, f + 1, coalesce(get(c, i + 1), size(rows)) - f))"))
+    df = settle(pairs, keys).selectExpr(*keys, "spans", "l_column", "r_column", "x_left", "x_right", "l_dots", "r_dots", f"posexplode({groups}) AS (row_group, rows)")
+    # Bands half way to the neighbour rows, else half a median gap; a span between the columns belongs to no side
+    band = """struct(coalesce(rows[i].y - (rows[i].y - get(rows, i - 1).y) / 2, rows[i].y - m / 2) AS top, coalesce(get(rows, i + 1).y - (get(rows, i + 1).y - rows[i].y) / 2, rows[i].y + m / 2) AS bottom)"""
+    inside = "filter(spans, s -> s.cy BETWEEN b.top AND b.bottom AND s.c{0})".format
+    anchor = "get(filter({0}_dots, d -> d.id = rows[i].{1}_id), 0).bbox".format
+    found = f"""struct(rows[i].y AS y, i AS row, rows[i].left_id AS left_id, rows[i].right_id AS right_id, {anchor('l', 'left')} AS left_anchor, {anchor('r', 'right')} AS right_anchor,
+        {inside('x < x_left')} AS ls, {inside('x > x_right')} AS rs)"""
+    banded = bind("m", f"coalesce({_median_gap('rows')}, 0D)", f"transform(sequence(0, size(rows) - 1), i -> {bind('b', band, found)})")
+    df = df.selectExpr(*keys, "l_column", "r_column", "row_group", "x_left", "x_right", f"{banded} AS _found")
+
+    def labelled(r: Column) -> Column:
+        return let(lambda a, b: F.struct(
+            *[r[c].alias(c) for c in ("y", "row", "left_id", "right_id", "left_anchor", "right_anchor")], a["label"].alias("left_label"),
+            item_text(a["spans"]).alias("left_item"), b["label"].alias("right_label"), item_text(b["spans"]).alias("right_item")), left_label(r["ls"]), right_label(r["rs"]))
+
+    df = settle(df.withColumn("_rows", F.transform("_found", labelled)).drop("_found"), keys)
+    df = df.withColumn("rows", F.expr("filter(_rows, r -> r.left_item IS NOT NULL AND r.right_item IS NOT NULL)"))
+    df = settle(df.selectExpr("*", "size(rows) AS n", "size(_rows) AS all_rows", "size(filter(rows, r -> r.left_id IS NOT NULL AND r.right_id IS NOT NULL)) AS paired",
+                              "size(filter(rows, r -> r.left_label <> '')) + size(filter(rows, r -> r.right_label <> '')) AS labels").drop("_rows"), keys)
+    n, text_ratio = F.col("n"), F.col("n") / F.col("all_rows")
+    score = G.candidate_score("matching", paired=F.col("paired") / n, text=text_ratio, symmetry=F.lit(1.0), labels=F.col("labels") / (n * 2))
+    ok = F.when(n >= 3, (text_ratio >= 0.75) & (F.col("paired") / n >= 0.50)).otherwise(False)
+    return df.where(ok).withColumn("score", score).where("score >= 0.62")
 
 
 def nms_suppress(candidates: DataFrame, keys: Sequence[str] = PAGE, column_tolerance: float = 0.004,
                  row_tolerance: float = PAIR_TOLERANCE) -> DataFrame:
-    """Accept candidates by (score, rows) descending; drop those that repeat accepted rows on the same columns.
+    """Accepted candidates by (score, rows) descending; those that repeat accepted rows on the same columns are dropped.
 
-    Adds ``rank`` (1-based acceptance order). A page's few candidates are
-    folded in one array; only columns and row positions enter the fold.
+    Adds ``rank`` (1-based acceptance order). The fold over a page's candidates
+    compares rows only where cells of one tolerance, or neighbours of them, coincide.
     """
     keys = list(keys)
+    cell = F.transform("rows", lambda r: F.floor(r["y"] / row_tolerance))
     # equal scores keep the order in which column pairs and row groups are found
-    slim = F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("m"), "l_column", "r_column", "row_group",
-                    "x_left", "x_right", F.transform("rows", lambda r: r["y"]).alias("ys"))
-    pages = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(slim)).alias("c"))
-    element = pages.schema["c"].dataType.elementType.simpleString()
-
-    def conflict(a: Column, c: Column) -> Column:
-        same = (F.abs(a["x_left"] - c["x_left"]) <= column_tolerance) & (F.abs(a["x_right"] - c["x_right"]) <= column_tolerance)
-        return same & F.exists(a["ys"], lambda y: F.exists(c["ys"], lambda z: F.abs(y - z) <= row_tolerance))
-
-    accepted = F.aggregate("c", F.array().cast(f"array<{element}>"), lambda acc, c: F.when(
-        F.exists(acc, lambda a: conflict(a, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    ranked = pages.select(*keys, F.posexplode(accepted).alias("rank", "a")).select(
-        *keys, "a.l_column", "a.r_column", "a.row_group", (F.col("rank") + 1).alias("rank"))
-    return candidates.join(ranked, [*keys, "l_column", "r_column", "row_group"])
+    own = F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("m"), "l_column", "r_column", "row_group", "x_left", "x_right",
+                   F.transform("rows", lambda r: r["y"]).alias("ys"), cell.alias("cells"), "score", "rows")
+    pages = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias("c"))
+    same = f"abs(c[a].x_left - c[n].x_left) <= {column_tolerance}D AND abs(c[a].x_right - c[n].x_right) <= {column_tolerance}D"
+    near = "arrays_overlap(c[a].cells, flatten(transform(c[n].cells, z -> array(z - 1, z, z + 1))))"
+    meets = f"exists(c[a].ys, y -> exists(c[n].ys, z -> abs(y - z) <= {row_tolerance}D))"
+    taken = f"aggregate(sequence(0, size(c) - 1), CAST(array() AS array<int>), (t, n) -> CASE WHEN exists(t, a -> {same} AND {near} AND {meets}) THEN t ELSE array_append(t, n) END)"
+    rows = pages.select(*keys, F.posexplode(F.expr(f"transform({taken}, n -> c[n])")).alias("_at", "a"))
+    return rows.select(*keys, (F.col("_at") + 1).alias("rank"), "a.l_column", "a.r_column", "a.row_group", "a.x_left", "a.x_right", "a.score", "a.rows")
 
 
 def matching_items(dots: DataFrame, spans: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     """Accepted matching exercises: id, score, bbox, span_ids, left_items, right_items."""
+    keys = list(keys)
     accepted = nms_suppress(matching_candidates(dots, spans, keys), keys)
     ident = F.concat_ws("-", F.lit("matching"), F.col("page_number").cast("string"), F.col("rank").cast("string"))
-    boxes = dots.groupBy(*keys).agg(F.collect_list(F.struct("id", "bbox")).alias("_dots"))
-    joined = accepted.join(boxes, list(keys)).withColumn("id", ident)
+    named = accepted.withColumn("id", ident)
 
     def side(name: str) -> Column:
         items = F.transform("rows", lambda r: F.struct(
             r[f"{name}_label"].alias("label"), r[f"{name}_item"]["text"].alias("text"), r[f"{name}_item"]["bbox"].alias("bbox"),
-            first_match(F.col("_dots"), lambda d: d["id"] == r[f"{name}_id"])["bbox"].alias("anchor_bbox"),
-            r[f"{name}_item"]["span_ids"].alias("span_ids")))
+            r[f"{name}_anchor"].alias("anchor_bbox"), r[f"{name}_item"]["span_ids"].alias("span_ids")))
         return F.transform(sort_by(items, lambda i: i["bbox"]["y"]), lambda i, n: F.struct(
             F.concat_ws("-", F.col("id"), F.lit(name), (n + 1).cast("string")).alias("id"), i["label"].alias("label"),
             i["text"].alias("text"), i["bbox"].alias("bbox"), i["anchor_bbox"].alias("anchor_bbox"),
             i["span_ids"].alias("span_ids")))
 
-    built = joined.withColumn("left_items", side("left")).withColumn("right_items", side("right"))
+    built = named.withColumns({"left_items": side("left"), "right_items": side("right")})
     both = F.concat("left_items", "right_items")
     all_boxes = F.concat(F.transform(both, lambda i: i["bbox"]), F.filter(
         F.transform(both, lambda i: i["anchor_bbox"]), lambda b: b.isNotNull()))
