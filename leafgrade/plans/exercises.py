@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafgrade.functions import geometry as G
+from leafgrade.operators import matching as M
 from leafgrade.operators import ordering as O
 from leafgrade.plans import tables as T
 from leafgrade.plans.registry import query
@@ -86,3 +87,64 @@ def _(spark, sf):
         G.candidate_score("grid", rules=n % 6, columns=n % 5, labels=(n % 4) / 4, rows=n % 8).alias("grid_score"),
         G.candidate_score("ordering", lines=n % 6, fragments=n % 9, consistency=(n % 4) / 4).alias("ordering_score"),
         G.candidate_score("matching", paired=(n % 4) / 4, text=(n % 5) / 5, symmetry=(n % 2) / 2, labels=(n % 10) / 10).alias("matching_score"))
+
+
+# ---- matchings -----------------------------------------------------------------
+
+def anchor_dots(spark, sf):
+    """Three dot columns, one row per line: left, the left ones of even lengths seen a second time beside it, and right with gaps."""
+    d = T.lines(spark, sf).select("doc_id", "i", "len")
+    n, y = F.col("len"), F.col("i") / 128.0
+    dot = lambda name, x: F.struct(F.concat(F.lit(name), F.col("i").cast("string")).alias("id"), F.lit(x).alias("x"))
+    dots = F.array_compact(F.array(dot("l", 0.375), F.when(n % 2 == 0, dot("m", 0.3785)), F.when(n % 7 != 0, dot("r", 0.5))))
+    return d.select(*page(), y.alias("y"), F.explode(dots).alias("s")).select(
+        "book_id", "page_number", "s.id", "s.x", "y", G.box(F.col("s.x"), F.col("y"), 1 / 512, 1 / 512).alias("bbox"))
+
+
+def pair_texts(spark, sf):
+    """A text on either side of every row: labels before, after or absent, and some texts too short to be an item."""
+    d = T.lines(spark, sf).select("doc_id", "i", "len")
+    n, at = F.col("len"), (F.col("i") % 90).cast("string")
+    links = F.concat(F.lit("Links "), n.cast("string"))
+    left = F.when(n % 3 == 0, F.concat(at, F.lit(". "), links)).when(n % 3 == 1, F.concat(links, F.lit(" "), at)).otherwise(links)
+    right = F.when(n % 9 == 4, "x").when(n % 4 == 0, F.concat(F.lit("B rechts "), n.cast("string"))).otherwise(F.concat(F.lit("Rechts "), n.cast("string")))
+    span = lambda k, t, x: F.struct((F.col("i") * 2 + k).cast("int").alias("idx"), F.concat(F.lit("ab"[k]), F.col("i").cast("string")).alias("id"), t.alias("text"),
+                                    G.box(F.lit(x), F.col("i") / 128.0 - 1 / 1024, 0.125, 1 / 512).alias("bbox"))
+    return d.select(*page(), F.lit(0.9).alias("confidence"), F.explode(F.array(span(0, left, 0.125), span(1, right, 0.625))).alias("s")).select(
+        "book_id", "page_number", "confidence", "s.*")
+
+
+@query("matched_pages", "K10 J17 J8 J7 W8 W9 C15 X10", rf"""WITH {T.LINES},
+a AS (SELECT doc_id, i, len, CAST(i AS DOUBLE) / 128 AS y, CASE len % 3 WHEN 0 THEN (i % 90) || '. Links ' || len WHEN 1 THEN 'Links ' || len || ' ' || (i % 90) ELSE 'Links ' || len END AS lt,
+  CASE WHEN len % 9 = 4 THEN 'x' WHEN len % 4 = 0 THEN 'B rechts ' || len ELSE 'Rechts ' || len END AS rt FROM ln),
+n AS (SELECT doc_id, count(*) AS l, count(*) FILTER (WHERE len % 2 = 0) AS m, count(*) FILTER (WHERE len % 7 <> 0) AS r FROM a GROUP BY 1),
+p AS (SELECT a.*, 0 AS k, 'l' || i AS ld, CASE WHEN len % 7 <> 0 THEN 'r' || i END AS rd FROM a JOIN n USING (doc_id) WHERE n.l >= 2 AND n.r >= 2
+  UNION ALL SELECT a.*, 1, CASE WHEN len % 2 = 0 THEN 'm' || i END, CASE WHEN len % 7 <> 0 THEN 'r' || i END FROM a JOIN n USING (doc_id) WHERE n.m >= 2 AND n.r >= 2 AND (len % 2 = 0 OR len % 7 <> 0)),
+g AS (SELECT *, y - lag(y) OVER w AS gap, count(*) OVER (PARTITION BY doc_id, k) AS size FROM p WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+c AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY doc_id, k) AS med FROM g),
+d AS (SELECT *, sum(CASE WHEN size >= 3 AND gap >= greatest(med * 1.8, 25e-3) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY i) AS part FROM c),
+e AS (SELECT *, lag(y) OVER w AS up, lead(y) OVER w AS down, y - lag(y) OVER w AS inner_gap FROM d WINDOW w AS (PARTITION BY doc_id, k, part ORDER BY i)),
+b AS (SELECT *, coalesce(quantile_cont(inner_gap, 0.5) OVER (PARTITION BY doc_id, k, part), 0) AS half FROM e),
+t AS (SELECT b.doc_id, b.k, b.part, b.i, b.y, b.ld, b.rd, list(s.lt ORDER BY s.i) AS ls, list(s.rt ORDER BY s.i) AS rs FROM b JOIN a s ON s.doc_id = b.doc_id
+  AND s.y BETWEEN coalesce(b.y - (b.y - b.up) / 2, b.y - half / 2) AND coalesce(b.down - (b.down - b.y) / 2, b.y + half / 2) GROUP BY ALL),
+f AS (SELECT *, regexp_extract(ls[1], '^(\d{{1,2}})\.?\s+', 1) AS lead_no, regexp_extract(ls[-1], '\s+(\d{{1,2}})\.?$', 1) AS trail_no, regexp_matches(rs[1], '^\p{{Lu}}(?:$|[ \p{{Lu}}])') AS capital FROM t),
+h AS (SELECT doc_id, k, part, i, y, ld, rd, CASE WHEN lead_no <> '' THEN lead_no ELSE trail_no END AS ll, CASE WHEN capital THEN rs[1][1] ELSE '' END AS rl,
+  CASE WHEN lead_no <> '' THEN list_concat([regexp_replace(ls[1], '^\d{{1,2}}\.?\s+', '')], ls[2:]) WHEN trail_no <> '' THEN list_concat(ls[:len(ls) - 1], [regexp_replace(ls[-1], '\s+\d{{1,2}}\.?$', '')]) ELSE ls END AS lx,
+  list_filter(CASE WHEN capital THEN list_concat([trim(substr(rs[1], 2))], rs[2:]) ELSE rs END, lambda x: length(x) >= 2) AS rx FROM f),
+v AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k, part) AS rows_all FROM h),
+o AS (SELECT doc_id, k, part, count(*) AS n, count(*) / any_value(rows_all) AS text_ratio, count(*) FILTER (WHERE ld IS NOT NULL AND rd IS NOT NULL) / count(*) AS paired,
+  (count(*) FILTER (WHERE ll <> '') + count(*) FILTER (WHERE rl <> '')) / (count(*) * 2) AS labels, list(i ORDER BY i) AS places,
+  string_agg(ll || ':' || array_to_string(lx, ' ') || ':' || coalesce(ld, ''), '|' ORDER BY i) AS left_items, string_agg(rl || ':' || array_to_string(rx, ' ') || ':' || coalesce(rd, ''), '|' ORDER BY i) AS right_items
+  FROM v WHERE len(rx) > 0 GROUP BY 1, 2, 3),
+q AS (SELECT *, CAST(printf('%.4f', CAST(0.40 AS DOUBLE) * paired + CAST(0.30 AS DOUBLE) * text_ratio + CAST(0.15 AS DOUBLE) + CAST(0.15 AS DOUBLE) * labels) AS DOUBLE) AS score FROM o WHERE n >= 3 AND text_ratio >= 0.75 AND paired >= 0.5),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC, k, part) AS place FROM q WHERE score >= 0.62),
+x AS (SELECT z.*, NOT EXISTS (SELECT 1 FROM z w WHERE w.doc_id = z.doc_id AND w.k <> z.k AND w.place < z.place AND list_has_any(w.places, z.places)) AS first_choice FROM z),
+y AS (SELECT x.*, first_choice OR NOT EXISTS (SELECT 1 FROM x w WHERE w.doc_id = x.doc_id AND w.k <> x.k AND w.place < x.place AND list_has_any(w.places, x.places) AND w.first_choice) AS kept FROM x)
+SELECT {PAGE_SQL}, 'matching-' || (doc_id % 16 + 1) || '-' || row_number() OVER (PARTITION BY doc_id ORDER BY place) AS id, score, left_items, right_items FROM y WHERE kept""")
+def _(spark, sf):
+    """Left dots that are seen twice give two candidates for the same rows, of which one stays."""
+    m = M.matching_items(anchor_dots(spark, sf), pair_texts(spark, sf))
+    # an item's anchor is a box; its column and row name the dot again
+    dot = lambda b: F.when(b.isNull(), "").otherwise(F.concat(F.when(b["x"] == 0.5, "r").when(b["x"] == 0.375, "l").otherwise("m"), F.round(b["y"] * 128).cast("int").cast("string")))
+    items = lambda c: F.array_join(F.transform(c, lambda i: F.concat_ws(":", i["label"], i["text"], dot(i["anchor_bbox"]))), "|")
+    return m.select("book_id", "page_number", "id", "score", items("left_items").alias("left_items"), items("right_items").alias("right_items"))
