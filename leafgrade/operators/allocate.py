@@ -29,32 +29,39 @@ def _walk(capacities: Column, sizes: Column) -> Column:
 
     ``capacities`` and ``sizes`` are arrays in page and block order. With the
     running sums of the sizes, the blocks a page takes from the cursor on are
-    those that start before the page is full and end within it.
+    those that start before the page is full and end within it; the first that
+    does not is found by bisection, since the sums never fall.
     """
-    running = F.aggregate(
-        sizes, F.array(F.lit(0).cast("bigint")),
-        lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s.cast("bigint"))))
-    numbers = F.transform(sizes, lambda s, i: i)
-    return let(lambda ends, blocks, size_of, caps: _walk_pages(caps, size_of, ends, blocks), running, numbers, sizes, capacities)
+    def sums(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0).cast("bigint")),
+                           lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s.cast("bigint"))))
+    empty = sums(F.transform(sizes, lambda s: F.when(s == 0, 1).otherwise(0)))
+    # halvings that settle any place among the blocks
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes) + F.lit(1.0))).cast("int"))
+    return let(lambda ends, zeros, steps, caps: _walk_pages(caps, ends, zeros, steps), sums(sizes), empty, halvings, capacities)
 
 
-def _walk_pages(capacities: Column, sizes: Column, ends: Column, blocks: Column) -> Column:
-    def page(acc: Column, capacity: Column) -> Column:
-        def fits(cursor: Column, base: Column) -> Column:
-            # the sums never fall, so the blocks that fit follow the cursor without a hole
-            return F.filter(blocks, lambda b: (b >= cursor) & (F.get(ends, b) - base < capacity)
-                            & (F.get(ends, b + 1) - base <= capacity))
+def _walk_pages(capacities: Column, ends: Column, zeros: Column, steps: Column) -> Column:
+    blocks = F.size(ends) - 1
 
-        def settle(cursor: Column, base: Column, taken: Column) -> Column:
-            after = cursor + F.size(taken)
+    def page(acc: Column, capacity: Column) -> Column:
+        def first_misfit(cursor: Column, base: Column) -> Column:
+            def halve(s: Column, _: Column) -> Column:
+                mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+                fits = lambda m: (F.get(ends, m) - base < capacity) & (F.get(ends, m + 1) - base <= capacity)
+                return let(lambda m: F.when(s["low"] >= s["high"], s).when(fits(m), F.struct((m + 1).alias("low"), s["high"].alias("high")))
+                           .otherwise(F.struct(s["low"].alias("low"), m.alias("high"))), mid)
+            return F.aggregate(steps, F.struct(cursor.alias("low"), blocks.alias("high")), halve, lambda s: s["low"])
+
+        def settle(cursor: Column, base: Column, after: Column) -> Column:
             used = F.get(ends, after) - base
-            skipped_empty = F.exists(taken, lambda b: F.get(sizes, b) == 0)
-            blocked = (after < F.size(sizes)) & (used < capacity)
+            skipped_empty = F.get(zeros, after) > F.get(zeros, cursor)
+            blocked = (after < blocks) & (used < capacity)
             row = F.struct(cursor.alias("first_block"), after.alias("next_block"), used.cast("bigint").alias("used"),
                            (skipped_empty | blocked).alias("ambiguous_rest"))
             return F.struct(after.alias("cursor"), F.concat(acc["pages"], F.array(row)).alias("pages"))
 
-        return let(lambda cursor, base: let(lambda taken: settle(cursor, base, taken), fits(cursor, base)),
+        return let(lambda cursor, base: let(lambda after: settle(cursor, base, after), first_misfit(cursor, base)),
                    acc["cursor"], F.get(ends, acc["cursor"]))
 
     start = F.struct(

@@ -12,53 +12,48 @@ def _bin(c: Column) -> Column:
     return F.floor(c / BIN).cast("long")
 
 
-def unit_intervals(units: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Half-open printed ranges in which each unit is the answer of the as-of lookup.
+def unit_ranges(profiles: DataFrame, units: DataFrame, excluded: DataFrame) -> DataFrame:
+    """One row per profile: printed_offset and ``ranges``, the disjoint half-open printed ranges of its units, ascending.
 
     ``units``: profile_id, position, unit_number, title, printed_start (list
     order). ``profiles``: profile_id, printed_offset, solution_from. The lookup
     stops at the first later start in *list order*, so a unit owns
-    [max of the starts so far, next start), and never reaches the solutions.
+    [max of the starts so far, next start), and never reaches the solutions;
+    excluded ranges are swept out of it. A profile is one document, so its units
+    and exclusions meet in its row: the three tables are dealt by profile once.
     """
-    w = Window.partitionBy("profile_id").orderBy("position")
-    so_far = F.max("printed_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = units.withColumn("_from", so_far).withColumn("_next", F.lead("printed_start").over(w))
-    solutions = F.col("solution_from") + F.col("printed_offset")
-    ends = spans.join(profiles.select("profile_id", "printed_offset", "solution_from"), "profile_id")
-    low = F.greatest(F.col("_from"), F.lit(1))
-    high = F.least(F.coalesce("_next", solutions), solutions)
-    return ends.select("profile_id", "unit_number", "title", low.alias("printed_low"), high.alias("printed_high")).where(
-        "printed_low < printed_high")
+    unit = F.struct("position", "unit_number", "title", F.col("printed_start").alias("start"))
+    out = F.struct(F.col("range_from").alias("first"), F.col("range_to").alias("last"))
+    rows = profiles.select("profile_id", F.struct("printed_offset", "solution_from").alias("p")).unionByName(
+        units.select("profile_id", unit.alias("u")), allowMissingColumns=True).unionByName(
+        excluded.where("range_from <= range_to").select("profile_id", out.alias("e")), allowMissingColumns=True)
+    # a profile that is listed twice counts with its least row
+    own = rows.groupBy("profile_id").agg(F.min("p").alias("p"), F.sort_array(F.collect_list("u")).alias("u"), F.sort_array(F.collect_list("e")).alias("e"))
+    solutions = "(p.solution_from + p.printed_offset)"
+    low = "greatest(1, array_max(transform(slice(u, 1, i + 1), x -> x.start)))"
+    high = f"least(coalesce(get(u, i + 1).start, {solutions}), {solutions})"
+    spans = f"filter(transform(u, (x, i) -> struct({low} AS low, {high} AS high, x.unit_number AS unit_number, x.title AS title)), x -> x.low < x.high)"
+    piece = "named_struct('low', {0}, 'high', {1}, 'unit_number', x.unit_number, 'title', x.title)".format
+    start = f"named_struct('at', x.low, 'out', filter(array({piece('x.low', 'x.low')}), y -> false))"
+    step = f"""CASE WHEN g.last < a.at OR g.first >= x.high THEN a ELSE named_struct('at', greatest(a.at, g.last + 1), 'out',
+        CASE WHEN g.first > a.at THEN array_append(a.out, {piece('a.at', 'g.first')}) ELSE a.out END) END"""
+    end = f"CASE WHEN a.at < x.high THEN array_append(a.out, {piece('a.at', 'x.high')}) ELSE a.out END"
+    swept = f"flatten(transform({spans}, x -> aggregate(e, {start}, (a, g) -> {step}, a -> {end})))"
+    return own.where("p IS NOT NULL").select("profile_id", F.col("p.printed_offset").alias("printed_offset"), F.expr(swept).alias("ranges"))
 
 
 def resolve_unit(pages: DataFrame, profiles: DataFrame, units: DataFrame, excluded: DataFrame) -> DataFrame:
     """Adds printed_page, unit_number, unit_title (null = no unit) to pages (profile_id, page_number).
 
-    As-of lookup as an equi join: intervals and excluded ranges are cut into
-    bins of 64 printed pages and joined on (profile, bin), so a profile shared
-    by many books neither crosses all pages with all units nor needs a
-    broadcast; small sides are broadcast by the optimizer from their size.
+    Every page meets its profile's row once; the range that holds its printed
+    page is looked up there. The profiles' rows are broadcast by the optimizer
+    when they are small, else a profile with many pages is split like any skewed join.
     """
-    printed = pages.join(profiles.select("profile_id", "printed_offset"), "profile_id", "left").withColumn(
-        "printed_page", F.col("page_number") + F.col("printed_offset")).drop("printed_offset").withColumn(
-        "_bin", _bin(F.col("printed_page")))
-    ranges = unit_intervals(units, profiles).withColumn(
-        "_bin", F.explode(F.sequence(_bin(F.col("printed_low")), _bin(F.col("printed_high") - 1))))
-    gone = excluded.where("range_from <= range_to").select("profile_id", "range_from", "range_to", F.explode(
-        F.sequence(_bin(F.col("range_from")), _bin(F.col("range_to")))).alias("_bin"))
-    p, r, g = printed.alias("p"), ranges.alias("r"), gone.alias("g")
-    on_unit = ((F.col("p.profile_id") == F.col("r.profile_id")) & (F.col("p._bin") == F.col("r._bin"))
-               & (F.col("p.printed_page") >= F.col("r.printed_low")) & (F.col("p.printed_page") < F.col("r.printed_high")))
-    with_unit = p.join(r, on_unit, "left").select("p.*", F.col("r.unit_number"), F.col("r.title").alias("unit_title"))
-    # excluded ranges may overlap, so test them per distinct printed page before joining back
-    hits = printed.select("profile_id", "printed_page", "_bin").distinct().alias("p").join(
-        g, (F.col("p.profile_id") == F.col("g.profile_id")) & (F.col("p._bin") == F.col("g._bin"))
-        & F.col("p.printed_page").between(F.col("g.range_from"), F.col("g.range_to")), "left_semi").select(
-        "profile_id", "printed_page", F.lit(True).alias("_out"))
-    joined = with_unit.join(hits, ["profile_id", "printed_page"], "left")
-    keep = F.col("_out").isNull()
-    return joined.withColumn("unit_number", F.when(keep, F.col("unit_number"))).withColumn(
-        "unit_title", F.when(keep, F.col("unit_title"))).drop("_bin", "_out")
+    joined = pages.join(unit_ranges(profiles, units, excluded), "profile_id", "left").withColumn(
+        "printed_page", F.col("page_number") + F.col("printed_offset"))
+    at = F.get(F.filter("ranges", lambda r: (r["low"] <= F.col("printed_page")) & (F.col("printed_page") < r["high"])), F.lit(0))
+    found = joined.withColumn("_unit", at)
+    return found.select(*pages.columns, "printed_page", F.col("_unit.unit_number").alias("unit_number"), F.col("_unit.title").alias("unit_title"))
 
 
 def pages_for_unit(books: DataFrame, profiles: DataFrame, units: DataFrame, excluded: DataFrame) -> DataFrame:
