@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
 from leafgrade.functions import textops as X
-from leafgrade.operators.scans import first_k, last_known, neighbour
+from leafgrade.operators.scans import CHUNK, first_k, neighbour
 from leafgrade.session import cut_lineage
 
 DAY, HOUR, MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
@@ -323,17 +323,36 @@ def claim_replay(log: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     claim is granted when the page has no status, FAILED, or READY with
     refresh; it then sets PENDING, so after one status only its first eligible
     claim succeeds.
+
+    Keys are cut into chunks along their order. What a chunk hands on is its
+    last status and whether, since then, any claim came and any with refresh:
+    one summary row, and one window over a key's summaries brings the state
+    before a chunk to its rows.
     """
     keys, order = list(keys), list(order)
-    state = F.when(F.col("status").isNotNull(), F.struct("status", *order))
-    seen = last_known(log, keys, order, state, "_s", chunk)
-    status = F.col("_s.status")
-    eligible = F.col("status").isNull() & (
-        F.col("_s").isNull() | (status == "FAILED") | ((status == "READY") & F.coalesce("refresh", F.lit(False))))
-    marked = seen.withColumn("_e", eligible).withColumn("_since", F.to_json(F.struct(*[F.col("_s")[o] for o in order])))
-    first = marked.where("_e").groupBy(*keys, "_since").agg(F.min(F.struct(*order)).alias("_first"))
-    claims = marked.where("status IS NULL").join(first, [*keys, "_since"], "left")
-    return claims.withColumn("granted", F.col("_e") & (F.struct(*order) == F.col("_first"))).select(*log.columns, "granted")
+    base = log.withColumns({CHUNK: chunk, "_claim": F.col("status").isNull(), "_re": F.col("status").isNull() & F.coalesce("refresh", F.lit(False))})
+    rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, 0)
+    # statuses cut a chunk into parts; part 0 goes on from the chunk before
+    local = base.withColumn("_part", F.count("status").over(so_far)).withColumn("_near", F.last("status", ignorenulls=True).over(so_far))
+    part = Window.partitionBy(*keys, CHUNK, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = local.withColumns({"_any": F.coalesce(F.bool_or("_claim").over(part), F.lit(False)), "_any_re": F.coalesce(F.bool_or("_re").over(part), F.lit(False))})
+    last = F.max_by(F.struct("_near", (F.col("_any") | F.col("_claim")).alias("any"), (F.col("_any_re") | F.col("_re")).alias("re")), F.struct(*order))
+    ends = local.groupBy(*keys, CHUNK).agg(last.alias("_end"))
+    # a chunk without status adds its claims to those since the last chunk with one
+    line = Window.partitionBy(*keys).orderBy(CHUNK)
+    ends = ends.withColumn("_run", F.count("_end._near").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "_run").orderBy(CHUNK)
+    state = F.struct(F.last("_end._near", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("status"),
+                     F.bool_or("_end.any").over(run).alias("any"), F.bool_or("_end.re").over(run).alias("re"))
+    carry = ends.withColumn("_state", state).select(*keys, CHUNK, F.lag("_state").over(line).alias("_state"))
+    joined = local.where("_claim").join(carry, [*keys, CHUNK], "left")
+    held = F.col("_part") > 0
+    status = F.when(held, F.col("_near")).otherwise(F.col("_state.status"))
+    taken = lambda here, there: F.col(here) | (~held & F.coalesce(F.col(f"_state.{there}"), F.lit(False)))
+    free = (status.isNull() | (status == "FAILED")) & ~taken("_any", "any")
+    again = F.coalesce(status == "READY", F.lit(False)) & F.col("_re") & ~taken("_any_re", "re")
+    return joined.withColumn("granted", F.coalesce(free, F.lit(False)) | again).select(*log.columns, "granted")
 
 
 def stage_steps(log: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:

@@ -68,6 +68,27 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
         out, F.col("_near") + F.coalesce("_carry", F.lit(0))).drop(CHUNK, "_v", "_near", "_carry")
 
 
+def running_groups(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunk: Column) -> DataFrame:
+    """Add ``out``: number of the run of equal ``value`` (never null) along the key, from 0; keeps the chunk column.
+
+    ``lag`` and running sum in one pass: a chunk's summary is its first and last
+    value and the changes between, and one window over the summaries gives the
+    runs before the chunk.
+    """
+    base = df.withColumn(CHUNK, chunk).withColumn("_v", value)
+    rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    changed = F.coalesce((F.lag("_v").over(rows) != F.col("_v")).cast("long"), F.lit(0).cast("long"))
+    local = base.withColumn("_change", changed).withColumn("_near", F.sum("_change").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*order)
+    # the changes inside a chunk are the largest running number of its rows, which its last row carries
+    inner = local.groupBy(*keys, CHUNK).agg(F.max("_near").alias("_inner"), F.min_by("_v", at).alias("_first"), F.max_by("_v", at).alias("_last"))
+    line = Window.partitionBy(*keys).orderBy(CHUNK)
+    border = F.coalesce((F.lag("_last").over(line) != F.col("_first")).cast("long"), F.lit(0).cast("long"))
+    carry = inner.withColumn("_border", border).withColumn("_carry", F.coalesce(F.sum(F.col("_inner") + F.col("_border")).over(
+        line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_border")).select(*keys, CHUNK, "_carry")
+    return _join_edges(local, carry, keys).withColumn(out, F.col("_near") + F.col("_carry")).drop("_v", "_change", "_near", "_carry")
+
+
 def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, salts: int = 32) -> DataFrame:
     """The first ``k`` rows per key, exactly; ties must be broken by ``order``.
 

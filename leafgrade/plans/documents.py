@@ -302,9 +302,29 @@ def _(spark, sf):
     return out.select("event_id", "context_ok", "title", F.md5("source").alias("digest"))
 
 
-@query("selection_contexts", "K7 F5 J13 J14 X7 X8")
+@query("selection_contexts", "K7 F5 J13 J14 X7 X8", f"""{WITH_LINES}, {T.EVENTS},
+q AS (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id, k FROM ev),
+c AS (SELECT DISTINCT doc_id, k, CAST(k AS DOUBLE) / 256 AS sx, CAST(k AS DOUBLE) / 1024 AS sy FROM q JOIN documents USING (doc_id)),
+e AS (SELECT doc_id, i, len % 11 AS fam, CAST(len % 7 AS DOUBLE) / 16 AS x, y FROM ln WHERE len % 11 < 6 AND i % 16 = 1),
+h AS (SELECT c.doc_id, c.k, e.i, e.fam FROM c JOIN e USING (doc_id) WHERE (sx + 0.125 BETWEEN x AND x + 0.25 AND sy + 0.03125 BETWEEN y AND y + 0.046875)
+  OR (x + 0.125 BETWEEN sx AND sx + 0.25 AND y + 0.0234375 BETWEEN sy AND sy + 0.0625)),
+n AS (SELECT doc_id, k, count(*) AS n, min(i) AS one, min(fam) AS fam, string_agg(i, ', ' ORDER BY i) AS numbers FROM h GROUP BY 1, 2),
+r AS (SELECT h.doc_id, h.k, min(l.y) AS top, max(l.y + l.h) AS bottom FROM h JOIN ln l ON l.doc_id = h.doc_id AND l.i IN (h.i + 2, h.i + 3) GROUP BY h.doc_id, h.k, h.i),
+p AS (SELECT c.doc_id, c.k, list(l.line ORDER BY l.y, l.x, l.i) AS parts FROM c JOIN ln l USING (doc_id) LEFT JOIN n USING (doc_id, k)
+  WHERE trim(l.line) <> '' AND (EXISTS (SELECT 1 FROM h WHERE h.doc_id = c.doc_id AND h.k = c.k AND l.i IN (h.i + 2, h.i + 3))
+   OR (l.x < sx + 0.25 + 3e-3 AND l.x + l.w > sx - 3e-3 AND l.y < sy + 0.0625 + 3e-3 AND l.y + l.h > sy - 3e-3 AND (n.n IS NULL OR (
+    NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = l.doc_id AND l.i IN (e.i + 2, e.i + 3))
+    AND EXISTS (SELECT 1 FROM r WHERE r.doc_id = c.doc_id AND r.k = c.k AND l.y + l.h / 2 BETWEEN r.top - 3e-3 AND r.bottom + 3e-3))))) GROUP BY 1, 2),
+x AS (SELECT h.doc_id, h.k, flatten(list(CASE WHEN l.len % 11 = 3 THEN ['w0 ' || line || ' w1 ' || line || ' w2 ' || line] ELSE ['1. l0 ' || line, '2. l1 ' || line, 'A. r0 ' || line, 'B. r1 ' || line] END ORDER BY h.i, l.i)) AS told
+  FROM h JOIN ln l ON l.doc_id = h.doc_id AND l.i IN (h.i, h.i + 8) AND l.len % 11 IN (3, 4) GROUP BY 1, 2),
+s AS (SELECT c.doc_id, c.k, left(array_to_string(list_reduce(list_prepend(coalesce(parts, []), list_transform(coalesce(told, []), lambda t: [t])),
+  lambda a, b: CASE WHEN len(list_filter(a, lambda t: contains(lower(t), lower(b[1])))) > 0 THEN a ELSE list_concat(a, b) END), ' '), 8000) AS source FROM c LEFT JOIN p USING (doc_id, k) LEFT JOIN x USING (doc_id, k)),
+o AS (SELECT s.*, n.*EXCLUDE (doc_id, k), coalesce(trim(source) <> '', false) AS ok FROM s LEFT JOIN n USING (doc_id, k))
+SELECT event_id, coalesce(ok, false) AS context_ok, CASE WHEN ok THEN 'Buch ' || (doc_id // 16) || ' — ' || CASE WHEN n = 1 THEN 'Exercise ' || one || ': Titel' WHEN n > 1 THEN 'selected exercises ' || numbers ELSE 'selected page region' END END AS title,
+ CASE WHEN ok THEN CASE WHEN n = 1 THEN ['fill-blank', 'choice', 'choice-grid', 'sentence-ordering', 'matching', 'free-text'][fam + 1] ELSE 'selection' END END AS kind,
+ CASE WHEN ok THEN CAST(coalesce(n, 0) AS INT) END AS exercises, CASE WHEN ok THEN md5(source) END AS digest FROM q LEFT JOIN o USING (doc_id, k)""")
 def _(spark, sf):
-    """One selection per event on its page; checked by fixtures in the tests."""
+    """One selection per event on its page."""
     docs = documents(spark, sf)
     d = T.table(spark, sf, "documents")
     ev = T.events(spark, sf).select("event_id", "k", (F.col("event_id") % d.agg(F.max("doc_id") + 1).scalar()).alias("doc"))

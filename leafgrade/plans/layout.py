@@ -10,7 +10,7 @@ from leafgrade.operators import aggregates as A
 from leafgrade.operators import cluster as C
 from leafgrade.operators import matching as M
 from leafgrade.operators import spatial as J
-from leafgrade.operators.scans import neighbour, running_sum
+from leafgrade.operators.scans import CHUNK, running_groups
 from leafgrade.plans import tables as T
 from leafgrade.plans.registry import query
 
@@ -183,14 +183,13 @@ SELECT conv_id, CAST(grp AS BIGINT) AS grp, min(turn) AS first_turn, string_agg(
 def _(spark, sf):
     # a conversation is a log: chunks of 1024 turns keep a very long one out of a single task
     chunk = F.floor(F.col("turn") / 1024)
-    df = neighbour(T.table(spark, sf, "conversations"), ["conv_id"], ["turn"], F.col("role"), "_prev", chunk)
-    df = running_sum(df, ["conv_id"], ["turn"], F.coalesce((F.col("_prev") != F.col("role")).cast("long"), F.lit(0)), "grp", chunk)
+    df = running_groups(T.table(spark, sf, "conversations"), ["conv_id"], ["turn"], F.col("role"), "grp", chunk)
     # long groups are joined in two steps, so no task holds a whole conversation's rows at once
-    part = df.groupBy("conv_id", "grp", chunk.alias("c")).agg(
+    part = df.groupBy("conv_id", CHUNK, "grp").agg(
         F.min("turn").alias("t"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", "role")))["role"], " ").alias("roles"),
         F.sum(F.length("text")).alias("chars"))
     return part.groupBy("conv_id", "grp").agg(
-        F.min("t").alias("first_turn"), F.array_join(F.array_sort(F.collect_list(F.struct("c", "roles")))["roles"], " ").alias("roles"),
+        F.min("t").alias("first_turn"), F.array_join(F.array_sort(F.collect_list(F.struct(CHUNK, "roles")))["roles"], " ").alias("roles"),
         F.sum("chars").alias("chars"))
 
 

@@ -96,6 +96,30 @@ def test_chunked_scans_equal_plain_windows(spark):
     assert top == {(k, i) for k in "ab" for i in range(3)}
 
 
+def test_groups_and_claims_equal_replays(spark):
+    rng = random.Random(11)
+    rows = [(k, i, rng.choice([None, None, None, None, "READY", "FAILED", "OCR"]), rng.random() < 0.3) for k in "abc" for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, i int, status string, refresh boolean")
+    runs, granted, number, state, last = {}, {}, {}, {}, {}
+    for k, i, s, refresh in rows:
+        v = s or "-"
+        number[k] = number.get(k, 0) + (k in last and last[k] != v)
+        last[k] = v
+        runs[(k, i)] = number[k]
+        if s:
+            state[k] = s
+        else:
+            granted[(k, i)] = state.get(k) in (None, "FAILED") or (state[k] == "READY" and refresh)
+            if granted[(k, i)]:
+                state[k] = "PENDING"
+    for size in (1, 6, 1000):
+        chunk = F.floor(F.col("i") / size)
+        got = SC.running_groups(df, ["k"], ["i"], F.coalesce("status", F.lit("-")), "n", chunk).collect()
+        assert {(r.k, r.i): r.n for r in got} == runs
+        got = E.claim_replay(df, ["k"], ["i"], chunk).collect()
+        assert {(r.k, r.i): r.granted for r in got} == granted
+
+
 def test_quota_stream_equals_arrival_order(spark, tmp_path):
     rows, df = log(spark, random.Random(4), n=90, seconds=60_000)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
