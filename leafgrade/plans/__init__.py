@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["layout", "grading", "text", "logs", "documents", "lessons", "exercises"]
+MODULES = ["layout", "grading", "text", "logs", "documents", "lessons", "exercises", "corrections"]
 
 
 def load() -> None:

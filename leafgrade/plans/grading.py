@@ -190,7 +190,7 @@ def _(spark, sf):
     return coverage(slots, ["book_id"]).withColumn("resolved_share", F.round("resolved_share", 6))
 
 
-@query("unit_totals", "J1 P2 K2 J9 G4 A4", f"""WITH RECURSIVE {ALLOC},
+@query("unit_totals", "K2 G4 A4", f"""WITH RECURSIVE {ALLOC},
 sl AS (SELECT book_id, unit_number, page_number, unnest(generate_series(0, capacity - 1)) AS ordinal, used FROM res),
 an AS (SELECT * FROM sl WHERE ordinal < used)
 SELECT book_id, unit_number, count(*) FILTER (WHERE (page_number + ordinal) % 3 <> 0 AND (page_number + ordinal) % 5 <> 0) AS total_correct,
