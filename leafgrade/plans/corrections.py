@@ -1,4 +1,4 @@
-"""The correction lifecycle as one query: page documents, units, answer key, allocation, grading, totals."""
+"""Whole lifecycles as one query each: corrections from page documents to unit totals, requests from their context to their outcome."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from leafgrade import schemas as SC
 from leafgrade.operators import allocate as K
+from leafgrade.operators import context as CX
+from leafgrade.operators import events as E
 from leafgrade.operators import flatten as P
 from leafgrade.operators import grading as G
 from leafgrade.operators import units as U
@@ -71,3 +73,40 @@ def _(spark, sf):
     graded = slots.withColumn("r", result).withColumn("verdict", F.when(F.col("resolution") == "RESOLVED", F.col("r.verdict")))
     return G.verdict_totals(graded, ["book_id", "unit_number"], F.count_if(F.col("resolution") == "AMBIGUOUS").alias("ambiguous"),
                             F.count_if(F.col("resolution") == "UNMAPPED").alias("unmapped"))
+
+
+@query("request_lifecycle", "E8 K6 E5 E6 E7", f"""WITH {T.EVENTS}, {T.LINES}, n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY 1),
+r AS (SELECT event_id, ts, user_id, k, CASE WHEN event_type = 'view' THEN 'check' ELSE 'explain' END AS action, event_id % 17 <> 0 AS ok,
+   event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM ev WHERE event_type IN ('view', 'error', 'click')),
+x AS (SELECT r.*, len % 11 = 5 AS ctx FROM r JOIN n USING (doc_id) JOIN ln ON ln.doc_id = r.doc_id AND ln.i = CAST(r.event_id * 7919 % n.n AS INT)),
+v AS (SELECT *, EXISTS (SELECT 1 FROM ev s WHERE s.user_id = x.user_id AND s.event_type = 'signup' AND s.ts <= x.ts AND s.ts + INTERVAL 600 MINUTE > x.ts) AS ver,
+  EXISTS (SELECT 1 FROM ev w WHERE w.event_type = 'purchase' AND w.k = x.k AND (CASE WHEN w.event_id % 2 = 0 THEN 'check' ELSE 'explain' END) = x.action AND w.ts <= x.ts
+   AND w.ts + (CASE WHEN x.action = 'check' THEN INTERVAL 1 HOUR ELSE INTERVAL 7 DAY END) > x.ts) AS hit FROM x),
+w AS (SELECT *, CAST(ts AS DATE) AS d FROM v WHERE ctx AND ver AND NOT hit),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY ts, event_id) <= 1 AS pass FROM w),
+q AS (SELECT *, sum(CASE WHEN pass THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY ts, event_id) AS n FROM s)
+SELECT v.event_id, CASE WHEN NOT ctx THEN 'invalid_context' WHEN NOT ver THEN 'verification_required' WHEN hit THEN 'success' WHEN NOT pass OR n > 5 THEN 'limit_reached'
+  WHEN v.ok THEN 'success' ELSE 'unavailable' END AS status, ctx AND ver AND hit AS cached FROM v LEFT JOIN (SELECT event_id, pass, n FROM q) USING (event_id)""")
+def _(spark, sf):
+    """Requests about a line of a page: its context, the human check, the cache, the quota and the provider decide."""
+    ev, d = T.events(spark, sf), T.table(spark, sf, "documents")
+    e, k = F.col("event_id"), F.col("k").cast("string")
+    per_page = d.select(F.col("doc_id").alias("doc"), F.size(F.split("text", "\n")).alias("n"))
+    action = F.when(F.col("event_type") == "view", "check").otherwise("explain")
+    asked = ev.where(F.col("event_type").isin("view", "error", "click")).withColumn("doc", e % d.agg(F.max("doc_id") + 1).scalar()).join(per_page, "doc")
+    asked = asked.select(
+        e.alias("request_id"), "ts", F.col("user_id").alias("session_id"), F.floor(F.col("doc") / 16).cast("string").alias("book_id"),
+        (F.col("doc") % 16 + 1).cast("int").alias("page_number"), F.concat(F.lit("free-"), (e * 7919 % F.col("n")).cast("string")).alias("exercise_id"),
+        action.alias("action"), F.lit(None).cast("string").alias("target_language"), F.lit(False).alias("has_selection"),
+        F.lit(None).cast("string").alias("question"), F.lit("a").alias("answer"), (e % 17 != 0).alias("provider_ok"),
+        F.concat_ws("|", action, k).alias("cache_key"))
+    docs = documents(spark, sf)
+    books = d.select(F.floor(F.col("doc_id") / 16).cast("string").alias("book_id")).distinct().select(
+        "book_id", F.concat(F.lit("Buch "), F.col("book_id")).alias("title"), F.lit("de").alias("source_language"))
+    slots = P.explode_interactions(docs).select("book_id", "page_number", "kind", "ordinal", F.lit("UNMAPPED").alias("resolution"))
+    known = CX.build_context(asked, docs, books, slots).select(*asked.columns, "context_ok", "source_backed")
+    wrote = F.when(e % 2 == 0, "check").otherwise("explain")
+    writes = ev.where("event_type = 'purchase'").select("ts", wrote.alias("action"), F.concat_ws("|", wrote, k).alias("cache_key"))
+    marks = ev.where("event_type = 'signup'").select(F.col("user_id").alias("session_id"), "ts")
+    out = E.request_outcome(known, writes, 1, 5, verifications=marks, verify_minutes=600)
+    return out.select(F.col("request_id").alias("event_id"), "status", "cached")
