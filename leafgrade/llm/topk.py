@@ -52,14 +52,15 @@ def _top(ids: np.ndarray, score: np.ndarray, own: int, k: int) -> tuple[np.ndarr
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: int = 512, shard_rows: int = 8192,
-                group_rows: int = 1 << 18, scale: int = 1024) -> DataFrame:
+                group_rows: int = 1 << 18, tile_groups: int = 16, scale: int = 1024) -> DataFrame:
     """Each query's k rows of highest integer inner product: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding. Rows are dealt to groups of about
     ``group_rows``; in a group they are packed into shards, queries into tiles
-    of ``tile_rows`` that every group gets once. A task multiplies each tile
-    with each shard of its group, keeps k rows per query and tile, and sends
-    them on; a second merge halves the lists by group, a window ends it. Ties go
+    of ``tile_rows``, and tiles into blocks of about ``tile_groups``. Every group meets
+    every block in a task of its own, so tasks grow in number and not in work.
+    A task multiplies each tile with each shard, keeps k rows per query and tile,
+    and sends them on; a second merge halves the lists by group, a window ends it. Ties go
     to the smaller vec_id. The products are exact integers.
 
     Vectors null, with null or non-finite components, or without vec_id take no
@@ -70,15 +71,18 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: in
     size overflow like any long arithmetic.
     """
     usable = vectors.select("vec_id", scaled(F.col("embedding"), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
-    groups = max(1, -(-usable.select("vec_id").count() // group_rows))
+    total = usable.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    groups, blocks = max(1, -(-total[0] // group_rows)), max(1, -(-total[1] // (tile_rows * tile_groups)))
     schema = f"g long, dim long, {PACKED}"
-    fan = F.array(*[F.lit(g) for g in range(groups)]) if groups < 2 else F.sequence(F.lit(0), F.lit(groups - 1))
+    deal = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("long")
     tiles = (
         usable.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v"))
-        .mapInPandas(_pack(tile_rows), schema).withColumn("g", F.explode(fan))
-        .select(F.col("g").cast("long"), "dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+        .mapInPandas(_pack(tile_rows), schema).withColumns({"t": deal(blocks)}).drop("g").withColumn("g", F.explode(
+            F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        .select("g", "t", "dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
     )
-    shards = usable.mapInPandas(_pack(shard_rows), schema).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    shards = usable.mapInPandas(_pack(shard_rows), schema).withColumn("g", deal(groups)).withColumn("t", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -93,7 +97,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: in
                 q, i, s = (np.concatenate(x) for x in zip(*out))
                 yield pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
-    part = shards.join(tiles, ["g", "dim"]).mapInPandas(best, "query_id long, vec_id long, score long")
+    part = shards.join(tiles, ["g", "t", "dim"]).mapInPandas(best, "query_id long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
     part = part.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, int(groups**0.5)))))
     half = part.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
