@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,8 +20,6 @@ PIECE = 1 << 20
 CHUNK = 1 << 20
 #: Stands for a null doc_id, which counts as larger than all others.
 LAST = 2**63 - 1
-#: Bits of a place in a text; the bits above hold a tag of the text.
-PLACE = 40
 
 
 class Scanner:
@@ -120,7 +117,7 @@ def repeated_cells(texts: DataFrame, window: int, depth: int, bits: int) -> np.n
 
 
 def repeated_windows(docs: DataFrame, window: int, sketch: np.ndarray, bits: int) -> DataFrame:
-    """Windows of documents for which a smaller doc_id has them too: d, place, n (n windows on from there).
+    """Windows of documents (d, tag, text) for which a smaller doc_id has them too: d, tag, place, n (n windows on from there).
 
     Windows whose anchor the sketch has once are dropped in the task that reads
     them. Of the others, a task sorts a chunk at a time and sends one row per
@@ -132,27 +129,27 @@ def repeated_windows(docs: DataFrame, window: int, sketch: np.ndarray, bits: int
         scanner, waiting = Scanner(window), []
 
         def chunk() -> pa.RecordBatch:
-            h, d, place = (np.concatenate(x) for x in zip(*waiting))
+            h, d, tag, place = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            order = np.lexsort((place, d, h))
-            h, d, place = h[order], d[order], place[order]
+            order = np.lexsort((place, tag, d, h))
+            h, d, tag, place = h[order], d[order], tag[order], place[order]
             first = np.append(True, h[1:] != h[:-1])
             least = d[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
             again = d > least
-            lead = ~again & np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1]))
-            order = np.lexsort((place[again], d[again]))
-            d2, p2 = d[again][order], place[again][order]
-            start = np.flatnonzero(np.append(True, (d2[1:] != d2[:-1]) | (p2[1:] != p2[:-1] + 1))) if len(d2) else np.zeros(0, int)
+            lead = ~again & np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1]))
+            order = np.lexsort((place[again], tag[again], d[again]))
+            d2, t2, p2 = d[again][order], tag[again][order], place[again][order]
+            start = np.flatnonzero(np.append(True, (d2[1:] != d2[:-1]) | (t2[1:] != t2[:-1]) | (p2[1:] != p2[:-1] + 1))) if len(d2) else np.zeros(0, int)
             n2 = np.diff(np.append(start, len(d2)))
             return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([h[lead].view(np.int64), p2[start] * 0x9E3779B97F4A7C1 + d2[start]])),
-                pa.array(np.concatenate([d[lead], d2[start]])), pa.array(np.concatenate([place[lead], p2[start]])),
-                pa.array(np.concatenate([np.ones(lead.sum(), np.int32), n2.astype(np.int32)])),
-                pa.array(np.concatenate([np.zeros(lead.sum(), bool), np.ones(len(start), bool)]))], names=["h", "d", "place", "n", "settled"])
+                pa.array(np.concatenate([h[lead].view(np.int64), (p2 * 0x9E3779B97F4A7C1 + d2 + t2)[start]])),
+                pa.array(np.concatenate([d[lead], d2[start]])), pa.array(np.concatenate([tag[lead], t2[start]])),
+                pa.array(np.concatenate([place[lead], p2[start]])), pa.array(np.concatenate([np.ones(lead.sum(), np.int32), n2.astype(np.int32)])),
+                pa.array(np.concatenate([np.zeros(lead.sum(), bool), np.ones(len(start), bool)]))], names=["h", "d", "tag", "place", "n", "settled"])
 
         size = 0
         for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
+            for d, tag, t in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = t.as_py()
                 _, hashes = scanner.read(text)
                 if not len(hashes):
@@ -164,8 +161,7 @@ def repeated_windows(docs: DataFrame, window: int, sketch: np.ndarray, bits: int
                 if hit.any():
                     at = np.flatnonzero(hit)
                     h, first = np.unique(scanner.windows(hashes)[at], return_index=True)
-                    tag = xxhash.xxh3_64_intdigest(text) & 0x7FFFFF
-                    waiting.append((h, np.full(len(h), d.as_py(), np.int64), at[first] + (tag << PLACE)))
+                    waiting.append((h, np.full(len(h), d.as_py(), np.int64), np.full(len(h), tag.as_py(), np.int64), at[first]))
                     size += len(h)
                     if size >= CHUNK:
                         yield chunk()
@@ -173,9 +169,9 @@ def repeated_windows(docs: DataFrame, window: int, sketch: np.ndarray, bits: int
         if waiting:
             yield chunk()
 
-    found = docs.mapInArrow(scan, "h long, d long, place long, n int, settled boolean")
+    found = docs.mapInArrow(scan, "h long, d long, tag long, place long, n int, settled boolean")
     least = F.min("d").over(W.partitionBy("h", "settled"))
-    return found.withColumn("least", least).where("settled OR d > least").select("d", "place", "n")
+    return found.withColumn("least", least).where("settled OR d > least").select("d", "tag", "place", "n")
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 13, depth: int = 2, most_bits: int = 26, with_text: bool = True) -> DataFrame:
@@ -190,45 +186,47 @@ def drop_repeated_passages(docs: DataFrame, window: int = 13, depth: int = 2, mo
     ``2**most_bits``; the bound keeps the broadcast small, and beyond it the
     sketch only sets aside fewer windows. Second pass: windows it counts twice
     are grouped by 64-bit hash. Last, the removed places and the texts are
-    dealt to tasks by doc_id and sorted, so they meet in one stream.
+    dealt to tasks by doc_id and a hash of the text and sorted, so they meet in
+    one stream, and texts that share a doc_id spread.
 
     Null or short texts have no windows and lose nothing. A null doc_id counts
     as the largest. Rows that repeat a doc_id are judged each by its own text;
     none removes from another. Only doc_id and text are read. An empty table
     gives none.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("d"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("d"), text.alias("text"), F.xxhash64(text).alias("tag"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(most_bits, max(10, (size // 12).bit_length()))
     sketch = repeated_cells(own.select("text"), window, depth, bits)
-    gone = repeated_windows(own.select("d", "text"), window, sketch, bits)
+    gone = repeated_windows(own.select("d", "tag", "text"), window, sketch, bits)
     none = lambda t: F.lit(None).cast(t)
-    rows = gone.select("d", F.lit(0).alias("is_doc"), "place", "n", none("long").alias("doc_id"), none("string").alias("text")).unionByName(
-        own.select("d", F.lit(1).alias("is_doc"), none("long").alias("place"), none("int").alias("n"), "doc_id", "text"))
+    rows = gone.select("d", "tag", F.lit(0).alias("is_doc"), "place", "n", none("long").alias("doc_id"), none("string").alias("text")).unionByName(
+        own.select("d", "tag", F.lit(1).alias("is_doc"), none("long").alias("place"), none("int").alias("n"), "doc_id", "text"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(window)
         owner, starts, lengths = None, [], []
         for batch in batches:
-            d, is_doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            place, n = batch.column(2).fill_null(0).to_numpy(), batch.column(3).fill_null(0).to_numpy()
+            d, tag, is_doc = (batch.column(i).to_numpy() for i in range(3))
+            place, n = batch.column(3).fill_null(0).to_numpy(), batch.column(4).fill_null(0).to_numpy()
             out, since = [], 0
             for i in np.flatnonzero(is_doc):
-                if owner != d[i]:
-                    owner, starts, lengths = d[i], [], []
+                if owner != (d[i], tag[i]):
+                    owner, starts, lengths = (d[i], tag[i]), [], []
                 if since < i:
                     starts, lengths = [*starts, place[since:i].astype(np.int64)], [*lengths, n[since:i].astype(np.int64)]
                 since = i + 1
-                out.append((batch.column(4)[i].as_py(), *_kept(scanner, batch.column(5)[i].as_py(), starts, lengths)))
+                out.append((batch.column(5)[i].as_py(), *_kept(scanner, batch.column(6)[i].as_py(), starts, lengths)))
             if since < len(d):  # places whose document is in the next batch
-                if owner != d[-1]:
-                    owner, starts, lengths = d[-1], [], []
+                if owner != (d[-1], tag[-1]):
+                    owner, starts, lengths = (d[-1], tag[-1]), [], []
                 starts, lengths = [*starts, place[since:].astype(np.int64)], [*lengths, n[since:].astype(np.int64)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*3 * [pa.int64()], *2 * [pa.string()]])][: len(names)], names=names)
 
-    return rows.repartition("d").sortWithinPartitions("d", "is_doc").mapInArrow(
+    return rows.repartition("d", "tag").sortWithinPartitions("d", "tag", "is_doc").mapInArrow(
         settle, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
@@ -237,9 +235,7 @@ def _kept(scanner: Scanner, text: str | None, starts: list[np.ndarray], lengths:
     words, hashes = scanner.read(text)
     removed = 0
     if starts and len(hashes):
-        tag, at, n = xxhash.xxh3_64_intdigest(text) & 0x7FFFFF, np.concatenate(starts), np.concatenate(lengths)
-        own = at >> PLACE == tag
-        at, n = at[own] & ((1 << PLACE) - 1), n[own]
+        at, n = np.concatenate(starts), np.concatenate(lengths)
         count = len(hashes) - scanner.window + 1
         edges = np.zeros(count + 1, np.int64)
         np.add.at(edges, at, 1)

@@ -127,3 +127,14 @@ def test_tiles_of_short_texts_are_bounded(spark):
     sizes = [r["count"] for r in tiles.groupBy("bucket", "a", "b").count().collect()]
     assert len(sizes) == 6 and max(sizes) < 2200
     assert tiles.groupBy("doc_id").count().where("count <> 3").isEmpty() and tiles.select("doc_id").distinct().count() == 3500
+
+
+def test_passages_of_many_texts_with_one_id(spark, docs_frame):
+    from leafgrade.llm.substring_dedup import drop_repeated_passages
+
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(1, shared)] + [(None, f"{shared} own{i} " + " ".join(f"t{i}x{j}" for j in range(15))) for i in range(400)] + [(7, f"pre {shared}"), (7, "other text"), (None, None)]
+    got = drop_repeated_passages(docs_frame(rows)).collect()
+    assert len(got) == len(rows) and sum(r.n_removed == 20 for r in got) == 401
+    assert all(r.kept_text.startswith("own") and r.n_removed == 20 for r in got if r.doc_id is None and r.n_words)
+    assert {(r.n_words, r.n_removed) for r in got if r.doc_id == 7} == {(21, 20), (2, 0)}
