@@ -52,7 +52,8 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """
     h = F.xxhash64(F.col(key))
     cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(cut)).limit(rows) if cut is not None else df.limit(0)
+    # equal hashes at the cut-off are told apart by the rows themselves, not by their place
+    return df.where(h <= F.lit(cut)).orderBy(h, *df.columns).limit(rows) if cut is not None else df.limit(0)
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,8 +171,9 @@ def training_set(docs: DataFrame, sample_docs: int, seed: int, rounds: int = 60)
             yield pa.RecordBatch.from_pydict({"x": [list(map(float, r)) for r in out]}, schema=pa.schema([("x", pa.list_(pa.float64()))]))
 
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(of_sample, "x array<double>")
-    rows += [tuple(r[0]) for r in sample.limit(4 * sample_docs).collect()]
-    return pd.DataFrame(rows, columns=[*FEATURES, "label"], dtype=float)
+    rows += [tuple(r[0]) for r in sample.orderBy(F.xxhash64("x"), "x").limit(4 * sample_docs).collect()]
+    # in one order, whatever the layout of the documents
+    return pd.DataFrame(sorted(rows), columns=[*FEATURES, "label"], dtype=float)
 
 
 def fit_trees(spark: SparkSession, data: pd.DataFrame, precision: float, seed: int, trees: int = 16, depth: int = 3) -> dict:
@@ -232,6 +234,26 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-2 * raw))
 
 
+def select(base: list[Span], scored: Iterable[tuple[float, Span]]) -> list[Span]:
+    """The scored spans, best first (ties: by kind, then place), that overlap neither ``base`` nor one another."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, b, e in sorted(base, key=lambda s: s[1]):  # base spans of different kinds may overlap: their union counts
+        if ends and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(b)
+            ends.append(e)
+    out = []
+    for _, s in sorted(scored, key=lambda c: (-c[0], c[1])):
+        i = bisect_left(starts, s[2])  # only the last span that starts before this one ends can reach into it
+        if not i or ends[i - 1] <= s[1]:
+            starts.insert(i, s[1])
+            ends.insert(i, s[2])
+            out.append(s)
+    return out
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -246,7 +268,8 @@ def find_personal_data(docs: DataFrame, sample_docs: int = 2000, precision: floa
     before; those over their kind's calibrated threshold are added, best
     first, if they overlap no span so far. Counts and hash are of base spans;
     ``spans`` has all, by kind and start. The trees learn from examples made by
-    rule and at most ``sample_docs`` documents; only those reach the driver.
+    rule and at most ``sample_docs`` documents, four candidates a document on average;
+    only those reach the driver, and their order there does not depend on the layout.
 
     Null text counts as empty: no spans. Documents with repeated or null doc_id
     each give a row; an empty table gives none. Only doc_id and text are read.
@@ -270,11 +293,8 @@ def find_personal_data(docs: DataFrame, sample_docs: int = 2000, precision: floa
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 hashes.append(hashlib.sha256(written(base).encode()).hexdigest())
-                chosen = list(base)
-                for p, s in sorted(((score[at + i], s) for i, s in enumerate(more)), key=lambda c: (-c[0], c[1])):
-                    if p >= model["cut"][s[0]] and all(s[2] <= b or e <= s[1] for _, b, e in chosen):
-                        chosen.append(s)
-                spans.append(written(sorted(chosen, key=lambda s: (KINDS.index(s[0]), s[1]))))
+                able = ((score[at + i], s) for i, s in enumerate(more) if score[at + i] >= model["cut"][s[0]])
+                spans.append(written(sorted(base + select(base, able), key=lambda s: (KINDS.index(s[0]), s[1]))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(hashes, pa.string()), pa.array(spans, pa.string())],
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])

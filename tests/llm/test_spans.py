@@ -114,3 +114,31 @@ def test_every_masked_address_is_proposed():
     for t in (f"{'j' * 100} (at) site.org", f"jane (at) {'s' * 100}.{'o' * 70}"):
         assert pii.scan(t)[1] == [("email", 0, len(t))], t
     assert pii.scan("(at)" * 50_000 + "a" * 200_000 + " (at) " + "a" * 200_000) == ([], [])
+
+
+def test_selection_of_overlapping_spans_equals_plain_search():
+    import random
+    import time
+
+    from leafgrade.llm.pii import select
+
+    rng = random.Random(8)
+    for _ in range(300):
+        span = lambda: (rng.choice(["email", "phone"]), b := rng.randint(0, 60), b + rng.randint(1, 9))
+        base, scored = [span() for _ in range(rng.randint(0, 5))], [(rng.randint(0, 4) / 4, span()) for _ in range(rng.randint(0, 25))]
+        want = []
+        for _, s in sorted(scored, key=lambda c: (-c[0], c[1])):
+            if all(s[2] <= b or e <= s[1] for _, b, e in base + want):
+                want.append(s)
+        assert select(base, scored) == want
+    start = time.perf_counter()
+    assert len(select([], [(rng.random(), ("phone", 20 * i, 20 * i + 12)) for i in range(100_000)])) == 100_000
+    assert time.perf_counter() - start < 20
+
+
+def test_thresholds_do_not_depend_on_the_layout(spark, docs_frame):
+    from leafgrade.llm.pii import fit_trees, training_set
+
+    docs = docs_frame([(i % 250, f"call +49 170 55{i:05d} or mail m{i}@site{i}.org card 4539 1488 0343 {i:04d} 10.0.{i % 300}.7") for i in range(300)])
+    cuts = [fit_trees(spark, training_set(docs.repartition(n), 100, 5), 0.99, 5)["cut"] for n in (2, 7)]
+    assert cuts[0] == cuts[1]
