@@ -17,13 +17,6 @@ def union_boxes(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(G.bbox_union_agg(F.col("bbox")).alias("bbox"))
 
 
-def line_text(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A2: text by x, mean confidence and lowest y of each line (keys end with the line)."""
-    return spans.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct(F.col("bbox.x").alias("x"), "idx", "text")))["text"], " ").alias("text"),
-        F.avg("confidence").alias("confidence"), F.min("bbox.y").alias("y"))
-
-
 def span_texts(members: DataFrame, spans: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """C4: reading-order text per group of span ids (``members``: keys, group, span_id)."""
     once = members.select(*keys, *group, F.col("span_id").alias("id")).distinct()

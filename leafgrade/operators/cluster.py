@@ -34,11 +34,6 @@ def reading_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return df.withColumn(out, F.row_number().over(_window(keys, order)).cast("long"))
 
 
-def deterministic_id(kind: str, page: Column, index: Column) -> Column:
-    """``kind-page-index``."""
-    return F.concat_ws("-", F.lit(kind), page.cast("string"), index.cast("string"))
-
-
 def flag_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], starts: Column, out: str) -> DataFrame:
     """Number groups 0.. along the order; ``starts`` says where a new one begins (null on the first row)."""
     w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
@@ -225,11 +220,6 @@ def kind_ordinal(ordered: DataFrame, requests: DataFrame, keys: Sequence[str] =
         "ordinal", F.coalesce("ordinal", F.lit(-1)))
 
 
-def exact_median(values: Column) -> Column:
-    """Exact median as an aggregate."""
-    return F.percentile(values, F.lit(0.5))
-
-
 def upper_median(values: Column) -> Column:
     """The upper median of an array: ``sorted[n // 2]``."""
     s = F.array_sort(values)

@@ -17,10 +17,6 @@ CHUNK = "_chunk"
 RANKED = 999
 
 
-def with_chunk(df: DataFrame, chunk: Column) -> DataFrame:
-    return df.withColumn(CHUNK, chunk)
-
-
 def _join_edges(df: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(edges, [*keys, CHUNK], "left")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafgrade import schemas as SC
 from leafgrade.functions import geometry as G
+from leafgrade.operators import choices as CH
+from leafgrade.operators import cluster as C
 from leafgrade.operators import matching as M
 from leafgrade.operators import ordering as O
+from leafgrade.operators import spatial as SP
 from leafgrade.plans import tables as T
+from leafgrade.plans.documents import documents
 from leafgrade.plans.registry import query
 
 PAGE_SQL = "CAST(doc_id // 16 AS VARCHAR) AS book_id, CAST(doc_id % 16 + 1 AS INT) AS page_number"
@@ -148,3 +154,64 @@ def _(spark, sf):
     dot = lambda b: F.when(b.isNull(), "").otherwise(F.concat(F.when(b["x"] == 0.5, "r").when(b["x"] == 0.375, "l").otherwise("m"), F.round(b["y"] * 128).cast("int").cast("string")))
     items = lambda c: F.array_join(F.transform(c, lambda i: F.concat_ws(":", i["label"], i["text"], dot(i["anchor_bbox"]))), "|")
     return m.select("book_id", "page_number", "id", "score", items("left_items").alias("left_items"), items("right_items").alias("right_items"))
+
+
+# ---- choices, gaps and overlaps ------------------------------------------------
+
+@query("promoted_grids", "K3 A1 W13", f"""WITH {T.LINES},
+e AS (SELECT doc_id, i // 4 AS b, count(*) AS n, min(len % 2) AS lo, max(len % 2) AS hi, arg_min(len % 3, i) AS flag, CAST(min(len % 8) AS DOUBLE) / 8 AS score,
+  string_agg('c' || i || '-row', ',' ORDER BY i) AS row_ids, string_agg('c' || i || '-cell-g' || len % 2 || '-z', ',' ORDER BY i) AS last_cells, string_agg('s' || i, ',' ORDER BY i) AS span_ids FROM ln GROUP BY 1, 2),
+p AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS gone FROM e WHERE n >= 2 AND lo = hi AND flag <> 0)
+SELECT {PAGE_SQL}, 'x' || b || '-grid' AS grid_id, 'g' || lo AS group_id, score, row_ids, last_cells, span_ids, 'x' || b || '-grid' AS members,
+ CAST((SELECT count(*) FROM ln WHERE ln.doc_id = p.doc_id) - gone AS INT) AS targets_left FROM p""")
+def _(spark, sf):
+    """Four lines are an exercise with one ring each; those of one option group become the rows of a grid."""
+    docs = documents(spark, sf, interactions=False)
+    n = F.transform("textSpans", lambda s: F.struct(s["id"].alias("id"), F.length(s["text"]).alias("n")))
+    num = lambda i: i.cast("string")
+    ring = lambda s, i: F.struct(
+        F.concat(F.lit("c"), num(i)).alias("id"), F.lit("choice").alias("kind"), G.box(F.lit(0.125), i / 64.0, 0.375, 1 / 256).alias("targetBbox"),
+        G.box(F.lit(0.125), i / 64.0, 0.375, 1 / 128).alias("interactionBbox"), F.concat(F.lit("g"), num(s["n"] % 2)).alias("optionGroupId"),
+        F.lit("empty-ring-v1").alias("detectionMethod"), ((s["n"] % 8) / 8.0).alias("candidateScore"), F.array(s["id"]).alias("nearbyTextSpanIds"))
+    lead = lambda b: F.get("_n", b * 4)["n"]
+    exercise = lambda b: F.struct(
+        F.concat(F.lit("x"), num(b)).alias("id"), num(b).alias("number"), F.lit("Titel").alias("title"), F.lit("Lies.").alias("instruction"),
+        F.when(lead(b) % 3 == 0, "choice").otherwise("choice-grid").alias("kind"), G.box(F.lit(0.0), F.lit(0.0), 1.0, 1.0).alias("bbox"), b.alias("sourceOrder"),
+        F.transform(F.sequence(b * 4, F.least(b * 4 + 3, F.size("_n") - 1)), lambda i: F.concat(F.lit("c"), num(i))).alias("interactionIds"),
+        F.array().cast("array<string>").alias("contextSpanIds"), F.lit("vision-semantic-v1").alias("detectionMethod"), F.lit(1.0).alias("confidence"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_n") - 1) / 4).cast("int"))
+    made = docs.withColumn("_n", n).withColumns({
+        "choiceTargets": F.transform("_n", ring).cast(f"array<{SC.CHOICE_TARGET.simpleString()}>"),
+        "semanticExercises": F.transform(blocks, exercise).cast(f"array<{SC.SEMANTIC_EXERCISE.simpleString()}>")})
+    done = CH.normalize_choices(made.drop("_n"))
+    rows = done.select("book_id", "page_number", "semanticExercises", F.size("choiceTargets").alias("targets_left"), F.explode("choiceGrids").alias("g"))
+    joined = lambda c: F.array_join(c, ",")
+    owner = F.get(F.filter("semanticExercises", lambda e: F.array_contains(e["interactionIds"], F.col("g.id"))), F.lit(0))
+    return rows.select("book_id", "page_number", F.col("g.id").alias("grid_id"), F.col("g.optionGroupId").alias("group_id"), F.col("g.candidateScore").alias("score"),
+                       joined(F.transform("g.rows", lambda r: r["id"])).alias("row_ids"),
+                       joined(F.transform("g.rows", lambda r: F.try_element_at(r["cells"], F.lit(-1))["id"])).alias("last_cells"),
+                       joined(F.flatten(F.transform("g.rows", lambda r: r["nearbyTextSpanIds"]))).alias("span_ids"),
+                       joined(owner["interactionIds"]).alias("members"), "targets_left")
+
+
+@query("overlap_measures", "X9 A11", f"""WITH {T.LINES}, p AS (SELECT doc_id, i, y, y + h AS b, x, x + w AS r, lag(y) OVER o AS py, lag(y + h) OVER o AS pb, lag(x) OVER o AS px, lag(x + w) OVER o AS pr,
+  list(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS hs FROM ln WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, i, least(b, pb) - greatest(y, py) AS band, greatest(least(r, pr) - greatest(x, px), 0) / least(r - x, pr - px) AS ratio, list_sort(hs)[len(hs) // 2 + 1] AS upper FROM p WHERE py IS NOT NULL""")
+def _(spark, sf):
+    """A line against the one before: signed overlap of their bands, relative overlap of their widths, and the upper median of the last heights."""
+    d = T.lines(spark, sf)
+    w = Window.partitionBy("doc_id").orderBy("i")
+    d = d.withColumns({"p": F.lag(F.struct("x", "y", "w", "h")).over(w), "hs": F.collect_list("h").over(w.rowsBetween(-5, 0))}).where("p IS NOT NULL")
+    y, x, p = F.col("y"), F.col("x"), F.col("p")
+    return d.select("doc_id", "i", G.band_overlap(y, y + F.col("h"), p["y"], p["y"] + p["h"]).alias("band"),
+                    G.overlap_ratio(x, x + F.col("w"), p["x"], p["x"] + p["w"]).alias("ratio"), C.upper_median(F.col("hs")).alias("upper"))
+
+
+@query("nearby_spans", "J3", f"""WITH {T.SPANS}, {T.boxes_sql(12)},
+m AS (SELECT b.doc_id, b.id, s.id AS sid, s.x FROM bx b JOIN sp s ON s.doc_id = b.doc_id AND abs(s.y + s.h / 2 - (b.y + b.h / 2)) <= greatest(s.h * 1.5, 6e-3)
+ AND greatest(s.x - (b.x + b.w), b.x - (s.x + s.w), 0) <= 0.0625)
+SELECT b.doc_id, b.id, coalesce((SELECT string_agg(sid, ',' ORDER BY m.x, sid) FROM m WHERE m.doc_id = b.doc_id AND m.id = b.id), '') AS nearby FROM bx b""")
+def _(spark, sf):
+    """The spans that stand near a box, by left edge."""
+    out = SP.nearby_span_ids(T.boxes(spark, sf, 12), T.spans(spark, sf), ["doc_id"], max_x_gap=0.0625)
+    return out.select("doc_id", "id", F.array_join("nearby_ids", ",").alias("nearby"))

@@ -154,11 +154,6 @@ def register_books(spark: SparkSession, path: str, mime: str = "application/pdf"
     return register_manifest(joined, F.col("_sum")).drop("_sum")
 
 
-def split_rejects(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted books and the side table of rejected files."""
-    return manifest.where("reject_reason IS NULL").drop("reject_reason"), manifest.where("reject_reason IS NOT NULL")
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None,
               partitions: int = 16, **options: str) -> DataFrame:
     """A relational table, read in parallel key ranges when bounds are given (driver jar needed)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafgrade.operators import events as E
 from leafgrade.operators import scans as SC
-from leafgrade.streaming.batches import answer_batches, quota_batches, run_batches
+from leafgrade.streaming.batches import answer_batches, quota_batches, run_batches, stream_daily_usage
 from leafgrade.streaming.pages import ROCKSDB, stream_page_state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -163,3 +163,16 @@ def test_page_state_stream(spark, tmp_path):
     page1 = [r.event for r in sorted(rows, key=lambda r: r.ts) if r.page_number == 1 and r.event != "stuck"]
     assert page1 == ["claim_granted", "claim_refused", "status", "claim_refused", "claim_granted"]
     assert {r.page_number for r in rows if r.event == "stuck"} == {1, 2}
+
+
+def test_daily_usage_stream(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "request_id long, ts timestamp, outcome string"
+    day = lambda d, s=0: T0 + dt.timedelta(days=d, seconds=s)
+    for n, rows in enumerate(([(1, day(0), "ALLOWED"), (2, day(0, 5), "SESSION_LIMIT_REACHED"), (3, day(0, 9), "ALLOWED")], [(4, day(1), "ALLOWED")], [(5, day(9), "ALLOWED")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = stream_daily_usage(spark.readStream.schema(schema).parquet(src), "1 day")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.usage_date, r.provider_calls) for r in spark.read.parquet(out).collect()}
+    # the last day stays open until the watermark passes it
+    assert got == {(day(0).date(), 2), (day(1).date(), 1)}

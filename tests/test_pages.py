@@ -190,6 +190,10 @@ def test_sources_and_sinks(spark, tmp_path):
     new = spark.createDataFrame([(2, "z", 21, 1), (2, "y", 22, 2), (3, "c", 30, 1)], "k int, made string, v int, ver int")
     merged = sinks.upsert_latest(old, new, ["k"], ["v"], ["ver"])
     assert {tuple(r) for r in merged.collect()} == {(1, "a", 10), (2, "b", 22), (3, "c", 30)}
+    sinks.write_upsert(old, new, ["k"], ["v"], str(tmp_path / "upserted"), ["ver"], ["k"])
+    assert {(r.k, r.made, r.v) for r in spark.read.parquet(str(tmp_path / "upserted")).collect()} == {(1, "a", 10), (2, "b", 22), (3, "c", 30)}
+    pages = spark.createDataFrame([("b", 2), ("a", 10), ("b", 1), ("a", 9)], "book_id string, page_number int")
+    assert [tuple(r) for r in readers.list_pages(pages).collect()] == [("a", 9), ("a", 10), ("b", 1), ("b", 2)]
     assert sinks.merge_into_sql("t", "s", ["k"], ["k", "v"], ["v"]).startswith("MERGE INTO t")
     docs = page(spark, LESSON).withColumn("status", F.lit("READY")).withColumn("processor", F.struct(
         F.lit("e").alias("engine"), F.lit("m").alias("model"), F.current_timestamp().alias("processedAt")))
