@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query("stage_percentiles", "E2", f"""{STEPS} SELECT status, quantile_disc(micros, 0.5) AS p50, quantile_disc(micros, 0.95) AS p95 FROM t WHERE micros IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    return E.stage_durations(_steps(spark, sf)).select("status", F.col("p50_p95")[0].alias("p50"), F.col("p50_p95")[1].alias("p95"))
+    return E.stage_percentiles(_steps(spark, sf), {"p50": 0.5, "p95": 0.95})
 
 
 @query("page_funnel", "E2", f"SELECT {STATUS} AS status, count(DISTINCT user_id) AS pages FROM events GROUP BY 1")

@@ -176,3 +176,13 @@ def test_daily_usage_stream(spark, tmp_path):
     got = {(r.usage_date, r.provider_calls) for r in spark.read.parquet(out).collect()}
     # the last day stays open until the watermark passes it
     assert got == {(day(0).date(), 2), (day(1).date(), 1)}
+
+
+def test_stage_percentiles_are_exact(spark):
+    """More times than an approximate percentile keeps apart, in more than one range, many of them equal."""
+    rng = random.Random(7)
+    times = {"OCR": [rng.randrange(10 ** 9) ** 2 // 10 ** 8 for _ in range(40_000)] + [5] * 1_000, "READY": [3, 1, 2] * 20, "FAILED": [9]}
+    rows = spark.createDataFrame([(s, t) for s, ts in times.items() for t in ts] + [("OCR", None)], "status string, micros long")
+    got = {r.status: (r.p50, r.p95) for r in E.stage_percentiles(rows, {"p50": 0.5, "p95": 0.95}).collect()}
+    place = lambda ts, percent: sorted(ts)[max(1, -(-len(ts) * percent // 100)) - 1]
+    assert got == {s: (place(ts, 50), place(ts, 95)) for s, ts in times.items()}
