@@ -40,7 +40,7 @@ _EMPTY = ("items", "correction_ids", "span_ids", "interaction_ids")
 # ---- SQL text ------------------------------------------------------------------
 
 def _trim(text: str) -> str:
-    return f"regexp_replace({text}, r'^[{X.JS_SPACE}]+|[{X.JS_SPACE}]+$', '')"
+    return f"trim(BOTH {X.quoted(X.members(X.JS_SPACE))} FROM {text})"
 
 
 def _fold(text: str) -> str:
@@ -58,10 +58,9 @@ def _mean(values: str) -> str:
 
 def _tidy(text: str) -> str:
     """C4 (text part): collapse spaces, drop spaces before punctuation, squeeze repeated ! and ?; null if nothing is left."""
-    space = f"[{X.JS_SPACE}]"
-    for pattern, to in ((f"{space}+", " "), (f"{space}+([,;:!?])", "$1"), (rf"{space}+\.(?!\.)", "."), (rf"([!?])(?:{space}*\1)+", "$1")):
+    for pattern, to in ((X.ODD_SPACES, " "), (X.LOOSE_BLANK, ""), (X.REPEATED_MARK, "$1")):
         text = f"regexp_replace({text}, r'{pattern}', '{to}')"
-    return f"nullif({_trim(text)}, '')"
+    return f"nullif(trim({text}), '')"
 
 
 def _span_text(spans: str) -> str:
@@ -275,13 +274,15 @@ def _applied() -> str:
     # empty labels fold to '' and no kept span has an empty text
     copies = f"transform(concat(filter({texts}, v -> v <> ''), {options}, {labels}), v -> {_fold('v')})"
     context = (f"array_sort(filter(transform(coalesce(ex.contextSpanIds, {_STRINGS}), i -> _by[i]), s -> s.ok AND NOT array_contains(b.span_ids, s.id) "
-               r"AND NOT array_contains(copies, lower(s.t)) AND NOT s.t RLIKE r'^\([^)]{1,30}\)$'))")
+               r"AND NOT (length(s.t) <= longest AND array_contains(copies, lower(s.t))) AND NOT s.t RLIKE r'^\([^)]{1,30}\)$'))")
     given = f"CASE WHEN b.kind = 'choice' THEN {_assigned()} ELSE CAST(array() AS array<struct<id:string,span_id:string,text:string>>) END"
     items = f"transform(b.items, x -> {_item('x.id', 'coalesce(get(filter(given, g -> g.id = x.id), 0).text, x.prompt)', 'x.label', 'x.size')})"
     paragraphs = ("transform(filter(ctx, s -> NOT exists(given, g -> g.span_id = s.id)), s -> named_struct('id', concat('paragraph-', s.id), 'text', s.t))")
     owned = _with("b", items=items, paragraphs=paragraphs, exercise_id="ex.id", exercise_number="ex.number", exercise_title="ex.title",
                   instruction="ex.instruction", source_order="ex.sourceOrder")
-    whole = bind("copies", copies, bind("ctx", context, bind("given", given, owned)))
+    # a text gets no shorter in lower case, so one longer than all copies needs no look
+    longest = "array_max(transform(copies, v -> length(v)))"
+    whole = bind("copies", copies, bind("longest", longest, bind("ctx", context, bind("given", given, owned))))
     return f"transform(_raw, b -> {bind('ex', exercise, f'CASE WHEN ex IS NULL THEN b ELSE {whole} END')})"
 
 
