@@ -2,11 +2,14 @@
 
 import random
 import re
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
 from leafgrade.functions import textops as X
+from leafgrade.functions.arrays import running_sums
 from leafgrade.operators import lessons as L
+from leafgrade.operators import ordering
 
 JS = X.members(X.JS_SPACE)
 
@@ -34,3 +37,24 @@ def test_tidy_texts_with_every_space_and_mark(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
     got = df.select(X.tidy_span_text(F.col("t")), F.expr(L._tidy("t")), "i").orderBy("i").collect()
     assert [tuple(r)[:2] for r in got] == [(tidy(t),) * 2 for t in rows]
+
+
+def test_running_sums_of_long_and_short_lists(spark):
+    lists = [[], [3.0], [float(i % 7) for i in range(8)], [float(i % 11) for i in range(100)]]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(lists)], "i int, a array<double>")
+    got = [r.s for r in df.select("i", running_sums(F.col("a")).alias("s")).orderBy("i").collect()]
+    assert got == [list(accumulate(a)) for a in lists]
+
+
+def test_borders_and_items_of_a_long_line(spark):
+    """A line of 300 fragments: every item counted and boxed, borders in proportion to the lengths."""
+    words = ["x" * (1 + i % 5) for i in range(300)]
+    box = {"x": 0.0, "y": 0.1, "width": 1.0, "height": 0.01}
+    rows = [("b", 1, 1000, 2000, i, f"s{i}", text, {**box, "y": 0.1 + i * 0.012}) for i, text in enumerate((" • ".join(words), "a • bb • cccccc"))]
+    df = spark.createDataFrame(rows, "book_id string, page_number int, page_width int, page_height int, idx int, id string, text string, "
+                                     "bbox struct<x:double,y:double,width:double,height:double>")
+    out = {r.prompt_index: r for r in ordering.ordering_prompts(df).collect()}
+    assert {n: r.item_count for n, r in out.items()} == {1: 300, 2: 3}
+    assert [i.text for i in out[1]["items"]] == words
+    ends = list(accumulate(map(len, words)))
+    assert all(abs(i.bbox.x + i.bbox.width - e / ends[-1]) < 1e-9 for i, e in zip(out[1]["items"], ends))
