@@ -19,6 +19,8 @@ MOST_BROADCAST_IDS = 2_000_000
 HUB_ORDERS = 4
 #: Members of a tile: two tiles make matrices of some 2,000 times 2,000.
 TILE_MEMBERS = 1000
+#: Shingles that are multiplied, and members that are judged, at once.
+COLUMNS, STRIPE = 1024, 128
 
 
 class Shingler:
@@ -107,13 +109,18 @@ def linked_parts(parts: np.ndarray, sets: list[np.ndarray], percent: int) -> set
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(number[-1]) + 1, 4096):
-        lo, hi = np.searchsorted(column, (at, at + 4096))
-        member = np.zeros((len(sets), 4096), np.float32)
+    for at in range(0, int(number[-1]) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        member = np.zeros((len(sets), COLUMNS), np.float32)
         member[owner[lo:hi], column[lo:hi] - at] = 1
         both += member @ member.T
-    ok = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (parts[:, None] < parts[None, :])
-    return {(int(parts[j]), int(parts[i])) for i, j in np.argwhere(ok)}
+    found = set()
+    for at in range(0, len(sets), STRIPE):  # a few rows of the matrix at once: its comparisons are wider than its counts
+        mine = slice(at, at + STRIPE)
+        ok = (100 * both[mine] >= percent * (sizes[mine, None] + sizes[None, :] - both[mine])) & (parts[mine, None] < parts[None, :])
+        i, j = np.nonzero(ok)
+        found.update(zip(parts[j].tolist(), parts[at + i].tolist()))
+    return found
 
 
 def dealt_tiles(here: DataFrame, tile_shingles: int) -> DataFrame:
