@@ -167,19 +167,20 @@ def compare_grid(row_answers: Column, has_entry: Column, expected: Column, optio
 
 def compare_ordering(learner: Column, has_entry: Column, expected: Column, item_count: Column) -> Column:
     """Position by position; an incomplete sequence counts as unanswered."""
-    given = X.parse_ordered_answer(learner)
+    def judge(given: Column, wanted: Column) -> Column:
+        hits = F.size(F.filter(F.zip_with(given, wanted, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda v: v))
+        n = F.size(given)
+        ok = _lit("RESOLVED")
+        return let(lambda h: (
+            F.when((n == 0) | (n < item_count), _result(_lit("UNANSWERED"), ok))
+            .when(n != F.size(wanted), _result(_lit("PARTIALLY_CORRECT"), ok))
+            .when(h == n, _result(_lit("CORRECT"), ok))
+            .when(h > 0, _result(_lit("PARTIALLY_CORRECT"), ok, h, n))
+            .otherwise(_result(_lit("INCORRECT"), ok))
+        ), hits)
+
     wanted = F.filter(F.transform(F.split(expected, ","), X.js_trim), lambda s: s != "")
-    hits = F.size(F.filter(F.zip_with(given, wanted, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda v: v))
-    n = F.size(given)
-    ok = _lit("RESOLVED")
-    return (
-        F.when(~has_entry, _result(_null(), _lit("UNMAPPED")))
-        .when((n == 0) | (n < item_count), _result(_lit("UNANSWERED"), ok))
-        .when(n != F.size(wanted), _result(_lit("PARTIALLY_CORRECT"), ok))
-        .when(hits == n, _result(_lit("CORRECT"), ok))
-        .when(hits > 0, _result(_lit("PARTIALLY_CORRECT"), ok, hits, n))
-        .otherwise(_result(_lit("INCORRECT"), ok))
-    )
+    return F.when(~has_entry, _result(_null(), _lit("UNMAPPED"))).otherwise(let(judge, X.parse_ordered_answer(learner), wanted))
 
 
 def comparison_items(items: Column) -> Column:
@@ -268,12 +269,13 @@ def grade_all(rows: DataFrame, out: str = "result") -> DataFrame:
     The text of a row is composed once for all kinds.
     """
     has_entry = F.col("expected").isNotNull()
-    prepared = rows.withColumn("_li", compose_items(F.col("left_items"))).withColumn(
-        "_ri", compose_items(F.col("right_items")))
-    prepared = with_source_pairs(prepared, "_source", F.col("expected"), F.col("pairs"), F.col("payload_type"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))  # noqa: E731  texts that the row's grader does not read are not composed
+    prepared = rows.withColumn("_li", compose_items(of("matching", "left_items"))).withColumn(
+        "_ri", compose_items(of("matching", "right_items")))
+    prepared = with_source_pairs(prepared, "_source", of("matching", "expected"), of("matching", "pairs"), F.col("payload_type"))
     by_kind = (
         F.when(F.col("kind") == "fill-in-line", compare_blank(
-            F.col("learner"), has_entry, F.col("expected"), F.col("alternatives"), F.col("case_sensitive")))
+            *(of("fill-in-line", c) if c != "entry" else has_entry for c in ("learner", "entry", "expected", "alternatives")), F.col("case_sensitive")))
         .when(F.col("kind") == "choice", compare_choice(F.col("learner"), has_entry, F.col("expected"), F.col("options")))
         .when(F.col("kind") == "choice-grid", compare_grid(
             F.col("row_answers"), has_entry, F.col("expected"), F.col("options")))
