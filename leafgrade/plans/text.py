@@ -9,7 +9,7 @@ from leafgrade.functions import textops as X
 from leafgrade.operators import aggregates as A
 from leafgrade.operators import ordering as O
 from leafgrade.operators import quality as Q
-from leafgrade.operators.matching import item_text, left_label, right_label
+from leafgrade.operators.matching import labelled, page_span
 from leafgrade.plans import tables as T
 from leafgrade.plans.registry import query
 
@@ -162,17 +162,16 @@ def _(spark, sf):
  CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Bei ' || p_name ELSE 'Anna ' || p_name END AS right_text FROM part""")
 def _(spark, sf):
     name, kind, k = F.col("p_name"), F.col("p_type"), F.col("p_partkey")
-    span = lambda i, y, x, t: F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(i).alias("idx"), F.lit(f"s{i}").alias("id"),
-                                       t.alias("text"), G.box(x, y, 0.25, 0.125).alias("bbox"))
+    span = lambda i, y, x, t: page_span(F.lit(i), F.lit(f"s{i}"), t, G.box(x, y, 0.25, 0.125))
     left = F.array(span(1, 0.5, 0.0, F.when(k % 4 == 2, F.concat(kind, F.lit(" 3."))).otherwise(kind)),
                    span(0, 0.25, 0.0, F.when(k % 4 == 1, F.concat(F.lit("12. "), name)).otherwise(name)))
     left = F.when(k % 4 == 0, F.concat(left, F.array(span(2, 0.75, 0.0, F.lit(" 7. "))))).otherwise(left)
     right = (F.when(k % 3 == 0, F.array(span(0, 0.25, 0.0, F.lit("B")), span(1, 0.25, 0.5, name)))
              .when(k % 3 == 1, F.array(span(0, 0.25, 0.0, F.concat(F.lit("• ABei "), name))))
              .otherwise(F.array(span(0, 0.25, 0.0, F.concat(F.lit("Anna "), name)))))
-    rows = T.table(spark, sf, "part").withColumn("l", left_label(left)).withColumn("r", right_label(right))
-    return rows.select("p_partkey", F.col("l.label").alias("left_label"), item_text(F.col("l.spans"))["text"].alias("left_text"),
-                       F.col("r.label").alias("right_label"), item_text(F.col("r.spans"))["text"].alias("right_text"))
+    rows = T.table(spark, sf, "part").withColumns({"ls": F.sort_array(left), "rs": F.sort_array(right)})
+    return rows.selectExpr("p_partkey", f"{labelled('left', 'ls')} AS l", f"{labelled('right', 'rs')} AS r").select(
+        "p_partkey", F.col("l.label").alias("left_label"), F.col("l.item.text").alias("left_text"), F.col("r.label").alias("right_label"), F.col("r.item.text").alias("right_text"))
 
 
 @query("fingerprints", "C16", """WITH r AS (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
