@@ -82,15 +82,17 @@ def page_span(idx: Column, ident: Column, raw: Column, bbox: Column, stripped: C
     """
     text = X.py_strip(raw) if stripped is None else stripped
     lead, trail = r"^(\d{1,2})\.?\s+", r"\s+(\d{1,2})\.?$"
-    number = lambda pattern: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+    # patterns are tried on the few characters that they may take, not at every place of a long text
+    head, tail, short = F.substring(text, 1, 4), F.substring(text, -4, 4), F.length(text) <= 3
+    number = lambda end, pattern: F.when(end.rlike(pattern), F.regexp_extract(end, pattern, 1))
     left_over = lambda pattern: F.length(X.py_strip(F.regexp_replace(text, pattern, "")))
     start = F.regexp_replace(raw, "^[^A-Za-z0-9ÄÖÜäöüß]+", "")
-    capital = start.rlike(r"^\p{Lu}(?:$|[ \p{Lu}])")
+    capital = F.substring(start, 1, 4).rlike(r"^\p{Lu}(?:$|[ \p{Lu}])")
     return F.struct(
         bbox["y"].alias("y"), bbox["x"].alias("x"), idx.alias("idx"), ident.alias("id"), text.alias("text"), bbox["width"].alias("w"), bbox["height"].alias("h"),
-        G.center_x(bbox).alias("cx"), G.center_y(bbox).alias("cy"), F.when(text.rlike(X.LEFT_STANDALONE), 1).when(text.rlike(X.RIGHT_STANDALONE), 2).alias("lone"),
-        number(lead).alias("lead"), F.when(text.rlike(lead), F.length(text) - left_over(lead)).alias("lead_cut"),
-        number(trail).alias("trail"), F.when(text.rlike(trail), left_over(trail)).alias("trail_len"), F.when(capital, F.substring(start, 1, 1)).alias("cap"),
+        G.center_x(bbox).alias("cx"), G.center_y(bbox).alias("cy"), F.when(short & text.rlike(X.LEFT_STANDALONE), 1).when(short & text.rlike(X.RIGHT_STANDALONE), 2).alias("lone"),
+        number(head, lead).alias("lead"), F.when(head.rlike(lead), F.length(text) - left_over(lead)).alias("lead_cut"),
+        number(tail, trail).alias("trail"), F.when(tail.rlike(trail), left_over(trail)).alias("trail_len"), F.when(capital, F.substring(start, 1, 1)).alias("cap"),
         F.when(capital, F.length(text) - F.length(X.py_strip(F.substring(start, F.lit(2), F.length(start))))).alias("cap_cut"))
 
 
