@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgrade.llm.common import shared_table
+
 #: Fixed masks of 12 tokens: a seed hashes the tokens under 1 and ignores those under 0.
 MASKS = ("110100110101", "101110010011", "111001001011")
 SPAN = len(MASKS[0])
@@ -14,8 +16,10 @@ SPAN = len(MASKS[0])
 LONG, RUN = 40, "111"
 #: All masks; a seed's key holds its mask's number.
 EVERY = (*MASKS, RUN)
-#: Seeds that go to every task at once, at about 24 bytes each.
+#: Seeds that go to every task at once, at about 80 bytes each.
 MOST_BROADCAST_SEEDS = 1_000_000
+#: Places of a document that are looked up together; their rows carry no more of its tokens than an item laid there can reach.
+PIECE = 256
 
 
 def token_hashes(text: Column) -> Column:
@@ -23,9 +27,27 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, keep: list[str], tokens: str, at: str, masks: list[int], fits=None) -> DataFrame:
-    """One row per place and mask number: ``keep``, the place ``at`` and the seed's ``key``; ``fits(mask)`` says where a mask counts."""
-    placed = df.where(F.size(tokens) > 0).select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias(at))
+def pieces(df: DataFrame, keep: list[str], tokens: str, reach: int) -> DataFrame:
+    """``keep``, and the tokens in rows of ``PIECE`` places: the ``piece`` with ``reach`` tokens more on either side, and its places ``first`` to ``last``.
+
+    A place that hits makes a row with the tokens around it, and Spark holds all rows that one input row makes; with whole documents
+    these would grow with the square of a text.
+    """
+    def piece(at: Column) -> Column:
+        start = F.greatest(at - reach, F.lit(0))
+        return F.struct((at - start).alias("first"), (F.least(at + PIECE, F.size(tokens)) - 1 - start).alias("last"),
+                        F.slice(tokens, start + 1, at + PIECE + reach - start).alias("piece"))
+
+    return df.select(*keep, F.inline(F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(PIECE)), piece)))
+
+
+def seeds(df: DataFrame, keep: list[str], tokens: str, at: str, masks: list[int], fits=None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """One row per place and mask number: ``keep``, the place ``at`` and the seed's ``key``; ``fits(mask)`` says where a mask counts.
+
+    Places go from the column ``first`` to ``last``, by default over all tokens.
+    """
+    start, end = F.col(first) if first else F.lit(0), F.col(last) if last else F.size(tokens) - 1
+    placed = df.select(*keep, tokens, F.explode(F.sequence(start, F.greatest(start, end))).alias(at))
 
     def key(m: int) -> Column:
         here = F.col(at) + len(EVERY[m]) <= F.size(tokens)
@@ -68,7 +90,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.7
 
     The seeds of the benchmark are counted: up to ``seeds_at_once`` go to every
     task, so documents are neither shuffled nor stored; more are split by
-    item into that many more passes over the documents. Items of fewer than 12
+    item into that many more passes over the documents, one after the other. Documents are
+    looked up in pieces, so a task holds one text and the hits of one piece. Items of fewer than 12
     tokens and null texts match nothing. Rows of equal doc_id or item_id give
     one row for the pair; null ids form one document. Empty tables give none.
     Only doc_id, text, item_id are read.
@@ -80,15 +103,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.7
     passes = max(1, -(-(total or 0) // seeds_at_once))
     masks = [m for m in range(len(EVERY)) if (m < len(MASKS) and (longest or 0) >= LONG) or (m == len(MASKS) and (shortest or 0) < LONG)]
     tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    held = (F.col("o.matched") >= least_share * F.col("n_tokens")) | (F.col("o.best") >= least_score)
     found = []
     for p in range(passes):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p)
         known = seeds(own.select("item_id", "item", F.xxhash64("item_id", "item").alias("ref")), ["ref"], "item", "j", masks, item_fits).select("ref", "j", "key").distinct()
+        known = known.groupBy("key").agg(F.collect_list(F.struct("ref", "j")).alias("places"))  # a seed of many items makes one row at a hit
         whole = own.select(F.xxhash64("item_id", "item").alias("ref"), "item_id", "item")
-        hits = seeds(tokens, ["doc_id"], "tokens", "i", masks).join(F.broadcast(known), "key").join(F.broadcast(whole), "ref")
-        found.append(hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), overlap(F.col("tokens"), F.col("item"), F.col("i") - F.col("j")).alias("o")))
-    held = (F.col("o.matched") >= least_share * F.col("n_tokens")) | (F.col("o.best") >= least_score)
-    return reduce(DataFrame.union, found).where(held).groupBy("doc_id", "item_id").agg(
+        met = seeds(pieces(tokens, ["doc_id"], "tokens", longest or SPAN), ["doc_id"], "piece", "i", masks, first="first", last="last").join(F.broadcast(known), "key")
+        hits = met.select("doc_id", "piece", F.inline(F.transform("places", lambda x: F.struct(x["ref"].alias("ref"), (F.col("i") - x["j"]).alias("shift"))))).join(F.broadcast(whole), "ref")
+        leaks = hits.select("doc_id", "item_id", F.size("item").alias("n_tokens"), overlap(F.col("piece"), F.col("item"), F.col("shift")).alias("o")).where(held)
+        found.append(leaks if passes == 1 else shared_table(leaks, "leaks"))  # one pass's seeds at a time
+    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(
         F.max("n_tokens").alias("n_tokens"), F.max("o.matched").alias("matched"), F.max("o.best").alias("score"))
 
 

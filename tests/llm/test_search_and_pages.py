@@ -115,3 +115,21 @@ def test_short_items_are_found_with_a_quarter_replaced(spark, docs_frame):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_frame(docs), bench).collect()}
     assert got == {(i, i // 10) for i, _ in docs}
+
+
+def test_leaks_in_long_texts_are_laid_piece_by_piece(spark, docs_frame):
+    items = {i: [f"i{i}w{k}" for k in range(n)] for i, n in enumerate((12, 39, 40, 300))}
+    noise = lambda n, name: [f"{name}{k}" for k in range(n)]
+    docs = [(1, items[2] * 750)]  # a row of all tokens at every hit took 15 GB
+    docs += [(1000 + 10 * at + i, noise(at, "a") + w + noise(3, "b")) for at in (0, 1, 217, 244, 245, 255, 256, 257, 500, 511, 512) for i, w in items.items()]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    compiled = {"spark.sql.codegen.wholeStage": ("true", "false"), "spark.sql.codegen.factoryMode": ("FALLBACK", "NO_CODEGEN")}  # as outside tests
+    for name, (on, _) in compiled.items():
+        spark.conf.set(name, on)
+    try:
+        got = {(r.doc_id, r.item_id, r.n_tokens, r.matched, r.score) for r in contaminated(docs_frame([(i, " ".join(w)) for i, w in docs]), bench).collect()}
+    finally:
+        for name, (_, off) in compiled.items():
+            spark.conf.set(name, off)
+    held = lambda words, i: "".join(f" {w}" for w in items[i]) in "".join(f" {w}" for w in words)
+    assert got == {(d, i, len(w), len(w), len(w)) for d, words in docs for i, w in items.items() if held(words, i)}
