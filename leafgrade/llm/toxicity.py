@@ -80,11 +80,14 @@ def patterns(text: str | None) -> list[int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Text and label of at most ``most`` labelled documents outside the held-out fold, one text of each."""
+    """Text and label of at most ``most`` labelled documents outside the held-out fold, one text of each.
+
+    Blank texts are left out: they hold no term, so their labels would only say how to judge every text without known terms.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    once = docs.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    once = docs.where(F.col("text").rlike(r"\S")).join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     return once.select("text", F.col("toxic").cast("int"))
 
 
@@ -245,7 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, vocab
     are bounded by ``most``, ``vocabulary`` and ``voters``. Scores see the text
     alone.
 
-    Null and empty texts score as a text without terms. A null doc_id is held
+    Null and empty texts score as a text without terms and teach nothing. A null doc_id is held
     out. Rows of equal doc_id each give a row, several labels of one document
     count as the largest. Without labels, or with one class only, every score
     is that of the class seen, 0 if none. An empty table gives no rows. Other
