@@ -20,6 +20,8 @@ EVERY = (*MASKS, RUN)
 MOST_BROADCAST_SEEDS = 1_000_000
 #: Places of a document that are looked up together; their rows carry no more of its tokens than an item laid there can reach.
 PIECE = 256
+#: Rows of leaks that an anti join may send to every task, at some 40 bytes each.
+MOST_BROADCAST_LEAKS = 1_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -123,4 +125,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text_hash = F.xxhash64(docs["text"])
     bad = contaminated(docs.select(F.struct("doc_id", text_hash.alias("h")).alias("doc_id"), "text"), benchmark).select(
         F.col("doc_id.doc_id").alias("_bad"), F.col("doc_id.h").alias("_bad_text")).distinct()
+    bad = shared_table(bad, "leaks")
+    if bad.count() <= MOST_BROADCAST_LEAKS:  # then texts are not shuffled
+        bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (text_hash == bad["_bad_text"]), "left_anti")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrade.llm import warc
+from leafgrade.llm import decontamination, warc
 from leafgrade.llm.common import shared_path
 from leafgrade.llm.decontamination import contaminated, drop_contaminated
 from leafgrade.llm.queries import URL_RULES
@@ -133,3 +133,16 @@ def test_leaks_in_long_texts_are_laid_piece_by_piece(spark, docs_frame):
             spark.conf.set(name, off)
     held = lambda words, i: "".join(f" {w}" for w in items[i]) in "".join(f" {w}" for w in words)
     assert got == {(d, i, len(w), len(w), len(w)) for d, words in docs for i, w in items.items() if held(words, i)}
+
+
+def test_texts_stay_in_their_tasks_when_leaks_go(spark, docs_frame, monkeypatch):
+    item = " ".join(f"leak{i}" for i in range(15))
+    frame = docs_frame([(i, item if i % 10 == 0 else f"clean {i}") for i in range(50)] + [(None, item), (None, "clean"), (7, item), (8, None)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = drop_contaminated(frame, bench)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    rows = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    assert rows(left) == sorted([(str(i), f"clean {i}") for i in range(50) if i % 10] + [("None", "clean"), ("8", "None")])
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST_LEAKS", 0)  # as with more leaks
+    assert rows(drop_contaminated(frame, bench)) == rows(left)
